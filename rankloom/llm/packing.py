@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import re
 import zlib
 
 import numpy as np
@@ -12,6 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import slices, table
+from .rolling import BASES, BYTES, Prefix, Text
 
 #: Fixed value: the pattern by which byte-level BPE of this vocabulary splits text before its merges.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -26,13 +26,13 @@ def byte_of_char() -> dict[str, int]:
 
 
 class Encoder:
-    """Token ids of a byte-level BPE file, as little-endian uint32 bytes; special strings in a text are plain text.
+    """Token ids of a byte-level BPE file; special strings in a text are plain text.
 
-    A space between two other characters always starts a token, so the stretches between such spaces are encoded
-    once each and remembered, at most `remember` of them.
+    A space between two characters that are no white space always starts a token, so a text may be cut before such
+    spaces and the stretches encoded apart. Equal stretches of a batch are found by hash and encoded once.
     """
 
-    def __init__(self, path: str, remember: int = 300_000):
+    def __init__(self, path: str):
         import tiktoken
 
         with open(path, encoding="utf-8") as f:
@@ -44,33 +44,57 @@ class Encoder:
         self.n_bytes = np.zeros(max(ranks.values()) + 1, np.int64)
         for word, i in ranks.items():
             self.n_bytes[i] = len(word)
-        self.remember, self.known = remember, {"": self.direct(" ")}
-        self.uneven = re.compile(r"\s\s|\s\Z")
-
-    def direct(self, text: str) -> bytes:
-        return self.bpe.encode_to_numpy(text).astype("<u4").tobytes()
-
-    def learn(self, words: list[str]) -> None:
-        if len(self.known) + len(words) > self.remember:
-            self.known = {"": self.direct(" ")}
-        ids = self.bpe.encode_to_numpy(" " + " ".join(words))
-        ends = np.searchsorted(np.cumsum(self.n_bytes[ids]), np.cumsum([len(w.encode()) + 1 for w in words])) + 1
-        data, begin = ids.astype("<u4").tobytes(), 0
-        for word, end in zip(words, (ends * 4).tolist()):
-            self.known[word] = data[begin:end]
-            begin = end
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        parts = [None if self.uneven.search(t) else t.split(" ") for t in texts]
-        need: set[str] = set()
-        for p in parts:
-            if p:
-                need.update(p[1:])
-        learnt = self.known
-        if new := need.difference(learnt):
-            self.learn(list(new) if len(learnt) + len(new) <= self.remember else list(need - {""}))
-        get = self.known.__getitem__
-        return [self.direct(t) if p is None else self.direct(p[0]) + b"".join(map(get, p[1:])) for t, p in zip(texts, parts)]
+
+    def ids(self, data: bytes) -> np.ndarray:
+        return self.bpe.encode_to_numpy(data.decode())
+
+    @staticmethod
+    def cuts(buf: np.ndarray) -> np.ndarray:
+        """Places of spaces between two characters that are surely no white space."""
+        white = (buf == 32) | ((buf >= 9) & (buf <= 13)) | ((buf >= 28) & (buf <= 31))
+        at = np.flatnonzero(buf[:-1] == 32)
+        at = at[at > 0]
+        at = at[~white[at - 1] & ~white[at + 1] & ~np.isin(buf[at + 1], (0xC2, 0xE1, 0xE2, 0xE3))]
+        wide = buf[at - 1] >= 0x80
+        wide &= (buf[np.maximum(at - 2, 0)] == 0xC2) | np.isin(buf[np.maximum(at - 3, 0)], (0xE1, 0xE2, 0xE3))
+        return at[~wide]
+
+    def __call__(self, texts: list[str | None]) -> list[np.ndarray]:
+        """Ids of each text. The first and the last stretch of a text are encoded directly, those between by what is equal."""
+        t = Text(texts)
+        cuts = self.cuts(t.buf)
+        low, high = np.searchsorted(cuts, t.begin), np.searchsorted(cuts, t.end)
+        start, end = cuts[:-1], cuts[1:]
+        inner = np.zeros(len(start) + 1, bool)
+        many = high - low >= 2
+        marks = np.zeros(len(start) + 2, np.int64)
+        np.add.at(marks, low[many], 1)
+        np.add.at(marks, high[many] - 1, -1)
+        inner = np.cumsum(marks)[: len(start)] > 0
+        place = np.concatenate([[0], np.cumsum(inner)])
+        start, end = start[inner], end[inner]
+        values = [Prefix(BYTES[k][t.buf], BASES[k]).spans(start, end) for k in (0, 1)]
+        _, first, which = np.unique(values[0], return_index=True, return_inverse=True)
+        if not np.array_equal(values[1], values[1][first][which]):  # two stretches with one hash
+            return [self.ids(t.data[b:e]) for b, e in zip(t.begin.tolist(), t.end.tolist())]
+        a, z = start[first], end[first]
+        step = z - a
+        off = np.cumsum(step) - step
+        own = self.ids(t.buf[np.repeat(a - off, step) + np.arange(int(step.sum()))].tobytes())
+        stops = np.searchsorted(np.cumsum(self.n_bytes[own]), np.cumsum(step)) + 1
+        count = np.diff(stops, prepend=0)
+        n = count[which]
+        off = np.cumsum(n) - n
+        flat = own[np.repeat((stops - count)[which] - off, n) + np.arange(int(n.sum()))] if len(n) else own
+        off = np.concatenate([off, [len(flat)]])
+        out = []
+        for i, (b, e, lo, hi) in enumerate(zip(t.begin.tolist(), t.end.tolist(), low.tolist(), high.tolist())):
+            if hi - lo < 2:
+                out.append(self.ids(t.data[b:e]))
+            else:
+                middle = flat[off[place[lo]] : off[place[hi - 1]]]
+                out.append(np.concatenate([self.ids(t.data[b : cuts[lo]]), middle, self.ids(t.data[cuts[hi - 1] : e])]))
+        return out
 
 
 def decompose(n: int, longest: int) -> list[tuple[int, int]]:
@@ -106,8 +130,8 @@ def pack(docs: DataFrame, tokenizer_path: str, longest: int = 1024, end_id: int
             for batch in slices(whole, 1):
                 rows: list[tuple] = []
                 ids_out: list[bytes] = []
-                for doc, ids in zip(batch.column(0).to_pylist(), encode([t or "" for t in batch.column(1).to_pylist()])):
-                    ids += tail
+                for doc, ids in zip(batch.column(0).to_pylist(), encode(batch.column(1).to_pylist())):
+                    ids = ids.astype("<u4").tobytes() + tail
                     n = len(ids) // 4
                     for start, length in decompose(n, longest):
                         piece = ids[4 * start : 4 * (start + length)]
