@@ -2,8 +2,17 @@
 
 from __future__ import annotations
 
+from .langid import op3_language_id
 from .mixing import OP8_SQL, op8_mixing
 from .packing import op6_packing
+from .quality import op7_quality
+from .substring import op1_substring
 
-QUERIES = {"op6_packing": op6_packing, "op8_mixing": op8_mixing}
+QUERIES = {
+    "op1_substring": op1_substring,
+    "op3_language_id": op3_language_id,
+    "op6_packing": op6_packing,
+    "op7_quality": op7_quality,
+    "op8_mixing": op8_mixing,
+}
 ORACLE_SQL = {"op8_mixing": OP8_SQL}
