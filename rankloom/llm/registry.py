@@ -7,10 +7,12 @@ from .mixing import OP8_SQL, op8_mixing
 from .packing import op6_packing
 from .quality import op7_quality
 from .substring import op1_substring
+from .suffix import op4_suffix_array
 
 QUERIES = {
     "op1_substring": op1_substring,
     "op3_language_id": op3_language_id,
+    "op4_suffix_array": op4_suffix_array,
     "op6_packing": op6_packing,
     "op7_quality": op7_quality,
     "op8_mixing": op8_mixing,
