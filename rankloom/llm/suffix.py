@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -176,10 +178,19 @@ def shard(batches, length: int, limit: int, split_at: int):
 
 
 def across(batches):
-    """Digests of windows of split anchors, sorted by w1 -> the windows alone in their shard that another shard has."""
+    """Rows of shard(), those of kind 0 first and then by w1 -> the runs of kind 0 as they are, and the windows alone in
+    their shard that another shard has."""
+    names = ["ah", "g1", "g2", "step", "n"]
     carry = None
-    for batch in [*batches, None]:
-        t = batch and pa.Table.from_batches([batch])
+    for batch in itertools.chain(batches, [None]):
+        t = None
+        if batch is not None:
+            done = pc.equal(batch.column("kind"), 0)
+            yield batch.select(names).filter(done)
+            batch = batch.filter(pc.invert(done))
+            if not batch.num_rows:
+                continue
+            t = pa.Table.from_batches([batch])
         if carry is not None:
             t = pa.concat_tables([carry, t]) if t is not None else carry
         if t is None:
@@ -201,7 +212,7 @@ def across(batches):
         for part, n in zip(parts, merge_runs([pair[p] for p in parts])):
             found[part] = n > 0
         at = pa.array(np.flatnonzero(found & alone))
-        yield pa.RecordBatch.from_arrays([t.column(c).take(at).combine_chunks() for c in ("ah", "g1", "g2", "step", "n")], names=["ah", "g1", "g2", "step", "n"])
+        yield pa.RecordBatch.from_arrays([t.column(c).take(at).combine_chunks() for c in names], names=names)
 
 
 def dedup(docs: DataFrame, length: int = 200, part: int = 32, shard_bytes: int = 1 << 20, split_at: int = SPLIT_AT, with_text: bool = False) -> DataFrame:
@@ -218,7 +229,7 @@ def dedup(docs: DataFrame, length: int = 200, part: int = 32, shard_bytes: int =
     """
     base = keyed(docs)
     s = repeated(base, False, part, length)
-    contents = s.groupBy("ah", "g1", "g2").agg(F.min(F.struct("doc_id", "th", "lo", "n")).alias("r"), F.count("*").alias("copies")).select("ah", "g1", "g2", "copies", "r.*")
+    contents = cut(s.groupBy("ah", "g1", "g2").agg(F.min(F.struct("doc_id", "th", "lo", "n")).alias("r"), F.count("*").alias("copies")).select("ah", "g1", "g2", "copies", "r.*"))
     several = contents.groupBy("ah").agg(F.count("*").alias("c"))
 
     def extract(batches):
@@ -235,9 +246,10 @@ def dedup(docs: DataFrame, length: int = 200, part: int = 32, shard_bytes: int =
     contents = contents.join(several, "ah").withColumn("chunk", F.pmod("g2", F.ceil(F.col("c") / split_at)))
     cuttings = at_texts(base, contents, "inner", "lo", "n", "ah", "c", "chunk", "g1", "g2", "copies").mapInArrow(extract, "ah long, c long, chunk long, g1 long, g2 long, copies long, n int, content binary")
     cuttings = cuttings.repartition("ah", "chunk").sortWithinPartitions("ah", "chunk")
-    solved = cut(cuttings.mapInArrow(lambda it: shard(it, length, shard_bytes, split_at), "kind long, ah long, g1 long, g2 long, step long, n long, chunk long, w1 long, w2 long"))
-    merged = solved.filter("kind > 0").repartition("w1").sortWithinPartitions("w1").mapInArrow(across, "ah long, g1 long, g2 long, step long, n long")
-    runs = solved.filter("kind = 0").select("ah", "g1", "g2", "step", "n").unionByName(merged)
+    solved = cuttings.mapInArrow(lambda it: shard(it, length, shard_bytes, split_at), "kind long, ah long, g1 long, g2 long, step long, n long, chunk long, w1 long, w2 long")
+    # nothing is cut from here on: within one plan the texts are exchanged once for both uses
+    dealt = solved.repartition(F.when(F.col("kind") == 0, F.xxhash64("ah", "g1", "g2")).otherwise(F.col("w1"))).sortWithinPartitions(F.col("kind") > 0, "w1")
+    runs = dealt.mapInArrow(across, "ah long, g1 long, g2 long, step long, n long")
     runs = runs.groupBy("ah", "g1", "g2").agg(F.collect_list(F.struct("step", (F.col("n") + length - 1).alias("n"))).alias("runs"))
     spans = s.select("doc_id", "th", "ah", "g1", "g2", "lo").join(runs, ["ah", "g1", "g2"]).select("doc_id", "th", F.explode("runs").alias("x"), "lo")
     spans = spans.select("doc_id", "th", (F.col("lo") + F.col("x.step")).alias("lo"), F.col("x.n").alias("n"))
