@@ -49,7 +49,8 @@ def dedup(docs: DataFrame, window: int = 50, with_text: bool = False) -> DataFra
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in (w1, w2, ah[seg], g1[seg], g2[seg])] + [batch.column(0).take(pa.array(which[seg])), pa.array(step.astype(np.int32))], names=["w1", "w2", "ah", "g1", "g2", "doc_id", "step"])
 
     split = at_texts(base, contents.join(several, "ah"), "inner", "lo", "n", "ah", "g1", "g2")
-    windows = cut(split.mapInArrow(extend, "w1 long, w2 long, ah long, g1 long, g2 long, doc_id long, step int"))
+    # not cut here: within one plan the texts are exchanged once for all three uses
+    windows = split.mapInArrow(extend, "w1 long, w2 long, ah long, g1 long, g2 long, doc_id long, step int")
     least = windows.groupBy("w1", "w2").agg(F.min("doc_id").alias("_least"), F.max("doc_id").alias("_most")).filter("_least < _most").drop("_most")
     gone = windows.join(least, ["w1", "w2"]).filter("doc_id > _least").groupBy("ah", "g1", "g2").agg(F.collect_set("step").alias("steps"))
     by_content = contents.select("ah", "g1", "g2", F.col("doc_id").alias("_first")).join(gone, ["ah", "g1", "g2"], "left")
