@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from .embedding import op10_embedding
 from .langid import op3_language_id
+from .minhash import op2_minhash
 from .mixing import OP8_SQL, op8_mixing
 from .packing import op6_packing
 from .quality import op7_quality
@@ -11,10 +13,12 @@ from .suffix import op4_suffix_array
 
 QUERIES = {
     "op1_substring": op1_substring,
+    "op2_minhash": op2_minhash,
     "op3_language_id": op3_language_id,
     "op4_suffix_array": op4_suffix_array,
     "op6_packing": op6_packing,
     "op7_quality": op7_quality,
     "op8_mixing": op8_mixing,
+    "op10_embedding": op10_embedding,
 }
 ORACLE_SQL = {"op8_mixing": OP8_SQL}
