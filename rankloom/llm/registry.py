@@ -8,6 +8,8 @@ from .minhash import op2_minhash
 from .mixing import OP8_SQL, op8_mixing
 from .packing import op6_packing
 from .quality import op7_quality
+from .secret_scan import op9_secret_scan
+from .spotsigs import op5_spotsigs
 from .substring import op1_substring
 from .suffix import op4_suffix_array
 
@@ -16,9 +18,11 @@ QUERIES = {
     "op2_minhash": op2_minhash,
     "op3_language_id": op3_language_id,
     "op4_suffix_array": op4_suffix_array,
+    "op5_spotsigs": op5_spotsigs,
     "op6_packing": op6_packing,
     "op7_quality": op7_quality,
     "op8_mixing": op8_mixing,
+    "op9_secret_scan": op9_secret_scan,
     "op10_embedding": op10_embedding,
 }
 ORACLE_SQL = {"op8_mixing": OP8_SQL}
