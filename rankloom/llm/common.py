@@ -17,12 +17,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """Where checkpoints go: what the cluster names in spark.checkpoint.dir; a temporary folder only where that is unset."""
+    sc = spark.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="rankloom-checkpoint-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write df to the shared checkpoint folder and go on from there, so that a lost executor costs no recomputation."""
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        where = sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="rankloom-checkpoint-")
-        sc.setCheckpointDir(where)
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
@@ -44,6 +49,18 @@ def slices(batch: pa.RecordBatch, column: int, limit: int = 3 << 20):
         yield batch.slice(start)
 
 
+def split_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """left.join(right, keys, how) for a left side with very many rows of one key and a right side fresh from a group-by.
+
+    Joined on two 64-bit hashes of the keys: Spark can't see that right is already dealt by them, so both sides get an
+    exchange of their own, and only then can it split the tasks of the hot key.
+    """
+    names = ["_split0", "_split1"]
+    marks = lambda: [F.xxhash64(*keys), F.xxhash64(F.lit(1), *keys)]
+    r = right.withColumns(dict(zip(names, marks()))).drop(*keys)
+    return left.withColumns(dict(zip(names, marks()))).join(r, names, how).drop(*names)
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of an undirected edge table (a, b) of any one orderable type.
 
@@ -56,9 +73,9 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     for _ in range(max_rounds):
         both = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = split_join(both, low, ["u"]).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x")).select("x.*").filter("u <> v").distinct()
+        small = split_join(large, low, ["u"]).select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x")).select("x.*").filter("u <> v").distinct()
         e = cut(small)
         now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
         if now == mark:

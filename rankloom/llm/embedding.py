@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, cut, table
+from .common import components, cut, split_join, table
 from .minhash import NODE
 from .rolling import mix
 
@@ -119,7 +119,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, block: int = BL
 
     posts = classes.select("node", "v", "apart").mapInArrow(post, f"node {NODE}, bucket long, t int")
     full = posts.groupBy("bucket").agg(F.count("*").alias("m")).filter("m > 1").select("bucket", F.ceil(F.col("m") / block).alias("blocks"))
-    todo = posts.join(full, "bucket").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    todo = split_join(posts, full, ["bucket"]).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")))
     roles = todo.select("node", "t", "bucket", "own", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
     roles = roles.select("node", F.struct(F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other")).alias("unit"), "t", (F.col("own") > F.col("other")).cast("int").alias("side"), (F.col("own") != F.col("other")).cast("int").alias("two")).alias("role"))
     roles = roles.groupBy("node").agg(F.collect_list("role").alias("roles")).join(classes, "node")

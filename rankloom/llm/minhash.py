@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import components, cut, slices, table
+from .common import components, cut, slices, split_join, table
 from .repeats import at_texts, keyed
 from .rolling import BASES, Prefix, Text, mix
 
@@ -140,11 +140,11 @@ def near_duplicates(docs: DataFrame, percent: int = 75, matches: int = MATCHES)
     classes = cut(classes.select(F.struct(F.col("r.d").alias("d"), F.col("s1").alias("s")).alias("node"), "s1", "s2", F.col("r.doc_id").alias("doc_id"), F.col("r.th").alias("th"), "n", "sig"))
     posts = classes.select("node", F.posexplode("sig").alias("i", "v"))
     df = posts.groupBy("i", "v").agg(F.count("*").alias("df")).filter("df > 1")
-    posts = posts.join(df, ["i", "v"])
+    posts = split_join(posts, df, ["i", "v"])
     rank = W.partitionBy("node").orderBy(F.col("df").desc(), "i")
     posts = posts.withColumn("_rank", F.row_number().over(rank)).filter(F.col("_rank") >= matches).select("node", "i", "v")
     least = posts.groupBy("i", "v").agg(F.min("node").alias("a"))
-    stars = posts.join(least, ["i", "v"]).filter("node <> a").select("a", F.col("node").alias("b")).distinct()
+    stars = split_join(posts, least, ["i", "v"]).filter("node <> a").select("a", F.col("node").alias("b")).distinct()
     groups = components(stars)
     size = groups.join(classes.select("node", "n"), "node").groupBy("component").agg(F.count("*").alias("m"), F.sum("n").alias("values"))
     size = size.select("component", F.greatest(F.ceil(F.col("m") / BLOCK_ROWS), F.ceil(F.col("values") / BLOCK_VALUES)).alias("blocks"))
