@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .ranking import settled
 
@@ -30,7 +31,7 @@ def scored(pairs: DataFrame, score: Callable[[list[str], list[str]], np.ndarray]
             parts = [np.asarray(score(f["query"].iloc[i : i + batch].tolist(), f["contents"].iloc[i : i + batch].tolist()), float) for i in range(0, len(f), batch)]
             yield f.assign(model_score=np.concatenate(parts) if parts else np.zeros(0))
 
-    return pairs.mapInPandas(work, pairs.schema.add("model_score", "double"))
+    return pairs.mapInPandas(work, T.StructType(list(pairs.schema)).add("model_score", "double"))
 
 
 def pointwise_prompt(query: Column, document: Column) -> Column:

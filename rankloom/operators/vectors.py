@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .ranking import ranked, settled
 
@@ -60,7 +61,7 @@ def dense(queries: DataFrame, vectors: DataFrame, k: int = 1000, block: int = 40
 
 def encoded(rows: DataFrame, text: str, encode: Callable[[list[str]], np.ndarray], batch: int = 200) -> DataFrame:
     """Add `embedding` by a model that the caller supplies; texts reach it in batches."""
-    schema = rows.schema.add("embedding", "array<float>")
+    schema = T.StructType([*rows.schema, T.StructField("embedding", T.ArrayType(T.FloatType()))])
 
     def work(frames):
         for frame in frames:
