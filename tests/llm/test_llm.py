@@ -1,0 +1,294 @@
+"""The ten operators against brute force, on small tables with nulls, empty, long, equal and repeated rows, and clashing columns."""
+
+import hashlib
+import random
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from rankloom.llm import embedding, langid, minhash, mixing, packing, quality, repeats, rolling, secret_scan, spotsigs, substring, suffix
+from rankloom.llm.common import components, table
+
+SF = "/root/testdata/sf0.01"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, kept boolean, score double, size long, node string, ah long, row string"
+
+
+def words(n, seed):
+    r = random.Random(seed)
+    return ["".join(r.choice("abcdefgh") for _ in range(r.randint(2, 7))) for _ in range(n)]
+
+
+def texts():
+    a = words(150, 1)
+    edited = a[:70] + ["zzz"] + a[71:]
+    return [
+        (0, " ".join(a)), (1, " ".join(a)), (2, " ".join(edited)), (3, " ".join(words(20, 2) + a[20:90] + words(30, 3))), (4, ""), (5, None), (6, "one two Three"), (7, "ONE two three"),
+        (8, "x y " * 150), (9, "é ü ñ " + " ".join(words(60, 4)) + " 漢字 "), (10, " ".join(words(9000, 5))), (11, "\t\n  "), (12, " ".join(words(30, 6) + a[20:70])), (3, " ".join(words(20, 2) + a[20:90] + words(30, 3))), (None, " ".join(a)),
+    ]
+
+
+def docs(spark, rows):
+    langs, sources = ["en", "de", None], ["b", None, "a", "ä"]
+    full = [(d, t, langs[i % 3], sources[i % 4], len(t or ""), True, 0.5, 3, "n", 7, "r") for i, (d, t) in enumerate(rows)]
+    return spark.createDataFrame(full, SCHEMA).repartition(3)
+
+
+@pytest.fixture(scope="module")
+def mixed(spark):
+    return docs(spark, texts())
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return docs(spark, texts()).limit(0)
+
+
+def as_counter(df):
+    return Counter(tuple(r) for r in df.collect())
+
+
+def test_substring(mixed, empty):
+    rows = [(d, (t or "").encode().split()) for d, t in texts()]
+    first = {}
+    for d, w in rows:
+        for s in range(len(w) - 49):
+            if d is not None:
+                k = tuple(w[s : s + 50])
+                first[k] = min(first.get(k, d), d)
+    want = Counter()
+    for d, w in rows:
+        lost = [False] * len(w)
+        for s in range(len(w) - 49):
+            if d is not None and first[tuple(w[s : s + 50])] < d:
+                lost[s : s + 50] = [True] * 50
+        kept = [x for x, y in zip(w, lost) if not y]
+        want[d, len(w), len(w) - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest()] += 1
+    assert as_counter(substring.dedup(mixed)) == want
+    assert substring.dedup(empty).count() == 0
+
+
+@pytest.mark.parametrize("split_at", [2048, 1])
+def test_suffix(mixed, empty, split_at):
+    raw = [(d, (t or "").encode()) for d, t in texts()]
+    seen = Counter(b[s : s + 200] for _, b in raw for s in range(len(b) - 199))
+    want = Counter()
+    for d, b in raw:
+        lost = repeats.covered(len(b), [(s, 200) for s in range(len(b) - 199) if seen[b[s : s + 200]] > 1])
+        kept = bytes(np.frombuffer(b, np.uint8)[~lost])
+        spans = int(np.count_nonzero(np.diff(np.concatenate([[0], lost.astype(np.int8)])) == 1))
+        want[d, len(b), len(b) - len(kept), spans, hashlib.sha256(kept).hexdigest()] += 1
+    assert as_counter(suffix.dedup(mixed, split_at=split_at)) == want
+    if split_at == 1:
+        assert suffix.dedup(empty).count() == 0
+
+
+@pytest.mark.parametrize("n,letters", [(1, 2), (40, 1), (300, 2), (700, 3), (500, 250)])
+def test_suffix_array(n, letters):
+    data = np.random.default_rng(n).integers(0, letters, n).astype(np.uint8)
+    b = data.tobytes()
+    sa = suffix.suffix_array(data)
+    assert sa.tolist() == sorted(range(n), key=lambda i: b[i:])
+    lcp = suffix.kasai(data, sa, 7).tolist()
+    for k in range(1, n):
+        x, y = b[sa[k - 1] :], b[sa[k] :]
+        assert lcp[k] == next((i for i, (p, q) in enumerate(zip(x, y)) if p != q), min(len(x), len(y)))
+
+
+def shingles(t):
+    w = [x.decode().translate({c: c + 32 for c in range(65, 91)}) for x in (t or "").encode().split()]
+    return frozenset(tuple(w[i : i + 5]) for i in range(max(len(w) - 4, 1))) if w else frozenset()
+
+
+def grouped(nodes, linked):
+    up = {x: x for x in nodes}
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a, b in linked:
+        a, b = root(a), root(b)
+        up[max(a, b)] = min(a, b)
+    return {x: root(x) for x in nodes}
+
+
+def test_minhash(mixed, empty, spark):
+    rows = [(d, t) for d, t in texts() if d is not None]
+    sets = {d: shingles(t) for d, t in rows}
+    pairs = [(a, b) for a in sets for b in sets if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]
+    root = grouped(sets, pairs)
+    want = Counter((d, len(sets[d]), root[d], root[d] == d) for d, _ in rows)
+    want[None, len(sets[0]), 0, False] += 1
+    assert as_counter(minhash.near_duplicates(mixed).drop("th")) == want
+    assert minhash.near_duplicates(empty).count() == 0
+
+
+def test_minhash_chain_and_blocks(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "BLOCK_ROWS", 4)
+    w = words(200, 9)
+    rows = [(i, " ".join(w[i * 8 : i * 8 + 100])) for i in range(12)]
+    sets = {d: shingles(t) for d, t in rows}
+    root = grouped(sets, [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])])
+    assert {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(docs(spark, rows)).collect()} == root
+
+
+def test_components(spark):
+    edges = [(i, i + 1) for i in range(30)] + [(100, 101), (101, 102), (7, 7)]
+    got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {**{i: 0 for i in range(31)}, 100: 100, 101: 100, 102: 100}
+
+
+def test_language(spark, empty, mixed):
+    found = langid.op3_language_id(spark, SF).join(table(spark, SF, "documents").select("doc_id", "lang"), "doc_id").filter("held_out").toPandas()
+    assert (found.lang_pred == found.lang).mean() > 0.98 and found.score.between(0, 1).all()
+    model = langid.train(mixed)
+    got = {r["doc_id"]: r for r in langid.predict(mixed, model).collect()}
+    assert got[5]["lang_pred"] == got[4]["lang_pred"] == "und" and got[0]["lang_pred"] == got[1]["lang_pred"] and got[0]["held_out"] == (zlib.crc32(b"0") % 3 == 1)
+    assert langid.predict(empty, langid.train(empty)).count() == 0 and langid.predict(mixed, langid.train(empty)).filter("lang_pred <> 'und'").count() == 0
+
+
+def test_quality(spark, empty, mixed):
+    found = quality.op7_quality(spark, SF).join(table(spark, SF, "labels").select("doc_id", "quality"), "doc_id").filter("held_out").toPandas()
+    assert (found.predicted == found.quality).mean() > 0.9 and found.score.between(0, 1).all()
+    labels = spark.createDataFrame([(0, 1), (0, 0), (None, 1), (6, None)], "doc_id long, quality int")
+    none = quality.score(mixed, quality.train(mixed, labels)).collect()
+    assert len(none) == len(texts()) and {r["score"] for r in none} == {0.5}
+    assert quality.score(empty, quality.train(empty, labels.limit(0))).count() == 0
+
+
+def test_packing(mixed, empty):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    t = Tokenizer.from_file(path)
+    t.encode_special_tokens = True
+    found = packing.pack(mixed, path, 64, with_ids=True).collect()
+    assert len({r["sequence_id"] for r in found}) == len(found) and all(r["length"] & (r["length"] - 1) == 0 and r["length"] <= 64 and r["offset"] == 0 for r in found)
+    pieces = defaultdict(list)
+    for r in found:
+        assert zlib.crc32(r["ids"]) == r["ids_crc32"]
+        pieces[r["doc_id"]].append((r["start"], np.frombuffer(r["ids"], "<u4").tolist(), r["doc_tokens"]))
+    for d, x in texts():
+        ids = t.encode(x or "", add_special_tokens=False).ids + [0]
+        assert all(n == len(ids) for _, _, n in pieces[d])
+        copies = 2 if d == 3 else 1
+        assert sorted((s, p) for s, p, _ in pieces[d]) == sorted(copies * [(s, ids[s : s + n]) for s, n in packing.decompose(len(ids), 64)])
+    assert packing.pack(empty, path).count() == 0
+    odd = ["  a", "a  b c", "a b ", "\n a\n\nb c d e ", "x 'll don't <|endoftext|> y z", " 　a b　 c d e", "a\x1f b c\x1c d e"]
+    assert [x.tolist() for x in packing.Encoder(path)(odd)] == [t.encode(x, add_special_tokens=False).ids for x in odd]
+
+
+def test_mixing(spark, mixed, empty):
+    d = mixing.with_quality(mixed, spark.createDataFrame([(0, 1), (0, 0), (1, 0), (None, 1)], "doc_id long, quality int"))
+    found = mixing.mix(d, F.col("_quality"), F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).collect()
+    assert len(found) == len(texts()) and all(r["taken"] <= 2 * r["size"] for r in found)
+    by = defaultdict(list)
+    for r in found:
+        by[r["source"]].append(r)
+    order = sorted(by, key=lambda s: (s is None, s))
+    size = {s: sum(r["size"] for r in by[s]) for s in order}
+    weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(order)}
+    capped, left = {}, set(order)
+    while True:
+        rest = 1.5 * sum(size.values()) - sum(capped.values())
+        over = [s for s in left if rest * weight[s] / sum(weight[x] for x in left) > 2 * size[s]]
+        if not over:
+            break
+        for s in over:
+            capped[s] = 2 * size[s]
+            left.discard(s)
+    goal = {s: capped.get(s, rest * weight[s] / max(sum(weight[x] for x in left), 1)) for s in order}
+    for s in order:
+        assert all(r["source_size"] == size[s] and abs(r["target"] - goal[s]) < 1e-6 for r in by[s])
+        assert abs(sum(r["taken"] for r in by[s]) - goal[s]) <= max(r["size"] for r in by[s])
+    assert mixing.mix(empty, F.lit(1.0), F.lit(1), F.col("doc_id").cast("string")).count() == 0
+
+
+def test_mixing_follows_weights(spark):
+    d = spark.range(4000).select(F.col("id").alias("doc_id"), F.lit("s").alias("source"), F.when(F.col("id") % 2 == 0, 4.0).otherwise(1.0).alias("w"))
+    got = {r["w"]: r["t"] for r in mixing.mix(d, F.col("w"), F.lit(10), F.col("doc_id").cast("string"), share=0.5).groupBy("w").agg(F.sum("taken").alias("t")).collect()}
+    assert got[4.0] > 1.5 * got[1.0] and abs(sum(got.values()) - 20000) <= 10
+
+
+def test_spotsigs(mixed, empty, spark):
+    found = spotsigs.fingerprints(mixed).collect()
+    rows = sorted(((d, t or "") for d, t in texts() if d is not None), key=lambda x: -x[0])
+    assert len(found) == len(texts())
+    text = dict(rows)
+    order = [d for d, _ in rows]
+    by = {r["doc_id"]: r for r in found}
+    for d in order[:-1]:
+        if d == 3:
+            continue
+        following = text[order[order.index(d) + 1]]
+        t = text[d]
+        k = len(t) // 3
+        assert by[d]["edited_sha256"] == hashlib.sha256((t[: len(t) - k] + following[:k]).encode()).hexdigest() and by[d]["n_chars"] == len(t)
+    assert by[0]["fingerprint"] == by[1]["fingerprint"] and by[4]["fingerprint"] == by[5]["fingerprint"] != by[0]["fingerprint"]
+    assert all(0 <= r[c] <= 1 for r in found for c in ("near_edited", "near_next")) and by[1]["near_next"] == 1.0
+    assert spotsigs.fingerprints(empty).count() == 0
+    same = spark.createDataFrame([(1, "the cat sat down to eat of fish and a bird was in tree"), (2, "the cat sat down to eat of fish and a bird was in tree"), (3, "of mice and men the story was long")], "doc_id long, text string")
+    prints = same.select("doc_id", spotsigs.spots(F.col("text")).alias("spots"))
+    assert spotsigs.candidates(prints).count() == 0
+    w = ["the " + x for x in words(60, 3)]
+    near = spark.createDataFrame([(1, " ".join(w)), (2, " ".join(w[:-1] + ["the end"])), (3, " ".join("the " + x for x in words(60, 8)))], "doc_id long, text string")
+    assert [(r["a"], r["b"]) for r in spotsigs.candidates(near.select("doc_id", spotsigs.spots(F.col("text")).alias("spots"))).collect()] == [(1, 2)]
+
+
+def test_secrets(spark, empty):
+    trees = secret_scan.train(spark)
+    key = "AKIA" + "Q7ZTWMK3XN5RJB2P"
+    rows = [
+        (1, f"here is {key} in prose"), (2, 'set token = "0641917ea4e9feb9cda83477b57ac2654884f485" and go'), (3, "call 4795326016703902 now"), (4, None), (5, ""),
+        (6, "Donaudampfschifffahrtsgesellschaft and nothing else"), (7, f"{key} {key}"), (8, "-----BEGIN RSA PRIVATE KEY-----\nMIIEow+/=\n-----END RSA PRIVATE KEY----- x"), (9, "plain prose " * 3000),
+    ]
+    got = {r["doc_id"]: r for r in secret_scan.scan(docs(spark, rows), trees).collect()}
+    secret = {d: sum(s >= 0.5 for s in r["_scores"] or []) for d, r in got.items()}
+    assert secret == {1: 1, 2: 1, 3: 0, 4: 0, 5: 0, 6: 0, 7: 2, 8: 1, 9: 0}
+    assert got[1]["_redacted"] == "here is [SECRET] in prose" and got[7]["_redacted"] == "[SECRET] [SECRET]" and got[4]["_redacted"] is None and got[6]["_redacted"] == rows[5][1]
+    held = secret_scan.labelled_findings(20, 77)
+    t = spark.createDataFrame([(i, h["v"], h["b"], h["a"]) for i, h in enumerate(held)], "i int, v string, b string, a string").selectExpr("i", "struct(v, b, a) as c").selectExpr("i", f"{secret_scan.features('c')} as f")
+    wrong = sum((np.mean([leaf(x, r["f"]) for x in trees]) >= 0.5) != bool(held[r["i"]]["y"]) for r in t.collect())
+    assert wrong <= len(held) // 50
+    assert secret_scan.scan(empty, trees).count() == 0
+
+
+def leaf(tree, f):
+    while not isinstance(tree, float):
+        tree = tree[2] if f[tree[0]] <= tree[1] else tree[3]
+    return tree
+
+
+@pytest.mark.parametrize("block", [1024, 5])
+def test_embedding(spark, block):
+    rng = np.random.default_rng(4)
+    base = rng.standard_normal((12, 16))
+    rows = [(i, (base[i % 12] + 0.1 * rng.standard_normal(16)).tolist(), int(i % 3)) for i in range(60)]
+    rows += [(60 + i, rows[0][1], 0) for i in range(25)]  # exact copies
+    rows += [(90, None, 1), (91, [0.0] * 16, 1), (92, [float("nan")] + [1.0] * 15, 1), (93, [None] + [1.0] * 15, 1), (94, rows[1][1], None), (95, rows[1][1][:8], 1), (96, [], 1), (97, [float("inf")] * 16, 0)]
+    df = spark.createDataFrame([(*r, "x", 1) for r in rows], "vec_id long, embedding array<double>, label int, node string, n_links int")
+    good = {i: (np.array(v) / np.linalg.norm(v), y) for i, v, y in rows if v and y is not None and None not in v and np.isfinite(v).all() and np.any(v)}
+    linked = [(a, b) for a in good for b in good if a < b and good[a][1] == good[b][1] and len(good[a][0]) == len(good[b][0]) and good[a][0] @ good[b][0] >= 0.93]
+    n = Counter(x for p in linked for x in p)
+    root = grouped([r[0] for r in rows], linked)
+    want = {i: (n[i], root[i], root[i] == i) for i, _, _ in rows}
+    assert {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in embedding.near_duplicates(df, block=block).collect()} == want
+    assert embedding.near_duplicates(df.limit(0)).count() == 0
+
+
+def test_cells_do_not_depend_on_the_batch():
+    x = embedding.unit_vectors(np.random.default_rng(1).standard_normal((50, 64)))
+    assert np.array_equal(embedding.cells(x), np.concatenate([embedding.cells(x[i : i + 1]) for i in range(50)]))
+
+
+def test_rolling():
+    t = rolling.Text(["b a  c b a", None, "a"])
+    w = t.words()
+    h = w.hashes().tolist()
+    assert h[0] == h[3] and h[1] == h[4] == h[5] and len(set(h)) == 3 and w.first.tolist() == [0, 5, 5] and w.last.tolist() == [5, 5, 6]
+    assert rolling.sliding_argmin(np.array([3, 1, 2, 1, 5]), 3).tolist() == [1, 1, 3]
