@@ -6,6 +6,7 @@ from .embedding import op10_embedding
 from .langid import op3_language_id
 from .minhash import op2_minhash
 from .mixing import OP8_SQL, op8_mixing
+from .oracles import OP1_SQL, OP2_SQL, OP4_SQL, OP10_SQL
 from .packing import op6_packing
 from .quality import op7_quality
 from .secret_scan import op9_secret_scan
@@ -25,4 +26,10 @@ QUERIES = {
     "op9_secret_scan": op9_secret_scan,
     "op10_embedding": op10_embedding,
 }
-ORACLE_SQL = {"op8_mixing": OP8_SQL}
+ORACLE_SQL = {
+    "op1_substring": OP1_SQL,
+    "op2_minhash": OP2_SQL,
+    "op4_suffix_array": OP4_SQL,
+    "op8_mixing": OP8_SQL,
+    "op10_embedding": OP10_SQL,
+}
