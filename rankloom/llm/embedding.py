@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import components, cut, split_join, table
-from .minhash import NODE
+from .minhash import LAST, NODE
 from .rolling import mix
 
 #: Tables, projections of one table, and the width of a projection's cells for vectors of length one. A pair at cosine
@@ -16,7 +16,7 @@ from .rolling import mix
 #: by all 40 tables 6 times in 10,000; closer pairs are missed less.
 TABLES, PROJECTIONS, WIDTH = 40, 8, 1.5
 BLOCK = 1024
-LAST = (1 << 63) - 1
+
 
 
 def unit_vectors(x: np.ndarray) -> np.ndarray:

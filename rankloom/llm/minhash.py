@@ -20,6 +20,8 @@ SHINGLE, BLOCK_ROWS, BLOCK_VALUES = 5, 512, 1 << 20
 _rng = np.random.default_rng(1729)
 FACTORS = _rng.integers(0, 1 << 63, COORDINATES * JOINED, np.uint64) * np.uint64(2) + np.uint64(1)
 ADDENDS = _rng.integers(0, 1 << 63, COORDINATES * JOINED, np.uint64)
+#: Stands for a null doc_id, which comes after all others.
+LAST = (1 << 63) - 1
 NODE = "struct<d:long,s:long>"
 
 
@@ -135,8 +137,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, matches: int = MATCHES)
     """
     base = keyed(docs)
     every = cut(signed(base))
-    last = (1 << 63) - 1
-    classes = every.filter("s1 is not null").groupBy("s1", "s2").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(last)).alias("d"), "doc_id", "th")).alias("r"), F.first("n").alias("n"), F.first("sig").alias("sig"))
+    classes = every.filter("s1 is not null").groupBy("s1", "s2").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(LAST)).alias("d"), "doc_id", "th")).alias("r"), F.first("n").alias("n"), F.first("sig").alias("sig"))
     classes = cut(classes.select(F.struct(F.col("r.d").alias("d"), F.col("s1").alias("s")).alias("node"), "s1", "s2", F.col("r.doc_id").alias("doc_id"), F.col("r.th").alias("th"), "n", "sig"))
     posts = classes.select("node", F.posexplode("sig").alias("i", "v"))
     df = posts.groupBy("i", "v").agg(F.count("*").alias("df")).filter("df > 1")
@@ -189,7 +190,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, matches: int = MATCHES)
     joined = components(links)
     ids = classes.join(joined, "node", "left").select("s1", "s2", F.coalesce(F.col("component.d"), F.col("node.d")).alias("component_id"))
     out = every.select("doc_id", "th", "n", "s1", "s2").join(ids, ["s1", "s2"], "left")
-    component = F.when(F.col("s1").isNull(), F.col("doc_id")).otherwise(F.when(F.col("component_id") == last, F.when(F.col("doc_id") == last, F.lit(last))).otherwise(F.col("component_id")))
+    component = F.when(F.col("s1").isNull(), F.col("doc_id")).otherwise(F.when(F.col("component_id") == LAST, F.when(F.col("doc_id") == LAST, F.lit(LAST))).otherwise(F.col("component_id")))
     return out.select("doc_id", "th", F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 

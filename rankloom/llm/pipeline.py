@@ -17,11 +17,12 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """MinHash near-dedup: of each group the document of the least doc_id stays; of equal rows one."""
-    keyed = docs.withColumns({"_id": F.col("doc_id").cast("long"), "_th": F.xxhash64("text")})
-    kept = minhash.near_duplicates(docs).filter("kept").groupBy("doc_id", "th").agg(F.min("n_shingles").alias("_n")).withColumnsRenamed({"doc_id": "_kept_id", "th": "_kept_th"})
-    out = keyed.join(kept, F.col("_id").eqNullSafe(F.col("_kept_id")) & F.col("_th").eqNullSafe(F.col("_kept_th")), "left_semi")
-    return out.select(*docs.columns)
+    """MinHash near-dedup: of each group the document of the least doc_id stays (null counts as the largest); of equal rows one."""
+    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(minhash.LAST))
+    keyed = docs.select(F.struct(*docs.columns).alias("row"), key.alias("_id"), F.xxhash64("text").alias("_th"))
+    kept = minhash.near_duplicates(docs).filter("kept").select(key.alias("_id"), F.col("th").alias("_th"))
+    # both sides are dealt by the keys for the join, so that dropping repeated rows needs no further exchange
+    return keyed.join(kept, ["_id", "_th"], "left_semi").dropDuplicates(["_id", "_th"]).select("row.*")
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

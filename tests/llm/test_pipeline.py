@@ -24,6 +24,13 @@ def test_stages(spark, tmp_path):
     assert all(r["sum(length)"] % r["max(doc_tokens)"] == 0 for r in whole) and packing.PIECES.split()[0] in seen[5].columns
 
 
+def test_repeated_rows(spark):
+    rows = [(1, "a b c d e f", "en", "s", 11), (1, "a b c d e f", "en", "s", 11), (2, "a b c d e f", "en", "s", 11), (None, "g h i j k", "en", "s", 9), (None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.STAGES[1][1](spark, docs, SF).collect()
+    assert sorted((str(r["doc_id"]), str(r["text"])) for r in got) == [("1", "a b c d e f"), ("None", "None"), ("None", "g h i j k")]
+
+
 def test_empty(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
