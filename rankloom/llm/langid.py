@@ -164,7 +164,7 @@ def train(learnable: DataFrame, per_language: int = PER_LANGUAGE, epochs: int =
         for i in fit:
             ftrl.learn(*data[i])
     weights = ftrl.weights()
-    logits = np.array([data[i][1] @ weights[data[i][0]] for i in held]).reshape(len(held), -1)
+    logits = np.array([data[i][1] @ weights[data[i][0]] for i in held]).reshape(len(held), len(languages))
     return Model(languages, idf, weights.astype(np.float32), temperature(logits, np.array([data[i][2] for i in held], int)))
 
 
