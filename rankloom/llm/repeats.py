@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, slices
+from .common import cut, slices, split_join
 from .rolling import BASES, BYTES, Prefix, Text, mix, sliding_argmin
 
 ANCHORS = "doc_id long, th long, ah long, g1 long, g2 long, lo int, n int"
@@ -76,7 +76,7 @@ def repeated(base: DataFrame, words: bool, part: int, window: int) -> DataFrame:
     """The segments whose anchor is met more than once, written to the checkpoint folder."""
     a = anchors(base, words, part, window)
     more = a.groupBy("ah").agg(F.count("*").alias("_m")).filter("_m > 1").select("ah")
-    return cut(a.join(more, "ah"))
+    return cut(split_join(a, more, ["ah"]))
 
 
 def per_text(rows: DataFrame, *columns: str) -> DataFrame:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, slices, table
+from .common import cut, slices, split_join, table
 from .repeats import Units, at_texts, covered, keyed, repeated
 
 
@@ -52,9 +52,9 @@ def dedup(docs: DataFrame, window: int = 50, with_text: bool = False) -> DataFra
     # not cut here: within one plan the texts are exchanged once for all three uses
     windows = split.mapInArrow(extend, "w1 long, w2 long, ah long, g1 long, g2 long, doc_id long, step int")
     least = windows.groupBy("w1", "w2").agg(F.min("doc_id").alias("_least"), F.max("doc_id").alias("_most")).filter("_least < _most").drop("_most")
-    gone = windows.join(least, ["w1", "w2"]).filter("doc_id > _least").groupBy("ah", "g1", "g2").agg(F.collect_set("step").alias("steps"))
+    gone = split_join(windows, least, ["w1", "w2"]).filter("doc_id > _least").groupBy("ah", "g1", "g2").agg(F.collect_set("step").alias("steps"))
     by_content = contents.select("ah", "g1", "g2", F.col("doc_id").alias("_first")).join(gone, ["ah", "g1", "g2"], "left")
-    spans = s.join(by_content, ["ah", "g1", "g2"]).withColumn("_cut", F.when(F.col("doc_id") > F.col("_first"), F.array(F.struct(F.col("lo").alias("lo"), (F.col("n") + window - 1).alias("n")))).otherwise(F.transform("steps", lambda x: F.struct((F.col("lo") + x).alias("lo"), F.lit(window).alias("n")))))
+    spans = split_join(s, by_content, ["ah", "g1", "g2"]).withColumn("_cut", F.when(F.col("doc_id") > F.col("_first"), F.array(F.struct(F.col("lo").alias("lo"), (F.col("n") + window - 1).alias("n")))).otherwise(F.transform("steps", lambda x: F.struct((F.col("lo") + x).alias("lo"), F.lit(window).alias("n")))))
     spans = spans.select("doc_id", "th", F.explode("_cut").alias("x")).select("doc_id", "th", "x.lo", "x.n")
 
     def finish(batches):

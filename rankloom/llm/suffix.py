@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, slices, table
+from .common import cut, slices, split_join, table
 from .repeats import Units, at_texts, covered, keyed, repeated
 from .rolling import BASES, BYTES, Prefix
 
@@ -251,7 +251,8 @@ def dedup(docs: DataFrame, length: int = 200, part: int = 32, shard_bytes: int =
     dealt = solved.repartition(F.when(F.col("kind") == 0, F.xxhash64("ah", "g1", "g2")).otherwise(F.col("w1"))).sortWithinPartitions(F.col("kind") > 0, "w1")
     runs = dealt.mapInArrow(across, "ah long, g1 long, g2 long, step long, n long")
     runs = runs.groupBy("ah", "g1", "g2").agg(F.collect_list(F.struct("step", (F.col("n") + length - 1).alias("n"))).alias("runs"))
-    spans = s.select("doc_id", "th", "ah", "g1", "g2", "lo").join(runs, ["ah", "g1", "g2"]).select("doc_id", "th", F.explode("runs").alias("x"), "lo")
+    spans = s.select("doc_id", "th", "ah", "g1", "g2", "lo")
+    spans = split_join(spans, runs, ["ah", "g1", "g2"]).select("doc_id", "th", F.explode("runs").alias("x"), "lo")
     spans = spans.select("doc_id", "th", (F.col("lo") + F.col("x.step")).alias("lo"), F.col("x.n").alias("n"))
 
     def finish(batches):
