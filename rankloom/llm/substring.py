@@ -34,7 +34,7 @@ def dedup(docs: DataFrame, window: int = 50, with_text: bool = False) -> DataFra
 
     def extend(batches):
         for whole in batches:
-            for batch in slices(whole, 2, 2 << 20):
+            for batch in slices(whole, 2):
                 u = Units(batch.column(2).to_pylist(), True)
                 rows = batch.column(3)
                 counts = rows.value_lengths().to_numpy(zero_copy_only=False)
@@ -48,7 +48,7 @@ def dedup(docs: DataFrame, window: int = 50, with_text: bool = False) -> DataFra
                 w1, w2 = u.hashes(at, at + window)
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in (w1, w2, ah[seg], g1[seg], g2[seg])] + [batch.column(0).take(pa.array(which[seg])), pa.array(step.astype(np.int32))], names=["w1", "w2", "ah", "g1", "g2", "doc_id", "step"])
 
-    split = at_texts(base, contents.join(several, "ah"), "inner", "lo", "n", "ah", "g1", "g2")
+    split = at_texts(base, split_join(contents, several, ["ah"]), "inner", "lo", "n", "ah", "g1", "g2")
     # not cut here: within one plan the texts are exchanged once for all three uses
     windows = split.mapInArrow(extend, "w1 long, w2 long, ah long, g1 long, g2 long, doc_id long, step int")
     least = windows.groupBy("w1", "w2").agg(F.min("doc_id").alias("_least"), F.max("doc_id").alias("_most")).filter("_least < _most").drop("_most")
