@@ -69,7 +69,7 @@ def suffix_array(data: np.ndarray) -> np.ndarray:
     return sa
 
 
-def kasai(data: np.ndarray, sa: np.ndarray, lanes: int = 2048) -> np.ndarray:
+def kasai(data: np.ndarray, sa: np.ndarray, lanes: int = 16384) -> np.ndarray:
     """lcp[k] of suffixes sa[k - 1] and sa[k] (lcp[0] = 0). Kasai's walk in text order, where the common prefix falls by
     one at most from place to place, done in many stretches of the text at once and eight bytes at a time."""
     n = len(sa)
@@ -243,7 +243,7 @@ def dedup(docs: DataFrame, length: int = 200, part: int = 32, shard_bytes: int =
                 content = [raw[w][a : a + k + length - 1] for w, a, k in zip(which, lo, n)]
                 yield pa.RecordBatch.from_arrays([own.field(c) for c in ("ah", "c", "chunk", "g1", "g2", "copies", "n")] + [pa.array(content, pa.binary())], names=["ah", "c", "chunk", "g1", "g2", "copies", "n", "content"])
 
-    contents = contents.join(several, "ah").withColumn("chunk", F.pmod("g2", F.ceil(F.col("c") / split_at)))
+    contents = split_join(contents, several, ["ah"]).withColumn("chunk", F.pmod("g2", F.ceil(F.col("c") / split_at)))
     cuttings = at_texts(base, contents, "inner", "lo", "n", "ah", "c", "chunk", "g1", "g2", "copies").mapInArrow(extract, "ah long, c long, chunk long, g1 long, g2 long, copies long, n int, content binary")
     cuttings = cuttings.repartition("ah", "chunk").sortWithinPartitions("ah", "chunk")
     solved = cuttings.mapInArrow(lambda it: shard(it, length, shard_bytes, split_at), "kind long, ah long, g1 long, g2 long, step long, n long, chunk long, w1 long, w2 long")
