@@ -127,7 +127,7 @@ def pack(docs: DataFrame, tokenizer_path: str, longest: int = 1024, end_id: int
         task = TaskContext.get()
         sequence = (task.partitionId() if task else 0) << 38
         for whole in batches:
-            for batch in slices(whole, 1):
+            for batch in slices(whole, 1, 3 << 19):
                 rows: list[tuple] = []
                 ids_out: list[bytes] = []
                 for doc, ids in zip(batch.column(0).to_pylist(), encode(batch.column(1).to_pylist())):
