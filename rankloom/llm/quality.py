@@ -80,18 +80,24 @@ def train(learnable: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -
     ids = sampled(marked, "_y", per_label, "_id")
     rows = learnable.select(F.col("doc_id").cast("long").alias("_doc"), "text").join(F.broadcast(ids), F.col("_doc") == F.col("_id")).select("_doc", "_y", "text")
 
-    def work(batches):
+    def describe(batches):
         for whole in batches:
             for batch in slices(whole, 2):
                 found = features(batch.column(2).to_pylist())
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([a.tolist() for a, _ in found], pa.list_(pa.int32())), pa.array([n.tolist() for _, n in found], pa.list_(pa.int32()))], names=["doc", "y", "at", "n"])
-
-    got = rows.mapInArrow(work, "doc long, y int, at array<int>, n array<int>").toArrow().sort_by("doc")
-    y = got.column("y").to_pylist()
-    if len(set(y)) < 2:
-        return np.zeros(BUCKETS + 1)
-    data = [(at.values.to_numpy(), n.values.to_numpy(), label) for at, n, label in zip(got.column("at"), got.column("n"), y)]
-    return fit(data)
+                # the bucket that every text has comes last, and is added again in learn
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([a[:-1].astype("<u2").tobytes() for a, _ in found], pa.binary()), pa.array([n[:-1].astype("<u4").tobytes() for _, n in found], pa.binary())], names=["doc", "y", "at", "n"])
+
+    def learn(batches):
+        rows = sorted((r for batch in batches for r in zip(*(c.to_pylist() for c in batch.columns))), key=lambda r: r[:2])
+        model = np.zeros(BUCKETS + 1)
+        if len({r[1] for r in rows}) == 2:
+            model = fit([(np.append(np.frombuffer(at, "<u2").astype(np.int64), BUCKETS), np.append(np.frombuffer(n, "<u4"), 1), y) for _, y, at, n in rows])
+        yield pa.RecordBatch.from_arrays([pa.array([model.tobytes()], pa.binary())], names=["model"])
+
+    # the sample is bounded, so that one task can hold it; the driver gets the model alone
+    sample = rows.mapInArrow(describe, "doc long, y int, at binary, n binary").repartition(1)
+    model = sample.mapInArrow(learn, "model binary").first()  # none where Spark has seen that there are no rows
+    return np.frombuffer(model["model"], np.float64) if model else np.zeros(BUCKETS + 1)
 
 
 def score(docs: DataFrame, model: np.ndarray, keep: list | None = None) -> DataFrame:
