@@ -13,9 +13,10 @@ from pyspark.sql import functions as F
 from .common import table
 
 #: What may be a secret: a private key block, a value assigned to a telling name, or a long token with a digit in it.
+#: The long look-behind is tried only after =, : and quotes, which are rare.
 CANDIDATE = (
     r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----[A-Za-z0-9+/=\s]*(?:-----END [A-Z ]{0,20}PRIVATE KEY-----)?"
-    r"""|(?<=(?i:password|passwd|pwd|secret|token|api_key|apikey)\s{0,2}[=:]\s{0,2}["']?)[^\s"']{8,}"""
+    r"""|(?<=[=:"']|[=:]\s)(?<=(?i:password|passwd|pwd|secret|token|api_key|apikey)\s?[=:]\s?["']?)[^\s"']{8,}"""
     r"|(?<![A-Za-z0-9+/_\-])(?=[A-Za-z+/_\-]*[0-9])[A-Za-z0-9+/_\-]{12,}={0,2}"
 )
 REPLACEMENT = "[SECRET]"
