@@ -15,7 +15,8 @@ from ..operators.ranking import normalized, ranked, settled
 from ..sources import passages, trec, turns
 from . import experiments
 
-DEPTH = 50
+#: Passages a list in the short queries, and in those that end in _1000: the reference's depth.
+DEPTH, FULL = 50, 1000
 QUERIES: dict = {}
 SQL: dict = {}
 
@@ -55,8 +56,8 @@ def runs(spark, d, n=3, k=DEPTH):
     return experiments.retrieve(three_queries(spark, d), corpus(spark, d), experiments.Config(list(range(n)), k=k))
 
 
-def unit_runs(spark, d, n=3):
-    return normalized(runs(spark, d, n), "min-max", ["list_id", "qid"])
+def unit_runs(spark, d, n=3, k=DEPTH):
+    return normalized(runs(spark, d, n, k), "min-max", ["list_id", "qid"])
 
 
 def one_run(spark, d, k=DEPTH):
@@ -220,13 +221,13 @@ def top_p(spark, d):
 
 
 @query(f"WITH {UNIT} SELECT list_id, qid, docid, rank, round(score, 6) AS score FROM unit")
-def norm_minmax(spark, d):
-    return unit_runs(spark, d).select("list_id", "qid", "docid", "rank", settled(F.col("score")).alias("score"))
+def norm_minmax(spark, d, k=DEPTH):
+    return unit_runs(spark, d, k=k).select("list_id", "qid", "docid", "rank", settled(F.col("score")).alias("score"))
 
 
 @query(f"WITH {BASE} SELECT list_id, qid, docid, rank, round(coalesce(score / nullif(max(score) OVER (PARTITION BY list_id, qid), 0), 0), 6) AS score FROM runs")
-def norm_max(spark, d):
-    return normalized(runs(spark, d), "max", ["list_id", "qid"]).select("list_id", "qid", "docid", "rank", settled(F.col("score")).alias("score"))
+def norm_max(spark, d, k=DEPTH):
+    return normalized(runs(spark, d, k=k), "max", ["list_id", "qid"]).select("list_id", "qid", "docid", "rank", settled(F.col("score")).alias("score"))
 
 
 def pair_sql(a: str, b: str, alpha: float, k: int = DEPTH) -> str:
@@ -239,14 +240,14 @@ THREE = ", ".join(f"l{i} AS (SELECT qid, docid, score, rank FROM unit WHERE list
 
 
 @query(f"WITH {UNIT}, {THREE}, f AS ({pair_sql('l0', 'l1', 0.1)}) SELECT * FROM f")
-def fuse_linear_weighted(spark, d):
-    r = unit_runs(spark, d, 2)
-    return fusion.linear_weighted(r.filter("list_id = 0"), r.filter("list_id = 1"), 0.1, DEPTH)
+def fuse_linear_weighted(spark, d, k=DEPTH):
+    r = unit_runs(spark, d, 2, k)
+    return fusion.linear_weighted(r.filter("list_id = 0"), r.filter("list_id = 1"), 0.1, k)
 
 
 @query(f"WITH {UNIT}, {THREE}, f AS ({pair_sql('l0', 'l1', 0.1)}), g AS ({pair_sql('f', 'l2', 0.4)}) SELECT * FROM g")
-def fuse_linear_fold3(spark, d):
-    return experiments.fuse(runs(spark, d), experiments.Config([0, 1, 2], "linear_weighted_score", weights=[0.1, 0.4], k=DEPTH))
+def fuse_linear_fold3(spark, d, k=DEPTH):
+    return experiments.fuse(runs(spark, d, k=k), experiments.Config([0, 1, 2], "linear_weighted_score", weights=[0.1, 0.4], k=k))
 
 
 def combination_sql(weights: str, runs_: str = "unit") -> str:
@@ -257,15 +258,15 @@ def combination_sql(weights: str, runs_: str = "unit") -> str:
 
 
 @query(f"WITH {UNIT}, w AS (SELECT qid, l.list_id, l.weight FROM items, (VALUES (0, 1.0::DOUBLE), (1, 0.5::DOUBLE), (2, 0.25::DOUBLE)) l(list_id, weight)), f AS ({combination_sql('w')}) SELECT * FROM f")
-def fuse_linear_comb(spark, d):
-    r = unit_runs(spark, d)
-    return fusion.linear_combination(r, fusion.same_weights(r, [1.0, 0.5, 0.25]), DEPTH)
+def fuse_linear_comb(spark, d, k=DEPTH):
+    r = unit_runs(spark, d, k=k)
+    return fusion.linear_combination(r, fusion.same_weights(r, [1.0, 0.5, 0.25]), k)
 
 
 @query(f"""WITH {UNIT}, {LEVELS}, w AS (SELECT qid, 0 AS list_id, 1.0::DOUBLE AS weight FROM levels UNION ALL SELECT qid, 1, 0.1::DOUBLE FROM levels
   UNION ALL SELECT qid, 2, CASE level WHEN 'a' THEN 0.4::DOUBLE WHEN 'b' THEN 0.5::DOUBLE ELSE 0.6::DOUBLE END FROM levels), f AS ({combination_sql('w')}) SELECT * FROM f""")
-def fuse_per_level(spark, d):
-    return experiments.fuse(runs(spark, d), experiments.Config([0, 1, 2], "per_query", k=DEPTH), levels(spark, d))
+def fuse_per_level(spark, d, k=DEPTH):
+    return experiments.fuse(runs(spark, d, k=k), experiments.Config([0, 1, 2], "per_query", k=k), levels(spark, d))
 
 
 @query(f"""WITH {ITEMS}, {LEVELS}, n AS (SELECT qid, level, instr('abcd', level) AS p FROM levels)
@@ -279,13 +280,13 @@ def level_weighting(spark, d):
 
 
 @query(f"WITH {BASE}, f AS (" + rank_sql("SELECT qid, docid, round(sum(1.0e0 / (60 + rank)), 6) AS score FROM runs GROUP BY ALL", DEPTH) + ") SELECT * FROM f")
-def fuse_rrf(spark, d):
-    return fusion.reciprocal_rank(runs(spark, d), DEPTH)
+def fuse_rrf(spark, d, k=DEPTH):
+    return fusion.reciprocal_rank(runs(spark, d, k=k), k)
 
 
 @query(f"WITH {BASE}, f AS (" + rank_sql("SELECT qid, docid, score, list_id AS first_list, rank AS first_rank FROM runs QUALIFY row_number() OVER (PARTITION BY qid, docid ORDER BY list_id, rank) = 1").replace("AS rank FROM", "AS new_rank FROM") + ") SELECT qid, docid, score, first_list, first_rank, new_rank AS rank FROM f")
-def fuse_concat(spark, d):
-    return fusion.concatenation(runs(spark, d))
+def fuse_concat(spark, d, k=DEPTH):
+    return fusion.concatenation(runs(spark, d, k=k))
 
 
 def robin_sql(k: int) -> str:
@@ -303,8 +304,8 @@ def fuse_round_robin(spark, d):
 
 
 @query(robin_sql(1000))
-def fuse_round_robin_short(spark, d):
-    return fusion.round_robin(runs(spark, d), 3, 1000)
+def fuse_round_robin_short(spark, d, k=DEPTH):
+    return fusion.round_robin(runs(spark, d, k=k), 3, 1000)
 
 
 # ---- tuning ----
@@ -343,15 +344,15 @@ TUNE = f"{UNIT}, {QRELS}, {IDEAL}, {LEVELS}, {GROUPS}, {TRIALS}, {PAIR_TRIALS},
 
 
 @query(f"WITH {TUNE}, {objective_sql('cells', 'trials', 3, 'everyone')} SELECT grp, trial, w, objective FROM obj")
-def tune_global(spark, d):
+def tune_global(spark, d, k=DEPTH):
     everyone = items(spark, d).select("qid", F.lit("all").alias("grp"))
-    return tuning.supervised(unit_runs(spark, d), qrels(spark, d), everyone, 3, tuning.grid(3, STEPS))
+    return tuning.supervised(unit_runs(spark, d, k=k), qrels(spark, d), everyone, 3, tuning.grid(3, STEPS))
 
 
 @query(f"WITH {TUNE}, {objective_sql('cells', 'trials', 3, 'groups')} SELECT grp, trial, w, objective FROM best")
-def tune_by_level(spark, d):
+def tune_by_level(spark, d, k=DEPTH):
     groups = levels(spark, d).withColumnRenamed("level", "grp")
-    return tuning.best(tuning.supervised(unit_runs(spark, d), qrels(spark, d), groups, 3, tuning.grid(3, STEPS)), ["grp"])
+    return tuning.best(tuning.supervised(unit_runs(spark, d, k=k), qrels(spark, d), groups, 3, tuning.grid(3, STEPS)), ["grp"])
 
 
 @query(f"""WITH {TUNE}, pair AS (SELECT * FROM unit WHERE list_id < 2), {cells_sql('pair', 2, 'pair_cells')}, {objective_sql('pair_cells', 'pair_trials', 2, 'everyone', 'a_')},
@@ -361,8 +362,8 @@ two AS (SELECT 0 AS list_id, qid, docid, score, rank FROM af UNION ALL SELECT 1,
 {cells_sql('two', 2, 'two_cells')}, {objective_sql('two_cells', 'pair_trials', 2, 'groups', 'b_')},
 bw AS (SELECT qid, 0 AS list_id, w[1] AS weight FROM groups JOIN b_best USING (grp) UNION ALL SELECT qid, 1, w[2] FROM groups JOIN b_best USING (grp)),
 f AS ({combination_sql('bw', 'two')}) SELECT * FROM f""")
-def tune_2plus1(spark, d):
-    return experiments.fuse(runs(spark, d), experiments.Config([0, 1, 2], "per_query", tuning="2+1", steps=STEPS, k=DEPTH), levels(spark, d), qrels(spark, d))
+def tune_2plus1(spark, d, k=DEPTH):
+    return experiments.fuse(runs(spark, d, k=k), experiments.Config([0, 1, 2], "per_query", tuning="2+1", steps=STEPS, k=k), levels(spark, d), qrels(spark, d))
 
 
 @query(f"""WITH {TUNE}, low AS (SELECT qid, list_id, min(score) AS least FROM unit GROUP BY ALL),
@@ -371,9 +372,9 @@ full_cells AS (SELECT c.qid, c.docid, [""" + ", ".join(f"coalesce(max(score) FIL
 r AS ({rank_sql('SELECT trial, w, qid, docid, round(s[1] * w[1] + s[2] * w[2] + s[3] * w[3], 6) AS score FROM full_cells CROSS JOIN trials', 100, 'trial, qid')}),
 obj AS (SELECT grp, trial, any_value(w) AS w, round(sum(score), 6) AS objective FROM r JOIN groups USING (qid) GROUP BY grp, trial)
 SELECT grp, trial, w, objective FROM obj QUALIFY row_number() OVER (PARTITION BY grp ORDER BY objective DESC, trial) = 1""")
-def tune_retrieval_score(spark, d):
+def tune_retrieval_score(spark, d, k=DEPTH):
     groups = levels(spark, d).withColumnRenamed("level", "grp")
-    return tuning.best(tuning.by_score(unit_runs(spark, d), groups, 3, tuning.grid(3, STEPS)), ["grp"])
+    return tuning.best(tuning.by_score(unit_runs(spark, d, k=k), groups, 3, tuning.grid(3, STEPS)), ["grp"])
 
 
 # ---- measures ----
@@ -392,34 +393,34 @@ m AS (SELECT qid, num_rel, round(coalesce(ap / nullif(num_rel, 0), 0), 6) AS map
 
 
 @query(f"WITH {PER_QUERY} SELECT * FROM m")
-def metrics_per_query(spark, d):
-    return metrics.per_query(one_run(spark, d), qrels(spark, d))
+def metrics_per_query(spark, d, k=DEPTH):
+    return metrics.per_query(one_run(spark, d, k), qrels(spark, d))
 
 
 MEANS = ", ".join(f"round(avg({x}), 6) AS {x}" for x in ["num_rel", *MEASURES])
 
 
 @query(f"WITH {PER_QUERY} SELECT count(*) AS n_queries, {MEANS} FROM m")
-def metrics_mean(spark, d):
-    return metrics.mean(metrics.per_query(one_run(spark, d), qrels(spark, d)))
+def metrics_mean(spark, d, k=DEPTH):
+    return metrics.mean(metrics.per_query(one_run(spark, d, k), qrels(spark, d)))
 
 
 @query(f"WITH {PER_QUERY}, {LEVELS} SELECT level, count(*) AS n_queries, round(avg(map), 6) AS map, round(avg(ndcg_cut_3), 6) AS ndcg_cut_3 FROM m JOIN levels USING (qid) GROUP BY level")
-def metrics_by_level(spark, d):
-    per = metrics.per_query(one_run(spark, d), qrels(spark, d)).join(levels(spark, d), "qid")
+def metrics_by_level(spark, d, k=DEPTH):
+    per = metrics.per_query(one_run(spark, d, k), qrels(spark, d)).join(levels(spark, d), "qid")
     return metrics.mean(per.select("qid", "level", "map", "ndcg_cut_3"), ("level",))
 
 
 @query(f"WITH {PER_QUERY}, x AS (SELECT {MEANS} FROM m) SELECT printf('%.1f & %.1f & %.1f', map * 100, ndcg * 100, recip_rank * 100) AS latex FROM x")
-def latex_row(spark, d):
-    return metrics.mean(metrics.per_query(one_run(spark, d), qrels(spark, d))).select(text.latex_row([F.col("map"), F.col("ndcg"), F.col("recip_rank")]).alias("latex"))
+def latex_row(spark, d, k=DEPTH):
+    return metrics.mean(metrics.per_query(one_run(spark, d, k), qrels(spark, d))).select(text.latex_row([F.col("map"), F.col("ndcg"), F.col("recip_rank")]).alias("latex"))
 
 
 @query(f"""WITH {BASE}, {QRELS}, g AS (SELECT qid, coalesce(min(r.rank - 1), 1000) AS place FROM (SELECT * FROM qrels WHERE rel > 0) q LEFT JOIN (SELECT * FROM runs WHERE list_id = 0) r USING (qid, docid) GROUP BY qid)
 SELECT count(*) AS n_queries, {', '.join(f'round(100 * avg((place < {c})::INT::DOUBLE), 2) AS r_{c}' for c in (1, 3, 5, 10, 20, 30, 50, 100))},
   round(100 * avg(CASE WHEN place < 1000 THEN 1.0e0 / (place + 1) ELSE 0 END), 2) AS mrr, round(100 * avg(CASE WHEN place < 1000 THEN 1.0e0 / log2(place + 2.0e0) ELSE 0 END), 2) AS ndcg FROM g""")
-def legacy_hit_rates(spark, d):
-    return metrics.hit_rates(one_run(spark, d), qrels(spark, d).filter("rel > 0").select("qid", "docid"))
+def legacy_hit_rates(spark, d, k=DEPTH):
+    return metrics.hit_rates(one_run(spark, d, k), qrels(spark, d).filter("rel > 0").select("qid", "docid"))
 
 
 # ---- conversations ----
@@ -571,9 +572,9 @@ OVERLAP = f"""{BASE}, sc AS (SELECT r.qid, r.docid, r.rank, round(len(list_inter
 
 @query(f"""WITH {OVERLAP}, n AS (SELECT qid, docid, CASE WHEN rank <= 20 THEN row_number() OVER (PARTITION BY qid, rank <= 20 ORDER BY CASE WHEN rank <= 20 THEN ms END DESC, rank) ELSE rank END::INT AS rank FROM sc)
 SELECT qid, docid, round(1.0e0 / rank, 6) AS score, rank FROM n""")
-def rerank_rescore(spark, d):
+def rerank_rescore(spark, d, k=DEPTH):
     words = corpus(spark, d).select("docid", F.col("words").alias("dw"))
-    r = one_run(spark, d).join(items(spark, d).select("qid", "words"), "qid").join(words, "docid")
+    r = one_run(spark, d, k).join(items(spark, d).select("qid", "words"), "qid").join(words, "docid")
     return rerank.rescored(r.withColumn("model_score", rerank.overlap(F.col("words"), F.col("dw"))), "model_score", 20)
 
 
@@ -649,3 +650,20 @@ def submission_nest(spark, d):
 def param_grid(spark, d):
     config = {"iterate": {"model": ["BM25", "dense"], "list": ["rw", "rwrs", "raw"]}, "param_mapping": {"model": {"BM25": {"k": 1000, "feedback": "yes"}}}, "fixed": {"k": 500, "feedback": "no"}}
     return spark.createDataFrame(experiments.combinations(config), "model string, list string, k int, feedback string")
+
+
+# ---- measures, fusion and tuning over whole runs ----
+
+
+def whole(name: str) -> None:
+    """Register name_1000: the query and its SQL over lists of FULL passages."""
+    f = QUERIES[name]
+    QUERIES[f"{name}_{FULL}"] = lambda spark, d: f(spark, d, k=FULL)
+    SQL[f"{name}_{FULL}"] = SQL[name].replace(f"WHERE rank <= {DEPTH})", f"WHERE rank <= {FULL})")
+
+
+WHOLE = """norm_minmax norm_max fuse_linear_weighted fuse_linear_fold3 fuse_linear_comb fuse_per_level fuse_rrf fuse_concat fuse_round_robin_short
+tune_global tune_by_level tune_2plus1 tune_retrieval_score metrics_per_query metrics_mean metrics_by_level latex_row legacy_hit_rates
+rerank_rescore"""
+for _name in WHOLE.split():
+    whole(_name)

@@ -45,3 +45,14 @@ def test_contract(spark):
 def test_listwise(spark):
     rows = catalog.listwise_rerank(spark, DATA).collect()
     assert len({(r["qid"], r["docid"]) for r in rows}) == len(rows) > 0
+
+
+def test_whole_runs(spark):
+    """Runs of depth 1000 find what a run of 50 cannot reach; the SQL of the short queries stays as it is."""
+    deep = {r["qid"]: r for r in catalog.QUERIES["metrics_per_query_1000"](spark, DATA).collect()}
+    short = {r["qid"]: r for r in catalog.QUERIES["metrics_per_query"](spark, DATA).collect()}
+    assert all(r["recall_1000"] >= r["recall_50"] == short[q]["recall_50"] for q, r in deep.items())
+    assert any(r["recall_1000"] > r["recall_50"] for r in deep.values())
+    for name in catalog.WHOLE.split():
+        assert f"WHERE rank <= {catalog.DEPTH})" not in catalog.SQL[f"{name}_1000"] and f"WHERE rank <= {catalog.DEPTH})" in catalog.SQL[name]
+    spark.catalog.clearCache()
