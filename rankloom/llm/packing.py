@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 import zlib
 
 import numpy as np
@@ -26,18 +27,23 @@ def byte_of_char() -> dict[str, int]:
 
 
 class Encoder:
-    """Token ids of a byte-level BPE file; special strings in a text are plain text.
+    """Token ids of a byte-level BPE file. With added, its added tokens are found in a text, the leftmost and of these the
+    longest first, as tokenizers does by default; without, such strings are plain text.
 
     A space between two characters that are no white space always starts a token, so a text may be cut before such
     spaces and the stretches encoded apart. Equal stretches of a batch are found by hash and encoded once.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, added: bool = False):
         import tiktoken
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        special = {x["content"] for x in spec.get("added_tokens", [])}
+        special = {x["content"]: x["id"] for x in spec.get("added_tokens", [])}
+        if added and any(x.get(k) for x in spec.get("added_tokens", []) for k in ("single_word", "lstrip", "rstrip")):
+            raise ValueError(f"{path}: added tokens that take white space or whole words only")
+        self.added = special if added else {}
+        self.split = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")")
         back = byte_of_char()
         ranks = {bytes(back[c] for c in word): i for word, i in spec["model"]["vocab"].items() if word not in special}
         self.bpe = tiktoken.Encoding("packing", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
@@ -60,7 +66,15 @@ class Encoder:
         return at[~wide]
 
     def __call__(self, texts: list[str | None]) -> list[np.ndarray]:
-        """Ids of each text. The first and the last stretch of a text are encoded directly, those between by what is equal."""
+        """Ids of each text."""
+        if not any(x in t for t in texts if t for x in self.added):
+            return self.plain(texts)
+        parts = [self.split.split(t or "") for t in texts]  # added tokens are at the odd places
+        ids = iter(self.plain([x for p in parts for x in p[::2]]))
+        return [np.concatenate([np.array([self.added[x]], np.uint32) if i % 2 else next(ids) for i, x in enumerate(p)]) for p in parts]
+
+    def plain(self, texts: list[str | None]) -> list[np.ndarray]:
+        """Ids of each text without added tokens. The first and the last stretch of a text are encoded directly, those between by what is equal."""
         t = Text(texts)
         cuts = self.cuts(t.buf)
         low, high = np.searchsorted(cuts, t.begin), np.searchsorted(cuts, t.end)
@@ -114,6 +128,7 @@ def pack(docs: DataFrame, tokenizer_path: str, longest: int = 1024, end_id: int
 
     Reads doc_id and text of docs (other columns are ignored) and gives one row per piece; with_ids adds the piece's
     ids as bytes of little-endian uint32. Equal lengths form a bucket: group or sort by `length` to batch them.
+    Added tokens of the file that stand in a text become their ids.
     A null or empty text is the end id alone; null or repeated doc_ids are packed like others; no rows give no rows.
     sequence_id is the scan partition's number and a count within it, so that reruns over the same files agree.
     There is no shuffle, and a lost task is simply run again.
@@ -123,7 +138,7 @@ def pack(docs: DataFrame, tokenizer_path: str, longest: int = 1024, end_id: int
     tail = int(end_id).to_bytes(4, "little")
 
     def work(batches):
-        encode = _encoders.get(tokenizer_path) or _encoders.setdefault(tokenizer_path, Encoder(tokenizer_path))
+        encode = _encoders.get(tokenizer_path) or _encoders.setdefault(tokenizer_path, Encoder(tokenizer_path, added=True))
         task = TaskContext.get()
         sequence = (task.partitionId() if task else 0) << 38
         for whole in batches:

@@ -183,6 +183,20 @@ def test_packing(mixed, empty):
     assert [x.tolist() for x in packing.Encoder(path)(odd)] == [t.encode(x, add_special_tokens=False).ids for x in odd]
 
 
+def test_packing_added_tokens(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    t = Tokenizer.from_file(path)
+    odd = ["one <|endoftext|> two", "<|endoftext|>", "<|endoftext|><|endoftext|> a", "a  <|endoftext|>\n\nb c d e <|endoftext|", "x<|endoftext|>'s y", "no such token", ""]
+    assert [x.tolist() for x in packing.Encoder(path, added=True)(odd)] == [t.encode(x, add_special_tokens=False).ids for x in odd]
+    found = packing.pack(docs(spark, list(enumerate([*odd, None]))), path, 64, with_ids=True).collect()
+    for d, x in enumerate([*odd, None]):
+        ids = [i for r in sorted((r for r in found if r["doc_id"] == d), key=lambda r: r["start"]) for i in np.frombuffer(r["ids"], "<u4").tolist()]
+        assert ids == t.encode(x or "", add_special_tokens=False).ids + [0]
+
+
 def test_mixing(spark, mixed, empty):
     d = mixing.with_quality(mixed, spark.createDataFrame([(0, 1), (0, 0), (1, 0), (None, 1)], "doc_id long, quality int"))
     found = mixing.mix(d, F.col("_quality"), F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).collect()
