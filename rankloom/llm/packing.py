@@ -16,6 +16,9 @@ from .rolling import BASES, BYTES, Prefix, Text
 
 #: Fixed value: the pattern by which byte-level BPE of this vocabulary splits text before its merges.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: What \s of the pattern matches, two or more; and the length in bytes from which such a run is encoded apart.
+WHITE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{2,}")
+LONG = 1 << 16
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 _encoders: dict[str, Encoder] = {}
 
@@ -52,7 +55,19 @@ class Encoder:
             self.n_bytes[i] = len(word)
 
     def ids(self, data: bytes) -> np.ndarray:
-        return self.bpe.encode_to_numpy(data.decode())
+        """A long run of white space, less its last character where more follows, is one piece of the pattern, whose
+        backtracking would not survive it; so it is encoded as a piece, and the text around it apart."""
+        text = data.decode()
+        if len(data) < LONG:
+            return self.bpe.encode_to_numpy(text)
+        out, at = [], 0
+        for run in WHITE.finditer(text):
+            begin, end = run.start(), run.end() - (run.end() < len(text))
+            if end - begin >= LONG // 4:
+                piece = self.bpe._core_bpe.encode_single_piece(text[begin:end].encode())
+                out += [self.bpe.encode_to_numpy(text[at:begin]), np.array(piece, np.uint32)]
+                at = end
+        return np.concatenate([*out, self.bpe.encode_to_numpy(text[at:])])
 
     @staticmethod
     def cuts(buf: np.ndarray) -> np.ndarray:

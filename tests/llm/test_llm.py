@@ -197,6 +197,21 @@ def test_packing_added_tokens(spark):
         assert ids == t.encode(x or "", add_special_tokens=False).ids + [0]
 
 
+def test_packing_long_white_space(monkeypatch):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    t = Tokenizer.from_file(path)
+    encode = packing.Encoder(path, added=True)
+    same = lambda odd: [x.tolist() for x in encode(odd)] == [t.encode(x, add_special_tokens=False).ids for x in odd]
+    assert same(["a" + " " * 2_000_000 + "b", "c d e" + "\n\u3000 " * 700_000 + "f g <|endoftext|>" + "\t" * 2_000_000])
+    monkeypatch.setattr(packing, "LONG", 8)
+    parts = ["a", "bc'll", "1", "<|endoftext|>", "\x1f", "é", " ", "  ", "   ", "\n\n", "\r\n\t", "\xa0 ", "\u3000\u2003 ", "\x85\x85"]
+    r = random.Random(3)
+    assert same(["".join(r.choice(parts) for _ in range(r.randint(1, 30))) for _ in range(3000)])
+
+
 def test_mixing(spark, mixed, empty):
     d = mixing.with_quality(mixed, spark.createDataFrame([(0, 1), (0, 0), (1, 0), (None, 1)], "doc_id long, quality int"))
     found = mixing.mix(d, F.col("_quality"), F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).collect()
