@@ -12,11 +12,24 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-#: What may be a secret: a private key block, a value assigned to a telling name, or a long token with a digit in it.
-#: The long look-behind is tried only after =, : and quotes, which are rare.
+#: Telling names, by their ends: client_secret and aws_secret_access_key are among them.
+NAMES = (
+    r"(?i:pass|password|passwd|passphrase|passcode|pwd|secret|token|credentials?|auth|passwort|kennwort|contraseña|contrasena|mot de passe"
+    r"|(?:api|access|private|secret|auth|account|encryption|signing|signature|shared|master)[_\-. ]?key)"
+)
+#: A telling name, quoted or not, and what assigns a value to it; white space is free.
+ASSIGN = NAMES + r"""["']?\s{0,8}(?:=>|:=|[=:])\s{0,8}["']?"""
+BEARER, URL = r"(?i:bearer|basic)\s{1,4}", r"://[^\s:/@]{0,64}:"
+PREFIXES = "AKIA|ASIA|gh[opusr]_|glpat-|[srp]k_(?:live|test)|sk-|xox[abeprs]-|AIza|eyJ|-----BEGIN"
+#: What may be a secret: a private key block, a password in a URL, a value assigned to a telling name or sent as a bearer,
+#: a token of a known prefix, or a long token with a digit in it. The gate is loose; the forest rejects.
+#: The long look-behinds are tried only after =, :, quotes and white space that follows one of the first three or a scheme's name.
 CANDIDATE = (
     r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----[A-Za-z0-9+/=\s]*(?:-----END [A-Z ]{0,20}PRIVATE KEY-----)?"
-    r"""|(?<=[=:"']|[=:]\s)(?<=(?i:password|passwd|pwd|secret|token|api_key|apikey)\s?[=:]\s?["']?)[^\s"']{8,}"""
+    rf"""|(?<=:)(?<={URL})[^\s/@"']{{1,200}}(?=@)"""
+    rf"""|(?<=[=:>"'\s])(?<=[=:>]\s{{0,8}}["']?)(?<={ASSIGN})(?!{BEARER})[^\s"']{{4,}}"""
+    rf"""|(?<=\s)(?<={BEARER})[A-Za-z0-9+/_\-.~]{{12,}}={{0,2}}"""
+    rf"""|(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{{12,}}|(?<![A-Za-z0-9])(?:gh[opusr]_|glpat-|[srp]k_(?:live|test)|sk-|xox[abeprs]-|AIza|eyJ)[A-Za-z0-9+/_\-.]{{12,}}={{0,2}}"""
     r"|(?<![A-Za-z0-9+/_\-])(?=[A-Za-z+/_\-]*[0-9])[A-Za-z0-9+/_\-]{12,}={0,2}"
 )
 REPLACEMENT = "[SECRET]"
@@ -28,10 +41,9 @@ DICTIONARY = (
     "janu febr march april june july august sept octo nove dece monday friday update final draft copy backup project service server client public static "
     "ation ing tion ment ness able ible heit keit ung lich sch ein ver cion mente ado eau eux oir"
 ).split()
-CUES = "password passwd pwd secret token apikey api_key key auth credential credentials private bearer login access".split()
+CUES = "password passwd pwd secret token apikey api_key key auth credential credentials private bearer login access passphrase authorization passwort kennwort".split()
 AGAINST = "example sample test dummy placeholder commit sha sha1 sha256 md5 checksum hash uuid guid version release build isbn order invoice phone card tracking image file path rev revision".split()
-PREFIXES = "AKIA|ASIA|ghp_|gho_|glpat-|sk_live|sk-|xox[abp]-|AIza|eyJ|-----BEGIN"
-FEATURES = 14
+FEATURES = 15
 TREES, DEPTH, FINDINGS = 25, 6, 150
 
 
@@ -41,6 +53,7 @@ def features(c: str) -> str:
     count = lambda what, pattern: f"regexp_count({what}, '{pattern}')"
     near = f"lower(concat({c}.b, ' ', {c}.a))"
     word = lambda words: f"(?<![a-z0-9])({'|'.join(words)})(?![a-z])"
+    quoted = lambda p: "'" + p.replace("\\", "\\\\").replace("'", "\\'") + "'"
     turns = "(?<=[a-z])(?=[A-Z0-9])|(?<=[A-Z])(?=[a-z0-9])|(?<=[0-9])(?=[A-Za-z])|(?<=[A-Za-z0-9])(?=[^A-Za-z0-9])"
     items = [
         f"least(length({v}), 200)",
@@ -55,8 +68,9 @@ def features(c: str) -> str:
         f"{count(v, '[/._-]')} + {count(f'right({c}.b, 1)', '[/.@]')} * 2 + {count(f'left({c}.a, 1)', '[/.@]')} * 2",
         f"{count(near, word(CUES))}",
         f"{count(near, word(AGAINST))} + {count(f'lower({v})', 'example|sample|your|dummy|placeholder|changeme')}",
-        f"cast({c}.b rlike '[=:]\\\\s{{0,2}}[\"\\']?$' as int)",
+        f"cast({c}.b rlike '[=:>]\\\\s{{0,8}}[\"\\']?$' as int)",
         f"cast({v} rlike '^(?:{PREFIXES})' as int) - {count(v, '(.)\\\\1{4,}')} - {count(v, '1234|abcd')}",
+        f"cast({c}.b rlike {quoted(ASSIGN + '$')} as int) + 2 * cast({c}.b rlike {quoted(BEARER + '$')} or ({c}.b rlike {quoted(URL + '$')} and {c}.a like '@%') as int)",
     ]
     return "array(" + ", ".join(f"cast({x} as double)" for x in items) + ")"
 
@@ -69,6 +83,10 @@ def labelled_findings(each: int = FINDINGS, seed: int = 9) -> list[dict]:
     fill = lambda n: " ".join(pick(low, r.randint(2, 8)) for _ in range(n))
     some = lambda *x: r.choice(x)
     words = lambda n, sep: sep.join(r.choice([w for w in DICTIONARY if len(w) > 3]) for _ in range(n))
+    spell = lambda k: "".join(r.choice("bcdfghjklmnprstvw") + r.choice("aeiou") + some("", "n", "r", "s") for _ in range(k))
+    telling = lambda: some("password", "passwd", "pwd", "secret", "token", "api_key", "api-key", "aws_secret_access_key", "client_secret", "passphrase", "Password", "auth_token")
+    assigned = lambda: " " + some('{"%s": "', "%s=", "%s: ", "%s:  ", '%s = "', "%s => '", "'%s': '") % telling()
+    password = lambda: some(str, str.capitalize)(spell(some(2, 3))) + some("", pick("!$%&*#?_-", 1)) + pick(dig, some(1, 2, 3, 4)) + some("", pick("!$%&*#?", 1))
     true = [
         lambda: (some("AKIA", "ASIA") + pick(up + "234567", 16), fill(5) + " ", " " + fill(2)),
         lambda: (some("ghp_", "gho_", "sk_live", "xoxb-", "AIza") + pick(low + up + dig, r.randint(24, 40)), fill(4) + " ", " " + fill(2)),
@@ -77,6 +95,12 @@ def labelled_findings(each: int = FINDINGS, seed: int = 9) -> list[dict]:
         lambda: (pick(low + up + dig + "+/", some(24, 32, 40)) + pick(dig, 1) + some("", "=", "=="), fill(3) + " " + some("key", "secret", "auth", "bearer", "access") + some(" ", "=", ": "), " " + fill(2)),
         lambda: (pick(low + up + dig, 6) + pick("!$%&*#?", 2) + pick(dig, 3), fill(3) + " " + some("password", "pwd") + some("=", ": "), " " + fill(2)),
         lambda: (pick(low + up + dig, r.randint(32, 48)), fill(4) + " ", " " + fill(2)),
+        lambda: (some("ghp_", "gho_", "sk_live_", "xoxb-", "AIza", "glpat-") + pick(low + up, r.randint(16, 40)), fill(4) + " ", " " + fill(2)),
+        lambda: (password(), fill(3) + assigned(), some('"', "'", "") + some(" ", "}", ", ") + fill(2)),
+        lambda: (some(words(1, ""), pick(low, r.randint(4, 8)), spell(2)) + pick(dig, some(1, 1, 2, 3)), fill(some(0, 3)) + assigned(), some('"', "'", "") + some(" ", "}", ", ") + fill(2)),
+        lambda: (pick(low + up, r.randint(12, 40)), fill(3) + assigned(), some('"', "'", "") + " " + fill(2)),
+        lambda: (pick(low + up + some("", dig), r.randint(14, 40)), fill(3) + some(" ", " Authorization: ", ' "Authorization": "') + some("Bearer ", "bearer ", "Basic "), some('"', "") + " " + fill(2)),
+        lambda: (some(password(), pick(low + dig, r.randint(6, 12)), pick(low + up + dig, 20)), fill(3) + " " + some("postgres", "mysql", "https", "redis", "amqp") + "://" + pick(low, some(0, 3, 6)) + ":", "@" + pick(low, 6) + some(".com/", ":5432/") + fill(1)),
     ]
     false = [
         lambda: (pick(dig, r.randint(12, 19)), fill(3) + " " + some("", "order ", "phone ", "card "), " " + fill(2)),
@@ -89,6 +113,10 @@ def labelled_findings(each: int = FINDINGS, seed: int = 9) -> list[dict]:
         lambda: (some("x", "0", "*", "a") * r.randint(10, 30) + "1234", fill(3) + " " + some("password", "token", "key") + some("=", " ", ": "), " " + fill(2)),
         lambda: (pick(low, r.randint(8, 14)) + pick(dig, some(1, 2)) + pick(low, some(0, 3)), fill(4) + " ", some(" ", ". ", "@") + fill(2)),
         lambda: (pick(up, r.randint(9, 14)) + pick(dig, some(1, 3)), fill(4) + " " + some("version ", "isbn ", "build ", ""), " " + fill(2)),
+        lambda: (some(spell(some(2, 3, 4)), words(1, ""), pick(low, r.randint(4, 9))) + some("", "", ".", ",", ";"), fill(3) + assigned(), some('"', "'", "") + some(" ", ", ") + fill(2)),
+        lambda: (some("None", "null", "true", "false", "undefined", "string", "required", "${PASSWORD}", "$TOKEN", "<password>", "********", "process.env.TOKEN", "os.environ[", "getPassword()", "config.secret", "{{token}}"), fill(3) + assigned(), some('"', "'", "") + some(" ", ", ") + fill(2)),
+        lambda: (spell(r.randint(5, 7)), fill(3) + some(" bearer ", " basic ", " Basic "), some(" ", ". ") + fill(2)),
+        lambda: (some("sk-", "eyJ", "sk-") + words(some(3, 4), "-") , fill(4) + " ", some(" ", ".", ", ") + fill(2)),
     ]
     out = []
     for y, kinds in ((1, true), (0, false)):
