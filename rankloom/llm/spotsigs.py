@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -27,20 +30,23 @@ def let(value: Column, body) -> Column:
 
 def spots(text: Column, anchors: list[str] = ANCHORS, chain: int = CHAIN) -> Column:
     """Sorted distinct 32-bit signatures, as hex, of a text. Common words are replaced by a mark on the content word that
-    follows; each marked word opens a chain. A text without a mark has a chain at every word, and one without a word
-    the signature of the text itself."""
+    follows; each marked word opens a chain, and so does every word with no mark on it or on the chain - 1 words before it,
+    which no marked chain holds. What opens a chain depends on these few words only, so one more common word changes
+    the chains around it and no others. A text without a word has the signature of the text itself."""
     words = "|".join(sorted(set(anchors)))
     marked = F.regexp_replace(F.lower(text), rf"(?<![\p{{L}}\p{{N}}])(?:{words})(?![\p{{L}}\p{{N}}])[^\p{{L}}\p{{N}}]*", MARK)
     pieces = F.filter(F.split(marked, rf"[^\p{{L}}\p{{N}}{MARK}]+"), lambda w: F.length(F.translate(w, MARK, "")) > 0)
 
     def chains(w: Column) -> Column:
         plain = F.transform(w, lambda x: F.translate(x, MARK, ""))
-        opens = F.exists(w, lambda x: x.startswith(MARK))
+        marked_ = lambda r, k: r[f"w{k}"].startswith(MARK)
 
         def signed(p: Column) -> Column:
-            rows = F.arrays_zip(w.alias("w"), *(F.slice(p, k + 1, F.greatest(F.size(p) - k, F.lit(0))).alias(f"c{k}") for k in range(chain)))
+            before = (F.concat(F.array_repeat(F.lit(""), k), w).alias(f"w{k}") for k in range(chain))
+            rows = F.arrays_zip(*before, *(F.slice(p, k + 1, F.greatest(F.size(p) - k, F.lit(0))).alias(f"c{k}") for k in range(chain)))
             field = [f"c{k}" for k in range(chain)]
-            return let(opens, lambda o: F.transform(F.filter(rows, lambda r: ~o | r["w"].startswith(MARK)), lambda r: F.lpad(F.lower(F.hex(F.hash(*(F.coalesce(r[f], F.lit("")) for f in field)).bitwiseAND(0xFFFFFFFF))), 8, "0")))
+            near = lambda r: reduce(or_, (marked_(r, k) for k in range(1, chain)), F.lit(False))
+            return F.transform(F.filter(rows, lambda r: r["w0"].isNotNull() & (marked_(r, 0) | ~near(r))), lambda r: F.lpad(F.lower(F.hex(F.hash(*(F.coalesce(r[f], F.lit("")) for f in field)).bitwiseAND(0xFFFFFFFF))), 8, "0"))
 
         return let(plain, signed)
 

@@ -269,6 +269,20 @@ def test_spotsigs(mixed, empty, spark):
     assert [(r["a"], r["b"]) for r in spotsigs.candidates(near.select("doc_id", spotsigs.spots(F.col("text")).alias("spots"))).collect()] == [(1, 2)]
 
 
+def test_spots_do_not_depend_on_far_anchors(spark):
+    w = [f"q{x}q" for x in words(90, 21)]
+    rare = " ".join(w[:45] + ["the"] + w[45:])
+    rows = [(3, " ".join(w)), (2, "the end of it " * 30), (1, " ".join(f"q{x}q" for x in words(60, 22))), (0, rare)]
+    by = {r["doc_id"]: r for r in spotsigs.fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    # two thirds of a text without anchors stay, and the rest comes with many: the shared chains count
+    assert by[3]["near_edited"] > 0.4
+    t = spark.createDataFrame(rows, "doc_id long, text string").select("doc_id", spotsigs.spots(F.col("text")).alias("s"))
+    s = {r["doc_id"]: r["s"] for r in t.collect()}
+    assert len(set(s[3]) & set(s[0])) >= 85 and len(s[3]) == 90
+    # the marked word opens a chain, and the two after it do not
+    assert len(s[0]) == 88
+
+
 def test_secrets(spark, empty):
     trees = secret_scan.train(spark)
     key = "AKIA" + "Q7ZTWMK3XN5RJB2P"
