@@ -611,6 +611,26 @@ def jsonl_to_tsv(spark, d):
     return passages.jsonl_to_tsv(passages.to_jsonl(j)).select(F.substring(out[0], F.lit(2), F.length(out[0])).cast("long").alias("doc_id"), out[2].alias("url"), F.col("value").alias("line"))
 
 
+@query(r"""WITH t AS (SELECT doc_id, coalesce(source, '') AS source, 'p' || doc_id || chr(9) || coalesce(text, '') AS l FROM documents),
+f AS (SELECT CASE doc_id % 4 WHEN 0 THEN l || chr(9) || 'http://u' WHEN 1 THEN l || chr(9) || source || chr(9) || 'http://u' WHEN 2 THEN l ELSE l || chr(9) || 'ftp://u' END AS l FROM t),
+l AS (SELECT string_split(u, chr(9)) AS p FROM (SELECT unnest(string_split_regex(l, '\r\n|\r|\n')) AS u FROM f))
+SELECT p[1] AS docid, CASE WHEN ok THEN array_to_string(p[2:len(p) - 1], '    ') END AS contents, CASE WHEN ok THEN p[len(p)] END AS url, ok FROM (SELECT p, len(p) >= 3 AND starts_with(p[len(p)], 'http') AS ok FROM l)""")
+def tsv_repair_text(spark, d):
+    """Whole texts as a file of lines gives them: a text with line breaks is several lines."""
+    m, tab = F.pmod("doc_id", F.lit(4)), F.lit("\t")
+    line = F.concat(F.lit("p"), F.col("doc_id").cast("string"), tab, F.coalesce("text", F.lit("")))
+    line = F.when(m == 0, F.concat(line, F.lit("\thttp://u"))).when(m == 1, F.concat(line, tab, F.coalesce("source", F.lit("")), F.lit("\thttp://u"))).when(m == 2, line).otherwise(F.concat(line, F.lit("\tftp://u")))
+    return passages.repaired_tsv(read(spark, d, "documents").select(F.explode(F.split(line, "\r\n|\r|\n")).alias("value")))
+
+
+@query(r"""SELECT doc_id, 'http://example.com/d' || doc_id AS url, 'd' || doc_id || chr(9) || CASE WHEN regexp_matches(t, '[\t"\r\n]') THEN '"' || replace(t, '"', '""') || '"' ELSE t END || chr(9) || 'http://example.com/d' || doc_id AS line
+FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)""")
+def jsonl_to_tsv_text(spark, d):
+    j = read(spark, d, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("docid"), F.col("text").alias("contents"))
+    out = F.split("value", "\t")
+    return passages.jsonl_to_tsv(passages.to_jsonl(j)).select(F.substring(out[0], F.lit(2), F.length(out[0])).cast("long").alias("doc_id"), F.element_at(out, -1).alias("url"), F.col("value").alias("line"))
+
+
 @query("SELECT doc_id, replace('q_' || (doc_id % 7) || '_1', '_', '-') || ' 0 doc_' || doc_id || ' ' || quality AS line, replace('q_' || (doc_id % 7) || '_1', '_', '-') AS qid, 'doc_' || doc_id AS docid, quality::INT AS rel FROM labels")
 def qrel_normalize(spark, d):
     line = F.concat(F.lit("q_"), F.pmod("doc_id", F.lit(7)).cast("string"), F.lit("_1 0 doc_"), F.col("doc_id").cast("string"), F.lit(" "), F.col("quality").cast("string"))

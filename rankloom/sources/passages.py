@@ -28,11 +28,16 @@ def to_jsonl(passages: DataFrame) -> DataFrame:
     return passages.select(F.to_json(F.struct(F.col("docid").alias("id"), "contents")).alias("value"))
 
 
+def csv_field(c):
+    """A field as csv writers give it: with a tab, a quote or a line break in it, quoted and its quotes doubled."""
+    return F.when(c.rlike("[\t\"\r\n]"), F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(c)
+
+
 def jsonl_to_tsv(lines: DataFrame) -> DataFrame:
-    """`id <tab> contents <tab> url` with a made-up url; missing keys are empty."""
+    """`id <tab> contents <tab> url` with a made-up url; missing keys are empty, and fields are quoted where they must be."""
     j = F.from_json("value", "id string, contents string")
     docid = F.coalesce(j["id"], F.lit(""))
-    return lines.select(F.concat_ws("\t", docid, F.coalesce(j["contents"], F.lit("")), F.concat(F.lit("http://example.com/"), docid)).alias("value"))
+    return lines.select(F.concat_ws("\t", *map(csv_field, (docid, F.coalesce(j["contents"], F.lit("")), F.concat(F.lit("http://example.com/"), docid)))).alias("value"))
 
 
 def collection(rows: DataFrame) -> DataFrame:

@@ -199,3 +199,14 @@ def test_presets(spark, name):
     if c.lists == [0, 2]:
         r = r.filter("list_id <> 1").withColumn("list_id", (F.col("list_id") / 2).cast("int"))
     assert experiments.fuse(r, c, levels, qrels).count() == 3
+
+
+def test_jsonl_to_tsv_quotes_as_csv_writers_do(spark):
+    import csv
+    import io
+
+    rows = [("1", "plain"), ("2", 'say "hi"'), ("3", "a\tb"), ("4", "a\nb\r\nc"), ("5", ""), ("6", " é ")]
+    got = passages.jsonl_to_tsv(passages.to_jsonl(spark.createDataFrame(rows, "docid string, contents string"))).collect()
+    for (i, t), r in zip(rows, got):
+        csv.writer(out := io.StringIO(newline=""), delimiter="\t").writerow([i, t, f"http://example.com/{i}"])
+        assert r["value"] + "\r\n" == out.getvalue()
