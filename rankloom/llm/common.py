@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.storage import shared_folder
+
 #: The white space that separates words everywhere in this folder.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -17,18 +20,37 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """Where checkpoints go: what the cluster names in spark.checkpoint.dir; a temporary folder only where that is unset."""
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="rankloom-checkpoint-"))
-    return sc._jsc.sc().getCheckpointDir().get()
+class Scratch:
+    """Intermediate tables of one operator: compressed parquet in the shared folder, so that a lost executor costs no
+    recomputation. drop() deletes a table once what was made from it is durable; all go at the application's end."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.folder = f"{shared_folder(spark)}/rankloom-{uuid.uuid4().hex}"
+        self.path = spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+        self.fs = self.path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+        self.fs.mkdirs(self.path)
+        self.fs.deleteOnExit(self.path)
+        self.paths: dict[int, str] = {}
 
+    def cut(self, df: DataFrame) -> DataFrame:
+        """Write df and go on from what was written."""
+        path = f"{self.folder}/{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(out)] = path
+        out._kept = self.paths  # its id stays its own as long as it lives
+        return out
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write df to the shared checkpoint folder and go on from there, so that a lost executor costs no recomputation."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    def drop(self, *tables: DataFrame | None) -> None:
+        for t in tables:
+            if t is not None and (path := self.paths.pop(id(t), None)):
+                self.fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(path), True)
+
+    def close(self) -> None:
+        """Delete all tables; nothing made from them may be computed later."""
+        self.paths.clear()
+        self.fs.delete(self.path, True)
 
 
 def crc_of_id(column: str = "doc_id"):
@@ -61,25 +83,83 @@ def split_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "i
     return left.withColumns(dict(zip(names, marks()))).join(r, names, how).drop(*names)
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """Connected components of an undirected edge table (a, b) of any one orderable type.
-
-    Returns (node, component) for every node that has an edge, component being the least node reachable.
-    Alternates the large-star and small-star steps until the edges no longer change; a node with very many
-    neighbours is met only by aggregates with map-side combining and by joins that can be split.
+#: What edges join: an id and what tells rows of equal ids apart.
+NODE = "struct<d:long,s:long>"
+
+
+def spanning(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
+    """For each of n rows the least row it is connected with by pairs (i, j)."""
+    up = np.arange(n)
+    while True:
+        new = up.copy()
+        np.minimum.at(new, i, up[j])
+        np.minimum.at(new, j, up[i])
+        new = new[new]
+        if np.array_equal(new, up):
+            return up
+        up = new
+
+
+def stars(x: np.ndarray) -> np.ndarray:
+    """Rows (a.d, a.s, b.d, b.s), edges -> rows (node, least node of its component), for all nodes but the least ones."""
+    both = np.concatenate([x[:, :2], x[:, 2:]])
+    order = np.lexsort((both[:, 1], both[:, 0]))
+    new = np.concatenate([[True], (np.diff(both[order], axis=0) != 0).any(1)])
+    no = np.empty(len(both), np.int64)
+    no[order] = np.cumsum(new) - 1
+    nodes = both[order[new]]
+    root = spanning(no[: len(x)], no[len(x) :], len(nodes))
+    at = np.flatnonzero(root != np.arange(len(nodes)))
+    return np.concatenate([nodes[at], nodes[root[at]]], 1)
+
+
+def contracted(batches, most: int = 1 << 20):
+    """The edges of one task as stars; a task's memory holds one edge for each of its nodes and `most` more."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(np.stack([batch.column(c).field(k).to_numpy() for c in (0, 1) for k in (0, 1)], 1))
+        size += len(held[-1])
+        if size > most:
+            held = [stars(np.concatenate(held))]
+            size = 0
+    x = stars(np.concatenate(held)) if held else np.zeros((0, 4), np.int64)
+    node = lambda k: pa.StructArray.from_arrays([pa.array(x[:, k]), pa.array(x[:, k + 1])], ["d", "s"])
+    yield pa.RecordBatch.from_arrays([node(0), node(2)], names=["a", "b"])
+
+
+def forest(edges: DataFrame, scratch: Scratch) -> DataFrame:
+    """Connected components of edges (a, b) of NODEs, as (node, component) for every node that isn't the least of its own.
+
+    Each round joins up the edges that lie in one task as they come (no exchange), and then brings together the least
+    nodes that each node was given by different tasks, which are as many as tasks at most; if a node got several, these
+    are the next round's edges. It ends when every node has one. Then nodes point at smaller nodes, and pointers are
+    followed, twice as far each time, until none moves. Both loops end by themselves, as edges only move to smaller
+    nodes. No task holds a node's neighbours; joins on a node that very many point at can be split.
     """
-    e = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
-    mark = None
-    for _ in range(max_rounds):
-        both = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = split_join(both, low, ["u"]).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = split_join(large, low, ["u"]).select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x")).select("x.*").filter("u <> v").distinct()
-        e = cut(small)
-        now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
-        if now == mark:
+    e, old = edges.select("a", "b"), None
+    while True:
+        got = e.mapInArrow(contracted, f"a {NODE}, b {NODE}").groupBy("a").agg(F.array_sort(F.collect_set("b")).alias("bs"))
+        first = F.col("bs")[0]
+        rows = F.transform("bs", lambda x, i: F.struct(F.when(i == 0, F.col("a")).otherwise(x).alias("a"), first.alias("b"), (i > 0).alias("more")))
+        now = scratch.cut(got.select(F.explode(rows).alias("x")).select("x.*"))
+        scratch.drop(old)
+        e, old = now.select("a", "b"), now
+        if now.filter("more").isEmpty():
             break
-        mark = now
-    out = e.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    return out.unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    up = scratch.cut(e.select(F.col("a").alias("node"), F.col("b").alias("component"), F.lit(True).alias("moved")))
+    scratch.drop(old)
+    while not up.filter("moved").isEmpty():
+        above = up.select(F.col("node").alias("at"), F.col("component").alias("to"))
+        now = split_join(up.select("node", F.col("component").alias("at")), above, ["at"], "left")
+        now = scratch.cut(now.select("node", F.coalesce("to", "at").alias("component"), F.col("to").isNotNull().alias("moved")))
+        scratch.drop(up)
+        up = now
+    return up.select("node", "component")
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """Connected components of an undirected edge table (a, b) of longs: (node, component) for every node that has an edge
+    to another, component being the least node reachable."""
+    node = lambda c: F.struct(F.col(c).alias("d"), F.lit(0).cast("long").alias("s")).alias(c)
+    found = forest(edges.filter("a <> b").select(node("a"), node("b")), Scratch(edges.sparkSession)).select("node.d", F.col("component.d").alias("c"))
+    return found.select(F.col("d").alias("node"), F.col("c").alias("component")).unionByName(found.select(F.col("c").alias("node"), F.col("c").alias("component")).distinct())

@@ -7,8 +7,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, cut, split_join, table
-from .minhash import LAST, NODE
+from .common import NODE, Scratch, forest, spanning, split_join, table
+from .minhash import LAST
 from .rolling import mix
 
 #: Tables, projections of one table, and the width of a projection's cells for vectors of length one. A pair at cosine
@@ -18,7 +18,6 @@ TABLES, PROJECTIONS, WIDTH = 40, 8, 1.5
 BLOCK = 1024
 
 
-
 def unit_vectors(x: np.ndarray) -> np.ndarray:
     x = x.astype(np.float64)
     x /= np.abs(x).max(1, keepdims=True)
@@ -68,19 +67,6 @@ def pairs_within(units: np.ndarray, run: np.ndarray, side: np.ndarray, threshold
             yield f + i[ok], f + j[ok]
 
 
-def spanning(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
-    """For each of n rows the least row it is connected with by pairs (i, j)."""
-    up = np.arange(n)
-    while True:
-        new = up.copy()
-        np.minimum.at(new, i, up[j])
-        np.minimum.at(new, j, up[i])
-        new = new[new]
-        if np.array_equal(new, up):
-            return up
-        up = new
-
-
 def near_duplicates(vectors: DataFrame, threshold: float = 0.93, block: int = BLOCK) -> DataFrame:
     """vec_id, n_links, component_id, kept of every row of vectors (vec_id, embedding, label).
 
@@ -100,7 +86,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, block: int = BL
     good = F.col("label").isNotNull() & F.coalesce(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0), F.lit(False))
     src = src.withColumn("s", F.when(good, F.xxhash64("label", F.size("v"), "v")))
     classes = src.filter("s is not null").groupBy("label", "v", "s").agg(F.min(F.coalesce("vec_id", F.lit(LAST))).alias("d"), F.count("*").alias("copies"))
-    classes = cut(classes.select(F.struct("d", "s").alias("node"), "s", "label", "v", "copies", F.size("v").alias("dim"), F.xxhash64("label", F.size("v")).alias("apart")))
+    scratch = Scratch(vectors.sparkSession)
+    classes = scratch.cut(classes.select(F.struct("d", "s").alias("node"), "s", "label", "v", "copies", F.size("v").alias("dim"), F.xxhash64("label", F.size("v")).alias("apart")))
 
     def batch_vectors(column) -> tuple[np.ndarray, np.ndarray]:
         flat = column.flatten().to_numpy(zero_copy_only=False)
@@ -167,8 +154,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, block: int = BL
         for dim in np.unique(dims).tolist():
             yield from solve(t.take(pa.array(np.flatnonzero(dims == dim))))
 
-    found = cut(units.mapInArrow(work, f"a {NODE}, b {NODE}, links long"))
-    joined = components(found.filter("a <> b").select("a", "b"))
+    found = scratch.cut(units.mapInArrow(work, f"a {NODE}, b {NODE}, links long"))
+    joined = forest(found.filter("a <> b").select("a", "b"), scratch)
     counts = found.filter("links > 0").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
     ids = classes.select("label", "v", "s", "node", "copies").join(counts, "node", "left").join(joined, "node", "left")
     ids = ids.select("label", "v", "s", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce(F.col("component.d"), F.col("node.d")).alias("component_id"))

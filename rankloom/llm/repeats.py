@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, slices, split_join
+from .common import Scratch, slices, split_join
 from .rolling import BASES, BYTES, Prefix, Text, mix, sliding_argmin
 
 ANCHORS = "doc_id long, th long, ah long, g1 long, g2 long, lo int, n int"
@@ -36,6 +36,11 @@ class Units:
     def hashes(self, start: np.ndarray, end: np.ndarray) -> list[np.ndarray]:
         return [p.spans(start, end).view(np.int64) for p in self.prefixes]
 
+    def anchors(self, part: int, window: int) -> tuple[np.ndarray, np.ndarray]:
+        """For every window by its start the place of its anchor, and a hash for every place."""
+        h = self.prefixes[0].windows(part)
+        return sliding_argmin(h, window - part + 1), mix(h ^ np.uint64(part)).view(np.int64)
+
     def segments(self, part: int, window: int):
         """text index, start and number of windows, anchor hash of every segment."""
         many = np.maximum(self.last - self.first - window + 1, 0)
@@ -45,11 +50,11 @@ class Units:
             return none, none, none, none
         off = np.cumsum(many) - many
         starts = np.repeat(self.first - off, many) + np.arange(total)
-        h = self.prefixes[0].windows(part)
-        at = sliding_argmin(h, window - part + 1)[starts]
+        at, h = self.anchors(part, window)
+        at = at[starts]
         new = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
         n = np.diff(np.append(new, total))
-        return np.searchsorted(off, new, side="right") - 1, starts[new], n, mix(h[at[new]] ^ np.uint64(part)).view(np.int64)
+        return np.searchsorted(off, new, side="right") - 1, starts[new], n, h[at[new]]
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -72,11 +77,14 @@ def anchors(base: DataFrame, words: bool, part: int, window: int) -> DataFrame:
     return base.mapInArrow(work, ANCHORS)
 
 
-def repeated(base: DataFrame, words: bool, part: int, window: int) -> DataFrame:
-    """The segments whose anchor is met more than once, written to the checkpoint folder."""
-    a = anchors(base, words, part, window)
+def repeated(base: DataFrame, words: bool, part: int, window: int, scratch: Scratch) -> DataFrame:
+    """The segments whose anchor is met more than once. The texts are hashed once: all segments are written, in narrow
+    columns, and counted and looked up from there."""
+    a = scratch.cut(anchors(base, words, part, window))
     more = a.groupBy("ah").agg(F.count("*").alias("_m")).filter("_m > 1").select("ah")
-    return cut(split_join(a, more, ["ah"]))
+    out = scratch.cut(split_join(a, more, ["ah"]))
+    scratch.drop(a)
+    return out
 
 
 def per_text(rows: DataFrame, *columns: str) -> DataFrame:
@@ -91,7 +99,7 @@ def same_text(a: DataFrame, b: DataFrame) -> Column:
 def at_texts(base: DataFrame, rows: DataFrame, how: str, *columns: str) -> DataFrame:
     """text and _rows of the texts that have rows (inner) or of all (left). The texts are dealt out by key in the same
     way each time, so that Spark uses one exchange for all uses in a plan."""
-    found = per_text(rows, *columns).hint("shuffle_hash")
+    found = per_text(rows, *columns)
     return base.join(found, same_text(base, found), how).select(base["doc_id"], base["th"], base["text"], found["_rows"])
 
 

@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, slices, split_join, table
+from .common import Scratch, slices, split_join, table
 from .repeats import Units, at_texts, covered, keyed, repeated
 from .rolling import BASES, BYTES, Prefix
 
@@ -227,9 +227,10 @@ def dedup(docs: DataFrame, length: int = 200, part: int = 32, shard_bytes: int =
     Null text is empty; rows with null or equal doc_ids are places like any other, so that of two equal rows both lose
     what they share. Other columns are ignored; no rows give no rows.
     """
+    scratch = Scratch(docs.sparkSession)
     base = keyed(docs)
-    s = repeated(base, False, part, length)
-    contents = cut(s.groupBy("ah", "g1", "g2").agg(F.min(F.struct("doc_id", "th", "lo", "n")).alias("r"), F.count("*").alias("copies")).select("ah", "g1", "g2", "copies", "r.*"))
+    s = repeated(base, False, part, length, scratch)
+    contents = scratch.cut(s.groupBy("ah", "g1", "g2").agg(F.min(F.struct("doc_id", "th", "lo", "n")).alias("r"), F.count("*").alias("copies")).select("ah", "g1", "g2", "copies", "r.*"))
     several = contents.groupBy("ah").agg(F.count("*").alias("c"))
 
     def extract(batches):

@@ -123,12 +123,14 @@ def test_minhash(mixed, empty, spark):
     root = grouped(sets, pairs)
     want = Counter((d, len(sets[d]), root[d], root[d] == d) for d, _ in rows)
     want[None, len(sets[0]), 0, False] += 1
-    assert as_counter(minhash.near_duplicates(mixed).drop("th")) == want
+    assert as_counter(minhash.near_duplicates(mixed).drop("th", "component_th")) == want
     assert minhash.near_duplicates(empty).count() == 0
 
 
-def test_minhash_chain_and_blocks(spark, monkeypatch):
-    monkeypatch.setattr(minhash, "BLOCK_ROWS", 4)
+@pytest.mark.parametrize("few,block,chunk", [(4, 512, 64), (1, 4, 2)])
+def test_minhash_chain_and_blocks(spark, monkeypatch, few, block, chunk):
+    for name, value in (("FEW", few), ("BLOCK", block), ("CHUNK", chunk)):
+        monkeypatch.setattr(minhash, name, value)
     w = words(200, 9)
     rows = [(i, " ".join(w[i * 8 : i * 8 + 100])) for i in range(12)]
     sets = {d: shingles(t) for d, t in rows}
