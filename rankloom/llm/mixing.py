@@ -36,52 +36,80 @@ def targets(sizes: DataFrame, share: float, most: float, cycle: tuple[float, ...
     return s.withColumn("target", F.least(F.col("_cap"), F.coalesce(F.col("_level") * F.col("_w"), F.col("_cap")))).select("source", "source_size", "target")
 
 
-def mix(docs: DataFrame, weight: Column, size: Column, key: Column, share: float = 1.5, most: float = 2.0, cycle: tuple[float, ...] = CYCLE, bins: int = 1024, seed: int = 8) -> DataFrame:
-    """Add size, source_size, target, taken to docs, which has a source column; `key` identifies a document.
+def mix(docs: DataFrame, weight: Column, size: Column, key: Column | list[Column], share: float = 1.5, most: float = 2.0, cycle: tuple[float, ...] = CYCLE, per_range: int = 4096, seed: int = 8) -> DataFrame:
+    """Add size, source_size, target, taken to docs, which has a source column. key identifies a document: an id as text,
+    or several columns of which the first that isn't null does, so that null ids can go by a hash of their text.
 
     A source whose target is k whole sizes and a rest takes every document k times (complete epochs) and then, for the
     rest, documents in the order of -ln(u)/weight (Efraimidis-Spirakis keys; u from an md5 of seed and key) while the
-    words before them are less than the rest and the step does not leave the sum farther from it than it was.
-    Sums within a source are prefix sums over `bins` ranges of the key's order and then within a range, so no task
-    holds a whole source. Null text: size 0. Null source: a source of its own. Weights of null, zero or less count as
-    the least positive weight. Rows with equal keys share a place in the order; no rows give no rows.
-    Columns of docs called size, source_size, target or taken are replaced.
+    words before them are less than the rest and the step does not leave the sum farther from it than it was. If a
+    document is passed over for its size, those after it fill what is left in the same way, in one more pass.
+    Sums within a source are prefix sums over ranges of the key's order, of about per_range documents each, and then
+    within a range, so no task holds a whole source. Null text: size 0. Null source: a source of its own. Weights of
+    null, zero or less count as the least positive weight. Rows with equal keys go by size and then by a hash of all
+    their columns; rows equal in all of them are interchangeable. No rows give no rows. Columns of docs called size,
+    source_size, target or taken are replaced; all other names may occur.
     """
     kept = [c for c in docs.columns if c not in ("size", "source_size", "target", "taken")]
-    d = docs.select(*kept, F.coalesce(size.cast("long"), F.lit(0).cast("long")).alias("size"), F.greatest(F.coalesce(weight.cast("double"), F.lit(0.0)), F.lit(1e-9)).alias("_weight"), uniform(F.lit(str(seed)), key).alias("_u"))
-    d = d.withColumn("_key", -F.log("_u") / F.col("_weight"))
-    # a monotone map of the key onto ranges: unit exponential at weight 1, so the ranges fill about evenly
-    d = d.withColumn("_bin", F.floor((1 - F.exp(-F.col("_key"))) * bins).cast("int"))
-    by_bin = d.groupBy("source", "_bin").agg(F.sum("size").alias("_bin_size"))
-    sizes = by_bin.groupBy("source").agg(F.sum("_bin_size").alias("source_size"))
-    goals = targets(sizes, share, most, cycle)
-    before = W.partitionBy("source").orderBy("_bin").rowsBetween(W.unboundedPreceding, -1)
-    bins_ = by_bin.withColumn("_bin_before", F.coalesce(F.sum("_bin_size").over(before), F.lit(0))).alias("b")
-    g = goals.alias("g")
-    plan = bins_.join(g, F.col("b.source").eqNullSafe(F.col("g.source"))).select(F.col("b.source").alias("_s"), F.col("b._bin").alias("_b"), "_bin_before", "source_size", "target")
-    within = W.partitionBy("source", "_bin").orderBy("_key").rowsBetween(W.unboundedPreceding, -1)
-    d = d.withColumn("_in_before", F.coalesce(F.sum("size").over(within), F.lit(0)))
-    d = d.join(plan, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_bin") == F.col("_b")))
+    keys = key if isinstance(key, list) else [key]
+    hashable = [F.col(f.name) for f in docs.schema if f.name in kept and "map<" not in f.dataType.simpleString()]
+    row = F.struct(*(F.col(c) for c in kept)) if kept else F.lit(None)
+    n = F.coalesce(size.cast("long"), F.lit(0).cast("long"))
+    d = docs.select(row.alias("row"), F.col("source").alias("source"), n.alias("size"), F.greatest(F.coalesce(weight.cast("double"), F.lit(0.0)), F.lit(1e-9)).alias("w"), uniform(F.lit(str(seed)), F.coalesce(*keys, F.lit("null"))).alias("u"), (F.xxhash64(*hashable) if hashable else F.lit(0)).alias("tie"))
+    d = d.withColumn("key", -F.log("u") / F.col("w"))
+    counted = d.groupBy("source").agg(F.count("*").alias("n"), F.sum("size").alias("source_size"))
+    goals = targets(counted.select("source", "source_size"), share, most, cycle)
+    goals = goals.join(counted.select(F.col("source").alias("s2"), "n"), F.col("source").eqNullSafe(F.col("s2"))).drop("s2")
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0))
-    rest = F.col("target") - epochs * F.col("source_size")
-    so_far = F.col("_bin_before") + F.col("_in_before")
-    one_more = (rest > so_far) & (F.col("size") <= 2 * (rest - so_far))
-    taken = (F.col("size") * (epochs + F.when(one_more & (epochs < most), 1).otherwise(0))).cast("long")
-    return d.withColumn("taken", taken).select(*kept, "size", "source_size", "target", "taken")
+    goals = goals.withColumn("epochs", epochs).withColumn("rest", F.col("target") - epochs * F.col("source_size")).withColumn("bins", F.ceil(F.col("n") / per_range)).drop("n")
+    g = goals.select(F.col("source").alias("s"), "source_size", "target", "epochs", "rest", "bins")
+    d = d.join(g, F.col("source").eqNullSafe(F.col("s"))).drop("s")
+    # a monotone map of the key onto ranges: unit exponential at weight 1, so the ranges fill about evenly
+    d = d.withColumn("bin", F.floor((1 - F.exp(-F.col("key"))) * F.col("bins")))
+    d = summed(d, F.col("size"), "before")
+    left = F.col("rest") - F.col("before")
+    first = (left > 0) & (F.col("size") <= 2 * left) & (F.col("epochs") < most)
+    d = d.withColumn("first", first)
+    # what the first pass took is known at its first refusal; the documents after it that are small enough share what is left
+    refused = d.filter((F.col("before") < F.col("rest")) & ~F.col("first") & (F.col("epochs") < most)).groupBy("source").agg(F.min("before").alias("stop"))
+    r = refused.select(F.col("source").alias("s"), "stop")
+    d = d.join(r, F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
+    gap = F.col("rest") - F.col("stop")
+    d = d.withColumn("small", F.col("stop").isNotNull() & (F.col("before") >= F.col("stop")) & (F.col("size") <= 2 * gap))
+    d = summed(d, F.when(F.col("small"), F.col("size")).otherwise(0), "again")
+    left = gap - F.col("again")
+    one_more = (F.col("first") & (F.col("stop").isNull() | (F.col("before") < F.col("stop")))) | (F.col("small") & (left > 0) & (F.col("size") <= 2 * left))
+    taken = (F.col("size") * (F.col("epochs") + F.when(one_more, 1).otherwise(0))).cast("long")
+    return d.select(*([F.col("row")[c].alias(c) for c in kept]), "size", "source_size", "target", taken.alias("taken"))
+
+
+def summed(d: DataFrame, value: Column, name: str) -> DataFrame:
+    """Add name: the sum of value over the rows of the source that come before, by range and then within it."""
+    d = d.withColumn("_v", value)
+    by_bin = d.groupBy("source", "bin").agg(F.sum("_v").alias("_bin_size"))
+    over = W.partitionBy("source").orderBy("bin").rowsBetween(W.unboundedPreceding, -1)
+    b = by_bin.select(F.col("source").alias("_s"), F.col("bin").alias("_b"), F.coalesce(F.sum("_bin_size").over(over), F.lit(0)).alias("_bin_before"))
+    within = W.partitionBy("source", "bin").orderBy("key", "size", "tie").rowsBetween(W.unboundedPreceding, -1)
+    d = d.withColumn("_in", F.coalesce(F.sum("_v").over(within), F.lit(0)))
+    d = d.join(b, F.col("source").eqNullSafe(F.col("_s")) & (F.col("bin") == F.col("_b")))
+    return d.withColumn(name, F.col("_bin_before") + F.col("_in")).drop("_v", "_s", "_b", "_bin_before", "_in")
 
 
 def with_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Add _quality, the document's weight by its labels (the best of several; unmarked: UNKNOWN)."""
-    q = labels.filter("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("_label_id")).agg(F.max("quality").alias("_q"))
-    weight = F.when(F.col("_q") >= 1, GOOD).when(F.col("_q").isNotNull(), POOR).otherwise(UNKNOWN)
-    return docs.join(q, docs["doc_id"].cast("long") == q["_label_id"], "left").withColumn("_quality", weight).drop("_label_id", "_q")
+    """Add _quality, the document's weight by its labels (the best of several; unmarked: UNKNOWN). A column of docs of that
+    name is replaced; all other names may occur."""
+    names = [c for c in docs.columns if c != "_quality"]
+    q = labels.filter("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.max("quality").alias("q"))
+    weight = F.when(F.col("q") >= 1, GOOD).when(F.col("q").isNotNull(), POOR).otherwise(UNKNOWN)
+    rows = docs.select(F.struct(*names).alias("row"), F.col("doc_id").cast("long").alias("id"))
+    return rows.join(q, "id", "left").select(*(F.col("row")[c].alias(c) for c in names), weight.alias("_quality"))
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The words that a mix of all documents takes from each, sources weighing 5, 2, 1 in turn."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", F.regexp_count("text", F.lit(WORD)).alias("_n"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", F.regexp_count("text", F.lit(WORD)).alias("_n"), F.xxhash64("text").alias("_th"))
     docs = with_quality(docs, table(spark, sf_dir, "labels"))
-    return mix(docs, F.col("_quality"), F.col("_n"), F.col("doc_id").cast("string")).select("doc_id", "size", "source_size", "target", "taken")
+    return mix(docs, F.col("_quality"), F.col("_n"), [F.col("doc_id").cast("string"), F.col("_th").cast("string")]).select("doc_id", "size", "source_size", "target", "taken")
 
 
 OP8_SQL = """
@@ -96,11 +124,15 @@ w AS (SELECT *, CASE (rn - 1) % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0::DOUBL
 l AS (SELECT *, (1.5::DOUBLE * sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY cap / w, rn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
     / sum(w) OVER (ORDER BY cap / w, rn ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS lvl FROM w),
 g AS (SELECT source, source_size, least(cap, coalesce((SELECT arg_min(lvl, cap / w) FROM l WHERE lvl * w <= cap) * w, cap)) AS target FROM l),
-r AS (SELECT d.doc_id, d.size, g.source_size, g.target, floor(g.target / nullif(g.source_size, 0)) AS epochs,
+r AS (SELECT d.doc_id, d.source, d.k, d.size, g.source_size, g.target, floor(g.target / nullif(g.source_size, 0)) AS epochs,
     coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
-  FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source)
-SELECT doc_id, size, source_size, target,
-  (size * (coalesce(epochs, 0) + CASE WHEN coalesce(epochs, 0) < 2 AND target - coalesce(epochs, 0) * source_size > before
-     AND size <= 2 * (target - coalesce(epochs, 0) * source_size - before) THEN 1 ELSE 0 END))::BIGINT AS taken
-FROM r
+  FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source),
+f AS (SELECT doc_id, source, k, size, source_size, target, before, coalesce(epochs, 0) AS e, target - coalesce(epochs, 0) * source_size AS rest,
+    coalesce(epochs, 0) < 2 AND target - coalesce(epochs, 0) * source_size > before AND size <= 2 * (target - coalesce(epochs, 0) * source_size - before) AS first FROM r),
+z AS (SELECT source AS zs, min(before) AS stop FROM f WHERE before < rest AND NOT first AND e < 2 GROUP BY source),
+t AS (SELECT f.*, stop, stop IS NOT NULL AND before >= stop AND size <= 2 * (rest - stop) AS small FROM f LEFT JOIN z ON source IS NOT DISTINCT FROM zs),
+v AS (SELECT *, coalesce(sum(CASE WHEN small THEN size ELSE 0 END) OVER (PARTITION BY source ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS again FROM t)
+SELECT doc_id, size, source_size, target, (size * (e + CASE WHEN (first AND (stop IS NULL OR before < stop))
+  OR (small AND rest - stop > again AND size <= 2 * (rest - stop - again)) THEN 1 ELSE 0 END))::BIGINT AS taken
+FROM v
 """

@@ -3,31 +3,54 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import minhash, mixing, packing, quality, secret_scan
-from .common import WORD, table
+from .common import WORD, Scratch, table
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Quality classifier: documents scored under 0.5 go. It learns from the labelled rows of docs (see quality.train)."""
+    """Quality classifier: documents scored under 0.5 go. It learns from the labelled rows of docs (see quality.train).
+
+    Each row is scored by its whole text, equal rows alike; null and empty texts get the score of no evidence. No labels,
+    or none of one kind: every score is 0.5 and nothing goes. Columns of docs may have any names; no rows give no rows.
+    """
     model = quality.train(docs, table(spark, sf_dir, "labels"))
     rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("text"))
     return quality.score(rows, model, [F.col("row")]).filter("predicted = 1").select("row.*")
 
 
+def row_keys() -> list:
+    """What tells rows apart unless both id and text are equal; a null id counts as the largest."""
+    return [F.coalesce(F.col("doc_id").cast("long"), F.lit(minhash.LAST)).alias("_id"), F.xxhash64("text").alias("_th")]
+
+
 def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """MinHash near-dedup: of each group the document of the least doc_id stays (null counts as the largest); of equal rows one."""
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(minhash.LAST))
-    keyed = docs.select(F.struct(*docs.columns).alias("row"), key.alias("_id"), F.xxhash64("text").alias("_th"))
-    kept = minhash.near_duplicates(docs).filter("kept").select(key.alias("_id"), F.col("th").alias("_th"))
+    """MinHash near-dedup: of each group of near copies one document stays, that of the least doc_id (null is the largest),
+    and of several rows with that id the one of the least text hash; of equal rows one.
+
+    Null and empty texts are copies of nothing but equal rows; very long texts are compared whole; no rows give no rows.
+    Columns of docs may have any names. Which rows stay is decided on ids and hashes, and written before texts are read
+    again, so that what led to it can go.
+    """
+    scratch, own = Scratch(spark), Scratch(spark)
+    found = minhash.near_duplicates(docs, scratch=scratch).filter("kept and th = component_th")
+    kept = own.cut(found.select(F.coalesce("doc_id", F.lit(minhash.LAST)).alias("_id"), F.col("th").alias("_th")))
+    scratch.close()
+    rows = docs.select(F.struct(*docs.columns).alias("row"), *row_keys())
     # both sides are dealt by the keys for the join, so that dropping repeated rows needs no further exchange
-    return keyed.join(kept, ["_id", "_th"], "left_semi").dropDuplicates(["_id", "_th"]).select("row.*")
+    return rows.join(kept, ["_id", "_th"], "left_semi").dropDuplicates(["_id", "_th"]).select("row.*")
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secret scan: secrets in texts are replaced, and n_chars follows; no document goes."""
-    found = secret_scan.scan(docs, secret_scan.train(spark))
+    """Secret scan: secrets in texts are replaced, and n_chars follows; no document goes.
+
+    Whole texts are read, however long; null texts stay null, equal rows get equal texts; columns of docs may have any
+    names, and one called n_chars is set only where the text has changed; no rows give no rows.
+    """
+    words = secret_scan.dictionary(docs)
+    found = secret_scan.scan(docs, secret_scan.train(spark, words=words), words=words)
     new = {"text": F.col("_redacted")}
     if "n_chars" in docs.columns:
         new["n_chars"] = F.when(F.col("_redacted").eqNullSafe(F.col("text")), F.col("n_chars")).otherwise(F.length("_redacted").cast(docs.schema["n_chars"].dataType))
@@ -35,15 +58,25 @@ def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Mixing: every document stands as often as the mix takes it, which is 0 to 2 times."""
-    marked = mixing.with_quality(docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "source", F.regexp_count("text", F.lit(WORD)).alias("_n"), F.xxhash64("text").alias("_th")), table(spark, sf_dir, "labels"))
-    mixed = mixing.mix(marked, F.col("_quality"), F.col("_n"), F.concat_ws(":", F.col("doc_id").cast("string")))
+    """Mixing: every document stands as often as the mix takes it, which is 0 to 2 times.
+
+    The mix is decided on ids, sizes and hashes alone; texts are exchanged once, to meet their numbers of times. Rows that
+    are equal in id and text are told apart by counting them, so that each gets its own number. Null ids, sources and
+    texts: see mixing.mix; a document without words is not taken; no rows give no rows; any column names may occur.
+    """
+    slim = docs.select(*row_keys(), "doc_id", "source", F.regexp_count("text", F.lit(WORD)).alias("_n"))
+    mixed = mixing.mix(mixing.with_quality(slim, table(spark, sf_dir, "labels")), F.col("_quality"), F.col("_n"), [F.col("doc_id").cast("string"), F.col("_th").cast("string")])
     times = F.when(F.col("size") > 0, F.round(F.col("taken") / F.col("size"))).otherwise(0).cast("int")
-    return mixed.select("row", F.explode(F.array_repeat(F.lit(1), times)).alias("k")).select("row.*")
+    times = mixed.groupBy("_id", "_th").agg(F.array_sort(F.collect_list(times)).alias("_times"))
+    nth = F.row_number().over(W.partitionBy("_id", "_th").orderBy("_id"))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), *row_keys()).withColumn("_nth", nth)
+    taken = rows.join(times, ["_id", "_th"]).withColumn("_k", F.element_at("_times", F.col("_nth")))
+    return taken.select("row", F.explode(F.array_repeat(F.lit(1), F.col("_k")))).select("row.*")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packing: the pieces of all documents, with their token ids."""
+    """Packing: the pieces of all documents, with their token ids. A null or empty text is the end id alone, repeated rows
+    are packed each, whole texts however long; other columns of docs are left out; no rows give no rows."""
     import public_tokenizers
 
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), with_ids=True)
