@@ -19,7 +19,7 @@ SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 #: What \s of the pattern matches, two or more; and the length in bytes from which such a run is encoded apart.
 WHITE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{2,}")
 LONG = 1 << 16
-PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, bucket int, batch_id long"
 _encoders: dict[str, Encoder] = {}
 
 
@@ -138,11 +138,13 @@ def decompose(n: int, longest: int) -> list[tuple[int, int]]:
     return out
 
 
-def pack(docs: DataFrame, tokenizer_path: str, longest: int = 1024, end_id: int = 0, with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, longest: int = 1024, end_id: int = 0, with_ids: bool = False, batch_tokens: int = 1 << 16) -> DataFrame:
     """Cut each document's ids and end_id into pieces of power-of-two length; each piece is a sequence of its own.
 
     Reads doc_id and text of docs (other columns are ignored) and gives one row per piece; with_ids adds the piece's
-    ids as bytes of little-endian uint32. Equal lengths form a bucket: group or sort by `length` to batch them.
+    ids as bytes of little-endian uint32. Pieces of equal length form a bucket (`bucket` is the length's logarithm), and
+    each bucket is dealt to batches of at most batch_tokens ids (`batch_id`; pieces of one length only, so a batch is a
+    full rectangle). Rows come bucket by bucket, long ones first, within each run of documents.
     Added tokens of the file that stand in a text become their ids.
     A null or empty text is the end id alone; null or repeated doc_ids are packed like others; no rows give no rows.
     sequence_id is the scan partition's number and a count within it, so that reruns over the same files agree.
@@ -155,25 +157,33 @@ def pack(docs: DataFrame, tokenizer_path: str, longest: int = 1024, end_id: int
     def work(batches):
         encode = _encoders.get(tokenizer_path) or _encoders.setdefault(tokenizer_path, Encoder(tokenizer_path, added=True))
         task = TaskContext.get()
-        sequence = (task.partitionId() if task else 0) << 38
+        first = (task.partitionId() if task else 0) << 38
+        sequence, filled, batches_made = first, {}, 0  # filled: of each bucket its open batch and the pieces in it
         for whole in batches:
             for batch in slices(whole, 1, 3 << 19):
-                rows: list[tuple] = []
-                ids_out: list[bytes] = []
+                buckets: dict[int, list[tuple]] = {}
                 for doc, ids in zip(batch.column(0).to_pylist(), encode(batch.column(1).to_pylist())):
                     ids = ids.astype("<u4").tobytes() + tail
                     n = len(ids) // 4
                     for start, length in decompose(n, longest):
                         piece = ids[4 * start : 4 * (start + length)]
-                        rows.append((doc, start, length, zlib.crc32(piece), n, sequence, 0))
+                        buckets.setdefault(length, []).append((doc, start, length, zlib.crc32(piece), n, piece))
+                rows: list[tuple] = []
+                for length, pieces in sorted(buckets.items(), reverse=True):
+                    bucket, fit = length.bit_length() - 1, max(1, batch_tokens // length)
+                    for piece in pieces:
+                        now, held = filled.get(length, (None, fit))
+                        if held == fit:
+                            now, held = first + batches_made, 0
+                            batches_made += 1
+                        filled[length] = now, held + 1
+                        rows.append((*piece[:5], sequence, 0, bucket, now, piece[5]))
                         sequence += 1
-                        if with_ids:
-                            ids_out.append(piece)
-                names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
-                columns = [pa.array(c, pa.int64()) for c in zip(*rows)] if rows else [pa.array([], pa.int64())] * 7
-                if with_ids:
-                    names, columns = [*names, "ids"], [*columns, pa.array(ids_out, pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, names=names)
+                types = [pa.int64()] * 7 + [pa.int32(), pa.int64(), pa.binary()]
+                names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "bucket", "batch_id", "ids"]
+                columns = [pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 10, types)]
+                last = 10 if with_ids else 9
+                yield pa.RecordBatch.from_arrays(columns[:last], names=names[:last])
 
     from pyspark.sql import functions as F
 
