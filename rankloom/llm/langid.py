@@ -20,22 +20,23 @@ def is_letter() -> np.ndarray:
     return _letters[0]
 
 
-def counts(text: str | None) -> np.ndarray | None:
-    """How often each n-gram bucket occurs in the lower-cased letters of the whole text, other runs being one space; None without a letter."""
+def counts(text: str | None) -> tuple[np.ndarray, np.ndarray] | None:
+    """The n-gram buckets of the lower-cased letters of the whole text, other runs being one space, and how often each
+    occurs; None without a letter."""
     c = np.frombuffer((text or "").lower().encode("utf-32-le", "surrogatepass"), np.uint32)
     letter = is_letter()[c]
     if not letter.any():
         return None
     c = np.where(letter, c, np.uint32(32))
     c = np.concatenate([[np.uint32(32)], c[letter | np.concatenate([[False], letter[:-1]])], [np.uint32(32)]])
-    total = np.zeros(BUCKETS, np.int64)
+    found = []
     h = np.zeros(len(c), np.uint32)
     for n in range(1, max(LENGTHS) + 1):
         h = (h[: len(c) - n + 1] + c[n - 1 :]) * np.uint32(0x9E3779B1)
         h ^= h >> np.uint32(15)
         if n in LENGTHS:
-            total += np.bincount((h * np.uint32(0x85EBCA6B)) >> np.uint32(18), minlength=BUCKETS)
-    return total
+            found.append((h * np.uint32(0x85EBCA6B)) >> np.uint32(18))
+    return np.unique(np.concatenate(found), return_counts=True)
 
 
 def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
@@ -46,7 +47,7 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
         for batch in batches:
             for text in batch.column(0):
                 if (c := counts(text.as_py())) is not None:
-                    df[:-1] += c > 0
+                    df[c[0]] += 1
                     n += 1
         df[-1] = n
         at = np.flatnonzero(df)
@@ -58,21 +59,21 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
     return df[:-1], int(df[-1])
 
 
-def sampled(docs: DataFrame, column: str, each: int, key: str = "doc_id") -> DataFrame:
-    """About `each` rows of every value of column (its non-null values are few), by a hash of the key; the same rows on every run."""
-    fractions = {r[0]: each / r[1] for r in docs.filter(F.col(column).isNotNull()).groupBy(column).count().collect()}
+def sampled(docs: DataFrame, column: str, each: int, key: str = "doc_id", most: int = 1024) -> DataFrame:
+    """About `each` rows of every value of column, by a hash of the key; the same rows on every run. Of more than `most`
+    values the most frequent are taken (a documented bound, as one count for each comes to the driver)."""
+    counted = docs.filter(F.col(column).isNotNull()).groupBy(column).count()
+    fractions = {r[0]: each / r[1] for r in counted.orderBy(F.col("count").desc(), column).limit(most).collect()}
     if not fractions:
         return docs.limit(0)
     u = (F.xxhash64(F.lit("sample"), key).bitwiseAND(0xFFFFFF)) / float(1 << 24)
-    keep = F.lit(False)
-    for value, fraction in fractions.items():
-        keep |= (F.col(column) == F.lit(value)) & (u < fraction)
-    return docs.filter(keep)
+    share = F.create_map(*(F.lit(x) for pair in fractions.items() for x in pair))
+    return docs.filter(u < F.coalesce(F.try_element_at(share, F.col(column)), F.lit(0.0)))
 
 
-def tfidf(c: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    at = np.flatnonzero(c)
-    x = c[at] * idf[at]
+def tfidf(c: tuple[np.ndarray, np.ndarray], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    at, n = c
+    x = n * idf[at]
     return at, x / max(np.sqrt(x @ x), 1e-12)
 
 
@@ -146,17 +147,14 @@ def train(learnable: DataFrame, per_language: int = PER_LANGUAGE, epochs: int =
     def work(batches):
         for batch in batches:
             out = [(d, lang, c) for d, t, lang in zip(*(batch.column(i).to_pylist() for i in range(3))) if (c := counts(t)) is not None]
-            ats = [np.flatnonzero(c) for _, _, c in out]
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.string()), pa.array([a.tolist() for a in ats], pa.list_(pa.int32())), pa.array([c[a].tolist() for a, (_, _, c) in zip(ats, out)], pa.list_(pa.int64()))], names=["doc_id", "lang", "at", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.string()), pa.array([c[0].tolist() for _, _, c in out], pa.list_(pa.int32())), pa.array([c[1].tolist() for _, _, c in out], pa.list_(pa.int64()))], names=["doc_id", "lang", "at", "n"])
 
     sample = sampled(rows, "lang", per_language).select(F.col("doc_id").cast("long"), "text", "lang")
     got = sorted(sample.mapInArrow(work, "doc_id long, lang string, at array<int>, n array<long>").collect(), key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["lang"], r["at"]))
     languages = sorted({r["lang"] for r in got})
     data = []
     for r in got:
-        at = np.array(r["at"])
-        x = np.array(r["n"]) * idf[at]
-        data.append((at, x / max(np.sqrt(x @ x), 1e-12), languages.index(r["lang"])))
+        data.append((*tfidf((np.array(r["at"]), np.array(r["n"])), idf), languages.index(r["lang"])))
     order = np.random.default_rng(3).permutation(len(data))
     held, fit = order[: len(order) // 5], order[len(order) // 5 :]
     ftrl = Ftrl(len(languages), BUCKETS)
@@ -171,8 +169,9 @@ def train(learnable: DataFrame, per_language: int = PER_LANGUAGE, epochs: int =
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, lang_pred, score of every row of docs; only text is looked at.
 
-    A null text or one without a letter is `und` with score 0, as is any text when nothing could be learnt.
-    Rows with a null doc_id are held out; repeated rows get equal results; other columns are ignored.
+    A null text or one without a letter is `und` with score 0, as is any text when nothing could be learnt. Of languages
+    that tie the first by name is taken. A very long text is read whole by one task. Rows with a null doc_id are held
+    out; repeated rows get equal results; other columns are ignored; no rows give no rows.
     """
 
     def work(batches):
