@@ -43,17 +43,28 @@ DICTIONARY = (
 ).split()
 CUES = "password passwd pwd secret token apikey api_key key auth credential credentials private bearer login access passphrase authorization passwort kennwort".split()
 AGAINST = "example sample test dummy placeholder commit sha sha1 sha256 md5 checksum hash uuid guid version release build isbn order invoice phone card tracking image file path rev revision".split()
-FEATURES = 15
+#: Words of the corpus that count as its dictionary: the most frequent ones by documents.
+MOST_WORDS = 2000
 TREES, DEPTH, FINDINGS = 25, 6, 150
 
 
-def features(c: str) -> str:
-    """SQL for the numbers that describe candidate c, a struct of v (value), b (text before) and a (text after)."""
+def dictionary(docs: DataFrame, most: int = MOST_WORDS) -> tuple[str, ...]:
+    """The `most` words of 4 to 16 letters that most documents of docs have, by all rows and whole texts; ties by the word.
+    Null texts have none; the words are what comes to the driver, and their number is the bound."""
+    words = F.array_distinct(F.filter(F.split(F.lower("text"), r"[^\p{L}]+"), lambda w: F.length(w).between(4, 16)))
+    counted = docs.select(F.explode(words).alias("w")).groupBy("w").count()
+    return tuple(r["w"] for r in counted.orderBy(F.col("count").desc(), "w").limit(most).collect())
+
+
+def features(c: str, words: tuple[str, ...] = ()) -> str:
+    """SQL for the numbers that describe candidate c, a struct of v (value), b (text before) and a (text after); words: the
+    corpus's dictionary."""
     v, n = f"{c}.v", f"greatest(length({c}.v), 1)"
     count = lambda what, pattern: f"regexp_count({what}, '{pattern}')"
     near = f"lower(concat({c}.b, ' ', {c}.a))"
     word = lambda words: f"(?<![a-z0-9])({'|'.join(words)})(?![a-z])"
     quoted = lambda p: "'" + p.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    known = "array(" + ", ".join(map(quoted, words or ("",))) + ")"
     turns = "(?<=[a-z])(?=[A-Z0-9])|(?<=[A-Z])(?=[a-z0-9])|(?<=[0-9])(?=[A-Za-z])|(?<=[A-Za-z0-9])(?=[^A-Za-z0-9])"
     items = [
         f"least(length({v}), 200)",
@@ -61,6 +72,7 @@ def features(c: str) -> str:
         f"{count(v, '[A-Z]')} / {n}",
         f"{count(v, '[a-z]')} / {n}",
         f"{count(v, turns)} / {n}",
+        f"aggregate(filter(regexp_extract_all({v}, '[A-Z]?[a-z]{{3,}}|[A-Z]{{4,}}', 0), p -> array_contains({known}, lower(p))), 0, (s, p) -> s + length(p)) / {n}",
         f"1 - length(regexp_replace(lower({v}), '{'|'.join(sorted(DICTIONARY, key=len, reverse=True))}', '')) / {n}",
         f"{count(f'lower({v})', '[aeiou]')} / {n}",
         f"{count(f'lower({v})', '[g-z]')} / {n}",
@@ -75,14 +87,16 @@ def features(c: str) -> str:
     return "array(" + ", ".join(f"cast({x} as double)" for x in items) + ")"
 
 
-def labelled_findings(each: int = FINDINGS, seed: int = 9) -> list[dict]:
-    """Findings with labels, made by rule: `each` of every kind of true and of false one. The documented bound on what trains the forest."""
+def labelled_findings(each: int = FINDINGS, seed: int = 9, corpus: tuple[str, ...] = ()) -> list[dict]:
+    """Findings with labels, made by rule: `each` of every kind of true and of false one, of words of the corpus's dictionary
+    too. The documented bound on what trains the forest."""
     r = random.Random(seed)
+    pools = [x for x in ([w for w in DICTIONARY if len(w) > 3], [w for w in corpus if w.isascii()]) if x]
     low, up, dig, hexa = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", "0123456789abcdef"
     pick = lambda s, n: "".join(r.choice(s) for _ in range(n))
     fill = lambda n: " ".join(pick(low, r.randint(2, 8)) for _ in range(n))
     some = lambda *x: r.choice(x)
-    words = lambda n, sep: sep.join(r.choice([w for w in DICTIONARY if len(w) > 3]) for _ in range(n))
+    words = lambda n, sep: sep.join(r.choice(r.choice(pools)) for _ in range(n))
     spell = lambda k: "".join(r.choice("bcdfghjklmnprstvw") + r.choice("aeiou") + some("", "n", "r", "s") for _ in range(k))
     telling = lambda: some("password", "passwd", "pwd", "secret", "token", "api_key", "api-key", "aws_secret_access_key", "client_secret", "passphrase", "Password", "auth_token")
     assigned = lambda: " " + some('{"%s": "', "%s=", "%s: ", "%s:  ", '%s = "', "%s => '", "'%s': '") % telling()
@@ -165,31 +179,35 @@ def forest(rows: str, trees: int = TREES, depth: int = DEPTH, seed: int = 5) ->
     return tuple(grow(x[i], y[i], rng, depth) for i in (rng.integers(0, len(y), len(y)) for _ in range(trees)))
 
 
-def train(spark: SparkSession, findings: list[dict] | None = None) -> tuple:
+def train(spark: SparkSession, findings: list[dict] | None = None, words: tuple[str, ...] = ()) -> tuple:
     """The forest from labelled findings (v, b, a, y); their features come from the same SQL as those of candidates."""
-    given = json.dumps(findings or labelled_findings())
-    rows = spark.range(1).select(F.explode(F.from_json(F.lit(given), "array<struct<v:string,b:string,a:string,y:int>>")).alias("c")).selectExpr(f"{features('c')} as f", "c.y").collect()
+    given = json.dumps(findings or labelled_findings(corpus=words))
+    rows = spark.range(1).select(F.explode(F.from_json(F.lit(given), "array<struct<v:string,b:string,a:string,y:int>>")).alias("c")).selectExpr(f"{features('c', words)} as f", "c.y").collect()
     return forest(json.dumps([[list(r["f"]), r["y"]] for r in rows]))
 
 
-def scan(docs: DataFrame, trees: tuple, threshold: float = 0.5) -> DataFrame:
+def scan(docs: DataFrame, trees: tuple, threshold: float = 0.5, words: tuple[str, ...] = ()) -> DataFrame:
     """Add _candidates (array of v, b, a), _scores (each candidate's share of trees that call it a secret), _redacted (the
-    text with secrets replaced) to docs, which keeps all its columns.
+    text with secrets replaced) to docs, which keeps all its other columns. words: the dictionary the trees were trained with.
 
-    A null text has no candidates and stays null. Whole texts are read; there is no shuffle, so a lost task runs again.
-    Equal rows get equal results; columns of docs with one of the three names are replaced.
+    A null text has no candidates and stays null, an empty one stays empty; whole texts are read, however long; there is
+    no shuffle, so a lost task runs again. A score of exactly the threshold counts as a secret. Equal rows get equal
+    results; columns of docs called _candidates, _scores or _redacted are replaced; no rows give no rows.
     """
+    names = [c for c in docs.columns if c not in ("_candidates", "_scores", "_redacted")]
     pattern = F.lit(CANDIDATE)
-    d = docs.withColumn("_found", F.struct(F.regexp_extract_all("text", pattern, F.lit(0)).alias("c"), F.split("text", CANDIDATE, -1).alias("p")))
-    d = d.withColumn("_candidates", F.expr("transform(array(_found), x -> transform(x.c, (v, i) -> struct(v as v, right(x.p[i], 48) as b, left(x.p[i + 1], 16) as a)))[0]"))
+    d = docs.select(F.struct(*names).alias("row"), F.col("text"))
+    d = d.withColumn("found", F.struct(F.regexp_extract_all("text", pattern, F.lit(0)).alias("c"), F.split("text", CANDIDATE, -1).alias("p")))
+    d = d.withColumn("_candidates", F.expr("transform(array(found), x -> transform(x.c, (v, i) -> struct(v as v, right(x.p[i], 48) as b, left(x.p[i + 1], 16) as a)))[0]"))
     vote = " + ".join(as_sql(t, "f") for t in trees)
-    d = d.withColumn("_scores", F.expr(f"transform(transform(_candidates, c -> {features('c')}), f -> ({vote}) / {len(trees)})"))
-    redact = f"if(exists(_scores, s -> s >= {threshold}D), transform(array(struct(_found, _scores)), x -> array_join(transform(x._found.p, (t, i) -> concat(t, if(i < size(x._found.c), if(x._scores[i] >= {threshold}D, '{REPLACEMENT}', x._found.c[i]), ''))), ''))[0], text)"
-    return d.withColumn("_redacted", F.expr(redact)).drop("_found")
+    d = d.withColumn("_scores", F.expr(f"transform(transform(_candidates, c -> {features('c', words)}), f -> ({vote}) / {len(trees)})"))
+    redact = f"if(exists(_scores, s -> s >= {threshold}D), transform(array(struct(found, _scores)), x -> array_join(transform(x.found.p, (t, i) -> concat(t, if(i < size(x.found.c), if(x._scores[i] >= {threshold}D, '{REPLACEMENT}', x.found.c[i]), ''))), ''))[0], text)"
+    return d.withColumn("_redacted", F.expr(redact)).select(*(F.col("row")[c].alias(c) for c in names), "_candidates", "_scores", "_redacted")
 
 
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For every document the number of candidates and of secrets, the highest score, and the SHA-256 of the redacted text."""
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    found = scan(docs, train(spark))
+    words = dictionary(docs)
+    found = scan(docs, train(spark, words=words), words=words)
     return found.select("doc_id", F.size("_candidates").cast("long").alias("n_candidates"), F.expr("size(filter(_scores, s -> s >= 0.5D))").cast("long").alias("n_secrets"), F.coalesce(F.array_max("_scores"), F.lit(0.0)).alias("top_score"), F.sha2(F.encode("_redacted", "UTF-8"), 256).alias("redacted_sha256"))
