@@ -106,3 +106,74 @@ def repair_permutation(answer: Column, n: Column) -> Column:
     named = F.transform(F.regexp_extract_all(answer, F.lit(r"\d+"), F.lit(0)), lambda x: x.try_cast("int"))
     valid = F.filter(named, lambda x: x.isNotNull() & (x >= 1) & (x <= n))
     return F.array_union(F.array_distinct(valid), F.sequence(F.lit(1), n.cast("int")))
+
+
+def parse_text(answer: Column) -> Column:
+    """The whole answer without white space around it."""
+    return F.trim(F.regexp_replace(answer, r"^\s+|\s+$", ""))
+
+
+def parse_lines(answer: Column) -> Column:
+    """The answer's lines, each without white space around it."""
+    return F.transform(F.split(parse_text(answer), "\n"), parse_text)
+
+
+def parse_expansion(answer: Column, cot: str | None = None) -> Column:
+    """struct(rewrite, response, cot) of an answer whose last line must start with `Reason:`: line 1 after its first nine
+    characters is the rewrite, the other lines after their first ten are the response. With cot, the rewrite follows
+    that phrase, without which the answer is null, and what stands before it is cot."""
+    lines = F.split(parse_text(answer), "\n")
+    first = F.get(lines, F.lit(0))
+    line = F.substring(first, F.lit(10), F.length(first))
+    rest = F.array_join(F.slice(lines, F.lit(2), F.greatest(F.size(lines) - 1, F.lit(0))), "\n")
+    ok = F.element_at(lines, -1).startswith("Reason:")
+    at = F.instr(line, cot) if cot else F.lit(0)
+    rewrite = F.substring(line, at + len(cot), F.length(line)) if cot else line
+    before = F.substring(line, F.lit(1), at - 1) if cot else F.lit(None).cast("string")
+    return F.when(ok & (at > 0) if cot else ok, F.struct(rewrite.alias("rewrite"), F.substring(rest, F.lit(11), F.length(rest)).alias("response"), before.alias("cot")))
+
+
+def expansion_terms(logits: Column, vocabulary: Column, n: int, indicator: str = ":") -> Column:
+    """The n tokens with the highest logits at the position after the first whose best token is the indicator: an array of
+    struct(token, logit), highest first, ties by token; null without such a position. logits: an array of one array of
+    numbers a position; vocabulary: the tokens."""
+    best = F.transform(logits, lambda row: F.trim(F.get(vocabulary, F.array_position(row, F.array_max(row)).cast("int") - 1)))
+    row = F.get(logits, F.array_position(best, indicator).cast("int"))
+    pairs = F.transform(row, lambda x, i: F.struct((-x).alias("s"), F.trim(F.get(vocabulary, i)).alias("token"), x.alias("logit")))
+    top = F.transform(F.slice(F.array_sort(pairs), 1, n), lambda x: F.struct(x["token"].alias("token"), x["logit"].alias("logit")))
+    return F.when(F.array_position(best, indicator) > 0, top)
+
+
+def demonstrations(demos: list[dict], cot: str | None = None) -> str:
+    """Worked examples as text: each demo's turns (question, manual_rewrite, response, and cot) one after the other. With cot
+    the rewrite follows the turn's reasoning and that phrase."""
+    shown = []
+    for i, demo in enumerate(demos, 1):
+        turns = []
+        for t in demo["turns"]:
+            rewrite = f"{t['cot']} {cot}{t['manual_rewrite']}" if cot else t["manual_rewrite"]
+            turns.append(f"Question: {t['question']}\nRewrite: {rewrite}\nResponse: {t['response']}")
+        shown.append(f"Example #{i}:\n" + "\n\n".join(turns))
+    return "\n\n".join(shown)
+
+
+def listwise_prompt(query: Column, passages: Column, words: int = 300) -> Column:
+    """The dialogue of a listwise ranker, an array of struct(role, content): who it is, how many passages follow for which
+    query, each passage (its first `words` words) with its number and a receipt, and the order to rank them by number."""
+    message = lambda role, content: F.struct(F.lit(role).alias("role"), content.alias("content"))
+    n = F.size(passages).cast("string")
+    head = F.array(
+        message("system", F.lit("You rank passages by how well they answer a query.")),
+        message("user", F.concat(F.lit("There are "), n, F.lit(" passages, each with a number in []. Rank them for the query: "), query)),
+        message("assistant", F.lit("Send the passages.")),
+    )
+    cut = lambda x: F.array_join(F.slice(F.split(parse_text(F.regexp_replace(F.replace(x, F.lit("Title: Content: "), F.lit("")), r"\s+", " ")), " "), 1, words), " ")
+    each = F.flatten(F.transform(passages, lambda x, i: F.array(message("user", F.concat(F.lit("["), (i + 1).cast("string"), F.lit("] "), cut(x))), message("assistant", F.concat(F.lit("Passage ["), (i + 1).cast("string"), F.lit("] received."))))))
+    tail = F.array(message("user", F.concat(F.lit("Query: "), query, F.lit(". Rank the "), n, F.lit(" passages, best first, as numbers: [2] > [1]. Give the ranking only."))))
+    return F.concat(head, each, tail)
+
+
+def completion_prompt(messages: Column) -> Column:
+    """Messages as one text for a model that completes: those of system and user, and the start of the answer."""
+    said = F.filter(messages, lambda m: m["role"].isin("system", "user"))
+    return F.concat(F.array_join(F.transform(said, lambda m: F.concat(m["content"], F.lit("\n\n"))), ""), F.lit("The ranking, as numbers only:"))

@@ -4,14 +4,36 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 TERM = r"[\p{L}\p{N}]+"
 #: Words that open a question, matched as prefixes.
-QUESTION_WORDS = "what when why who where how is can does do did are was were should would".split()
-#: A short stop list; pass another list where more words should go.
-STOP_WORDS = "a an and are as at be but by for if in into is it no not of on or such that the their then there these they this to was will with".split()
+QUESTION_WORDS = ["what", "when", "why", "who", "how", "where", "whose", "which", "is", "are", "were", "was", "do", "does", "did", "can"]
+#: The short stop list.
+STOP_WORDS = (
+    "i me my myself we our ours ourselves you your yours yourself yourselves he him his himself she her hers herself it its itself they them their theirs themselves "
+    "what which who whom this that these those am is are was were be been being have has had having do does did doing a an the and but if or because as until while "
+    "then here there when where why how other some such nor not only own same now"
+).split()
+#: The longer stop list.
+MORE_STOP_WORDS = (
+    "i me my myself we our ours ourselves you your yours yourself yourselves he him his himself she her hers herself it its itself they them their theirs themselves "
+    "what which who whom this that these those am is are was were be been being have has had having do does did doing a an the and but if or because as until while "
+    "of at by for with about against between into through during before after above below to from up down in out on off over under again further then once "
+    "here there when where why how all any both each few more most other some such no nor not only own same so than too very s t can will just don should now"
+).split()
+
+
+def stop_words(size: str = "short", path: str | None = None) -> list[str]:
+    """A stop list by size: short, longer, or long, which is read from a file of words by white space (one that big is a
+    parameter here)."""
+    if size == "long":
+        if path is None:
+            raise ValueError("the long stop list is read from a file: give its path")
+        with open(path, encoding="utf-8") as f:
+            return list(dict.fromkeys(f.read().split()))
+    return {"short": STOP_WORDS, "longer": MORE_STOP_WORDS}[size]
 
 
 def terms(text: Column) -> Column:
@@ -23,6 +45,13 @@ def without_stop_words(words: Column, stop: list[str] = STOP_WORDS) -> Column:
     return F.filter(words, lambda w: ~w.isin(*stop))
 
 
+def known_words(words: DataFrame, column: str, vocabulary: DataFrame, word: str, lemma=F.lower) -> DataFrame:
+    """Rows of words whose lemma (lemma: a column function, such as a dictionary's; lower case by default) is a word of the
+    vocabulary, which may be of any size."""
+    v = vocabulary.select(F.lower(word).alias("_known")).distinct()
+    return words.join(v, lemma(F.col(column)) == F.col("_known"), "left_semi")
+
+
 def first_terms(words: Column, n: int) -> Column:
     return F.slice(words, 1, n)
 

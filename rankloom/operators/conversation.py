@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -84,3 +87,75 @@ def better_rewrite(results: DataFrame, a: str, b: str, metric: str) -> DataFrame
     """turn_id, a_wins: whether result a reaches at least b's value of the metric. results: turn_id, name, metrics (map)."""
     pick = lambda name, to: results.filter(F.col("name") == name).select("turn_id", F.try_element_at("metrics", F.lit(metric)).alias(to))
     return pick(a, "_a").join(pick(b, "_b"), "turn_id").select("turn_id", (F.col("_a") >= F.col("_b")).alias("a_wins"))
+
+
+def evaluated(turns: DataFrame, ids: DataFrame | list[str]) -> DataFrame:
+    """The turns whose turn_id is among ids: a table (turn_id) of any size, or a short list."""
+    if isinstance(ids, list):
+        return turns.filter(F.col("turn_id").isin(ids))
+    return turns.join(ids.select("turn_id").distinct(), "turn_id", "left_semi")
+
+
+def of_level(turns: DataFrame, level: str) -> DataFrame:
+    """The turns (with a column level) of one personalization level; "all" keeps every turn."""
+    return turns if level == "all" else turns.filter(F.col("level") == level)
+
+
+def level_counts(levels: DataFrame) -> DataFrame:
+    """level, n_queries of (qid, level)."""
+    return levels.groupBy("level").agg(F.count("*").alias("n_queries"))
+
+
+def sole(entries: Column, matches, what: str) -> Column:
+    """The one entry of an array that matches; null if there is none. It raises if there are several."""
+    found = F.filter(entries, matches)
+    return F.when(F.size(found) > 1, F.raise_error(F.lit(f"several of {what}"))).otherwise(F.get(found, F.lit(0)))
+
+
+def reformulation(name: str) -> Column:
+    """The entry of column reformulations with that name; null without one, and it raises if there are several."""
+    return sole(F.col("reformulations"), lambda x: x["reformulation_name"] == name, f"reformulation {name}")
+
+
+#: The fields that tell a turn's results apart.
+RESULT_KEY = ("collection", "retrieval_model", "reranker", "generation_model", "retrieval_query_type", "reranking_query_type", "generation_query_type")
+
+
+def result(key: dict[str, str]) -> Column:
+    """The entry of column results with these values of RESULT_KEY; null without one, and it raises if there are several."""
+
+    def matches(x: Column) -> Column:
+        return reduce(and_, (x[c].eqNullSafe(F.lit(key.get(c))) for c in RESULT_KEY))
+
+    return sole(F.col("results"), matches, "results of one key")
+
+
+def provenance_of(name: str) -> Column:
+    """ptkb_provenance of the reformulation of that name; it raises if there is none."""
+    r = reformulation(name)
+    return F.when(r.isNull(), F.raise_error(F.lit(f"no reformulation {name}"))).otherwise(r["ptkb_provenance"])
+
+
+def turn_of(turns: DataFrame, qids: DataFrame) -> DataFrame:
+    """qid and the columns of its turn, for every row of qids (qid); it raises for a qid that no turn has."""
+    found = qids.select(F.col("qid").cast("string").alias("qid")).join(turns, F.col("qid") == F.col("turn_id"), "left")
+    known = F.when(F.col("turn_id").isNull(), F.raise_error(F.concat(F.lit("no turn "), "qid"))).otherwise(F.col("turn_id"))
+    return found.withColumn("turn_id", known)
+
+
+def with_results(turns: DataFrame, results: DataFrame) -> DataFrame:
+    """turns whose column results holds the entries of results (turn_id and RESULT_KEY, metrics, response), one a key: a new
+    entry replaces an old one of its key, where it stands, and others follow in order of their keys. Of several new
+    entries of a turn and key the greatest by response stays."""
+    fields = [*RESULT_KEY, "metrics", "response"]
+    new = results.groupBy("turn_id", *RESULT_KEY).agg(F.max_by("metrics", F.coalesce("response", F.lit(""))).alias("metrics"), F.max("response").alias("response"))
+    # maps have no order, so entries are sorted by their key and carried with it
+    entry = F.struct(F.struct(*RESULT_KEY).alias("k"), F.struct(*fields).alias("v"))
+    by_key = lambda a, b: F.when(a["k"] < b["k"], -1).when(a["k"] > b["k"], 1).otherwise(0)
+    new = new.groupBy("turn_id").agg(F.transform(F.array_sort(F.collect_list(entry), by_key), lambda x: x["v"]).alias("_new"))
+    same = lambda a, b: reduce(and_, (a[c].eqNullSafe(b[c]) for c in RESULT_KEY))
+    old = F.coalesce("results", F.array().cast(turns.schema["results"].dataType))
+    fresh = F.coalesce("_new", F.array().cast(turns.schema["results"].dataType))
+    put = F.transform(old, lambda x: F.coalesce(F.get(F.filter(fresh, lambda y: same(x, y)), F.lit(0)), x))
+    rest = F.filter(fresh, lambda y: ~F.exists(old, lambda x: same(x, y)))
+    return turns.join(new, "turn_id", "left").withColumn("results", F.concat(put, rest)).drop("_new")

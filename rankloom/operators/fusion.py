@@ -65,6 +65,12 @@ def concatenation(runs: DataFrame) -> DataFrame:
     return ranked(first.select("qid", "docid", "score", F.col("_at.list_id").alias("first_list"), F.col("_at.rank").alias("first_rank")), ["qid"])
 
 
+def queries_lacking(runs: DataFrame, first: int = 0, second: int = 1) -> DataFrame:
+    """qid of the queries that list `first` has and list `second` lacks."""
+    qids = lambda i: runs.filter(F.col("list_id") == i).select("qid").distinct()
+    return qids(first).join(qids(second), "qid", "left_anti")
+
+
 def draw_order(n: int, seed: int = 42) -> list[int]:
     """The order in which lists are drawn from: one shuffle of the seed, used at every rank."""
     order = list(range(n))
@@ -74,7 +80,8 @@ def draw_order(n: int, seed: int = 42) -> list[int]:
 
 def round_robin(runs: DataFrame, n_lists: int, k: int = 1000, seed: int = 42) -> DataFrame:
     """Lists in turn, rank by rank down to the end of the shortest, each passage at its first place. If k are reached,
-    the first k score 1 / place; otherwise passages keep their scores and are ranked by them."""
+    the first k score 1 / place; otherwise passages keep their scores and are ranked by them. A query that a list lacks
+    has a shortest list of length 0, so nothing is drawn and it is not in the result."""
     turn = F.array(*(F.lit(draw_order(n_lists, seed).index(i)) for i in range(n_lists)))
     depth = runs.groupBy("qid", "list_id").agg(F.max("rank").alias("_n")).groupBy("qid").agg(F.min("_n").alias("_n"), F.count("*").alias("_lists"))
     near = runs.join(depth, "qid").filter((F.col("_lists") == n_lists) & (F.col("rank") <= F.least("_n", F.lit(k))))

@@ -44,10 +44,15 @@ def overlap(query_words: Column, words: Column) -> Column:
     return settled(F.coalesce(F.size(F.array_intersect(q, words)) / F.nullif(F.size(q), F.lit(0)), F.lit(0.0)))
 
 
-def window_starts(n: int, window: int, step: int) -> list[tuple[int, int]]:
-    """(start, end) of listwise windows from the end of a ranking to its start; they end when a start would be negative."""
-    out, end = [], n
-    start = n - window
+def encoder_pair(query: Column, document: Column) -> tuple[Column, Column]:
+    """What a pairwise encoder reads: the query's and the document's side, each with its prefix."""
+    return F.concat(F.lit("query: "), query), F.concat(F.lit("document: "), document)
+
+
+def window_starts(head: int, window: int, step: int) -> list[tuple[int, int]]:
+    """(start, end) of listwise windows from place `head` of a ranking to its start; they end when a start would be negative."""
+    out, end = [], head
+    start = head - window
     while start >= 0:
         out.append((start, end))
         start, end = start - step, end - step
@@ -62,15 +67,18 @@ def repaired(named: list[int], n: int) -> list[int]:
 
 def listwise(run: DataFrame, permute: Callable[[str, list[str]], list[int]], window: int = 20, step: int = 10, head: int = 100) -> DataFrame:
     """Sliding-window listwise reranking of each query's first `head` passages (columns qid, query, docid, contents,
-    score, rank): permute(query, contents) names places from 1. Passages move, scores stay at their places."""
-    out = "qid string, docid string, score double, rank int"
+    score, rank): permute(query, contents) names places from 1. Passages move, scores stay at their places, and so do all
+    passages after the head. Windows are counted from place `head` whether or not a query has so many; a window beyond
+    the end is what there is of it. Only heads, of a bounded size, are brought together by query."""
+    out = run.select("qid", "docid", "score", F.col("rank").cast("int").alias("rank"))
 
     def work(f: pd.DataFrame) -> pd.DataFrame:
         f = f.sort_values("rank")
         rows = list(zip(f["docid"], f["contents"]))
-        for start, end in window_starts(min(head, len(rows)), min(window, len(rows)), step):
-            part = rows[start:end]
-            rows[start:end] = [part[i] for i in repaired(permute(f["query"].iloc[0], [c for _, c in part]), len(part))]
-        return pd.DataFrame({"qid": f["qid"].astype(str), "docid": [str(d) for d, _ in rows], "score": f["score"].to_numpy(), "rank": np.arange(1, len(rows) + 1)})
+        for start, end in window_starts(head, window, step):
+            if part := rows[start:end]:
+                rows[start:end] = [part[i] for i in repaired(permute(f["query"].iloc[0], [c for _, c in part]), len(part))]
+        return pd.DataFrame({"qid": f["qid"].to_numpy(), "docid": [d for d, _ in rows], "score": f["score"].to_numpy(), "rank": f["rank"].to_numpy()})
 
-    return run.filter(F.col("rank") <= head).groupBy("qid").applyInPandas(work, out)
+    first = run.filter(F.col("rank") <= head).groupBy("qid").applyInPandas(work, out.schema)
+    return first.unionByName(out.filter(F.col("rank") > head))

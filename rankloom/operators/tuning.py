@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import product
+from operator import add
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import fusion
-from .metrics import ideal, judged
+from .metrics import ideal, judged, mean, per_query
 from .ranking import ranked, settled
 
 
@@ -41,19 +43,29 @@ def best(objectives: DataFrame, keys: list[str]) -> DataFrame:
     return objectives.withColumn("_n", F.row_number().over(order)).filter("_n = 1").drop("_n")
 
 
-def supervised(runs: DataFrame, qrels: DataFrame, groups: DataFrame, n_lists: int, trials: list[tuple[float, ...]], ndcg_at: int = 3, recall_at: tuple[int, ...] = (10, 100)) -> DataFrame:
-    """grp, trial, w, objective of every trial: the mean over a group's judged queries of reciprocal rank + ndcg + recalls.
-    groups: (qid, grp); one value of grp tunes for all queries together."""
+def supervised(runs: DataFrame, qrels: DataFrame, groups: DataFrame, n_lists: int, trials: list[tuple[float, ...]], terms: tuple[str, ...] = ("mrr", "ndcg@3", "recall@10", "recall@100")) -> DataFrame:
+    """grp, trial, w, objective of every trial: the mean over a group's judged queries of the sum of terms, which are mrr,
+    ndcg@k, recall@k and precision@k; one term tunes for a single measure. groups: (qid, grp); one value of grp tunes for
+    all queries together."""
+    parts = [(name, int(k or 0)) for name, _, k in (t.partition("@") for t in terms)]
+    if bad := [t for t, (name, k) in zip(terms, parts) if name not in ("mrr", "ndcg", "recall", "precision") or (name != "mrr") != bool(k)]:
+        raise ValueError(f"unknown measures {bad}")
     r = judged(fused(runs, n_lists, trials), qrels)
     gain = F.greatest(F.col("rel"), F.lit(0)) / F.log2(F.col("rank") + 1.0)
     hit = (F.col("rel") > 0).cast("double")
-    sums = [F.min(F.when(F.col("rel") > 0, F.col("rank"))).alias("_first"), F.sum(F.when(F.col("rank") <= ndcg_at, gain).otherwise(0.0)).alias("_dcg")]
-    sums += [F.sum(F.when(F.col("rank") <= c, hit).otherwise(0.0)).alias(f"_hit_{c}") for c in recall_at]
-    q = r.groupBy("trial", "qid").agg(F.first("w").alias("w"), *sums).join(ideal(qrels, (ndcg_at,)), "qid").join(groups, "qid")
-    value = F.coalesce(1.0 / F.col("_first"), F.lit(0.0)) + F.coalesce(F.try_divide(F.col("_dcg"), F.col(f"idcg_{ndcg_at}")), F.lit(0.0))
-    for c in recall_at:
-        value = value + F.coalesce(F.try_divide(F.col(f"_hit_{c}"), F.col("num_rel").cast("double")), F.lit(0.0))
-    return q.groupBy("grp", "trial").agg(F.first("w").alias("w"), settled(F.avg(value)).alias("objective"))
+    sums = [F.min(F.when(F.col("rel") > 0, F.col("rank"))).alias("_first")]
+    sums += [F.sum(F.when(F.col("rank") <= k, gain).otherwise(0.0)).alias(f"_dcg_{k}") for k in sorted({k for name, k in parts if name == "ndcg"})]
+    sums += [F.sum(F.when(F.col("rank") <= k, hit).otherwise(0.0)).alias(f"_hit_{k}") for k in sorted({k for name, k in parts if name in ("recall", "precision")})]
+    cuts = tuple(sorted({k for name, k in parts if name == "ndcg"}))
+    q = r.groupBy("trial", "qid").agg(F.first("w").alias("w"), *sums).join(ideal(qrels, cuts), "qid").join(groups, "qid")
+    value = {
+        "mrr": lambda _: 1.0 / F.col("_first"),
+        "ndcg": lambda k: F.try_divide(F.col(f"_dcg_{k}"), F.col(f"idcg_{k}")),
+        "recall": lambda k: F.try_divide(F.col(f"_hit_{k}"), F.col("num_rel").cast("double")),
+        "precision": lambda k: F.col(f"_hit_{k}") / float(k),
+    }
+    total = reduce(add, (F.coalesce(value[name](k), F.lit(0.0)) for name, k in parts))
+    return q.groupBy("grp", "trial").agg(F.first("w").alias("w"), settled(F.avg(total)).alias("objective"))
 
 
 def by_score(runs: DataFrame, groups: DataFrame, n_lists: int, trials: list[tuple[float, ...]], top: int = 100) -> DataFrame:
@@ -74,6 +86,13 @@ def weights_of(chosen: DataFrame, groups: DataFrame) -> DataFrame:
     return groups.join(chosen, "grp").select("qid", F.posexplode("w").alias("list_id", "weight"))
 
 
+def measured(runs: DataFrame, qrels: DataFrame, chosen: DataFrame, groups: DataFrame, k: int = 1000) -> DataFrame:
+    """The mean measures of each group's queries under its chosen weights, beside these: grp, trial, w, objective, n_queries
+    and the measures. A missing passage has its list's least score."""
+    run = fusion.linear_combination(runs, weights_of(chosen, groups), k)
+    return chosen.join(mean(per_query(run, qrels).join(groups, "qid"), ("grp",)), "grp")
+
+
 def two_plus_one(runs: DataFrame, qrels: DataFrame, groups: DataFrame, steps: int, k: int = 1000) -> DataFrame:
     """Lists 0 and 1 are tuned together for all queries and fused; that list and list 2 are tuned by group and fused."""
     trials = grid(2, steps)

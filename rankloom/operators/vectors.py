@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -30,13 +31,22 @@ def cosine(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(dot(a, b), norm(a) * norm(b)), F.lit(0.0))
 
 
-def dense(queries: DataFrame, vectors: DataFrame, k: int = 1000, block: int = 4096) -> DataFrame:
+def dense(queries: DataFrame, vectors: DataFrame, k: int = 1000, block: int = 4096, queries_at_once: int = 4096) -> DataFrame:
     """Exact inner-product search: queries (qid, embedding) against vectors (docid, embedding), the k best for each.
 
-    The queries are a stated set that fits a worker; they are collected once and sent with the task. Each task scores
-    its passages block by block and hands on the k best of each block; the exchange then carries few rows.
+    The queries are a stated set; they go with the tasks, queries_at_once of them, and more in further passes over the
+    vectors. Each task scores its passages block by block and hands on the k best of each block; the exchange then
+    carries few rows. Queries must have one length and no null components, or it raises; passages whose vector is null,
+    of another length or holds nulls are left out.
     """
+    n = queries.count()
+    if n > queries_at_once:
+        parts = -(-n // queries_at_once)
+        each = [dense(queries.filter(F.pmod(F.xxhash64("qid"), F.lit(parts)) == i), vectors, k, block, 2 * n) for i in range(parts)]
+        return reduce(DataFrame.unionByName, each)
     given = queries.select("qid", "embedding").orderBy("qid").collect()
+    if any(r["embedding"] is None or None in r["embedding"] or len(r["embedding"]) != len(given[0]["embedding"]) for r in given):
+        raise ValueError("queries need vectors of one length without nulls")
     qids = [r["qid"] for r in given]
     q = np.array([r["embedding"] for r in given], np.float64)
     out = vectors.select("docid").schema.add("_q", "integer").add("score", "double")
@@ -55,7 +65,9 @@ def dense(queries: DataFrame, vectors: DataFrame, k: int = 1000, block: int = 40
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(doc)), pa.array(which.astype(np.int32)), pa.array(scores[which, doc])], names=["docid", "_q", "score"])
 
     names = F.array(*map(F.lit, qids)) if qids else F.array()
-    found = vectors.filter("embedding is not null").select("docid", "embedding").mapInArrow(work, out)
+    dim = len(given[0]["embedding"]) if given else 0
+    whole = (F.size("embedding") == dim) & ~F.exists("embedding", lambda x: x.isNull())
+    found = vectors.filter(F.col("embedding").isNotNull() & whole).select("docid", "embedding").mapInArrow(work, out)
     return ranked(found.select(F.get(names, F.col("_q")).alias("qid"), "docid", settled(F.col("score")).alias("score")), ["qid"], k)
 
 
@@ -89,6 +101,26 @@ def pooled(rows: Column, how: str = "max") -> Column:
     return F.aggregate(F.transform(F.slice(rows, 2, F.greatest(F.size(rows) - 1, F.lit(0))), squash), squash(F.element_at(rows, 1)), join)
 
 
+def mean_pooled(rows: Column, mask: Column, skip: int = 0) -> Column:
+    """The mean of token vectors (array of arrays) where mask is 1, the first `skip` tokens left out; null if none is left."""
+    real = F.filter(F.transform(rows, lambda r, i: F.when((i >= skip) & (F.get(mask, i) == 1), r)), lambda r: r.isNotNull())
+    total = F.aggregate(F.slice(real, 2, F.greatest(F.size(real) - 1, F.lit(0))), F.transform(F.get(real, F.lit(0)), lambda x: x.cast("double")), lambda a, b: F.zip_with(a, b, lambda x, y: x + y))
+    return F.when(F.size(real) > 0, F.transform(total, lambda x: x / F.size(real)))
+
+
+def first_pooled(rows: Column) -> Column:
+    """The vector of the first token."""
+    return F.get(rows, F.lit(0))
+
+
+def denoised(rows: Column, k: int) -> Column:
+    """The k token vectors after the first that are most like the first by cosine, in their order; ties by place."""
+    first = F.get(rows, F.lit(0))
+    like = F.transform(F.slice(rows, 2, F.greatest(F.size(rows) - 1, F.lit(0))), lambda r, i: F.struct((-cosine(first, r)).alias("s"), i.alias("i"), r.alias("r")))
+    best = F.slice(F.array_sort(like), 1, k)
+    return F.transform(F.array_sort(F.transform(best, lambda x: F.struct(x["i"].alias("i"), x["r"].alias("r")))), lambda x: x["r"])
+
+
 def bag_of_words(words: Column) -> Column:
     """Each distinct word with weight 1."""
     return F.transform(F.array_distinct(words), lambda w: F.struct(w.alias("dim"), F.lit(1.0).alias("q")))

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .storage import small
+
 
 def repaired_tsv(lines: DataFrame) -> DataFrame:
     """docid, contents, url, ok of lines `id <tab> text [parts] <tab> url`: surplus parts in the middle are joined by four
@@ -24,6 +26,41 @@ def plain_tsv(lines: DataFrame) -> DataFrame:
     return lines.select(p[0].alias("docid"), F.coalesce(F.get(p, F.lit(1)), F.lit("")).alias("contents"))
 
 
+def clean_tsv(lines: DataFrame) -> DataFrame:
+    """Lines `id <tab> text` of the lines that repaired_tsv calls ok."""
+    return repaired_tsv(lines).filter("ok").select(F.concat_ws("\t", "docid", "contents").alias("value"))
+
+
+def by_ids(passages: DataFrame, ids: DataFrame) -> DataFrame:
+    """docid, contents of every row of ids (docid); contents is null where there is no such passage."""
+    return small(ids.select("docid")).join(passages.select("docid", "contents"), "docid", "left")
+
+
+def gold_passages(turns: DataFrame, passages: DataFrame, key: str = "turn_id") -> DataFrame:
+    """key, gold: the passages (docid, contents) of each turn's response_provenance, in its order; a passage that isn't
+    there has null contents, and a turn without provenance an empty array."""
+    each = turns.select(key, F.posexplode("response_provenance").alias("pos", "docid"))
+    found = each.join(passages.select("docid", "contents"), "docid", "left").groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "docid", "contents"))).alias("g"))
+    gold = F.transform("g", lambda x: F.struct(x["docid"].alias("docid"), x["contents"].alias("contents")))
+    empty = F.array().cast(f"array<struct<docid:{passages.schema['docid'].dataType.simpleString()},contents:string>>")
+    return turns.select(key).join(found.select(key, gold.alias("gold")), key, "left").withColumn("gold", F.coalesce("gold", empty))
+
+
+def permuted(rows: DataFrame, key: str, seed: int = 42) -> DataFrame:
+    """Add place: the rows in an order that the seed alone decides; equal keys keep one place each by chance of Spark's order."""
+    mixed = rows.withColumn("_u", F.xxhash64(F.lit(seed), key))
+    part = F.shiftright("_u", 48)  # ranges of the hash are counted first, so that no task orders all rows
+    counts = mixed.groupBy(part.alias("_p")).agg(F.count("*").alias("_n"))
+    before = counts.select("_p", F.coalesce(F.sum("_n").over(W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    place = F.row_number().over(W.partitionBy("_p").orderBy("_u", key)) + F.col("_before") - 1
+    return mixed.withColumn("_p", part).join(before, "_p").withColumn("place", place.cast("long")).drop("_p", "_u", "_before")
+
+
+def sampled(rows: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
+    """n rows (all, if they are fewer), the same on every run."""
+    return rows.orderBy(F.xxhash64(F.lit(seed), key), key).limit(n)
+
+
 def to_jsonl(passages: DataFrame) -> DataFrame:
     return passages.select(F.to_json(F.struct(F.col("docid").alias("id"), "contents")).alias("value"))
 

@@ -52,6 +52,11 @@ def state_of(df: DataFrame) -> tuple:
     return tuple(out)
 
 
+def literal(path: str) -> str:
+    """A path whose brackets and stars are letters, not a pattern."""
+    return re.sub(r"([\[\]{}*?\\])", r"\\\1", path)
+
+
 def once(key: tuple, build) -> str:
     """The path that build() gives, asked for once in an application for each key."""
     if key not in _kept:
