@@ -9,11 +9,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import parsing, text
+from ..functions import flattening, parsing, text
 from ..operators import conversation, fusion, lexical, metrics, rerank, tuning, vectors
 from ..operators.ranking import normalized, ranked, settled
-from ..sources import passages, trec, turns
-from . import experiments
+from ..sources import passages, sinks, trec, turns
+from ..sources.storage import kept, scratch_path, small, spread
+from . import experiments, generation, search
 
 #: Passages a list in the short queries, and in those that end in _1000: the reference's depth.
 DEPTH, FULL = 50, 1000
@@ -52,8 +53,13 @@ def corpus(spark, d):
     return lexical.term_lists(read(spark, d, "documents"), "doc_id", "text")
 
 
+def index(spark, d):
+    """The stored index of documents, written when the first query asks for it."""
+    return lexical.index_once(read(spark, d, "documents"), "doc_id", "text")
+
+
 def runs(spark, d, n=3, k=DEPTH):
-    return experiments.retrieve(three_queries(spark, d), corpus(spark, d), experiments.Config(list(range(n)), k=k))
+    return experiments.retrieve(three_queries(spark, d), index(spark, d), experiments.Config(list(range(n)), k=k))
 
 
 def unit_runs(spark, d, n=3, k=DEPTH):
@@ -132,7 +138,19 @@ def tokenize_stats(spark, d):
 
 @query(f"WITH {CORPUS} SELECT term, count(*) AS df, sum(tf)::BIGINT AS cf, max(tf) AS max_tf FROM post GROUP BY term")
 def postings_dist(spark, d):
-    return lexical.postings(corpus(spark, d)).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"), F.max("tf").alias("max_tf"))
+    return index(spark, d).terms
+
+
+@query(f"WITH {CORPUS} SELECT term, docid, tf, dl FROM post JOIN lens USING (docid)")
+def index_postings(spark, d):
+    return index(spark, d).postings
+
+
+@query(f"WITH {CORPUS} SELECT term, count(*) AS df, sum(tf)::BIGINT AS cf, max(tf) AS max_tf, n::BIGINT AS n_docs, any_value((SELECT sum(dl) FROM lens))::BIGINT AS n_tokens FROM post CROSS JOIN stats GROUP BY term, n")
+def index_write_read(spark, d):
+    """A new index each time: written, read back, its terms beside the collection's size."""
+    found = lexical.write_index(corpus(spark, d), scratch_path(spark))
+    return found.terms.crossJoin(F.broadcast(found.stats.select("n_docs", "n_tokens")))
 
 
 @query(f"WITH {BASE} SELECT qid, docid, score, rank FROM runs WHERE list_id = 0")
@@ -143,7 +161,7 @@ def bm25_topk(spark, d):
 @query(f"WITH {BASE} SELECT p.qid, p.docid, r.rank, term, tf, df, round(part, 6) AS part FROM parts p JOIN runs r USING (list_id, qid, docid) WHERE list_id = 0 AND r.rank <= 10")
 def bm25_explain(spark, d):
     q = lexical.query_terms(items(spark, d), ["qid"])
-    return lexical.bm25_explain(q, corpus(spark, d), ["qid"], 10)
+    return lexical.bm25_explain(q, index(spark, d), ["qid"], 10)
 
 
 RM3 = f"""{BASE}, top AS (SELECT qid, docid, score / sum(score) OVER (PARTITION BY qid) AS share FROM runs WHERE list_id = 0 AND rank <= 10),
@@ -155,8 +173,8 @@ rm AS (SELECT 0 AS list_id, qid, term, round(sum(v), 6) AS qtf FROM (
 
 
 def feedback(spark, d):
-    q, lists = lexical.query_terms(items(spark, d), ["qid"]), corpus(spark, d)
-    return lexical.feedback_terms(q, lexical.bm25(q, lists, ["qid"], DEPTH), lists, ["qid"])
+    q, found = lexical.query_terms(items(spark, d), ["qid"]), index(spark, d)
+    return lexical.feedback_terms(q, lexical.bm25(q, found, ["qid"], DEPTH), found, ["qid"])
 
 
 @query(f"WITH {RM3} SELECT qid, term, qtf FROM rm")
@@ -166,7 +184,7 @@ def rm3_terms(spark, d):
 
 @query(f"WITH {RM3}, {bm25_sql('rm', 'rm_')} SELECT qid, docid, score, rank FROM rm_runs")
 def rm3_topk(spark, d):
-    return lexical.bm25(feedback(spark, d), corpus(spark, d), ["qid"], DEPTH)
+    return lexical.bm25(kept(feedback(spark, d)), index(spark, d), ["qid"], DEPTH)
 
 
 DOT = "list_inner_product(q.embedding::DOUBLE[], v.embedding::DOUBLE[])"
@@ -186,8 +204,8 @@ def cosine_topk(spark, d):
 @query(f"WITH {CORPUS}, {QUERY3}, s AS (" + rank_sql("SELECT qid, docid, round(sum(qtf * tf), 6) AS score FROM qw JOIN post USING (term) WHERE list_id = 0 GROUP BY ALL HAVING sum(qtf * tf) > 0", 20) + ") SELECT * FROM s")
 def sparse_dot_topk(spark, d):
     q = lexical.query_terms(items(spark, d), ["qid"]).select("qid", F.col("term").alias("dim"), F.col("qtf").alias("q"))
-    index = lexical.postings(corpus(spark, d)).select(F.col("term").alias("dim"), "docid", F.col("tf").cast("double").alias("value"))
-    return vectors.sparse(q, index, 20)
+    rows = index(spark, d).postings.select(F.col("term").alias("dim"), "docid", F.col("tf").cast("double").alias("value"))
+    return vectors.sparse(small(q), rows, 20)
 
 
 @query("""WITH x AS (SELECT vec_id, u.d AS dim, u.t AS tok, ln(1 + greatest(embedding[u.t * 16 + u.d + 1]::DOUBLE, 0)) AS v FROM embeddings, (SELECT d, t FROM range(16) a(d), range(4) b(t)) u)
@@ -381,7 +399,9 @@ def tune_retrieval_score(spark, d, k=DEPTH):
 
 MEASURES = ["map", "ndcg", "recip_rank", *(f"ndcg_cut_{c}" for c in metrics.NDCG_CUTS), *(f"p_{c}" for c in metrics.P_CUTS), *(f"recall_{c}" for c in metrics.RECALL_CUTS)]
 HITS = sorted({*metrics.P_CUTS, *metrics.RECALL_CUTS})
-PER_QUERY = f"""{BASE}, {QRELS}, {IDEAL}, j AS (SELECT r.qid, r.docid, r.rank, coalesce(rel, 0) AS rel FROM runs r LEFT JOIN qrels USING (qid, docid) WHERE list_id = 0),
+
+def per_query_sql(run: str) -> str:
+    return f"""j AS (SELECT r.qid, r.docid, r.rank, coalesce(rel, 0) AS rel FROM {run} r LEFT JOIN qrels USING (qid, docid)),
 h AS (SELECT *, sum((rel > 0)::INT) OVER (PARTITION BY qid ORDER BY rank) AS hits FROM j),
 a AS (SELECT qid, sum(CASE WHEN rel > 0 THEN hits / rank::DOUBLE ELSE 0 END) AS ap, sum(rel / log2(rank + 1.0e0)) AS dcg, min(CASE WHEN rel > 0 THEN rank END) AS first,
   {', '.join(f'coalesce(sum(rel / log2(rank + 1.0e0)) FILTER (rank <= {c}), 0) AS dcg_{c}' for c in metrics.NDCG_CUTS)},
@@ -392,6 +412,9 @@ m AS (SELECT qid, num_rel, round(coalesce(ap / nullif(num_rel, 0), 0), 6) AS map
   {', '.join(f'round(coalesce(hit_{c} / nullif(num_rel, 0)::DOUBLE, 0), 6) AS recall_{c}' for c in metrics.RECALL_CUTS)} FROM a JOIN ideal USING (qid))"""
 
 
+PER_QUERY = f"{BASE}, {QRELS}, {IDEAL}, {per_query_sql('(SELECT * FROM runs WHERE list_id = 0)')}"
+
+
 @query(f"WITH {PER_QUERY} SELECT * FROM m")
 def metrics_per_query(spark, d, k=DEPTH):
     return metrics.per_query(one_run(spark, d, k), qrels(spark, d))
@@ -463,13 +486,13 @@ def flatten_query(spark, d):
 @query("SELECT conv_id, turn, substr('abc', (conv_id % 3 + 1)::INT, 1) AS level FROM conversations WHERE role = 'user' AND substr('abc', (conv_id % 3 + 1)::INT, 1) = 'b'")
 def group_filter(spark, d):
     lv = F.substring(F.lit("abc"), (F.pmod("conv_id", F.lit(3)) + 1).cast("int"), F.lit(1))
-    return talk(spark, d).filter("role = 'user'").select("conv_id", "turn", lv.alias("level")).filter("level = 'b'")
+    return conversation.of_level(talk(spark, d).filter("role = 'user'").select("conv_id", "turn", lv.alias("level")), "b")
 
 
 @query("SELECT conv_id, turn, role FROM conversations c WHERE EXISTS (SELECT 1 FROM conversations s WHERE s.conv_id = c.conv_id AND s.role = 'system')")
 def evaluated_semi(spark, d):
     t = talk(spark, d)
-    return t.join(t.filter("role = 'system'").select("conv_id").distinct(), "conv_id", "left_semi").select("conv_id", "turn", "role")
+    return conversation.evaluated(t.withColumn("turn_id", F.col("conv_id")), t.filter("role = 'system'").select(F.col("conv_id").alias("turn_id"))).select("conv_id", "turn", "role")
 
 
 @query(f"""WITH {ITEMS}, m AS (SELECT qid, text AS cur, array_to_string(words[1:10], ' ') AS rw, array_to_string(words[greatest(len(words) - 9, 1):], ' ') AS rs, array_to_string(words, ' ') AS ex FROM items)
@@ -485,8 +508,8 @@ def query_resolver(spark, d):
     return q.select("qid", r("raw").alias("raw"), r("rar_rwrs", w=0.5).alias("rwrs"), r("rar_rwrs+raw", w=0.5).alias("joined"), r("none").alias("nothing"), r("a_fuse_b").alias("fused"), r("alter_selon_manual_ptkb").alias("by_manual"), r("x_llm_rm", 5, 0.5).alias("expanded"), r("unknown").alias("missing"))
 
 
-@query(f"""SELECT conv_id, turn, t AS formatted, q FROM (SELECT conv_id, turn, q, upper(substr(p, 1, 1)) || substr(p, 2) || CASE WHEN q THEN '?' ELSE '.' END AS t
-  FROM (SELECT conv_id, turn, translate(text, '?\\"', '') AS p, regexp_matches(lower(text), '^(?:{'|'.join(text.QUESTION_WORDS)})') AS q FROM conversations))""")
+@query("""SELECT conv_id, turn, t AS formatted, q FROM (SELECT conv_id, turn, q, upper(substr(p, 1, 1)) || substr(p, 2) || CASE WHEN q THEN '?' ELSE '.' END AS t
+  FROM (SELECT conv_id, turn, translate(text, '?\\"', '') AS p, regexp_matches(lower(text), '^(?:what|when|why|who|how|where|whose|which|is|are|were|was|do|does|did|can)') AS q FROM conversations))""")
 def nl_query_format(spark, d):
     return talk(spark, d).select("conv_id", "turn", text.as_sentence(F.col("text")).alias("formatted"), text.is_question(F.col("text")).alias("q"))
 
@@ -573,8 +596,10 @@ OVERLAP = f"""{BASE}, sc AS (SELECT r.qid, r.docid, r.rank, round(len(list_inter
 @query(f"""WITH {OVERLAP}, n AS (SELECT qid, docid, CASE WHEN rank <= 20 THEN row_number() OVER (PARTITION BY qid, rank <= 20 ORDER BY CASE WHEN rank <= 20 THEN ms END DESC, rank) ELSE rank END::INT AS rank FROM sc)
 SELECT qid, docid, round(1.0e0 / rank, 6) AS score, rank FROM n""")
 def rerank_rescore(spark, d, k=DEPTH):
-    words = corpus(spark, d).select("docid", F.col("words").alias("dw"))
-    r = one_run(spark, d, k).join(items(spark, d).select("qid", "words"), "qid").join(words, "docid")
+    run = kept(one_run(spark, d, k))
+    found = read(spark, d, "documents").join(small(run.select(F.col("docid").alias("doc_id")).distinct()), "doc_id", "left_semi")
+    words = lexical.term_lists(found, "doc_id", "text").select("docid", F.col("words").alias("dw"))
+    r = run.join(items(spark, d).select("qid", "words"), "qid").join(words, "docid")
     return rerank.rescored(r.withColumn("model_score", rerank.overlap(F.col("words"), F.col("dw"))), "model_score", 20)
 
 
@@ -583,14 +608,34 @@ def passage_truncate(spark, d):
     return read(spark, d, "documents").select("doc_id", text.truncate_words(F.col("text"), 300).alias("passage"))
 
 
+def window_sql(source: str, start: int, end: int) -> str:
+    """Passages at places start + 1 to end by length, longest first, ties as they were; the others stay."""
+    inside = f"place > {start} AND place <= {end}"
+    return f"SELECT qid, docid, n, CASE WHEN {inside} THEN {start} + row_number() OVER (PARTITION BY qid, {inside} ORDER BY CASE WHEN {inside} THEN n END DESC, place) ELSE place END AS place FROM {source}"
+
+
+@query(f"""WITH {BASE}, r0 AS (SELECT r.qid, r.docid, r.rank AS place, length(array_to_string(string_split(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' ')[1:300], ' ')) AS n
+  FROM runs r JOIN documents ON doc_id = docid WHERE list_id = 0),
+w1 AS ({window_sql('r0', 20, 40)}), w2 AS ({window_sql('w1', 10, 30)}), w3 AS ({window_sql('w2', 0, 20)})
+SELECT w.qid, w.docid, r.score, r.rank FROM w3 w JOIN runs r ON r.list_id = 0 AND r.qid = w.qid AND r.rank = w.place""")
 def listwise_rerank(spark, d):
-    """Sliding windows with a stand-in for the model: longer passages first."""
+    """Sliding windows over the first 40 of 50 with a stand-in for the model: longer passages first."""
+    run = kept(one_run(spark, d))
     docs = read(spark, d, "documents").select(F.col("doc_id").alias("docid"), text.truncate_words(F.col("text"), 300).alias("contents"))
-    r = one_run(spark, d).join(items(spark, d).select("qid", F.col("text").alias("query")), "qid").join(docs, "docid")
-    return rerank.listwise(r, lambda q, c: [i + 1 for i in sorted(range(len(c)), key=lambda i: (-len(c[i]), i))], 20, 10, DEPTH)
+    docs = docs.join(small(run.select("docid").distinct()), "docid", "left_semi")
+    r = run.join(items(spark, d).select("qid", F.col("text").alias("query")), "qid").join(docs, "docid")
+    return rerank.listwise(r, lambda q, c: [i + 1 for i in sorted(range(len(c)), key=lambda i: (-len(c[i]), i))], 20, 10, 40)
 
 
-QUERIES["listwise_rerank"] = listwise_rerank
+@query(f"""WITH {PARTS}, m AS (SELECT qid, a, b FROM p)
+SELECT qid, 'system: You rank passages by how well they answer a query.' || chr(10) || 'user: There are 2 passages, each with a number in []. Rank them for the query: ' || a || chr(10) || 'assistant: Send the passages.' || chr(10)
+  || 'user: [1] ' || array_to_string(string_split(a, ' ')[1:5], ' ') || chr(10) || 'assistant: Passage [1] received.' || chr(10) || 'user: [2] ' || array_to_string(string_split(b, ' ')[1:5], ' ') || chr(10) || 'assistant: Passage [2] received.' || chr(10)
+  || 'user: Query: ' || a || '. Rank the 2 passages, best first, as numbers: [2] > [1]. Give the ranking only.' AS dialogue, 'query: ' || a AS query_side, 'document: ' || b AS document_side FROM m""")
+def rerank_prompts(spark, d):
+    p = parts(spark, d)
+    messages = parsing.listwise_prompt(F.col("a"), F.array("a", F.concat(F.lit(" Title: Content:  "), "b")), 5)
+    q, doc = rerank.encoder_pair(F.col("a"), F.col("b"))
+    return p.select("qid", F.array_join(F.transform(messages, lambda m: F.concat(m["role"], F.lit(": "), m["content"])), "\n").alias("dialogue"), q.alias("query_side"), doc.alias("document_side"))
 
 
 # ---- files, names, blocks, experiments ----
@@ -672,6 +717,237 @@ def param_grid(spark, d):
     return spark.createDataFrame(experiments.combinations(config), "model string, list string, k int, feedback string")
 
 
+# ---- lookups, write-back, generation, search ----
+
+
+@query("""SELECT l.docid, d.text AS contents FROM (SELECT doc_id AS docid FROM labels UNION ALL SELECT doc_id + 1000000000 FROM labels WHERE doc_id % 10 = 0) l LEFT JOIN documents d ON d.doc_id = l.docid""")
+def passage_lookup(spark, d):
+    ids = read(spark, d, "labels").select(F.col("doc_id").alias("docid"))
+    ids = ids.unionByName(ids.filter("docid % 10 = 0").select((F.col("docid") + 1000000000).alias("docid")))
+    return passages.by_ids(read(spark, d, "documents").select(F.col("doc_id").alias("docid"), F.col("text").alias("contents")), ids)
+
+
+@query("""WITH t AS (SELECT conv_id || '-' || turn AS turn_id, CASE WHEN turn % 3 = 2 THEN [] ELSE [conv_id + turn, 1000000000 + turn, conv_id] END AS p FROM conversations),
+e AS (SELECT turn_id, unnest(p) AS docid, unnest(range(len(p))) AS pos FROM t), j AS (SELECT turn_id, pos, e.docid, text FROM e LEFT JOIN documents ON doc_id = e.docid),
+g AS (SELECT turn_id, string_agg(docid::VARCHAR, ',' ORDER BY pos) AS docids, count(text) AS found, md5(string_agg(coalesce(text, ''), '|' ORDER BY pos)) AS contents FROM j GROUP BY turn_id)
+SELECT t.turn_id, coalesce(docids, '') AS docids, coalesce(found, 0) AS found, coalesce(contents, md5('')) AS contents FROM t LEFT JOIN g USING (turn_id)""")
+def gold_passages(spark, d):
+    p = F.when(F.col("turn") % 3 == 2, F.array().cast("array<long>")).otherwise(F.array(F.col("conv_id") + F.col("turn"), F.lit(1000000000) + F.col("turn"), "conv_id"))
+    t = talk(spark, d).select("turn_id", p.alias("response_provenance"))
+    g = passages.gold_passages(t, read(spark, d, "documents").select(F.col("doc_id").alias("docid"), F.col("text").alias("contents")))
+    column = lambda f, none: F.transform("gold", lambda x: F.coalesce(x[f].cast("string"), F.lit(none)))
+    return g.select("turn_id", F.array_join(column("docid", ""), ",").alias("docids"), F.size(F.filter("gold", lambda x: x["contents"].isNotNull())).cast("long").alias("found"), F.md5(F.array_join(column("contents", ""), "|").cast("binary")).alias("contents"))
+
+
+@query(f"WITH {ITEMS}, {LEVELS} SELECT level, count(*) AS n_queries FROM levels GROUP BY level")
+def level_counts(spark, d):
+    return conversation.level_counts(levels(spark, d))
+
+
+@query(f"WITH {BASE} SELECT DISTINCT qid FROM runs WHERE list_id = 0 AND qid NOT IN (SELECT qid FROM runs WHERE list_id = 1 AND qid % 3 <> 0)")
+def queries_lacking(spark, d):
+    return fusion.queries_lacking(runs(spark, d, 2).filter("list_id = 0 OR qid % 3 <> 0"))
+
+
+def reformulated(spark, d):
+    """Conversation turns with two reformulations each, and for even turns a stored result."""
+    one = lambda name, q, p: F.struct(F.lit(name).alias("reformulation_name"), q.alias("reformulated_query"), p.cast("array<int>").alias("ptkb_provenance"))
+    t = talk(spark, d)
+    r = F.array(one("x_rw", F.concat(F.lit("rw "), "text"), F.array("turn", F.lit(7))), one("x_rs", F.col("role"), F.array()))
+    return t.withColumn("reformulations", r)
+
+
+@query("SELECT conv_id || '-' || turn AS turn_id, 'rw ' || text AS rewrite, (turn || ',7') AS provenance, true AS none FROM conversations")
+def find_reformulation(spark, d):
+    t = reformulated(spark, d)
+    return t.select("turn_id", conversation.reformulation("x_rw")["reformulated_query"].alias("rewrite"), F.array_join(conversation.provenance_of("x_rw").cast("array<string>"), ",").alias("provenance"), conversation.reformulation("other").isNull().alias("none"))
+
+
+@query("SELECT conv_id || '-' || turn AS qid, role, length(text) AS n FROM conversations WHERE role = 'user'")
+def turn_by_qid(spark, d):
+    t = talk(spark, d)
+    return conversation.turn_of(t, t.filter("role = 'user'").select(F.col("turn_id").alias("qid"))).select("qid", "role", F.length("text").cast("long").alias("n"))
+
+
+@query("""WITH t AS (SELECT conv_id || '-' || turn AS turn_id, turn, role FROM conversations),
+old AS (SELECT turn_id, 0 AS pos, 'c' AS collection, 'old' AS model, 0.5::DOUBLE AS map, 'kept' AS response FROM t WHERE turn % 2 = 0 UNION ALL SELECT turn_id, 1, 'c', 'BM25', 0.25::DOUBLE, 'stale' FROM t WHERE turn % 2 = 0),
+new AS (SELECT turn_id, 'BM25' AS model, turn / 8.0::DOUBLE AS map, role AS response FROM t WHERE turn < 5 UNION ALL SELECT turn_id, 'dense', 1.0::DOUBLE, 'd' FROM t WHERE turn < 3),
+merged AS (SELECT o.turn_id, o.pos, o.model, coalesce(n.map, o.map) AS map, coalesce(n.response, o.response) AS response FROM old o LEFT JOIN new n ON n.turn_id = o.turn_id AND n.model = o.model
+  UNION ALL SELECT n.turn_id, (SELECT count(*) FROM old o WHERE o.turn_id = n.turn_id) + row_number() OVER (PARTITION BY n.turn_id ORDER BY n.model) - 1, n.model, n.map, n.response FROM new n WHERE NOT EXISTS (SELECT 1 FROM old o WHERE o.turn_id = n.turn_id AND o.model = n.model))
+SELECT turn_id, pos::INT AS pos, model, map, response FROM merged""")
+def results_writeback(spark, d):
+    """New results put over stored ones of their key, and after the others."""
+    def entry(model, value, response):
+        named = {c: F.lit("c" if c == "collection" else None).cast("string") for c in conversation.RESULT_KEY} | {"retrieval_model": F.lit(model)}
+        return F.struct(*(v.alias(k) for k, v in named.items()), F.create_map(F.lit("map"), value).alias("metrics"), response.alias("response"))
+
+    t = talk(spark, d)
+    old = F.when(F.col("turn") % 2 == 0, F.array(entry("old", F.lit(0.5), F.lit("kept")), entry("BM25", F.lit(0.25), F.lit("stale"))))
+    new = t.filter("turn < 5").select("turn_id", entry("BM25", F.col("turn") / 8.0, F.col("role")).alias("x")).unionByName(t.filter("turn < 3").select("turn_id", entry("dense", F.lit(1.0), F.lit("d")).alias("x"))).select("turn_id", "x.*")
+    full = conversation.with_results(t.select("turn_id", old.alias("results")), new)
+    return full.select("turn_id", F.posexplode("results").alias("pos", "x")).select("turn_id", "pos", F.col("x.retrieval_model").alias("model"), F.col("x.metrics")["map"].alias("map"), "x.response")
+
+
+@query(f"WITH {PER_QUERY}, x AS (SELECT {MEANS} FROM m), s AS (SELECT 'map' AS measure, map AS value FROM x UNION ALL SELECT 'ndcg', ndcg FROM x UNION ALL SELECT 'recall_10', recall_10 FROM x) SELECT measure, value, n_queries, lines FROM s CROSS JOIN (SELECT count(*) AS n_queries, 1::BIGINT AS lines FROM m)")
+def metrics_sink(spark, d):
+    """Measures written to their files, and read back from there."""
+    per, folder = kept(metrics.per_query(one_run(spark, d), qrels(spark, d))), scratch_path(spark)
+    sinks.save_measures(per, metrics.mean(per), folder, "demo", ["map", "ndcg", "recall_10"], {"k": DEPTH})
+    rows = spark.read.text(f"{folder}/measures").select("measure", F.regexp_extract("value", r"^demo-\[(.*)\]$", 1).cast("double").alias("value"))
+    queries = spark.read.json(f"{folder}/queries/demo").agg(F.count("*").alias("n_queries"))
+    return rows.groupBy("measure", "value").agg(F.count("*").alias("lines")).crossJoin(F.broadcast(queries))
+
+
+def item_turns(spark, d):
+    """Items as turns: a rewrite (first ten terms), a response (last ten), a judged rewrite (all terms) and a level."""
+    w = F.col("words")
+    one = lambda name, q: F.struct(F.lit(name).alias("reformulation_name"), q.alias("reformulated_query"), F.array().cast("array<int>").alias("ptkb_provenance"))
+    r = F.array(one("gpt-4o_rar_rw", F.array_join(text.first_terms(w, 10), " ")), one("gpt-4o_rar_rs", F.array_join(text.last_terms(w, 10), " ")), one("gpt-4o_judge_and_rewrite_rw", F.array_join(w, " ")), one("gpt-4o_judge_and_rewrite_lv", level()))
+    return items(spark, d).select(F.col("qid").cast("string").alias("turn_id"), F.col("text").alias("current_utterance"), F.lit(None).cast("string").alias("oracle_utterance"), F.array().cast("array<int>").alias("ptkb_provenance"), r.alias("reformulations"))
+
+
+@query(f"""WITH {ITEMS}, {LEVELS}, t AS (SELECT qid::VARCHAR AS qid, level, text AS raw, array_to_string(words[1:10], ' ') AS rw, ' ' || array_to_string(words[greatest(len(words) - 9, 1):], ' ') AS rwrs, array_to_string(words, ' ') AS judged FROM items JOIN levels USING (qid) WHERE level = 'b')
+SELECT list_id, qid, level, CASE list_id WHEN 0 THEN rw WHEN 1 THEN rwrs ELSE judged END AS text, raw AS retrieval, judged AS reranking, '' AS generation FROM t, range(3) r(list_id)""")
+def query_list(spark, d):
+    config = experiments.replace(experiments.PRESETS["by_level"], group="b")
+    queries, texts = search.query_list(item_turns(spark, d), config)
+    return texts.join(queries, "qid").select(F.col("list_id").cast("long").alias("list_id"), "qid", "level", "text", "retrieval", "reranking", "generation")
+
+
+@query(f"""WITH {UNIT}, u AS (SELECT CASE list_id WHEN 1 THEN 0 WHEN 2 THEN 1 ELSE 2 END AS list_id, qid, docid, rank, score FROM unit),
+w AS (SELECT qid, l.list_id, 1.0::DOUBLE AS weight FROM items, (VALUES (0), (1), (2)) l(list_id)), f AS ({combination_sql('w', 'u')}),
+n AS (SELECT f.qid, f.docid, CASE WHEN rank <= 20 THEN row_number() OVER (PARTITION BY qid, rank <= 20 ORDER BY CASE WHEN rank <= 20 THEN length(coalesce(text, '')) END DESC, rank) ELSE rank END::INT AS rank FROM f JOIN documents ON doc_id = docid)
+SELECT qid::VARCHAR AS qid, docid, round(1.0e0 / rank, 6) AS score, rank FROM n""")
+def search_end_to_end(spark, d):
+    """Turns to a run: three texts a turn, BM25, fusion with equal weights, and a stand-in for a reranker: longer passages first."""
+    config = experiments.replace(experiments.PRESETS["equal"], k=DEPTH, reranker="pointwise", rerank_k=20)
+    queries, texts = search.query_list(item_turns(spark, d), config)
+    collection = search.Collection(read(spark, d, "documents").select(F.col("doc_id").alias("docid"), F.col("text").alias("contents")), index(spark, d))
+    return search.search(queries, texts, collection, config, search.Models(score=lambda q, c: [len(x) for x in c]))
+
+
+@query(f"""WITH {UNIT}, l AS (SELECT list_id, qid::VARCHAR AS qid, docid::VARCHAR AS docid, score FROM unit), a AS (SELECT * FROM l WHERE list_id = 0), b AS (SELECT * FROM l WHERE list_id = 1), f AS ({pair_sql('a', 'b', 0.1)}) SELECT qid, docid, score, rank FROM f""")
+def fuse_files(spark, d):
+    """Two run files to a third."""
+    r, folder = kept(runs(spark, d, 2)), scratch_path(spark)
+    for i in (0, 1):
+        trec.write_run(r.filter(F.col("list_id") == i), f"{folder}/{i}", "t")
+    return search.fused_files(spark, f"{folder}/0", f"{folder}/1", f"{folder}/out", 0.1, DEPTH, "min-max").select("qid", "docid", "score", "rank")
+
+
+@query((f"WITH {TUNE}, {objective_sql('cells', 'trials', 3, 'everyone')} SELECT grp, trial, w, objective FROM obj").replace("rr + coalesce(dcg / nullif(idcg_3, 0), 0) + coalesce(h10 / nullif(num_rel, 0), 0) + coalesce(h100 / nullif(num_rel, 0), 0)", "coalesce(dcg / nullif(idcg_3, 0), 0)"))
+def tune_one_measure(spark, d):
+    everyone = items(spark, d).select("qid", F.lit("all").alias("grp"))
+    return tuning.supervised(unit_runs(spark, d), qrels(spark, d), everyone, 3, tuning.grid(3, STEPS), ("ndcg@3",))
+
+
+@query(f"""WITH {TUNE}, {objective_sql('cells', 'trials', 3, 'groups')}, bw AS (SELECT qid, l.i - 1 AS list_id, w[l.i] AS weight FROM groups JOIN best USING (grp), range(1, 4) l(i)), f AS ({combination_sql('bw')}), {per_query_sql('f')}
+SELECT grp, any_value(trial) AS trial, count(*) AS n_queries, round(avg(map), 6) AS map, round(avg(ndcg_cut_3), 6) AS ndcg_cut_3, round(avg(recall_50), 6) AS recall_50 FROM m JOIN groups USING (qid) JOIN best USING (grp) GROUP BY grp""")
+def tuned_measures(spark, d):
+    """What each level's chosen weights reach."""
+    groups, r, judged = levels(spark, d).withColumnRenamed("level", "grp"), kept(unit_runs(spark, d)), qrels(spark, d)
+    chosen = tuning.best(tuning.supervised(r, judged, groups, 3, tuning.grid(3, STEPS)), ["grp"])
+    return tuning.measured(r, judged, chosen, groups, DEPTH).select("grp", "trial", "n_queries", "map", "ndcg_cut_3", "recall_50")
+
+
+PROMPT = """prompts AS (SELECT conv_id || '-' || turn AS turn_id, 'Rewrite the last turn.' || chr(10) || chr(10) || CASE WHEN len(c) > 0 THEN 'Conversation:' || chr(10) || array_to_string(c, chr(10)) || chr(10) || chr(10) ELSE '' END || 'Current turn: ' || text AS prompt
+FROM (SELECT conv_id, turn, text, coalesce(list(text) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), []) AS c FROM conversations WHERE role = 'user'))"""
+
+
+@query(f"""WITH {PROMPT}, ok AS (SELECT turn_id, length(prompt) AS n FROM prompts WHERE length(prompt) % 4 <> 0)
+SELECT turn_id, name, CASE WHEN ok.turn_id IS NULL THEN 'old' WHEN name = 'x_rw' THEN 'short ' || n ELSE 'long ' || n END AS query FROM prompts LEFT JOIN ok USING (turn_id), (VALUES ('x_rw'), ('x_rs')) s(name) WHERE ok.turn_id IS NOT NULL OR name = 'x_rw'""")
+def rewrite_turns(spark, d):
+    """Prompt, a stand-in for a model, parser, upsert; answers that break the contract leave what was there."""
+    t = conversation.with_context(talk(spark, d).filter("role = 'user'"), "conv_id", "turn", "text")
+    old = t.select("turn_id", F.lit("x_rw").alias("name"), F.lit("old").alias("query"), F.lit(0).alias("seq"))
+    model = lambda prompts: [f"Rewrite: short {len(p)}\nResponse: long {len(p)}" if len(p) % 4 else "Sorry." for p in prompts]
+    return generation.rewritten(t, parsing.prompt("Rewrite the last turn.", F.col("text"), F.col("context")), model, parsing.parse_rewrite_response, "x", old).select("turn_id", "name", "query")
+
+
+@query(f"""WITH {BASE}, top AS (SELECT qid, string_agg(rank || '. ' || coalesce(text, ''), chr(10) ORDER BY rank) AS found FROM runs JOIN documents ON doc_id = docid WHERE list_id = 0 AND rank <= 3 GROUP BY qid),
+p AS (SELECT qid, length('Passages:' || chr(10) || found || chr(10) || chr(10) || 'Answer.' || chr(10) || chr(10) || 'Profile:' || chr(10) || '1. likes lists' || chr(10) || chr(10) || 'Current turn: ' || text) AS n FROM top JOIN items USING (qid))
+SELECT qid, CASE WHEN n % 3 > 0 THEN n::VARCHAR END AS response FROM p""")
+def generate_responses(spark, d):
+    i = items(spark, d)
+    t = i.select("qid", F.array().cast("array<string>").alias("context"), F.array(F.lit("likes lists")).alias("profile"))
+    docs = read(spark, d, "documents").select(F.col("doc_id").alias("docid"), F.coalesce("text", F.lit("")).alias("contents"))
+    model = lambda prompts: [f"Response: {len(p)}" if len(p) % 3 else "I cannot." for p in prompts]
+    return generation.responses(t, i.select("qid", F.col("text").alias("generation")), kept(one_run(spark, d, 10)), docs, model, 3, instruction="Answer.")
+
+
+@query(f"""WITH {PARTS} SELECT qid, a AS whole, a || '|' || b || '|' AS lines, CASE WHEN qid % 3 <> 0 THEN b END AS rewrite, CASE WHEN qid % 3 <> 0 THEN a || chr(10) || 'Reason: ' || level END AS response, CASE WHEN qid % 3 <> 0 THEN a END AS cot,
+  CASE WHEN qid % 3 <> 0 THEN 'so ' || b END AS plain FROM p""")
+def parse_plain(spark, d):
+    """Answers that are text, lines, or an expansion with its reasons in the last line."""
+    reason = F.when(F.pmod("qid", F.lit(3)) != 0, F.concat(F.lit("\nReason: "), "level")).otherwise(F.lit("\nno reason"))
+    reasoned = F.concat(F.lit("Rewrite: "), "a", F.lit("hence "), "b", F.lit("\nResponse: "), "a", reason, F.lit("\n "))
+    plain = F.concat(F.lit("Rewrite: so "), "b", F.lit("\nResponse: "), "a", reason)
+    x, y = parsing.parse_expansion(reasoned, "hence "), parsing.parse_expansion(plain)
+    return parts(spark, d).select("qid", parsing.parse_text(F.concat(F.lit(" \n"), "a", F.lit(" "))).alias("whole"), F.array_join(parsing.parse_lines(F.concat(F.lit(" "), "a", F.lit("  \n "), "b", F.lit(" \n."))), "|").alias("lines"), x.alias("x"), y.alias("y")).select("qid", "whole", F.regexp_replace("lines", r"\.$", "").alias("lines"), "x.rewrite", "x.response", "x.cot", F.col("y.rewrite").alias("plain"))
+
+
+@query("""WITH c AS (SELECT conv_id, turn, text, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS words, coalesce(list(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), []) AS past FROM conversations),
+s AS (SELECT conv_id, turn, text, past, words[1:8] AS own, list_reverse(list_transform(range(1, len(past) + 1), lambda i: past[i][1:(CASE WHEN i % 2 = 0 THEN 16 ELSE 8 END)])) AS parts FROM c),
+p AS (SELECT *, list_transform(range(1, len(parts) + 1), lambda i: len(own) + coalesce(list_sum(list_transform(parts[1:i], lambda x: len(x))), 0)) AS ends FROM s),
+k AS (SELECT *, len(list_filter(ends, lambda e: e <= 40)) AS whole FROM p),
+f AS (SELECT *, len(own) + coalesce(list_sum(list_transform(parts[1:whole], lambda x: len(x))), 0) AS used, parts[(whole + 1)::BIGINT] AS cutpart FROM k)
+SELECT conv_id, turn, array_to_string(list_concat(list_concat(own, flatten(parts[1:whole])), CASE WHEN cutpart IS NULL OR used >= 40 THEN [] ELSE list_concat(cutpart[1:(39 - used)::BIGINT], cutpart[len(cutpart):]) END), ' ') AS flat,
+  '[Current question]: ' || text || CASE WHEN len(past) > 0 THEN ' [Context]: ' || array_to_string(list_transform(list_reverse(past), lambda x: array_to_string(x, ' ')), ' ') ELSE '' END AS labelled FROM f""")
+def flatten_variants(spark, d):
+    t = talk(spark, d).withColumn("words", text.terms(F.col("text")))
+    t = conversation.with_context(t, "conv_id", "turn", "words")
+    return t.select("conv_id", "turn", F.array_join(flattening.turn_text(F.col("words"), F.col("context"), 40, 8, 16), " ").alias("flat"), flattening.labelled(F.col("text"), F.transform("context", lambda x: F.array_join(x, " "))).alias("labelled"))
+
+
+@query("""SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN text ELSE role END AS chosen, CASE WHEN turn % 3 = 0 THEN role ELSE text END AS filled, role || ' ' || text AS both, len(string_split(role || ' [SEP] ' || text, ' [SEP] ')) AS n_parts FROM conversations WHERE turn > 0""")
+def field_choice(spark, d):
+    t = talk(spark, d).withColumn("query", F.when(F.col("turn") % 2 == 0, F.col("text"))).withColumn("context_query", F.array(F.when(F.col("turn") % 2 == 1, F.col("role")))).withColumn("pos_docs", F.when(F.col("turn") > 0, F.array("turn")))
+    t = flattening.with_positives(t, "pos_docs")
+    return t.select("conv_id", "turn", flattening.first_field(t, ["absent", "context_query", "query"]).alias("chosen"), flattening.text_or(F.when(F.col("turn") % 3 != 0, F.col("text")).otherwise(""), F.col("role")).alias("filled"), flattening.rewrite_and_answer(F.col("role"), F.col("text")).alias("both"), F.size(flattening.split_context(F.concat("role", F.lit(" [SEP] "), "text"))).cast("long").alias("n_parts"))
+
+
+@query("""WITH t AS (SELECT vec_id, list_transform(range(4), lambda i: embedding[i * 16 + 1:i * 16 + 16]::DOUBLE[]) AS r FROM embeddings),
+c AS (SELECT vec_id, r, i, list_inner_product(r[1], r[i]) / (sqrt(list_inner_product(r[1], r[1])) * sqrt(list_inner_product(r[i], r[i]))) AS s FROM t, range(2, 5) x(i)),
+b AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY s DESC, i) <= 2)
+SELECT vec_id, round((any_value(r)[2][1] + any_value(r)[3][1]) / 2, 6) AS mean_1, round(any_value(r)[1][1], 6) AS first_1, string_agg((i - 1)::VARCHAR, ',' ORDER BY i) AS kept FROM b GROUP BY vec_id""")
+def token_pooling(spark, d):
+    rows = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.slice("embedding", i * 16 + 1, F.lit(16)))
+    t = read(spark, d, "embeddings").select("vec_id", rows.alias("r"))
+    like = vectors.denoised(F.col("r"), 2)
+    places = F.transform(like, lambda x: F.array_position("r", x) - 1)
+    return t.select("vec_id", settled(F.get(vectors.mean_pooled(F.col("r"), F.array(*map(F.lit, (1, 1, 1, 0))), 1), F.lit(0))).alias("mean_1"), settled(F.get(vectors.first_pooled(F.col("r")), F.lit(0)).cast("double")).alias("first_1"), F.array_join(F.transform(places, lambda x: x.cast("string")), ",").alias("kept"))
+
+
+@query("""WITH t AS (SELECT vec_id, list_transform(range(4), lambda i: embedding[i * 16 + 1:i * 16 + 16]::DOUBLE[]) AS r FROM embeddings),
+f AS (SELECT vec_id, r, list_min(list_filter([1, 2, 3], lambda i: list_position(r[i], list_max(r[i])) <= 4)) AS p FROM t),
+u AS (SELECT vec_id, v.i, r[p + 1][v.i] AS logit, CASE WHEN v.i <= 4 THEN ':' ELSE 't' || (v.i - 1) END AS token FROM f, range(1, 17) v(i) WHERE p IS NOT NULL)
+SELECT vec_id, token, round(logit, 6) AS logit, row_number() OVER (PARTITION BY vec_id ORDER BY logit DESC)::INT - 1 AS place FROM u QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY logit DESC) <= 3""")
+def expansion_terms(spark, d):
+    """The best tokens after the first position whose best token is the mark, which the first four of sixteen tokens are here."""
+    rows = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.slice("embedding", i * 16 + 1, F.lit(16)).cast("array<double>"))
+    words = F.array(*(F.lit(" :" if i < 4 else f"t{i} ") for i in range(16)))
+    t = read(spark, d, "embeddings").select("vec_id", rows.alias("r")).withColumn("r", F.slice("r", 1, 4))
+    last = F.transform(F.slice("r", 4, 1), lambda x: F.transform(x, lambda y, i: F.when(i < 4, F.lit(-1e9)).otherwise(y)))  # the last position is no mark
+    found = parsing.expansion_terms(F.concat(F.slice("r", 1, 3), F.slice("r", 4, 1)), words, 3)
+    ok = F.exists(F.slice("r", 1, 3), lambda x: F.array_position(x, F.array_max(x)) <= 4)
+    return t.filter(ok).select("vec_id", F.posexplode(found).alias("place", "x")).select("vec_id", F.col("x.token").alias("token"), settled(F.col("x.logit")).alias("logit"), "place")
+
+
+@query(f"WITH {CORPUS}, {QUERY3} SELECT qid, term, qtf FROM qw SEMI JOIN dfs USING (term) WHERE list_id = 0")
+def vocabulary_filter(spark, d):
+    q = lexical.query_terms(items(spark, d), ["qid"])
+    return text.known_words(q, "term", index(spark, d).terms, "term")
+
+
+@query("""SELECT '--model ' || m || ' --list ' || l || ' --k ' || CASE WHEN m = 'BM25' THEN '1000' ELSE '500' END || ' --weights 0.1 0.4 --rerank' AS line FROM (VALUES ('BM25'), ('dense')) a(m), (VALUES ('rw'), ('raw')) b(l)""")
+def experiment_flags(spark, d):
+    """Each combination's command line, made by the runner."""
+    config = {"iterate": {"model": ["BM25", "dense"], "list": ["rw", "raw"]}, "param_mapping": {"model": {"BM25": {"k": 1000}}}, "fixed": {"k": 500, "weights": [0.1, 0.4], "rerank": True, "save": False}}
+    order = ["model", "list", "k", "weights", "rerank", "save"]
+    done = experiments.run_all(config, lambda c: " ".join(experiments.flags({k: c[k] for k in order})))
+    return spark.createDataFrame([(line,) for _, line in done], "line string")
+
+
 # ---- measures, fusion and tuning over whole runs ----
 
 
