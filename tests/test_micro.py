@@ -196,9 +196,48 @@ def test_presets(spark, name):
     levels = spark.createDataFrame([("q", "a")], "qid string, level string")
     qrels = spark.createDataFrame([("q", "c", 1)], "qid string, docid string, rel int")
     c = experiments.PRESETS[name]
-    if c.lists == [0, 2]:
-        r = r.filter("list_id <> 1").withColumn("list_id", (F.col("list_id") / 2).cast("int"))
-    assert experiments.fuse(r, c, levels, qrels).count() == 3
+    assert len(c.queries) == len(c.lists) and experiments.fuse(r, c, levels, qrels).count() == len({"none": A}.get(c.fusion, {**A, **B}))
+
+
+def test_lists_go_by_their_place(spark):
+    """Lists 0 and 2 of three: list 2 counts, list 1 doesn't."""
+    r = run_of(spark, [A, {"only1": 9, "a": 1}, {"only2": 5, "a": 1}])
+    levels = spark.createDataFrame([("q", "a")], "qid string, level string")
+    qrels = spark.createDataFrame([("q", "only2", 1)], "qid string, docid string, rel int")
+    for c in (experiments.PRESETS["two_lists_late"], experiments.Config([0, 2], "linear_weighted_score", weights=[0.5]), experiments.Config([2, 0], "linear_combination", weights=[1.0, 0.5])):
+        got = scores(experiments.fuse(r, c, levels, qrels))
+        assert set(got) == {"a", "b", "only2"}
+    assert max(got, key=got.get) == "only2"
+
+
+def test_listwise_keeps_every_passage(spark):
+    rows = [(1, "q", i, f"{'x' * i}", 100.0 - i, i) for i in range(1, 36)]
+    run = spark.createDataFrame(rows, "qid long, query string, docid long, contents string, score double, rank int")
+    longest = lambda q, c: [i + 1 for i in sorted(range(len(c)), key=lambda i: -len(c[i]))]
+    got = [r["docid"] for r in rerank.listwise(run, longest, 20, 10, 20).orderBy("rank").collect()]
+    assert got == [*range(20, 0, -1), *range(21, 36)]
+    # windows 30-50, 20-40, 10-30, 0-20 of a head of 50, of which 35 are there
+    want = list(range(1, 36))
+    for a, z in ((30, 50), (20, 40), (10, 30), (0, 20)):
+        want[a:z] = sorted(want[a:z], reverse=True)
+    found = rerank.listwise(run, longest, 20, 10, 50).orderBy("rank").collect()
+    assert [r["docid"] for r in found] == want and [r["score"] for r in found] == [100.0 - i for i in range(1, 36)]
+    assert rerank.window_starts(50, 20, 10) == [(30, 50), (20, 40), (10, 30), (0, 20)]
+
+
+def test_question_words(spark):
+    for words, end in (("which one", "?"), ("whose is it", "?"), ("should we go", "."), ("Whatever else", "?"), ("tell me", ".")):
+        assert one(spark, text.as_sentence(F.lit(words)))[-1] == end
+
+
+def test_ragged_vectors(spark):
+    v = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0]), (3, [0.0, 1.0, 2.0]), (4, None), (5, [1.0, None]), (6, [0.5, 0.5])], "docid long, embedding array<double>")
+    q = v.filter("docid = 1").withColumnRenamed("docid", "qid")
+    assert {(r["docid"], r["score"]) for r in vectors.dense(q, v).collect()} == {(1, 1.0), (6, 0.5)}
+    three = v.filter("docid in (1, 6)").withColumnRenamed("docid", "qid")
+    assert vectors.dense(three, v, queries_at_once=1).count() == 4
+    with pytest.raises(ValueError):
+        vectors.dense(v.filter("docid < 3").withColumnRenamed("docid", "qid"), v)
 
 
 def test_jsonl_to_tsv_quotes_as_csv_writers_do(spark):
