@@ -42,7 +42,8 @@ def families(texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray, np.n
     h = w.hashes()
     out = [(h, w.first, w.last)]
     if len(h) > 1:
-        out.append((mix(h[:-1] * U(3) + h[1:]), w.first, np.maximum(w.last - 1, w.first)))
+        first = np.minimum(w.first, len(h) - 1)  # texts without words may follow the last word
+        out.append((mix(h[:-1] * U(3) + h[1:]), first, np.maximum(w.last - 1, first)))
     c, begin, end = code_points(texts)
     inner = np.concatenate([[0], np.cumsum(c == 32)])
     for n in LENGTHS:
