@@ -8,6 +8,7 @@ import itertools
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,8 +16,8 @@ from .common import Scratch, slices, split_join, table
 from .repeats import Units, at_texts, covered, keyed, repeated
 from .rolling import BASES, BYTES, Prefix
 
-#: Contents of one anchor that go to one shard; an anchor with more is split over several shards, which are then merged.
-SPLIT_AT = 2048
+#: Contents of one anchor that are dealt to one task; those of an anchor with more are salted over several.
+SALT = 2048
 
 
 def words_at(data: np.ndarray) -> np.ndarray:
@@ -128,12 +129,15 @@ def merge_runs(runs: list[np.ndarray]) -> list[np.ndarray]:
     return out
 
 
-def shard(batches, length: int, limit: int, split_at: int):
-    """Rows ah, c, chunk, g1, g2, copies, n, content, sorted by ah and chunk -> per content the runs of its windows that
-    have an equal elsewhere (kind 0); of anchors split over shards also the digests of windows: kind 1 is alone in its
-    shard, kind 2 stands for a class that isn't."""
+def shard(batches, length: int, limit: int):
+    """Rows ah, salts, salt, g1, g2, copies, n, content, sorted by ah and salt, cut into shards of about `limit` bytes wherever
+    that is -> per content the runs of its windows that have an equal elsewhere (kind 0). Of anchors that have contents in
+    another shard too, as the first or last of a shard or a salted one may, also the digests of windows: kind 1 is alone
+    in its shard, kind 2 stands for a class that isn't."""
+    task = TaskContext.get()
+    number = (task.partitionId() if task else 0) << 32
 
-    def solve(rows):
+    def solve(rows, before: bool, after: bool):
         columns = list(zip(*rows))
         content = columns[7]
         sizes = np.fromiter(map(len, content), np.int64, len(content))
@@ -153,28 +157,30 @@ def shard(batches, length: int, limit: int, split_at: int):
         head = np.flatnonzero(gone & (cuts | (edge[:-1] == 1)))
         tail = np.flatnonzero(gone & (np.append(cuts[1:], True) | (edge[1:] == -1)))
         out = [(np.zeros(len(head), np.int64), ah[seg[head]], g1[seg[head]], g2[seg[head]], step[head], tail - head + 1, head * 0, head * 0, head * 0)]
-        split = np.array(columns[1], np.int64)[seg] > split_at
-        if split.any():
-            w1, w2 = (Prefix(BYTES[k][data], BASES[2 + k]).spans(starts, starts + length).view(np.int64) for k in (0, 1))
-            one = np.zeros(len(seg), bool)
-            one[np.unique(kind, return_index=True)[1]] = True
-            at = np.flatnonzero(split & (~gone | one))
-            chunk = np.array(columns[2], np.int64)[seg]
-            out.append((np.where(gone[at], 2, 1), ah[seg[at]], g1[seg[at]], g2[seg[at]], step[at], at * 0 + 1, chunk[at], w1[at], w2[at]))
+        elsewhere = (np.array(columns[1], np.int64) > 1) | (before & (ah == ah[0])) | (after & (ah == ah[-1]))
+        split = elsewhere[seg]
+        w1, w2 = (Prefix(BYTES[k][data], BASES[2 + k]).spans(starts[split], starts[split] + length).view(np.int64) for k in (0, 1))
+        one = np.zeros(len(seg), bool)
+        one[np.unique(kind, return_index=True)[1]] = True
+        at = np.flatnonzero(split)
+        kept = ~gone[at] | one[at]
+        at, w1, w2 = at[kept], w1[kept], w2[kept]
+        out.append((np.where(gone[at], 2, 1), ah[seg[at]], g1[seg[at]], g2[seg[at]], step[at], at * 0 + 1, at * 0 + number, w1, w2))
         for x in out:
             yield pa.RecordBatch.from_arrays([pa.array(v) for v in x], names=["kind", "ah", "g1", "g2", "step", "n", "chunk", "w1", "w2"])
 
-    held, size, last = [], 0, None
+    held, size, last, before = [], 0, None, False
     for batch in batches:
         for row in zip(*(batch.column(i).to_pylist() for i in range(8))):
-            if size >= limit and row[:3] != last:
-                yield from solve(held)
-                held, size = [], 0
+            if size >= limit:
+                yield from solve(held, before, row[0] == last)
+                held, size, before = [], 0, row[0] == last
+                number += 1
             held.append(row)
             size += len(row[7])
-            last = row[:3]
+            last = row[0]
     if held:
-        yield from solve(held)
+        yield from solve(held, before, False)
 
 
 def across(batches):
@@ -215,17 +221,18 @@ def across(batches):
         yield pa.RecordBatch.from_arrays([t.column(c).take(at).combine_chunks() for c in names], names=names)
 
 
-def dedup(docs: DataFrame, length: int = 200, part: int = 32, shard_bytes: int = 1 << 20, split_at: int = SPLIT_AT, with_text: bool = False) -> DataFrame:
+def dedup(docs: DataFrame, length: int = 200, part: int = 32, shard_bytes: int = 1 << 20, salt: int = SALT, with_text: bool = False) -> DataFrame:
     """Remove every byte covered by a string of `length` bytes that also starts anywhere else, the same text included.
 
-    The contents around repeated anchors (see repeats.py), one copy of each with its number of copies, are dealt to
-    shards by anchor. Each shard's suffix array and common prefixes give the classes of equal strings; a string goes
-    if its class has two members or more, copies counted. An anchor with more than split_at contents goes to several
-    shards, and what is alone in one of them is looked up in the sorted digests of the others.
+    The contents around repeated anchors (see repeats.py), one copy of each with its number of copies, are dealt out by
+    anchor, salted for those with very many, and cut into shards of shard_bytes. Each shard's suffix array and common
+    prefixes give the classes of equal strings; a string goes if its class has two members or more, copies counted.
+    Strings of anchors that have contents in several shards and are alone in theirs are looked up in the others, by
+    binary search in their sorted digests.
 
     Gives doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and kept, the remaining bytes, if with_text) for every row.
     Null text is empty; rows with null or equal doc_ids are places like any other, so that of two equal rows both lose
-    what they share. Other columns are ignored; no rows give no rows.
+    what they share. A very long text is read whole by one task. Other columns are ignored; no rows give no rows.
     """
     scratch = Scratch(docs.sparkSession)
     base = keyed(docs)
@@ -242,12 +249,12 @@ def dedup(docs: DataFrame, length: int = 200, part: int = 32, shard_bytes: int =
                 own = rows.flatten()
                 lo, n = own.field("lo").to_pylist(), own.field("n").to_pylist()
                 content = [raw[w][a : a + k + length - 1] for w, a, k in zip(which, lo, n)]
-                yield pa.RecordBatch.from_arrays([own.field(c) for c in ("ah", "c", "chunk", "g1", "g2", "copies", "n")] + [pa.array(content, pa.binary())], names=["ah", "c", "chunk", "g1", "g2", "copies", "n", "content"])
+                yield pa.RecordBatch.from_arrays([own.field(c) for c in ("ah", "salts", "salt", "g1", "g2", "copies", "n")] + [pa.array(content, pa.binary())], names=["ah", "salts", "salt", "g1", "g2", "copies", "n", "content"])
 
-    contents = split_join(contents, several, ["ah"]).withColumn("chunk", F.pmod("g2", F.ceil(F.col("c") / split_at)))
-    cuttings = at_texts(base, contents, "inner", "lo", "n", "ah", "c", "chunk", "g1", "g2", "copies").mapInArrow(extract, "ah long, c long, chunk long, g1 long, g2 long, copies long, n int, content binary")
-    cuttings = cuttings.repartition("ah", "chunk").sortWithinPartitions("ah", "chunk")
-    solved = cuttings.mapInArrow(lambda it: shard(it, length, shard_bytes, split_at), "kind long, ah long, g1 long, g2 long, step long, n long, chunk long, w1 long, w2 long")
+    contents = split_join(contents, several, ["ah"]).withColumn("salts", F.ceil(F.col("c") / salt)).withColumn("salt", F.pmod("g2", "salts"))
+    cuttings = at_texts(base, contents, "inner", "lo", "n", "ah", "salts", "salt", "g1", "g2", "copies").mapInArrow(extract, "ah long, salts long, salt long, g1 long, g2 long, copies long, n int, content binary")
+    cuttings = cuttings.repartition("ah", "salt").sortWithinPartitions("ah", "salt")
+    solved = cuttings.mapInArrow(lambda it: shard(it, length, shard_bytes), "kind long, ah long, g1 long, g2 long, step long, n long, chunk long, w1 long, w2 long")
     # nothing is cut from here on: within one plan the texts are exchanged once for both uses
     dealt = solved.repartition(F.when(F.col("kind") == 0, F.xxhash64("ah", "g1", "g2")).otherwise(F.col("w1"))).sortWithinPartitions(F.col("kind") > 0, "w1")
     runs = dealt.mapInArrow(across, "ah long, g1 long, g2 long, step long, n long")

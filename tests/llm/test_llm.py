@@ -70,8 +70,8 @@ def test_substring(mixed, empty):
     assert substring.dedup(empty).count() == 0
 
 
-@pytest.mark.parametrize("split_at", [2048, 1])
-def test_suffix(mixed, empty, split_at):
+@pytest.mark.parametrize("shard_bytes,salt", [(1 << 20, 2048), (1 << 20, 1), (500, 2048), (3000, 2), (1, 2048)])
+def test_suffix(mixed, empty, shard_bytes, salt):
     raw = [(d, (t or "").encode()) for d, t in texts()]
     seen = Counter(b[s : s + 200] for _, b in raw for s in range(len(b) - 199))
     want = Counter()
@@ -80,8 +80,8 @@ def test_suffix(mixed, empty, split_at):
         kept = bytes(np.frombuffer(b, np.uint8)[~lost])
         spans = int(np.count_nonzero(np.diff(np.concatenate([[0], lost.astype(np.int8)])) == 1))
         want[d, len(b), len(b) - len(kept), spans, hashlib.sha256(kept).hexdigest()] += 1
-    assert as_counter(suffix.dedup(mixed, split_at=split_at)) == want
-    if split_at == 1:
+    assert as_counter(suffix.dedup(mixed, shard_bytes=shard_bytes, salt=salt)) == want
+    if salt == 1:
         assert suffix.dedup(empty).count() == 0
 
 
@@ -342,7 +342,20 @@ def test_embedding(spark, block):
 
 def test_cells_do_not_depend_on_the_batch():
     x = embedding.unit_vectors(np.random.default_rng(1).standard_normal((50, 64)))
-    assert np.array_equal(embedding.cells(x), np.concatenate([embedding.cells(x[i : i + 1]) for i in range(50)]))
+    assert np.array_equal(embedding.cells(x, 6), np.concatenate([embedding.cells(x[i : i + 1], 6) for i in range(50)]))
+
+
+def test_tables_keep_recall_as_labels_grow():
+    rng = np.random.default_rng(8)
+    a = embedding.unit_vectors(rng.standard_normal((2000, 64)))
+    other = rng.standard_normal((2000, 64))
+    other = embedding.unit_vectors(other - (other * a).sum(1, keepdims=True) * a)
+    b = 0.93 * a + np.sqrt(1 - 0.93**2) * other
+    for n in (10, 5000, 300_000):
+        p = embedding.projections_for(n)
+        met = (embedding.cells(a, p) == embedding.cells(b, p)).any(1).mean()
+        far = (embedding.cells(a, p) == embedding.cells(other[::-1], p)).mean()
+        assert met > 0.995 and far * n < 4 * embedding.CELL
 
 
 def test_rolling():
