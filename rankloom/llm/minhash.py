@@ -18,7 +18,7 @@ COORDINATES, JOINED, MATCHES = 64, 4, 7
 #: Documents that share a value are paired with each other if they are so few, else with the least of them.
 FEW = 4
 #: Documents compared with one representative in one task, and those of a value that are compared in one task.
-CHUNK, BLOCK = 64, 512
+CHUNK, BLOCK = 64, 256
 SHINGLE = 5
 _rng = np.random.default_rng(1729)
 FACTORS = _rng.integers(0, 1 << 63, COORDINATES * JOINED // 2, np.uint64) * np.uint64(2) + np.uint64(1)
