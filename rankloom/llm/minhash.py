@@ -130,6 +130,15 @@ def expand(batches):
 
 
 
+def arrays(column: pa.BinaryArray):
+    """The sets in a binary column, where they lie."""
+    if len(column):
+        _, places, data = column.buffers()
+        at = np.frombuffer(places, np.int32)[column.offset : column.offset + len(column) + 1].tolist()
+        for a, z in zip(at[:-1], at[1:]):
+            yield np.frombuffer(data, np.uint64, (z - a) // 8, a)
+
+
 def compared(base: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """Those of the pairs whose whole sets are similar. Pairs meet in units of one a and at most about CHUNK b, so that no
     task gets all partners of an a; a unit's rows are read one after the other, and only a's set is held."""
@@ -144,10 +153,9 @@ def compared(base: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
         now, first = None, None
         for batch in batches:
             found = []
-            for i, (a, side, content) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(4).to_pylist())):
-                x = np.frombuffer(content, np.uint64)
+            for i, (a, side, x) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), arrays(batch.column(4)))):
                 if side == 0:
-                    now, first = a, x
+                    now, first = a, x.copy()
                 elif a == now and similar(first, x, percent):
                     found.append(i)
             at = pa.array(found, pa.int64())
@@ -227,7 +235,7 @@ def left_over(base: DataFrame, posts: DataFrame, joined: DataFrame, matches: int
         for t in runs(batches, "unit"):
             t = t.combine_chunks()
             pairs = lambda c: np.stack([t.column(c).combine_chunks().field(k).to_numpy() for k in (0, 1)], 1)
-            sets = [np.frombuffer(x, np.uint64) for x in t.column("content").to_pylist()]
+            sets = list(arrays(t.column("content").combine_chunks()))
             node = t.column("node").combine_chunks()
             found = list(links_of(sets, pairs("a"), t.column("side").to_numpy(), matches, percent))
             if found:

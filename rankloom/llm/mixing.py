@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WORD, table
+from .common import WORD, Scratch, table
 
 #: Quality weights of documents that labels.quality marks 1, marks 0, or doesn't mark.
 GOOD, POOR, UNKNOWN = 2.0, 0.5, 1.0
@@ -62,14 +62,15 @@ def mix(docs: DataFrame, weight: Column, size: Column, key: Column | list[Column
     goals = goals.join(counted.select(F.col("source").alias("s2"), "n"), F.col("source").eqNullSafe(F.col("s2"))).drop("s2")
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0))
     goals = goals.withColumn("epochs", epochs).withColumn("rest", F.col("target") - epochs * F.col("source_size")).withColumn("bins", F.ceil(F.col("n") / per_range)).drop("n")
-    g = goals.select(F.col("source").alias("s"), "source_size", "target", "epochs", "rest", "bins")
+    scratch = Scratch(docs.sparkSession)  # both passes go on from written tables, which keeps their plans short
+    g = scratch.cut(goals).select(F.col("source").alias("s"), "source_size", "target", "epochs", "rest", "bins")
     d = d.join(g, F.col("source").eqNullSafe(F.col("s"))).drop("s")
     # a monotone map of the key onto ranges: unit exponential at weight 1, so the ranges fill about evenly
     d = d.withColumn("bin", F.floor((1 - F.exp(-F.col("key"))) * F.col("bins")))
     d = summed(d, F.col("size"), "before")
     left = F.col("rest") - F.col("before")
     first = (left > 0) & (F.col("size") <= 2 * left) & (F.col("epochs") < most)
-    d = d.withColumn("first", first)
+    d = scratch.cut(d.withColumn("first", first))
     # what the first pass took is known at its first refusal; the documents after it that are small enough share what is left
     refused = d.filter((F.col("before") < F.col("rest")) & ~F.col("first") & (F.col("epochs") < most)).groupBy("source").agg(F.min("before").alias("stop"))
     r = refused.select(F.col("source").alias("s"), "stop")

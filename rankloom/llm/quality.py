@@ -109,7 +109,7 @@ def train(learnable: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -
 
     def describe(batches):
         for whole in batches:
-            for batch in slices(whole, 2):
+            for batch in slices(whole, 2, 1 << 19):
                 found = features(batch.column(2).to_pylist())
                 # the bucket that every text has comes last, and is added again in fit
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([a[:-1].astype("<u2").tobytes() for a, _ in found], pa.binary()), pa.array([n[:-1].astype("<u4").tobytes() for _, n in found], pa.binary())], names=["doc", "y", "at", "n"])
@@ -138,7 +138,7 @@ def score(docs: DataFrame, model: np.ndarray, keep: list | None = None) -> DataF
 
     def work(batches):
         for whole in batches:
-            for batch in slices(whole, 0):
+            for batch in slices(whole, 0, 1 << 19):
                 total, n = np.full(batch.num_rows, base), np.ones(batch.num_rows)
                 for at, a, z in families(batch.column(0).to_pylist()):
                     sums = np.concatenate([[0.0], np.cumsum(model[at])])
