@@ -124,7 +124,9 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, block: int = BL
                     yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.repeat(rows, tables))), pa.array(bucket.ravel()), pa.array(np.tile(np.arange(tables, dtype=np.int32), len(rows)))], names=["node", "bucket", "t"])
 
     sizes = classes.groupBy("apart").agg(F.count("*").alias("n"))
-    classes = scratch.cut(split_join(classes, sizes, ["apart"]))
+    counted = scratch.cut(split_join(classes, sizes, ["apart"]))
+    scratch.drop(classes)
+    classes = counted
     posts = classes.select("node", "v", "apart", "n").mapInArrow(post, f"node {NODE}, bucket long, t int")
     full = posts.groupBy("bucket").agg(F.count("*").alias("m")).filter("m > 1").select("bucket", F.ceil(F.col("m") / block).alias("blocks"))
     todo = split_join(posts, full, ["bucket"]).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")))

@@ -285,14 +285,19 @@ def near_duplicates(docs: DataFrame, percent: int = 75, matches: int = MATCHES,
     classes = scratch.cut(classes)
     scratch.drop(every)
     posts = scratch.cut(posted(classes, matches))
-    links = scratch.cut(compared(base, scratch.cut(colliding(posts, matches)), percent))
+    pairs = scratch.cut(colliding(posts, matches))
+    links = scratch.cut(compared(base, pairs, percent))
+    scratch.drop(pairs)
     joined = forest(links, scratch)
+    scratch.drop(links)
     more = left_over(base, posts, joined, matches, percent, scratch)
     if more is not None:
         more = scratch.cut(more)
         if not more.isEmpty():
             both = joined.select(F.col("component").alias("a"), F.col("node").alias("b")).unionByName(more)
             joined = forest(both, scratch)
+        scratch.drop(more)
+    scratch.drop(posts)
     ids = split_join(classes.select("s1", "s2", "node"), joined, ["node"], "left").select("s1", "s2", F.coalesce("component", "node").alias("c"))
     out = split_join(members, ids, ["s1", "s2"], "left")
     known = lambda c: F.when(c != LAST, c)
