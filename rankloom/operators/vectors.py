@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.passages import blocks
 from .ranking import ranked, settled
 
 
@@ -83,6 +84,14 @@ def encoded(rows: DataFrame, text: str, encode: Callable[[list[str]], np.ndarray
     return rows.mapInPandas(work, schema)
 
 
+def write_blocks(rows: DataFrame, text: str, order: str, encode: Callable[[list[str]], np.ndarray], path: str, size: int = 1_000_000) -> DataFrame:
+    """Encode rows and write docid, embedding in blocks of `size` rows in order of a whole number, one folder a block; read
+    back with its block. Passages are numbered before they are encoded, so that blocks don't depend on the tasks."""
+    numbered = blocks(rows, order, size).select("docid", text, "block")
+    encoded(numbered, text, encode).select("docid", "embedding", "block").write.partitionBy("block").parquet(path)
+    return rows.sparkSession.read.parquet(path)
+
+
 def sparse(weights: DataFrame, index: DataFrame, k: int = 1000) -> DataFrame:
     """Inner products on an inverted index: weights (qid, dim, q) and index (dim, docid, value); only scores above 0 count."""
     scored = weights.filter("q <> 0").join(index, "dim").groupBy("qid", "docid").agg(settled(F.sum(F.col("q") * F.col("value"))).alias("score"))

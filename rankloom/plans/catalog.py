@@ -131,9 +131,8 @@ def rank_sql(source: str, k: int | None = None, keys: str = "qid") -> str:
 
 @query(f"WITH {CORPUS} SELECT (SELECT count(*) FROM lists) AS n_docs, sum(dl)::BIGINT AS n_tokens, (SELECT count(*) FROM dfs) AS n_terms, round(avg(dl), 6) AS avgdl FROM lens")
 def tokenize_stats(spark, d):
-    lists = corpus(spark, d)
-    distinct = lists.select(F.explode("words").alias("t")).distinct().agg(F.count("*").alias("n_terms"))
-    return lists.agg(F.count("*").alias("n_docs"), F.sum("dl").alias("n_tokens"), settled(F.avg("dl")).alias("avgdl")).crossJoin(distinct)
+    found = index(spark, d)
+    return found.stats.select("n_docs", "n_tokens", settled(F.col("avgdl")).alias("avgdl")).crossJoin(found.terms.agg(F.count("*").alias("n_terms")))
 
 
 @query(f"WITH {CORPUS} SELECT term, count(*) AS df, sum(tf)::BIGINT AS cf, max(tf) AS max_tf FROM post GROUP BY term")
@@ -533,12 +532,12 @@ def better_rewrite(spark, d):
 
 # ---- prompts and answers ----
 
-PARTS = f"{ITEMS}, p AS (SELECT qid, array_to_string(words[1:10], ' ') AS a, array_to_string(words[greatest(len(words) - 9, 1):], ' ') AS b, substr('abc', (qid % 3 + 1)::INT, 1) AS level FROM items)"
+PARTS = f"{ITEMS}, p AS (SELECT qid, array_to_string(words, ' ') AS a, array_to_string(list_reverse(words), ' ') AS b, substr('abc', (qid % 3 + 1)::INT, 1) AS level FROM items)"
 
 
 def parts(spark, d):
-    w = F.col("words")
-    return items(spark, d).select("qid", F.array_join(text.first_terms(w, 10), " ").alias("a"), F.array_join(text.last_terms(w, 10), " ").alias("b"), level().alias("level"))
+    """Each item's whole text as terms, forwards and backwards, and its level: what answers are made of here."""
+    return items(spark, d).select("qid", F.array_join("words", " ").alias("a"), F.array_join(F.reverse("words"), " ").alias("b"), level().alias("level"))
 
 
 @query(f"""WITH {PARTS} SELECT qid, CASE WHEN qid % 5 <> 0 THEN a END AS reason, CASE WHEN qid % 5 <> 0 THEN level END AS level, CASE WHEN qid % 5 <> 0 THEN b END AS rewrite, CASE WHEN qid % 5 <> 0 THEN a || chr(10) || b END AS response FROM p""")

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rankloom.functions import flattening, parsing, text
-from rankloom.operators import conversation, lexical
+from rankloom.operators import conversation, lexical, vectors
 from rankloom.plans import experiments, generation, search
 from rankloom.sources import passages, storage, turns
 
@@ -107,6 +107,12 @@ def test_other_retrieval(spark, docs):
         search.retrieve(texts, search.Collection(docs), experiments.Config(model="none"))
 
 
+def test_vector_blocks(spark, tmp_path):
+    rows = spark.createDataFrame([(i, f"d{i}", "x" * i) for i in (3, 1, 2)], "n long, docid string, contents string")
+    got = vectors.write_blocks(rows, "contents", "n", lambda xs: np.array([[len(x), 1.0] for x in xs]), str(tmp_path / "v"), 2)
+    assert {(r["docid"], tuple(r["embedding"]), r["block"]) for r in got.collect()} == {("d1", (1.0, 1.0), 0), ("d2", (2.0, 1.0), 0), ("d3", (3.0, 1.0), 1)}
+
+
 def test_generation(spark, docs):
     t = spark.createDataFrame([("1", "x"), ("2", "bad"), ("3", None)], "turn_id string, text string")
     model = lambda prompts: ["Rewrite: r\nResponse: s" if "bad" not in p else "no" for p in prompts]
