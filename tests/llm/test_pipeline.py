@@ -35,3 +35,31 @@ def test_empty(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, SF).count() == 0
+
+
+def test_run_keeps_its_last_table_alone(spark, tmp_path):
+    before = spark.sparkContext._jsc.sc().getCheckpointDir()
+    spark.sparkContext.setCheckpointDir(str(tmp_path))
+    rows = corpus_pipeline.run(spark, SF)
+    last = [f for f in tmp_path.rglob("*.parquet") if "ids_crc32" in spark.read.parquet(str(f)).columns]
+    assert rows.count() > 0 and last
+    assert not any({"source", "lang"} <= set(spark.read.parquet(str(f)).columns) for f in tmp_path.rglob("*.parquet"))
+    if before.isDefined():
+        spark.sparkContext.setCheckpointDir(before.get())
+
+
+def test_clashing_names_and_equal_rows(spark):
+    """Every stage keeps columns whatever their names, gives equal rows equal results, and copes with nulls in each."""
+    names = "_id long, _th long, row string, _times string, size long, taken long, _quality double, score double"
+    full = "plain words of a good and quiet document about rivers and the towns along them " * 4
+    rows = [(1, full), (1, full), (2, None), (None, full + "x"), (None, None), (3, ""), (4, "password = hunter2secret99 " + full)]
+    docs = spark.createDataFrame([(d, t, None, s, None, 1, 2, "r", "t", 3, 4, 0.5, 0.25) for s in ("a", None) for d, t in rows], f"doc_id long, text string, lang string, source string, n_chars long, {names}")
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        got = stage(spark, docs, SF)
+        if k < 4:
+            assert got.columns == docs.columns
+            found = got.collect()
+            assert all((r["_id"], r["row"], r["_times"], r["taken"], r["_quality"]) == (1, "r", "t", 4, 0.5) for r in found)
+            assert len(found) == {0: len(found), 1: 4, 2: 14}.get(k, len(found))  # 4 and the row without id are near copies of 1
+        else:
+            assert got.select("doc_id").distinct().count() == 5
