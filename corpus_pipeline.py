@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from rankloom.llm import pipeline
-from rankloom.llm.common import shared_folder
+from rankloom.llm.common import Scratch
 
 STAGES = [
     ("quality classifier", pipeline.keep_good),
@@ -21,10 +19,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on documents; each stage's rows are written to the shared folder and read as the next one's."""
+    """All stages on documents; each stage's rows are written to the shared folder as Parquet and read as the next one's, and
+    go when that one's are written."""
+    scratch, old = Scratch(spark), None
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
-    for k, (_, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
-        docs = spark.read.parquet(f"{folder}/{k}")
+    for _, stage in STAGES:
+        docs = scratch.cut(stage(spark, docs, sf_dir))
+        scratch.drop(old)
+        old = docs
     return docs
