@@ -70,15 +70,21 @@ def suffix_array(data: np.ndarray) -> np.ndarray:
     return sa
 
 
-def kasai(data: np.ndarray, sa: np.ndarray, lanes: int = 16384) -> np.ndarray:
+#: From which number on a word of eight bytes has one leading zero byte less.
+STEPS = [np.uint64(1) << np.uint64(8 * k) for k in range(1, 8)]
+
+
+def kasai(data: np.ndarray, sa: np.ndarray, lanes: int = 16384, most: int | None = None) -> np.ndarray:
     """lcp[k] of suffixes sa[k - 1] and sa[k] (lcp[0] = 0). Kasai's walk in text order, where the common prefix falls by
-    one at most from place to place, done in many stretches of the text at once and eight bytes at a time."""
+    one at most from place to place, done in many stretches of the text at once and eight bytes at a time. With `most`,
+    prefixes are followed no further than that: what is longer may be given as any length from `most` on."""
     n = len(sa)
     rank = np.empty(n, np.int64)
     rank[sa] = np.arange(n)
     before = np.full(n, -1, np.int64)
     before[sa[1:]] = sa[:-1]
     eight = words_at(data)
+    most = n if most is None else most
     lane = np.arange(0, n, max(1, -(-n // lanes)))
     stop = np.append(lane[1:], n)
     h = np.zeros(len(lane), np.int64)
@@ -88,20 +94,26 @@ def kasai(data: np.ndarray, sa: np.ndarray, lanes: int = 16384) -> np.ndarray:
         i = lane[live] + step
         j = before[i]
         now = np.where(j < 0, 0, h[live])
-        go = np.flatnonzero(j >= 0)
+        go = np.flatnonzero((j >= 0) & (now < most))
         while len(go):
             a, b = i[go] + now[go], j[go] + now[go]
             room = n - np.maximum(a, b)
-            ok = room > 0
-            go, a, b, room = go[ok], a[ok], b[ok], room[ok]
+            if room.min() < 8:
+                ok = room > 0
+                go, a, b, room = go[ok], a[ok], b[ok], room[ok]
             diff = eight[a] ^ eight[b]
-            # whole equal bytes: 7 - (highest set bit) // 8
-            top = np.frexp(diff.astype(np.float64))[1] - 1
-            exact = diff >> np.minimum(top, 63).clip(0).astype(np.uint64)
-            top = np.where(exact == 0, top - 1, top)  # rounding to a double may carry into the next bit
-            same = np.minimum(np.where(diff == 0, 8, 7 - top // 8), room)
-            now[go] += same
-            go = go[(same == 8) & (room > 8)]
+            whole = diff == 0
+            same = np.full(len(go), 8, np.int64)
+            part = np.flatnonzero(~whole)
+            if len(part):  # whole equal bytes before the first that differs
+                rest = diff[part]
+                high = (rest >= STEPS[0]).astype(np.int64)
+                for bound in STEPS[1:]:
+                    high += rest >= bound
+                same[part] = 7 - high
+            now[go] += np.minimum(same, room)
+            go = go[whole & (room > 8)]
+            go = go[now[go] < most]
         plcp[i] = now
         h[live] = np.maximum(now - 1, 0)
     return plcp[sa]
@@ -110,7 +122,7 @@ def kasai(data: np.ndarray, sa: np.ndarray, lanes: int = 16384) -> np.ndarray:
 def classes(data: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
     """A number for each of the strings of that length at starts, equal for equal strings, by suffix array and common prefixes."""
     sa = suffix_array(data)
-    group = np.cumsum(kasai(data, sa) < length)
+    group = np.cumsum(kasai(data, sa, most=length) < length)
     by_place = np.empty(len(sa), np.int64)
     by_place[sa] = group
     return by_place[starts]
