@@ -149,11 +149,11 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, block: int = BL
             i, j = i[ok], j[ok]
             if not len(i):
                 continue
-            for part in np.array_split(np.arange(len(i)), len(i) // 20000 + 1):
-                a, b = i[part], j[part]
-                new = (keys[a] == keys[b]).argmax(1) == no[a]
-                np.add.at(count, a[new], copies[b[new]])
-                np.add.at(count, b[new], copies[a[new]])
+            # a pair counts, and links, in the first table alone whose cells it shares
+            new = np.concatenate([(keys[i[part]] == keys[j[part]]).argmax(1) == no[i[part]] for part in np.array_split(np.arange(len(i)), len(i) // 20000 + 1)])
+            i, j = i[new], j[new]
+            np.add.at(count, i, copies[j])
+            np.add.at(count, j, copies[i])
             up = spanning(i, j, len(x))
             a, b = np.flatnonzero(up != np.arange(len(x))), up[up != np.arange(len(x))]
             yield pa.RecordBatch.from_arrays([node.take(pa.array(a)), node.take(pa.array(b)), pa.array(a * 0)], names=["a", "b", "links"])
