@@ -825,6 +825,13 @@ def search_end_to_end(spark, d):
     return search.search(queries, texts, collection, config, search.Models(score=lambda q, c: [len(x) for x in c]))
 
 
+@query(f"""WITH {BASE}, p AS (SELECT doc_id AS docid, CASE WHEN doc_id % 2 = 0 THEN 'Title: ' || coalesce(source, '') || ' Content: ' || coalesce(text, '') ELSE coalesce(text, '') END AS c FROM documents)
+SELECT qid, docid, rank, score, trim(regexp_replace(c, '\\s+', ' ', 'g')) AS content FROM runs JOIN p USING (docid) WHERE list_id = 0 AND rank <= 10""")
+def retrieved_passages(spark, d):
+    t = read(spark, d, "documents").select(F.col("doc_id").alias("docid"), F.when(F.col("doc_id") % 2 == 0, F.coalesce("source", F.lit(""))).alias("title"), "text")
+    return search.with_passages(kept(one_run(spark, d, 10)), t, 10)
+
+
 @query(f"""WITH {UNIT}, l AS (SELECT list_id, qid::VARCHAR AS qid, docid::VARCHAR AS docid, score FROM unit), a AS (SELECT * FROM l WHERE list_id = 0), b AS (SELECT * FROM l WHERE list_id = 1), f AS ({pair_sql('a', 'b', 0.1)}) SELECT qid, docid, score, rank FROM f""")
 def fuse_files(spark, d):
     """Two run files to a third."""

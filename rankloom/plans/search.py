@@ -10,12 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import run_name, terms
+from ..functions.text import passage_text, run_name, terms
 from ..operators import lexical, rerank, vectors
 from ..operators.conversation import evaluated, level_of, of_level, resolve
 from ..operators.ranking import ranked
 from ..sources import trec
-from ..sources.storage import kept, literal
+from ..sources.storage import kept, literal, small
 from .experiments import Config, fuse
 
 
@@ -129,6 +129,17 @@ def reranked(run: DataFrame, queries: DataFrame, collection: Collection, config:
     raise ValueError(f"no reranker {config.reranker!r}")
 
 
+def with_passages(run: DataFrame, passages: DataFrame, k: int = 100) -> DataFrame:
+    """The first k of a run with their texts, white space made single: qid, docid, rank, score, content. passages: docid and
+    contents, or title and text where there is a title (columns that aren't there count as null). Only passages of the
+    run are read whole."""
+    has = lambda c: F.col(c) if c in passages.columns else F.lit(None).cast("string")
+    plain = F.trim(F.regexp_replace(F.coalesce(has("contents"), has("text"), F.lit("")), r"\s+", " "))
+    content = F.when(has("title").isNotNull(), passage_text(has("title"), has("text"))).otherwise(plain)
+    top = run.filter(F.col("rank") <= k).select("qid", "docid", "rank", "score")
+    return small(top).join(passages, "docid").select("qid", "docid", "rank", "score", content.alias("content"))
+
+
 def name_of(config: Config) -> str:
     """The name under which config's run is stored."""
     window = (config.window, config.step) if config.reranker == "listwise" else ()
