@@ -58,7 +58,7 @@ def crc_of_id(column: str = "doc_id"):
     return F.crc32(F.col(column).cast("string").cast("binary"))
 
 
-def slices(batch: pa.RecordBatch, column: int, limit: int = 1 << 20):
+def slices(batch: pa.RecordBatch, column: int, limit: int = 1 << 19):
     """Cut an Arrow batch into runs of rows whose strings hold about limit bytes, so that memory in a worker stays bounded."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
     start = total = 0

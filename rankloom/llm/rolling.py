@@ -22,7 +22,7 @@ def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
             x = np.full(size, b, U)
             x[0] = 1
             both.append(np.multiply.accumulate(x))
-        if size <= 8 << 20:
+        if size <= 1 << 20:  # longer ones are for a very long text alone
             _powers[base] = (both[0], both[1])
         have = (both[0], both[1])
     return have

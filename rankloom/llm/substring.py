@@ -100,7 +100,7 @@ def dedup(docs: DataFrame, window: int = 50, shortest: int = 13, with_text: bool
     spans = spans.select("doc_id", "th", F.explode("_cut").alias("x")).select("doc_id", "th", "x.lo", "x.n")
 
     def finish(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 2)):
             out = []
             for doc, text, rows in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
                 words = (text or "").encode().split()

@@ -276,7 +276,7 @@ def dedup(docs: DataFrame, length: int = 200, part: int = 32, shard_bytes: int =
     spans = spans.select("doc_id", "th", (F.col("lo") + F.col("x.step")).alias("lo"), F.col("x.n").alias("n"))
 
     def finish(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 2)):
             out = []
             for doc, text, rows in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
                 kept = raw = (text or "").encode()
