@@ -129,7 +129,6 @@ def expand(batches):
                     start, total = i + 1, 0
 
 
-
 def arrays(column: pa.BinaryArray):
     """The sets in a binary column, where they lie."""
     if len(column):

@@ -12,7 +12,7 @@ import pytest
 import regex
 from pyspark.sql import functions as F
 
-from rankloom.llm import langid, mixing, quality, secret_scan, spotsigs, substring, suffix
+from rankloom.llm import langid, minhash, mixing, quality, secret_scan, spotsigs, substring, suffix
 from rankloom.llm.common import table
 from rankloom.llm.rolling import Text
 
@@ -235,6 +235,57 @@ def test_callers_columns_stay(spark):
     assert (got["_found"], got["_bin"], got["row"], got["id"], got["q"], got["_weight"], got["size"]) == (1.5, 2, "x", 9, "q", 3, 4)
 
 
+# ---- near copies ----
+
+
+def exact_components(texts):
+    sets = []
+    for t in texts:
+        w = t.lower().split()
+        sets.append(frozenset(tuple(w[i : i + 5]) for i in range(max(len(w) - 4, 1))) if w else frozenset())
+    up = list(range(len(sets)))
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    likeness = {}
+    for a in range(len(sets)):
+        for b in range(a + 1, len(sets)):
+            both = len(sets[a] & sets[b])
+            if both:
+                likeness[a, b] = both / (len(sets[a]) + len(sets[b]) - both)
+            if both and 100 * both >= 75 * (len(sets[a]) + len(sets[b]) - both):
+                x, y = root(a), root(b)
+                up[max(x, y)] = min(x, y)
+    return [root(i) for i in range(len(sets))], likeness
+
+
+@pytest.mark.parametrize("few,block", [(4, 256), (1, 8)])
+def test_recall_near_the_threshold(spark, monkeypatch, few, block):
+    """Pairs at 0.75 to 0.85 alone, and among many documents that share a long passage and are otherwise unlike."""
+    monkeypatch.setattr(minhash, "FEW", few)
+    monkeypatch.setattr(minhash, "BLOCK", block)
+    r = random.Random(few)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(6))
+    shared = [word() for _ in range(150)]
+    texts = []
+    for i in range(160):
+        own = [word() for _ in range(150)] if i % 2 else [*shared[: r.randint(120, 150)], *(word() for _ in range(90))]
+        copy = list(own)
+        for at in r.sample(range(len(copy)), r.randint(3, 5)):
+            copy[at] = word()
+        texts += [" ".join(own), " ".join(copy)]
+    r.shuffle(texts)
+    want, likeness = exact_components(texts)
+    assert sum(0.75 <= x <= 0.85 for x in likeness.values()) > 60 and sum(0.3 < x < 0.75 for x in likeness.values()) > 1000
+    got = {x["doc_id"]: x["component_id"] for x in minhash.near_duplicates(rows_of(spark, texts)).collect()}
+    linked = [(a, b) for (a, b), x in likeness.items() if x >= 0.75]
+    assert sum(got[a] == got[b] for a, b in linked) >= 0.99 * len(linked)
+    assert all(want[a] == want[b] for a in range(len(texts)) for b in (got[a],))
+
+
 # ---- mixing ----
 
 
