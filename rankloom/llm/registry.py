@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .chat import OP13_SQL, op13_chat_format
 from .embedding import op10_embedding
 from .langid import op3_language_id
 from .minhash import op2_minhash
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_mixing": op8_mixing,
     "op9_secret_scan": op9_secret_scan,
     "op10_embedding": op10_embedding,
+    "op13_chat_format": op13_chat_format,
 }
 ORACLE_SQL = {
     "op1_substring": OP1_SQL,
@@ -32,4 +34,5 @@ ORACLE_SQL = {
     "op4_suffix_array": OP4_SQL,
     "op8_mixing": OP8_SQL,
     "op10_embedding": OP10_SQL,
+    "op13_chat_format": OP13_SQL,
 }
