@@ -14,6 +14,7 @@ from .secret_scan import op9_secret_scan
 from .spotsigs import op5_spotsigs
 from .substring import op1_substring
 from .suffix import op4_suffix_array
+from .trie import OP12_SQL, op12_prefix_trie
 
 QUERIES = {
     "op1_substring": op1_substring,
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_mixing": op8_mixing,
     "op9_secret_scan": op9_secret_scan,
     "op10_embedding": op10_embedding,
+    "op12_prefix_trie": op12_prefix_trie,
     "op13_chat_format": op13_chat_format,
 }
 ORACLE_SQL = {
@@ -34,5 +36,6 @@ ORACLE_SQL = {
     "op4_suffix_array": OP4_SQL,
     "op8_mixing": OP8_SQL,
     "op10_embedding": OP10_SQL,
+    "op12_prefix_trie": OP12_SQL,
     "op13_chat_format": OP13_SQL,
 }
