@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .chat import OP13_SQL, op13_chat_format
 from .embedding import op10_embedding
+from .kmeans import OP11_SQL, op11_yinyang
 from .langid import op3_language_id
 from .minhash import op2_minhash
 from .mixing import OP8_SQL, op8_mixing
@@ -27,6 +28,7 @@ QUERIES = {
     "op8_mixing": op8_mixing,
     "op9_secret_scan": op9_secret_scan,
     "op10_embedding": op10_embedding,
+    "op11_yinyang": op11_yinyang,
     "op12_prefix_trie": op12_prefix_trie,
     "op13_chat_format": op13_chat_format,
 }
@@ -36,6 +38,7 @@ ORACLE_SQL = {
     "op4_suffix_array": OP4_SQL,
     "op8_mixing": OP8_SQL,
     "op10_embedding": OP10_SQL,
+    "op11_yinyang": OP11_SQL,
     "op12_prefix_trie": OP12_SQL,
     "op13_chat_format": OP13_SQL,
 }
