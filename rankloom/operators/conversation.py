@@ -136,11 +136,17 @@ def provenance_of(name: str) -> Column:
     return F.when(r.isNull(), F.raise_error(F.lit(f"no reformulation {name}"))).otherwise(r["ptkb_provenance"])
 
 
-def turn_of(turns: DataFrame, qids: DataFrame) -> DataFrame:
-    """qid and the columns of its turn, for every row of qids (qid); it raises for a qid that no turn has."""
-    found = qids.select(F.col("qid").cast("string").alias("qid")).join(turns, F.col("qid") == F.col("turn_id"), "left")
-    known = F.when(F.col("turn_id").isNull(), F.raise_error(F.concat(F.lit("no turn "), "qid"))).otherwise(F.col("turn_id"))
-    return found.withColumn("turn_id", known)
+def turn_of(turns: DataFrame, qids: DataFrame, order: str | None = None) -> DataFrame:
+    """qid and the columns of its turn, for every row of qids (qid); it raises for a qid that no turn has, whichever columns
+    are read. Of several turns of one id the first by `order` (a column) is taken, without one the first by turn_id's
+    whole row."""
+    columns = turns.columns
+    row = F.struct(*columns)
+    key = F.col(order) if order else F.xxhash64(*[f.name for f in turns.schema if "map<" not in f.dataType.simpleString()])
+    first = turns.groupBy(F.col("turn_id").cast("string").alias("_turn")).agg(F.min_by(row, key).alias("_row"))
+    found = qids.select(F.col("qid").cast("string").alias("qid")).join(first, F.col("qid") == F.col("_turn"), "left")
+    known = F.when(F.col("_turn").isNull(), F.raise_error(F.concat(F.lit("no turn "), F.coalesce("qid", F.lit("null"))))).otherwise(F.lit(True))
+    return found.filter(known.cast("boolean")).select("qid", *(F.col("_row")[c].alias(c) for c in columns if c != "qid"))
 
 
 def with_results(turns: DataFrame, results: DataFrame) -> DataFrame:

@@ -2,81 +2,15 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import terms
-from ..sources.storage import once, scratch_path, small, spread, state_of
+from ..sources.storage import kept
+from .index import Index, as_index, index_once, joined, postings, term_lists, term_stats, write_index  # noqa: F401
 from .ranking import ranked, settled
 
 
-def term_lists(passages: DataFrame, docid: str, text: str) -> DataFrame:
-    """docid, words, dl of every passage."""
-    words = spread(passages.select(docid, text)).select(F.col(docid).alias("docid"), terms(F.col(text)).alias("words"))
-    return words.withColumn("dl", F.size("words").cast("long"))
-
-
-def postings(lists: DataFrame) -> DataFrame:
-    """term, docid, tf, dl."""
-    return lists.select("docid", "dl", F.explode("words").alias("term")).groupBy("term", "docid", "dl").agg(F.count("*").alias("tf"))
-
-
-@dataclass
-class Index:
-    """A collection's postings (term, docid, tf, dl), terms (term, df, cf, max_tf) and stats (n_docs, n_tokens, avgdl)."""
-
-    postings: DataFrame
-    terms: DataFrame
-    stats: DataFrame
-
-    @classmethod
-    def of(cls, lists: DataFrame) -> Index:
-        """Of term lists, not stored: every use computes it anew."""
-        p = postings(lists)
-        stats = lists.agg(F.count("*").alias("n_docs"), F.sum("dl").alias("n_tokens"), F.avg("dl").alias("avgdl"))
-        return cls(p, term_stats(p), stats)
-
-    @classmethod
-    def read(cls, spark: SparkSession, path: str) -> Index:
-        return cls(*(spark.read.parquet(f"{path}/{name}") for name in ("postings", "terms", "stats")))
-
-
-def term_stats(postings: DataFrame) -> DataFrame:
-    """term, df, cf, max_tf: the length of each posting list, the term's occurrences, and the most in one passage."""
-    return postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"), F.max("tf").alias("max_tf"))
-
-
-def write_index(lists: DataFrame, path: str) -> Index:
-    """Write a collection's index and read it back: postings sorted by term within files that hold ranges of terms, so that
-    a search reads few row groups; term statistics and collection statistics come from what was written."""
-    spark = lists.sparkSession
-    postings(lists).repartitionByRange("term", "docid").sortWithinPartitions("term", "docid").write.parquet(f"{path}/postings")
-    p = spark.read.parquet(f"{path}/postings")
-    term_stats(p).sort("term").write.parquet(f"{path}/terms")
-    lists.agg(F.count("*").alias("n_docs"), F.sum("dl").alias("n_tokens"), F.avg("dl").alias("avgdl")).write.parquet(f"{path}/stats")
-    return Index.read(spark, path)
-
-
-def index_once(passages: DataFrame, docid: str, text: str) -> Index:
-    """The stored index of passages, written into the shared folder when it is first asked for, and again if a file of
-    theirs has changed since."""
-    spark = passages.sparkSession
-    key = (spark.sparkContext.applicationId, docid, text, state_of(passages))
-
-    def build() -> str:
-        path = scratch_path(spark)
-        write_index(term_lists(passages, docid, text), path)
-        return path
-
-    return Index.read(spark, once(key, build))
-
-
-def as_index(lists: DataFrame | Index) -> Index:
-    return lists if isinstance(lists, Index) else Index.of(lists)
-
-
 def query_terms(queries: DataFrame, keys: list[str]) -> DataFrame:
     """keys, term, qtf of queries with an array column `words`."""
     return queries.select(*keys, F.explode("words").alias("term")).groupBy(*keys, "term").agg(F.count("*").cast("double").alias("qtf"))
@@ -86,15 +20,18 @@ def contributions(weights: DataFrame, lists: DataFrame | Index, k1: float = 0.9,
     """What each query term adds to each passage: keys, docid, term, tf, df, part. weights: keys, term, qtf; lists: a stored
     index, or term lists.
 
-    The queries' weights meet the terms' statistics first, and then the postings; they are broadcast while they are few.
+    The queries' weights meet the terms' statistics first, are written, and then meet the postings of these terms; they
+    are broadcast while they are few. A stored index has all postings of a passage in one place, so that what follows
+    sums them up without an exchange.
     """
     index = as_index(lists)
     n, tf, dl = F.col("n_docs"), F.col("tf"), F.col("dl")
-    known = small(weights).join(index.terms.select("term", "df"), "term").crossJoin(F.broadcast(index.stats.select("n_docs", "avgdl")))
+    known = weights.join(index.terms.select("term", "df"), "term").crossJoin(F.broadcast(index.stats.select("n_docs", "avgdl")))
     idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    known = known.withColumn("weight", F.col("qtf") * idf)
+    known = kept(known.withColumn("weight", F.col("qtf") * idf).drop("n_docs"))
     part = F.col("weight") * tf / (tf + k1 * (1 - b + b * dl / F.col("avgdl")))
-    return small(known).join(index.postings, "term").withColumn("part", part)
+    known, rows = index.met_by(known)
+    return known.join(rows, "term").withColumn("part", part)
 
 
 def bm25(weights: DataFrame, lists: DataFrame | Index, keys: list[str], k: int = 1000, k1: float = 0.9, b: float = 0.4) -> DataFrame:
@@ -111,16 +48,13 @@ def bm25_explain(weights: DataFrame, lists: DataFrame | Index, keys: list[str],
 
 
 def feedback_terms(weights: DataFrame, run: DataFrame, lists: DataFrame | Index, keys: list[str], fb_docs: int = 10, fb_terms: int = 10, original: float = 0.5) -> DataFrame:
-    """Relevance-model query terms: keys, term, qtf. Terms of the first fb_docs passages weigh by P(w|d) and the
-    passage's share of score; the best fb_terms are mixed with the query's own distribution, which weighs `original`."""
-    top = run.filter(F.col("rank") <= fb_docs)
-    total = top.groupBy(*keys).agg(F.sum("score").alias("total"))
-    share = top.join(total, keys).select(*keys, "docid", (F.col("score") / F.col("total")).alias("share"))
-    words = small(share).join(as_index(lists).postings, "docid")
+    """Relevance-model query terms: keys, term, qtf. The head of the run is written, and a stored index gives the terms of its
+    passages alone. Terms of the first fb_docs passages weigh by P(w|d) and the passage's share of score; the best fb_terms are mixed with the query's own distribution, which weighs `original`."""
+    each = W.partitionBy(*keys)
+    top = kept(run.filter(F.col("rank") <= fb_docs).withColumn("share", F.col("score") / F.sum("score").over(each)).select(*keys, "docid", "share"))
+    words = joined(top, as_index(lists).of_passages(top), "docid")
     model = words.groupBy(*keys, "term").agg(settled(F.sum(F.col("share") * F.col("tf") / F.col("dl"))).alias("score")).withColumnRenamed("term", "docid")
     best = ranked(model, keys, fb_terms).withColumnRenamed("docid", "term")
-    mass = best.groupBy(*keys).agg(F.sum("score").alias("mass"))
-    own = weights.groupBy(*keys).agg(F.sum("qtf").alias("length"))
-    given = weights.join(own, keys).select(*keys, "term", (original * F.col("qtf") / F.col("length")).alias("qtf"))
-    fresh = best.join(mass, keys).select(*keys, "term", ((1 - original) * F.col("score") / F.col("mass")).alias("qtf"))
+    given = weights.select(*keys, "term", (original * F.col("qtf") / F.sum("qtf").over(each)).alias("qtf"))
+    fresh = best.select(*keys, "term", ((1 - original) * F.col("score") / F.sum("score").over(each)).alias("qtf"))
     return given.unionByName(fresh).groupBy(*keys, "term").agg(settled(F.sum("qtf")).alias("qtf"))

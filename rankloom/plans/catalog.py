@@ -142,7 +142,7 @@ def postings_dist(spark, d):
 
 @query(f"WITH {CORPUS} SELECT term, docid, tf, dl FROM post JOIN lens USING (docid)")
 def index_postings(spark, d):
-    return index(spark, d).postings
+    return index(spark, d).postings.select("term", "docid", "tf", "dl")
 
 
 @query(f"WITH {CORPUS} SELECT term, count(*) AS df, sum(tf)::BIGINT AS cf, max(tf) AS max_tf, n::BIGINT AS n_docs, any_value((SELECT sum(dl) FROM lens))::BIGINT AS n_tokens FROM post CROSS JOIN stats GROUP BY term, n")
@@ -768,6 +768,14 @@ def turn_by_qid(spark, d):
     return conversation.turn_of(t, t.filter("role = 'user'").select(F.col("turn_id").alias("qid"))).select("qid", "role", F.length("text").cast("long").alias("n"))
 
 
+@query("""SELECT c.conv_id || '-' || c.turn AS qid, f.turn_id, f.text FROM conversations c JOIN (SELECT conv_id, conv_id::VARCHAR AS turn_id, text FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn) = 1) f USING (conv_id)""")
+def turn_of_repeated_id(spark, d):
+    """All turns of a conversation under one id, of which a lookup gives the first."""
+    t = talk(spark, d).withColumn("turn_id", F.col("conv_id").cast("string"))
+    asked = talk(spark, d).select(F.col("turn_id").alias("asked"), F.col("conv_id").cast("string").alias("qid"))
+    return asked.join(conversation.turn_of(t, t.select(F.col("turn_id").alias("qid")).distinct(), "turn"), "qid").select(F.col("asked").alias("qid"), "turn_id", "text")
+
+
 @query("""WITH t AS (SELECT conv_id || '-' || turn AS turn_id, turn, role FROM conversations),
 old AS (SELECT turn_id, 0 AS pos, 'c' AS collection, 'old' AS model, 0.5::DOUBLE AS map, 'kept' AS response FROM t WHERE turn % 2 = 0 UNION ALL SELECT turn_id, 1, 'c', 'BM25', 0.25::DOUBLE, 'stale' FROM t WHERE turn % 2 = 0),
 new AS (SELECT turn_id, 'BM25' AS model, turn / 8.0::DOUBLE AS map, role AS response FROM t WHERE turn < 5 UNION ALL SELECT turn_id, 'dense', 1.0::DOUBLE, 'd' FROM t WHERE turn < 3),

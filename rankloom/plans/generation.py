@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from ..functions import parsing
 from ..operators.conversation import upserted
+from ..sources.passages import with_contents
 
 #: What the names of a rewrite's parts end in.
 SUFFIXES = {"cot": "_cot", "level": "_lv", "rewrite": "_rw", "response": "_rs"}
@@ -59,7 +60,7 @@ def responses(turns: DataFrame, queries: DataFrame, run: DataFrame, passages: Da
     turns: qid, context (array), profile (array); queries: qid, generation."""
     if kind != "raw":
         return run.select("qid").distinct().select("qid", F.lit("No response generated").alias("response"))
-    top = run.filter(F.col("rank") <= top_k).select("qid", "rank", "docid").join(passages.select("docid", "contents"), "docid")
+    top = with_contents(run.filter(F.col("rank") <= top_k).select("qid", "rank", "docid"), passages).filter("contents is not null")
     found = top.groupBy("qid").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "contents"))), lambda x: x["contents"]).alias("found"))
     rows = run.select("qid").distinct().join(turns.select("qid", "context", "profile"), "qid").join(queries.select("qid", "generation"), "qid").join(found, "qid", "left")
     shown = F.when(F.size("found") > 0, F.concat(F.lit("Passages:\n"), parsing.numbered(F.col("found"))))

@@ -15,7 +15,9 @@ from ..operators import lexical, rerank, vectors
 from ..operators.conversation import evaluated, level_of, of_level, resolve
 from ..operators.ranking import ranked
 from ..sources import trec
-from ..sources.storage import kept, literal, small
+from ..sources.passages import with_contents
+from ..sources.storage import kept, literal, names_in, small
+from . import runs
 from .experiments import Config, fuse
 
 
@@ -27,6 +29,7 @@ class Collection:
     index: lexical.Index | None = None
     vectors: DataFrame | None = None  # docid, embedding
     weights: DataFrame | None = None  # dim, docid, value
+    state: str = ""  # what tells collections apart in a run catalogue; without it the files and the plan of what is searched
 
 
 @dataclass
@@ -39,6 +42,7 @@ class Models:
     score: Callable | None = None
     permute: Callable | None = None
     generate: Callable | None = None
+    label: str = ""  # tells stored runs of different models of one kind apart
 
 
 def prepared(turns: DataFrame) -> DataFrame:
@@ -72,10 +76,8 @@ def stored_run(names: list[str], query: str, model: str) -> str | None:
 
 
 def runs_in(spark: SparkSession, folder: str) -> list[str]:
-    """Names in a folder of runs, sorted; none if there is no folder."""
-    p = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    fs = p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
-    return sorted(x.getPath().getName() for x in fs.listStatus(p)) if fs.exists(p) else []
+    """Names in a folder of runs, sorted; none if there is no folder. What begins with _ or . is no run."""
+    return sorted(x for x in names_in(spark, folder) if x[0] not in "_.")
 
 
 def retrieve(texts: DataFrame, collection: Collection, config: Config, models: Models | None = None) -> DataFrame:
@@ -118,7 +120,8 @@ def reranked(run: DataFrame, queries: DataFrame, collection: Collection, config:
         return run.select("qid", "docid", "score", "rank")
     models = models or Models()
     head = run.filter(F.col("rank") <= config.rerank_k)
-    with_text = head.join(queries.select("qid", F.col("reranking").alias("query")), "qid").join(collection.passages, "docid", "left").withColumn("contents", F.coalesce("contents", F.lit("")))
+    asked = head.join(queries.select("qid", F.col("reranking").alias("query")), "qid")
+    with_text = with_contents(asked, collection.passages).withColumn("contents", F.coalesce("contents", F.lit("")))
     if config.reranker == "listwise":
         new = rerank.listwise(with_text, models.permute, config.window, config.step, config.rerank_k)
         return new.unionByName(run.filter(F.col("rank") > config.rerank_k).select("qid", "docid", "score", "rank"))
@@ -148,32 +151,33 @@ def name_of(config: Config) -> str:
 
 def search(queries: DataFrame, texts: DataFrame, collection: Collection, config: Config, models: Models | None = None, qrels: DataFrame | None = None, folder: str | None = None, given: DataFrame | None = None) -> DataFrame:
     """The run (qid, docid, score, rank) that config asks for: a given one, or each list retrieved (or read from `folder`, where
-    a run of that query and model without a reranker is stored) and fused; then reranked; and, with a folder, stored there.
+    a run of the same texts, collection, model, depth and parameters is catalogued; see runs) and fused; then reranked;
+    and, with a folder, stored there.
 
     queries and texts as query_list gives them; levels come from queries; qrels where weights are tuned by judgements.
     """
     spark = queries.sparkSession
     if given is None:
         lists = config.queries if config.fusion != "none" and config.queries else (config.retrieval_query,)
-        names = runs_in(spark, folder) if folder else []
-        model = config.model + ("_rm3" if config.feedback else "")
-        found = {i: name for i, kind in enumerate(lists) if (name := stored_run(names, kind, model))}
+        digests = runs.digests(texts, len(lists), collection, config, models) if folder else {}
+        found = runs.lookup(spark, folder, digests) if folder else {}
         docid = (collection.passages if collection.passages is not None else collection.index.postings).schema["docid"].dataType
         rest = [i for i in range(len(lists)) if i not in found]
         parts = [retrieve(texts.filter(F.col("list_id").isin(rest)), collection, config, models)] if rest else []
         for i, name in found.items():
             run = trec.read_run(spark, literal(f"{folder}/{name}"))
-            parts.append(run.select(F.lit(i).alias("list_id"), F.col("qid").cast(queries.schema["qid"].dataType).alias("qid"), F.col("docid").cast(docid).alias("docid"), "score", "rank"))
-        runs = parts[0].select("list_id", "qid", "docid", "score", "rank")
+            parts.append(run.filter(F.col("rank") <= config.k).select(F.lit(i).alias("list_id"), F.col("qid").cast(queries.schema["qid"].dataType).alias("qid"), F.col("docid").cast(docid).alias("docid"), "score", "rank"))
+        every = parts[0].select("list_id", "qid", "docid", "score", "rank")
         for x in parts[1:]:
-            runs = runs.unionByName(x)
-        run = fuse(runs, replace(config, lists=list(range(len(lists)))), queries.select("qid", "level"), qrels)
+            every = every.unionByName(x)
+        run = fuse(every, replace(config, lists=list(range(len(lists)))), queries.select("qid", "level"), qrels)
     else:
         run = ranked(given.select("qid", "docid", "score"), ["qid"])
     run = reranked(run.select("qid", "docid", "score", "rank"), queries, collection, config, models)
     if folder:
         run = kept(run)
-        trec.write_run(run, f"{folder}/{name_of(config)}", name_of(config))
+        plain = config.reranker == "none" and given is None and len(digests) == 1
+        runs.store(run, folder, name_of(config), next(iter(digests.values())) if plain else None)
     return run
 
 

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .storage import small
+from .storage import kept, small
+from .tables import buckets_for, rows_of, write_table
 
 
 def repaired_tsv(lines: DataFrame) -> DataFrame:
@@ -31,16 +32,38 @@ def clean_tsv(lines: DataFrame) -> DataFrame:
     return repaired_tsv(lines).filter("ok").select(F.concat_ws("\t", "docid", "contents").alias("value"))
 
 
+def write_passages(passages: DataFrame, path: str, buckets: int | None = None) -> DataFrame:
+    """A keyed store of passages (docid, contents and others), dealt and sorted by docid: a lookup of few ids opens their
+    buckets alone, and one of any number moves only the ids. Read back by tables.read_table."""
+    return write_table(passages, path, buckets or buckets_for(passages), "docid", ["docid"])
+
+
+def with_contents(rows: DataFrame, passages: DataFrame) -> DataFrame:
+    """rows (docid and others), each with the contents of its passage, null where there is none. rows are written first.
+
+    Texts stay where they are read: the rows go to them, broadcast while they are few, and rows without a passage are found
+    by ids alone. More rows are exchanged, and so are the texts unless they come from a store.
+    """
+    rows = kept(rows)
+    some = rows_of(passages.select("docid", "contents"), "docid", rows)
+    few = small(rows)
+    if few is rows:
+        return rows.join(some, "docid", "left")
+    found = few.join(some, "docid").select(*rows.columns, "contents")
+    lost = rows.join(some.select("docid"), "docid", "left_anti").select(*rows.columns, F.lit(None).cast("string").alias("contents"))
+    return found.unionByName(lost)
+
+
 def by_ids(passages: DataFrame, ids: DataFrame) -> DataFrame:
     """docid, contents of every row of ids (docid); contents is null where there is no such passage."""
-    return small(ids.select("docid")).join(passages.select("docid", "contents"), "docid", "left")
+    return with_contents(ids.select("docid"), passages)
 
 
 def gold_passages(turns: DataFrame, passages: DataFrame, key: str = "turn_id") -> DataFrame:
     """key, gold: the passages (docid, contents) of each turn's response_provenance, in its order; a passage that isn't
-    there has null contents, and a turn without provenance an empty array."""
+    there has null contents, and a turn without provenance an empty array. Only the passages found are brought together."""
     each = turns.select(key, F.posexplode("response_provenance").alias("pos", "docid"))
-    found = each.join(passages.select("docid", "contents"), "docid", "left").groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "docid", "contents"))).alias("g"))
+    found = with_contents(each, passages).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "docid", "contents"))).alias("g"))
     gold = F.transform("g", lambda x: F.struct(x["docid"].alias("docid"), x["contents"].alias("contents")))
     empty = F.array().cast(f"array<struct<docid:{passages.schema['docid'].dataType.simpleString()},contents:string>>")
     return turns.select(key).join(found.select(key, gold.alias("gold")), key, "left").withColumn("gold", F.coalesce("gold", empty))

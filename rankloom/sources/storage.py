@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 import tempfile
 import uuid
@@ -9,9 +10,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of a side that may be broadcast: of terms and ids, some 60 bytes each.
-BROADCAST_ROWS = 500_000
-_kept: dict[tuple, str] = {}
+#: Rows of a side that may be broadcast, of terms and ids some 60 bytes each; and its bytes, where Spark knows them.
+BROADCAST_ROWS, BROADCAST_BYTES = 500_000, 256 << 20
+_kept: dict[tuple, object] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -41,15 +42,23 @@ def kept(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def state_of(df: DataFrame) -> tuple:
-    """Name, length and time of change of every file that df reads."""
-    spark = df.sparkSession
-    conf, out = spark._jsparkSession.sessionState().newHadoopConf(), []
-    for name in sorted(df.inputFiles()):
-        p = spark._jvm.org.apache.hadoop.fs.Path(name)
-        s = p.getFileSystem(conf).getFileStatus(p)
-        out.append((name, s.getLen(), s.getModificationTime()))
-    return tuple(out)
+def plan_of(df: DataFrame) -> tuple:
+    """What decides the rows of df: its plan, and name, length and time of change of every file it reads, as Spark has
+    listed them."""
+    plan, files = df._jdf.queryExecution().analyzed(), []
+    leaves = plan.collectLeaves()
+    for i in range(leaves.size()):
+        leaf = leaves.apply(i)
+        if leaf.getClass().getSimpleName() == "LogicalRelation" and hasattr(leaf.relation(), "location"):
+            files.append(leaf.relation().location().allFiles().mkString(","))  # one call, however many files there are
+    return df.semanticHash(), plan.canonicalized().toString(), hashlib.sha256("\n".join(files).encode()).hexdigest()
+
+
+def names_in(spark: SparkSession, folder: str) -> list[str]:
+    """Names in a folder; none if there is no folder."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    return [x.getPath().getName() for x in fs.listStatus(p)] if fs.exists(p) else []
 
 
 def literal(path: str) -> str:
@@ -57,15 +66,19 @@ def literal(path: str) -> str:
     return re.sub(r"([\[\]{}*?\\])", r"\\\1", path)
 
 
-def once(key: tuple, build) -> str:
-    """The path that build() gives, asked for once in an application for each key."""
+def once(key: tuple, build):
+    """What build() gives, asked for once in an application for each key."""
     if key not in _kept:
         _kept[key] = build()
     return _kept[key]
 
 
 def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
-    """df to be broadcast if it has at most `most` rows (which is counted), else as it is, to be joined by exchange."""
+    """df to be broadcast if it has at most `most` rows (which is counted: df is best a stored table) and, where it is made
+    of one table, that has no more than BROADCAST_BYTES; else as it is, to be joined by exchange."""
+    plan = df._jdf.queryExecution().optimizedPlan()
+    if plan.collectLeaves().size() == 1 and int(plan.stats().sizeInBytes()) > BROADCAST_BYTES:
+        return df
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 

@@ -80,7 +80,7 @@ def test_search(spark, docs, asked, tmp_path):
     plain = experiments.Config(retrieval_query="raw", k=3)
     q2, t2 = search.query_list(asked, plain)
     first = search.search(q2, t2, collection, plain, folder=folder)
-    assert search.runs_in(spark, folder) == [search.name_of(plain)] and search.stored_run(search.runs_in(spark, folder), "raw", "BM25")
+    assert [x.startswith(search.name_of(plain)) for x in search.runs_in(spark, folder)] == [True] and search.stored_run(search.runs_in(spark, folder), "raw", "BM25")
     again = search.search(q2, t2, search.Collection(docs), plain, folder=folder)
     assert sorted(map(tuple, again.collect())) == sorted(map(tuple, first.collect()))
     given = spark.createDataFrame([("1-1", "c", 2.0), ("1-1", "a", 3.0)], "qid string, docid string, score double")
