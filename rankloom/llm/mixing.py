@@ -36,7 +36,7 @@ def targets(sizes: DataFrame, share: float, most: float, cycle: tuple[float, ...
     return s.withColumn("target", F.least(F.col("_cap"), F.coalesce(F.col("_level") * F.col("_w"), F.col("_cap")))).select("source", "source_size", "target")
 
 
-def mix(docs: DataFrame, weight: Column, size: Column, key: Column | list[Column], share: float = 1.5, most: float = 2.0, cycle: tuple[float, ...] = CYCLE, per_range: int = 4096, seed: int = 8) -> DataFrame:
+def mix(docs: DataFrame, weight: Column, size: Column, key: Column | list[Column], share: float = 1.5, most: float = 2.0, cycle: tuple[float, ...] = CYCLE, ranges: int | None = None, seed: int = 8) -> DataFrame:
     """Add size, source_size, target, taken to docs, which has a source column. key identifies a document: an id as text,
     or several columns of which the first that isn't null does, so that null ids can go by a hash of their text.
 
@@ -44,8 +44,9 @@ def mix(docs: DataFrame, weight: Column, size: Column, key: Column | list[Column
     rest, documents in the order of -ln(u)/weight (Efraimidis-Spirakis keys; u from an md5 of seed and key) while the
     words before them are less than the rest and the step does not leave the sum farther from it than it was. If a
     document is passed over for its size, those after it fill what is left in the same way, in one more pass.
-    Sums within a source are prefix sums over ranges of the key's order, of about per_range documents each, and then
-    within a range, so no task holds a whole source. Null text: size 0. Null source: a source of its own. Weights of
+    Sums within a source are prefix sums over ranges of the key's order and then within a range, so no task holds a whole
+    source. Rows are dealt to ranges of (source, key) by quantiles of what is there (`ranges` of them; as many as the
+    session shuffles to without it), so ranges are even whatever the weights are. Null text: size 0. Null source: a source of its own. Weights of
     null, zero or less count as the least positive weight. Rows with equal keys go by size and then by a hash of all
     their columns; rows equal in all of them are interchangeable. No rows give no rows. Columns of docs called size,
     source_size, target or taken are replaced; all other names may occur.
@@ -57,20 +58,20 @@ def mix(docs: DataFrame, weight: Column, size: Column, key: Column | list[Column
     n = F.coalesce(size.cast("long"), F.lit(0).cast("long"))
     d = docs.select(row.alias("row"), F.col("source").alias("source"), n.alias("size"), F.greatest(F.coalesce(weight.cast("double"), F.lit(0.0)), F.lit(1e-9)).alias("w"), uniform(F.lit(str(seed)), F.coalesce(*keys, F.lit("null"))).alias("u"), (F.xxhash64(*hashable) if hashable else F.lit(0)).alias("tie"))
     d = d.withColumn("key", -F.log("u") / F.col("w"))
-    counted = d.groupBy("source").agg(F.count("*").alias("n"), F.sum("size").alias("source_size"))
-    goals = targets(counted.select("source", "source_size"), share, most, cycle)
-    goals = goals.join(counted.select(F.col("source").alias("s2"), "n"), F.col("source").eqNullSafe(F.col("s2"))).drop("s2")
+    scratch = Scratch(docs.sparkSession)  # all passes go on from written tables, which keeps their plans short
+    order = ["source", "key", "size", "tie"]
+    d = scratch.cut((d.repartitionByRange(ranges, *order) if ranges else d.repartitionByRange(*order)).withColumn("bin", F.spark_partition_id()))
+    goals = targets(d.groupBy("source").agg(F.sum("size").alias("source_size")), share, most, cycle)
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0))
-    goals = goals.withColumn("epochs", epochs).withColumn("rest", F.col("target") - epochs * F.col("source_size")).withColumn("bins", F.ceil(F.col("n") / per_range)).drop("n")
-    scratch = Scratch(docs.sparkSession)  # both passes go on from written tables, which keeps their plans short
-    g = scratch.cut(goals).select(F.col("source").alias("s"), "source_size", "target", "epochs", "rest", "bins")
+    goals = goals.withColumn("epochs", epochs).withColumn("rest", F.col("target") - epochs * F.col("source_size"))
+    g = scratch.cut(goals).select(F.col("source").alias("s"), "source_size", "target", "epochs", "rest")
+    ranged = d
     d = d.join(g, F.col("source").eqNullSafe(F.col("s"))).drop("s")
-    # a monotone map of the key onto ranges: unit exponential at weight 1, so the ranges fill about evenly
-    d = d.withColumn("bin", F.floor((1 - F.exp(-F.col("key"))) * F.col("bins")))
     d = summed(d, F.col("size"), "before")
     left = F.col("rest") - F.col("before")
     first = (left > 0) & (F.col("size") <= 2 * left) & (F.col("epochs") < most)
     d = scratch.cut(d.withColumn("first", first))
+    scratch.drop(ranged)
     # what the first pass took is known at its first refusal; the documents after it that are small enough share what is left
     refused = d.filter((F.col("before") < F.col("rest")) & ~F.col("first") & (F.col("epochs") < most)).groupBy("source").agg(F.min("before").alias("stop"))
     r = refused.select(F.col("source").alias("s"), "stop")

@@ -302,7 +302,7 @@ def test_mixing_ties(spark):
 def test_mixing_fills_what_long_documents_leave(spark):
     for seed in range(6):
         d = spark.createDataFrame([(0, "s", 3000), *((i, "s", 10) for i in range(1, 701))], "doc_id long, source string, n int")
-        got = mixing.mix(d, F.lit(1.0), F.col("n"), F.col("doc_id").cast("string"), share=0.14, seed=seed, per_range=64).collect()
+        got = mixing.mix(d, F.lit(1.0), F.col("n"), F.col("doc_id").cast("string"), share=0.14, seed=seed, ranges=9).collect()
         assert abs(sum(r["taken"] for r in got) - got[0]["target"]) <= 10
 
 
