@@ -129,16 +129,10 @@ def classes(data: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
 
 
 def merge_runs(runs: list[np.ndarray]) -> list[np.ndarray]:
-    """For each sorted run, how many of the other runs hold each of its values, by binary search."""
-    out = []
-    for i, run in enumerate(runs):
-        n = np.zeros(len(run), np.int64)
-        for k, other in enumerate(runs):
-            if k != i and len(other):
-                at = np.searchsorted(other, run)
-                n += other[np.minimum(at, len(other) - 1)] == run
-        out.append(n)
-    return out
+    """For each sorted run, how many of the other runs hold each of its values: all runs' values are sorted once, and each run
+    is looked up in these by binary search."""
+    merged = np.sort(np.concatenate([np.unique(r) for r in runs])) if runs else np.zeros(0, np.int64)
+    return [np.searchsorted(merged, r, "right") - np.searchsorted(merged, r) - 1 for r in runs]
 
 
 def shard(batches, length: int, limit: int):
