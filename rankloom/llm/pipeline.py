@@ -21,26 +21,29 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality.score(rows, model, [F.col("row")]).filter("predicted = 1").select("row.*")
 
 
-def row_keys() -> list:
-    """What tells rows apart unless both id and text are equal; a null id counts as the largest."""
-    return [F.coalesce(F.col("doc_id").cast("long"), F.lit(minhash.LAST)).alias("_id"), F.xxhash64("text").alias("_th")]
+def row_keys(docs: DataFrame) -> list:
+    """_id, _th: what tells rows apart unless both id and text are equal (a null id counts as the largest); and _row, a hash of
+    all columns that have one."""
+    hashable = [f.name for f in docs.schema if "map<" not in f.dataType.simpleString()]
+    return [F.coalesce(F.col("doc_id").cast("long"), F.lit(minhash.LAST)).alias("_id"), F.xxhash64("text").alias("_th"), F.xxhash64(*hashable).alias("_row")]
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """MinHash near-dedup: of each group of near copies one document stays, that of the least doc_id (null is the largest),
-    and of several rows with that id the one of the least text hash; of equal rows one.
+    of several rows with that id the one of the least text hash, and of several with that text the one of the least
+    hash of all its columns; of equal rows one.
 
-    Null and empty texts are copies of nothing but equal rows; very long texts are compared whole; no rows give no rows.
-    Columns of docs may have any names. Which rows stay is decided on ids and hashes, and written before texts are read
-    again, so that what led to it can go.
+    Null and empty texts are copies of nothing but rows of equal id; very long texts are compared whole; no rows give no
+    rows. Columns of docs may have any names. Which rows stay is decided on ids and hashes, and written before texts are
+    read again, so that what led to it can go.
     """
     scratch, own = Scratch(spark), Scratch(spark)
     found = minhash.near_duplicates(docs, scratch=scratch).filter("kept and th = component_th")
     kept = own.cut(found.select(F.coalesce("doc_id", F.lit(minhash.LAST)).alias("_id"), F.col("th").alias("_th")))
     scratch.close()
-    rows = docs.select(F.struct(*docs.columns).alias("row"), *row_keys())
-    # both sides are dealt by the keys for the join, so that dropping repeated rows needs no further exchange
-    return rows.join(kept, ["_id", "_th"], "left_semi").dropDuplicates(["_id", "_th"]).select("row.*")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), *row_keys(docs))
+    # both sides are dealt by the keys for the join, so that choosing among rows of one id and text needs no further exchange
+    return rows.join(kept, ["_id", "_th"], "left_semi").groupBy("_id", "_th").agg(F.min_by("row", "_row").alias("row")).select("row.*")
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,17 +63,19 @@ def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Mixing: every document stands as often as the mix takes it, which is 0 to 2 times.
 
-    The mix is decided on ids, sizes and hashes alone; texts are exchanged once, to meet their numbers of times. Rows that
-    are equal in id and text are told apart by counting them, so that each gets its own number. Null ids, sources and
+    The mix is decided on ids, sizes and hashes alone; texts are exchanged once, to meet their numbers of times. Rows of one
+    id and text that differ in another column, such as the source, are told apart by a hash of all columns and get their
+    own numbers; rows that are equal in all are interchangeable, and are told apart by counting them. Null ids, sources and
     texts: see mixing.mix; a document without words is not taken; no rows give no rows; any column names may occur.
     """
-    slim = docs.select(*row_keys(), "doc_id", "source", F.regexp_count("text", F.lit(WORD)).alias("_n"))
+    slim = docs.select(*row_keys(docs), "doc_id", "source", F.regexp_count("text", F.lit(WORD)).alias("_n"))
     mixed = mixing.mix(mixing.with_quality(slim, table(spark, sf_dir, "labels")), F.col("_quality"), F.col("_n"), [F.col("doc_id").cast("string"), F.col("_th").cast("string")])
     times = F.when(F.col("size") > 0, F.round(F.col("taken") / F.col("size"))).otherwise(0).cast("int")
-    times = mixed.groupBy("_id", "_th").agg(F.array_sort(F.collect_list(times)).alias("_times"))
-    nth = F.row_number().over(W.partitionBy("_id", "_th").orderBy("_id"))
-    rows = docs.select(F.struct(*docs.columns).alias("row"), *row_keys()).withColumn("_nth", nth)
-    taken = rows.join(times, ["_id", "_th"]).withColumn("_k", F.element_at("_times", F.col("_nth")))
+    key = ["_id", "_th", "_row"]
+    times = mixed.groupBy(*key).agg(F.array_sort(F.collect_list(times)).alias("_times"))
+    nth = F.row_number().over(W.partitionBy(*key).orderBy("_id"))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), *row_keys(docs)).withColumn("_nth", nth)
+    taken = rows.join(times, key).withColumn("_k", F.element_at("_times", F.col("_nth")))
     return taken.select("row", F.explode(F.array_repeat(F.lit(1), F.col("_k")))).select("row.*")
 
 
