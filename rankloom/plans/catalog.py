@@ -394,6 +394,36 @@ def tune_retrieval_score(spark, d, k=DEPTH):
     return tuning.best(tuning.by_score(unit_runs(spark, d, k=k), groups, 3, tuning.grid(3, STEPS)), ["grp"])
 
 
+#: The step of the reference's setting: 5151 trials of three lists.
+FINE = 100
+
+
+def finely(sql: str) -> str:
+    """SQL over the coarse grid as one over the fine grid."""
+    fine = TRIALS.replace(f"{STEPS}.0e0", f"{FINE}.0e0").replace(f"range({STEPS + 1})", f"range({FINE + 1})").replace(f"({STEPS} - a - b)", f"({FINE} - a - b)").replace(f"a + b <= {STEPS})", f"a + b <= {FINE})")
+    pair = PAIR_TRIALS.replace(f"{STEPS}.0e0", f"{FINE}.0e0").replace(f"range({STEPS + 1})", f"range({FINE + 1})").replace(f"({STEPS} - a)", f"({FINE} - a)")
+    return sql.replace(TRIALS, fine).replace(PAIR_TRIALS, pair)
+
+
+@query(finely(SQL["tune_global"]))
+def tune_global_fine(spark, d, k=DEPTH):
+    """All 5151 weights of three lists in steps of 0.01."""
+    everyone = items(spark, d).select("qid", F.lit("all").alias("grp"))
+    return tuning.supervised(unit_runs(spark, d, k=k), qrels(spark, d), everyone, 3, tuning.grid(3, FINE))
+
+
+@query(finely(SQL["tune_by_level"]))
+def tune_by_level_fine(spark, d, k=DEPTH):
+    groups = levels(spark, d).withColumnRenamed("level", "grp")
+    return tuning.best(tuning.supervised(unit_runs(spark, d, k=k), qrels(spark, d), groups, 3, tuning.grid(3, FINE)), ["grp"])
+
+
+@query(finely(SQL["tune_retrieval_score"]))
+def tune_retrieval_score_fine(spark, d, k=DEPTH):
+    groups = levels(spark, d).withColumnRenamed("level", "grp")
+    return tuning.best(tuning.by_score(unit_runs(spark, d, k=k), groups, 3, tuning.grid(3, FINE)), ["grp"])
+
+
 # ---- measures ----
 
 MEASURES = ["map", "ndcg", "recip_rank", *(f"ndcg_cut_{c}" for c in metrics.NDCG_CUTS), *(f"p_{c}" for c in metrics.P_CUTS), *(f"recall_{c}" for c in metrics.RECALL_CUTS)]
@@ -974,6 +1004,6 @@ def whole(name: str) -> None:
 
 WHOLE = """norm_minmax norm_max fuse_linear_weighted fuse_linear_fold3 fuse_linear_comb fuse_per_level fuse_rrf fuse_concat fuse_round_robin_short
 tune_global tune_by_level tune_2plus1 tune_retrieval_score metrics_per_query metrics_mean metrics_by_level latex_row legacy_hit_rates
-rerank_rescore"""
+rerank_rescore tune_by_level_fine"""
 for _name in WHOLE.split():
     whole(_name)
