@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .ranking import settled
+from .ranking import ranked, settled
 
 NDCG_CUTS, P_CUTS, RECALL_CUTS = (1, 3, 5, 10), (1, 3, 5, 10, 20), (5, 10, 20, 50, 100, 1000)
 
@@ -24,10 +24,12 @@ def ideal(qrels: DataFrame, cuts: tuple[int, ...]) -> DataFrame:
     return qrels.withColumn("_at", at).groupBy("qid").agg(F.sum((F.col("rel") > 0).cast("long")).alias("num_rel"), F.sum(gain).alias("idcg"), *sums)
 
 
-def per_query(run: DataFrame, qrels: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+def per_query(run: DataFrame, qrels: DataFrame, keys: tuple[str, ...] = (), trec_ties: bool = False) -> DataFrame:
     """One row a query (and keys, such as a run's name) that has judgements: num_rel, map, ndcg, ndcg_cut_k, p_k,
-    recall_k, recip_rank. Queries without judgements are left out; p_k divides by k however few were found."""
+    recall_k, recip_rank. Queries without judgements are left out; p_k divides by k however few were found. With trec_ties
+    ranks are made anew from the scores, equal ones from the greatest docid, as the usual evaluation program has it."""
     group = [*keys, "qid"]
+    run = ranked(run.drop("rank"), group, ties_down=True) if trec_ties else run
     r = judged(run, qrels)
     hit = (F.col("rel") > 0).cast("long")
     r = r.withColumn("_hits", F.sum(hit).over(W.partitionBy(*group).orderBy("rank").rowsBetween(W.unboundedPreceding, 0)))

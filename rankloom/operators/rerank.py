@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.storage import kept, names_in
 from .ranking import settled
 
 
@@ -82,3 +83,43 @@ def listwise(run: DataFrame, permute: Callable[[str, list[str]], list[int]], win
 
     first = run.filter(F.col("rank") <= head).groupBy("qid").applyInPandas(work, out.schema)
     return first.unionByName(out.filter(F.col("rank") > head))
+
+
+def listwise_rounds(run: DataFrame, permute: Callable[[list[str], list[list[str]]], list[list[int]]], folder: str, window: int = 20, step: int = 10, head: int = 100, batch: int = 8) -> DataFrame:
+    """listwise, one window of all queries at a time: permute(queries, contents of each) answers a batch of prompts at once.
+
+    A round's prompts are made by a join of the order so far (ids alone) with the window's texts, and its answers are
+    written under `folder` before the next round begins. A round that is there is read and not asked again: a lost executor
+    repeats its own tasks' prompts of one round at most, and a job that starts anew with the same folder goes on after
+    the last whole round. Give each run and setting a folder of its own.
+    """
+    spark = run.sparkSession
+    out = run.select("qid", "docid", "score", F.col("rank").cast("int").alias("rank"))
+    first = run.filter(F.col("rank") <= head)
+    # place from 0 of each passage, by number among the query's head
+    order = first.select("qid", "docid", (F.row_number().over(W.partitionBy("qid").orderBy("rank")) - 1).alias("place"))
+    texts = first.select("qid", "docid", "query", "contents")
+    answer = T.StructType([run.schema["qid"], T.StructField("named", T.ArrayType(T.IntegerType()))])
+
+    def ask(frames):
+        for f in frames:
+            for at in range(0, len(f), batch):
+                part = f.iloc[at : at + batch]
+                contents = [list(x) for x in part["contents"]]
+                got = permute(part["query"].tolist(), contents)
+                yield pd.DataFrame({"qid": part["qid"].to_numpy(), "named": [repaired(list(g), len(c)) for g, c in zip(got, contents)]})
+
+    for start, end in window_starts(head, window, step):
+        path = f"{folder}/round-{start}-{end}"
+        inside = order.filter((F.col("place") >= start) & (F.col("place") < end))
+        if "_SUCCESS" not in names_in(spark, path):
+            sorted_ = F.array_sort(F.collect_list(F.struct("place", "contents")))
+            prompts = inside.join(texts, ["qid", "docid"]).groupBy("qid").agg(F.first("query").alias("query"), F.transform(sorted_, lambda x: x["contents"]).alias("contents"))
+            prompts.mapInPandas(ask, answer).write.mode("overwrite").parquet(path)
+        answers = spark.read.schema(answer).parquet(path)
+        # named holds, for each new place, the old one within the window
+        moved = F.array_position("named", F.col("place") - start) - 1 + start
+        order = order.join(answers, "qid", "left").withColumn("place", F.when((F.col("place") >= start) & (F.col("place") < end), moved).otherwise(F.col("place")).cast("int")).drop("named")
+        order = kept(order)
+    scores = first.select("qid", F.col("score"), F.col("rank").cast("int").alias("rank"), (F.row_number().over(W.partitionBy("qid").orderBy("rank")) - 1).alias("place"))
+    return order.join(scores, ["qid", "place"]).select("qid", "docid", "score", "rank").unionByName(out.filter(F.col("rank") > head))

@@ -10,10 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import flattening, parsing, text
-from ..operators import conversation, fusion, lexical, metrics, rerank, tuning, vectors
+from ..operators import conversation, fusion, impacts, lexical, metrics, positions, rerank, tuning, vectors
 from ..operators.ranking import normalized, ranked, settled
-from ..sources import passages, sinks, trec, turns
-from ..sources.storage import kept, scratch_path, small, spread
+from ..sources import passages, sinks, tables, trec, turns
+from ..sources.storage import kept, scratch_path, small
 from . import experiments, generation, search
 
 #: Passages a list in the short queries, and in those that end in _1000: the reference's depth.
@@ -234,6 +234,55 @@ def top_p(spark, d):
     return vectors.nucleus(one_run(spark, d), ["qid"], 0.9)
 
 
+def positional(spark, d):
+    """The stored index of documents with positions."""
+    return lexical.index_once(read(spark, d, "documents"), "doc_id", "text", positions=True)
+
+
+def near_sql(least: int, terms: str, second: str, third: str) -> str:
+    """terms: the three of an item; second and third: where their places b and c may be, seen from the places a and b."""
+    return f"""WITH {CORPUS}, {ITEMS}, occ AS (SELECT docid, unnest(words) AS term, unnest(range(1, len(words) + 1)) AS pos FROM lists), p AS (SELECT qid, {terms} AS p FROM items WHERE len(words) >= {least}),
+m AS (SELECT qid, a.docid, count(DISTINCT a.pos) AS tf FROM p JOIN occ a ON a.term = p[1] JOIN occ b ON b.docid = a.docid AND b.term = p[2] AND {second} JOIN occ c ON c.docid = b.docid AND c.term = p[3] AND {third} GROUP BY ALL),
+f AS (SELECT *, count(*) OVER (PARTITION BY qid) AS df FROM m JOIN lens USING (docid)),
+s AS (""" + rank_sql("SELECT qid, docid, tf::BIGINT AS tf, round(ln(1 + (n - df + 0.5e0) / (df + 0.5e0)) * tf / (tf + 0.9e0 * (1 - 0.4e0 + 0.4e0 * dl / avgdl)), 6) AS score FROM f CROSS JOIN stats", 20) + ") SELECT * FROM s"
+
+
+@query(near_sql(3, "words[1:3]", "b.pos = a.pos + 1", "c.pos = b.pos + 1"))
+def phrase_topk(spark, d):
+    """Passages with an item's first three terms in a row."""
+    q = items(spark, d).filter(F.size("words") >= 3).select("qid", text.first_terms(F.col("words"), 3).alias("words"))
+    return positions.topk(q, positional(spark, d), ["qid"], 20)
+
+
+@query(near_sql(5, "[words[1], words[3], words[5]]", "b.pos > a.pos AND b.pos <= a.pos + 6", "c.pos > b.pos AND c.pos <= b.pos + 6"))
+def window_topk(spark, d):
+    """Passages with an item's first, third and fifth term in this order, each at most six places after the one before."""
+    w = F.col("words")
+    q = items(spark, d).filter(F.size("words") >= 5).select("qid", F.array(w[0], w[2], w[4]).alias("words"))
+    return positions.topk(q, positional(spark, d), ["qid"], 20, 6)
+
+
+@query("SELECT u.d::VARCHAR AS dim, count(*) AS df, max(round(embedding[u.d + 1]::DOUBLE * 1000))::INT AS most FROM embeddings, range(64) u(d) WHERE round(embedding[u.d + 1]::DOUBLE * 1000) <> 0 GROUP BY u.d")
+def sparse_index_write_read(spark, d):
+    """Weights written in two segments, merged, and their dimensions read back."""
+    path, rows = scratch_path(spark), vectors.inverted(vector_table(spark, d))
+    for i in (0, 1):
+        impacts.append(rows.filter(F.col("docid") % 2 == i), path)
+    impacts.merge(spark, path)
+    (name,) = impacts.segments(spark, path)
+    return tables.read_table(spark, f"{path}/{name}/postings").groupBy("dim").agg(F.count("*").alias("df"), F.max("impact").alias("most"))
+
+
+@query("WITH s AS (" + rank_sql("SELECT q.vec_id AS qid, v.vec_id AS docid, round(list_sum(list_transform(range(1, 65), lambda i: q.embedding[i]::DOUBLE * round(v.embedding[i]::DOUBLE * 1000) / 1000)), 6) AS score FROM embeddings q CROSS JOIN embeddings v WHERE q.vec_id % 20 = 0", 20) + ") SELECT * FROM s WHERE score > 0")
+def sparse_index_search(spark, d):
+    """Vectors as weights on 64 dimensions: two segments, searched together."""
+    path, rows = scratch_path(spark), vectors.inverted(vector_table(spark, d))
+    for i in (0, 1):
+        impacts.append(rows.filter(F.col("docid") % 2 == i), path)
+    q = vectors.inverted(vector_table(spark, d).filter("docid % 20 = 0")).select(F.col("docid").alias("qid"), "dim", F.col("value").alias("q"))
+    return impacts.search(q, path, 20)
+
+
 # ---- fusion ----
 
 
@@ -449,6 +498,15 @@ def metrics_per_query(spark, d, k=DEPTH):
     return metrics.per_query(one_run(spark, d, k), qrels(spark, d))
 
 
+COARSE = "(SELECT qid, docid, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, docid DESC) AS rank FROM (SELECT qid, docid, floor(score) AS score FROM runs WHERE list_id = 0))"
+
+
+@query(f"WITH {BASE}, {QRELS}, {IDEAL}, {per_query_sql(COARSE)} SELECT * FROM m")
+def metrics_trec_ties(spark, d, k=DEPTH):
+    """Measures of a run whose scores are whole numbers, so that many tie, in the usual evaluation program's order of ties."""
+    return metrics.per_query(one_run(spark, d, k).withColumn("score", F.floor("score").cast("double")), qrels(spark, d), trec_ties=True)
+
+
 MEANS = ", ".join(f"round(avg({x}), 6) AS {x}" for x in ["num_rel", *MEASURES])
 
 
@@ -656,6 +714,16 @@ def listwise_rerank(spark, d):
     return rerank.listwise(r, lambda q, c: [i + 1 for i in sorted(range(len(c)), key=lambda i: (-len(c[i]), i))], 20, 10, 40)
 
 
+@query(SQL["listwise_rerank"])
+def listwise_rounds(spark, d):
+    """The same in rounds over all queries, whose answers are written."""
+    run = kept(one_run(spark, d))
+    docs = read(spark, d, "documents").select(F.col("doc_id").alias("docid"), text.truncate_words(F.col("text"), 300).alias("contents"))
+    asked = run.join(items(spark, d).select("qid", F.col("text").alias("query")), "qid")
+    longest = lambda q, c: [[i + 1 for i in sorted(range(len(x)), key=lambda i: (-len(x[i]), i))] for x in c]
+    return rerank.listwise_rounds(kept(passages.with_contents(asked, docs)), longest, scratch_path(spark), 20, 10, 40)
+
+
 @query(f"""WITH {PARTS}, m AS (SELECT qid, a, b FROM p)
 SELECT qid, 'system: You rank passages by how well they answer a query.' || chr(10) || 'user: There are 2 passages, each with a number in []. Rank them for the query: ' || a || chr(10) || 'assistant: Send the passages.' || chr(10)
   || 'user: [1] ' || array_to_string(string_split(a, ' ')[1:5], ' ') || chr(10) || 'assistant: Passage [1] received.' || chr(10) || 'user: [2] ' || array_to_string(string_split(b, ' ')[1:5], ' ') || chr(10) || 'assistant: Passage [2] received.' || chr(10)
@@ -1004,6 +1072,6 @@ def whole(name: str) -> None:
 
 WHOLE = """norm_minmax norm_max fuse_linear_weighted fuse_linear_fold3 fuse_linear_comb fuse_per_level fuse_rrf fuse_concat fuse_round_robin_short
 tune_global tune_by_level tune_2plus1 tune_retrieval_score metrics_per_query metrics_mean metrics_by_level latex_row legacy_hit_rates
-rerank_rescore tune_by_level_fine"""
+rerank_rescore tune_by_level_fine metrics_trec_ties"""
 for _name in WHOLE.split():
     whole(_name)

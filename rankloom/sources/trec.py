@@ -8,15 +8,16 @@ from pyspark.sql import functions as F
 from ..operators.ranking import ranked
 
 
-def parse_run(lines: DataFrame) -> DataFrame:
-    """qid, docid, score, rank, tag from lines `qid Q0 docid rank score tag`; the rank is that of the scores, not the stored one."""
+def parse_run(lines: DataFrame, ties_down: bool = False) -> DataFrame:
+    """qid, docid, score, rank, tag from lines `qid Q0 docid rank score tag`; the rank is that of the scores, not the stored one,
+    equal scores by docid (ties_down: from the greatest docid, as the usual evaluation program has it)."""
     p = F.split("value", " ")
     rows = lines.filter(F.size(p) >= 5).select(p[0].alias("qid"), p[2].alias("docid"), p[4].cast("double").alias("score"), F.get(p, F.lit(5)).alias("tag"))
-    return ranked(rows, ["qid"])
+    return ranked(rows, ["qid"], ties_down=ties_down)
 
 
-def read_run(spark: SparkSession, path: str) -> DataFrame:
-    return parse_run(spark.read.text(path))
+def read_run(spark: SparkSession, path: str, ties_down: bool = False) -> DataFrame:
+    return parse_run(spark.read.text(path), ties_down)
 
 
 def run_lines(run: DataFrame, tag: str) -> DataFrame:
