@@ -95,9 +95,12 @@ def write_index(lists: DataFrame, path: str, positions: bool = False, folders: i
     buckets = buckets or buckets_for(lists)
     each = lists.select("docid", "dl", F.posexplode_outer("words").alias("pos", "term"))
     starts = F.sum((F.coalesce("pos", F.lit(0)) == 0).cast("long")).alias("starts")
-    places = F.array_sort(F.collect_list("pos"))
-    gaps = [F.transform(places, lambda x, i: F.when(i == 0, x).otherwise(x - F.get(places, i - 1))).alias("gaps")] if positions else []
-    rows = each.groupBy("docid", "dl", "term").agg(F.count("term").alias("tf"), starts, *gaps)
+    places = [F.array_sort(F.collect_list("pos")).alias("gaps")] if positions else []
+    rows = each.groupBy("docid", "dl", "term").agg(F.count("term").alias("tf"), starts, *places)
+    if positions:
+        before = F.concat(F.array(F.lit(0)), F.slice("gaps", 1, F.greatest(F.size("gaps") - 1, F.lit(0))))
+        rows = rows.withColumn("gaps", F.zip_with("gaps", before, lambda x, y: x - y))
+        rows = rows.withColumn("gaps", F.when(F.col("term").isNotNull(), F.col("gaps")).otherwise(F.array().cast("array<int>")))
     passages = write_table(rows, f"{path}/passages", buckets, "docid", ["docid", "term"])
     size = passages.agg(F.sum("starts").alias("n_docs"), F.coalesce(F.sum(F.col("starts") * F.col("dl")), F.lit(0)).alias("n_tokens"), F.count("term").alias("n_postings"))
     folders = folders or max(1, min(MOST_BUCKETS, size.first()["n_postings"] // PER_FOLDER))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import reduce
 
@@ -32,54 +33,110 @@ def cosine(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(dot(a, b), norm(a) * norm(b)), F.lit(0.0))
 
 
-def dense(queries: DataFrame, vectors: DataFrame, k: int = 1000, block: int = 4096, queries_at_once: int = 4096) -> DataFrame:
+#: Bytes of query vectors that are broadcast at once.
+QUERY_BYTES = 128 << 20
+
+
+def packed(rows: DataFrame, key: str, size: int) -> DataFrame:
+    """keys, flat: rows (key, embedding) of one length as blocks of at most `size` rows, each a row: the keys and the
+    components one after the other."""
+    kind = rows.schema[key].dataType.simpleString()
+
+    def work(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, size):
+                part = batch.slice(at, size)
+                flat = part.column(1).flatten().cast(pa.float64())
+                ends = lambda x: pa.array([0, len(x)], pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(ends(part.column(0)), part.column(0)), pa.ListArray.from_arrays(ends(flat), flat)], names=["keys", "flat"])
+
+    return rows.select(key, "embedding").mapInArrow(work, f"keys array<{kind}>, flat array<double>")
+
+
+def dense(queries: DataFrame, vectors: DataFrame, k: int = 1000, block: int = 2048, query_block: int = 1024) -> DataFrame:
     """Exact inner-product search: queries (qid, embedding) against vectors (docid, embedding), the k best for each.
 
-    The queries are a stated set; they go with the tasks, queries_at_once of them, and more in further passes over the
-    vectors. Each task scores its passages block by block and hands on the k best of each block; the exchange then
-    carries few rows. Queries must have one length and no null components, or it raises; passages whose vector is null,
-    of another length or holds nulls are left out.
+    Both sides are packed into blocks, and each block of vectors meets each block of queries where it was read: the
+    query blocks are broadcast, QUERY_BYTES of them at once, and more in further passes over the vectors. Nothing is
+    collected, however many queries there are. A pair of blocks is one product of matrices that hands on the k best for
+    each query, so the exchange carries few rows. Queries must have one length and no null components, or it raises;
+    passages whose vector is null, of another length or holds nulls are left out.
     """
-    n = queries.count()
-    if n > queries_at_once:
-        parts = -(-n // queries_at_once)
-        each = [dense(queries.filter(F.pmod(F.xxhash64("qid"), F.lit(parts)) == i), vectors, k, block, 2 * n) for i in range(parts)]
-        return reduce(DataFrame.unionByName, each)
-    given = queries.select("qid", "embedding").orderBy("qid").collect()
-    if any(r["embedding"] is None or None in r["embedding"] or len(r["embedding"]) != len(given[0]["embedding"]) for r in given):
+    null = F.exists("embedding", lambda x: x.isNull())
+    size = F.coalesce(F.size("embedding"), F.lit(-1))
+    facts = queries.agg(F.count("*").alias("n"), F.min(size).alias("least"), F.max(size).alias("most"), F.coalesce(F.bool_or(F.col("embedding").isNull() | F.coalesce(null, F.lit(True))), F.lit(False)).alias("bad")).first()
+    if facts["bad"] or facts["least"] != facts["most"]:
         raise ValueError("queries need vectors of one length without nulls")
-    qids = [r["qid"] for r in given]
-    q = np.array([r["embedding"] for r in given], np.float64)
-    out = vectors.select("docid").schema.add("_q", "integer").add("score", "double")
+    dim = facts["most"] or 0
+    schema = T.StructType([queries.select("qid").schema[0], vectors.select("docid").schema[0], T.StructField("score", T.DoubleType())])
 
     def work(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, block):
-                part = batch.slice(at, block)
-                flat = part.column(1).flatten().to_numpy(zero_copy_only=False)
-                if not len(flat) or not len(q):
-                    continue
-                scores = q @ flat.reshape(part.num_rows, -1).astype(np.float64).T
-                few = min(k + 1, part.num_rows)  # one more, as rounding may make ties at the cut
+            for i in range(batch.num_rows):
+                docids, flat, qids, asked = (batch.column(c)[i].values for c in range(4))
+                scores = asked.to_numpy().reshape(-1, dim) @ flat.to_numpy().reshape(-1, dim).T
+                few = min(k + 1, scores.shape[1])  # one more, as rounding may make ties at the cut
                 cut = -np.partition(-scores, few - 1, axis=1)[:, few - 1]
                 which, doc = np.nonzero(np.round(scores, 6) >= np.round(cut, 6)[:, None])
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(doc)), pa.array(which.astype(np.int32)), pa.array(scores[which, doc])], names=["docid", "_q", "score"])
-
-    names = F.array(*map(F.lit, qids)) if qids else F.array()
-    dim = len(given[0]["embedding"]) if given else 0
-    whole = (F.size("embedding") == dim) & ~F.exists("embedding", lambda x: x.isNull())
-    found = vectors.filter(F.col("embedding").isNotNull() & whole).select("docid", "embedding").mapInArrow(work, out)
-    return ranked(found.select(F.get(names, F.col("_q")).alias("qid"), "docid", settled(F.col("score")).alias("score")), ["qid"], k)
-
-
-def encoded(rows: DataFrame, text: str, encode: Callable[[list[str]], np.ndarray], batch: int = 200) -> DataFrame:
-    """Add `embedding` by a model that the caller supplies; texts reach it in batches."""
+                yield pa.RecordBatch.from_arrays([qids.take(pa.array(which)), docids.take(pa.array(doc)), pa.array(scores[which, doc])], names=["qid", "docid", "score"])
+
+    if not dim:
+        return ranked(queries.select("qid").limit(0).crossJoin(vectors.select("docid").limit(0)).withColumn("score", F.lit(0.0)), ["qid"], k)
+    whole = vectors.filter(F.col("embedding").isNotNull()).filter((F.size("embedding") == dim) & ~F.exists("embedding", lambda x: x.isNull()))
+    blocks_ = packed(whole, "docid", block)
+    passes = max(1, -(-facts["n"] * dim * 8 // QUERY_BYTES))
+    found = []
+    for i in range(passes):
+        some = queries.filter(F.pmod(F.xxhash64("qid"), F.lit(passes)) == i) if passes > 1 else queries
+        asked = packed(some, "qid", query_block).toDF("qids", "asked")
+        found.append(blocks_.crossJoin(F.broadcast(asked)).mapInArrow(work, schema))
+    every = reduce(DataFrame.unionByName, found)
+    return ranked(every.select("qid", "docid", settled(F.col("score")).alias("score")), ["qid"], k)
+
+
+class PerWorker:
+    """A model that each Python worker loads once, when it is first called there, and keeps: load() gives the callable."""
+
+    def __init__(self, load: Callable[[], Callable]):
+        self.load, self.key = load, uuid.uuid4().hex
+
+    def __call__(self, *args):
+        if self.key not in _loaded:
+            _loaded[self.key] = self.load()
+        return _loaded[self.key](*args)
+
+
+#: What the models of this worker process are, by PerWorker's key.
+_loaded: dict[str, Callable] = {}
+
+
+def by_length(lengths: list[int], budget: int, most: int) -> list[np.ndarray]:
+    """Places of texts in batches, longest first: a batch has at most `most` texts, and at most `budget` tokens when each is
+    padded to its longest (a text longer than that is a batch of its own)."""
+    order, out = np.argsort(-np.asarray(lengths), kind="stable"), []
+    at = 0
+    while at < len(order):
+        longest = max(1, lengths[order[at]])
+        n = max(1, min(most, budget // longest))
+        out.append(order[at : at + n])
+        at += n
+    return out
+
+
+def encoded(rows: DataFrame, text: str, encode: Callable[[list[str]], np.ndarray], batch: int = 200, budget: int | None = None) -> DataFrame:
+    """Add `embedding` by a model that the caller supplies (PerWorker loads it once a worker); texts reach it in batches. With a
+    budget of words, texts of like length share a batch, so that little is padded; rows keep their order."""
     schema = T.StructType([*rows.schema, T.StructField("embedding", T.ArrayType(T.FloatType()))])
 
     def work(frames):
         for frame in frames:
-            parts = [np.asarray(encode(frame[text].fillna("").tolist()[i : i + batch])) for i in range(0, len(frame), batch)]
-            yield frame.assign(embedding=list(np.concatenate(parts).astype(np.float32)) if parts else [])
+            texts = frame[text].fillna("").tolist()
+            places = by_length([len(t.split()) for t in texts], budget, batch) if budget else [np.arange(i, min(i + batch, len(texts))) for i in range(0, len(texts), batch)]
+            out: list = [None] * len(texts)
+            for at in places:
+                for i, v in zip(at.tolist(), np.asarray(encode([texts[i] for i in at]), np.float32)):
+                    out[i] = v
+            yield frame.assign(embedding=out)
 
     return rows.mapInPandas(work, schema)
 

@@ -931,6 +931,53 @@ def search_end_to_end(spark, d):
     return search.search(queries, texts, collection, config, search.Models(score=lambda q, c: [len(x) for x in c]))
 
 
+def three_texts_sql(lists: str, scored: str) -> str:
+    """Three texts an item, searched as `scored` (list_id, qid, docid, score) says, and summed with equal weights."""
+    return f"""WITH {ITEMS}, t AS (SELECT qid, array_to_string(words[1:10], ' ') AS rw, ' ' || array_to_string(words[greatest(len(words) - 9, 1):], ' ') AS rwrs, array_to_string(words, ' ') AS judged FROM items),
+q AS (SELECT 0 AS list_id, qid, rw AS text FROM t UNION ALL SELECT 1, qid, rwrs FROM t UNION ALL SELECT 2, qid, judged FROM t), {lists},
+runs AS ({rank_sql(scored, DEPTH, 'list_id, qid')}), unit AS (SELECT list_id, qid, docid, rank, coalesce((score - min(score) OVER w) / nullif(max(score) OVER w - min(score) OVER w, 0), 0) AS score FROM runs WINDOW w AS (PARTITION BY list_id, qid)),
+w AS (SELECT qid, l.list_id, 1.0::DOUBLE AS weight FROM items, (VALUES (0), (1), (2)) l(list_id)), f AS ({combination_sql('w')}) SELECT qid::VARCHAR AS qid, docid, score, rank FROM f"""
+
+
+SIZES = "[(length({0}) % 7)::DOUBLE, (length({0}) % 5)::DOUBLE, (length({0}) % 3)::DOUBLE]"
+
+
+@query(three_texts_sql(f"d AS (SELECT doc_id AS docid, {SIZES.format('text')} AS v FROM documents WHERE text IS NOT NULL), e AS (SELECT list_id, qid, {SIZES.format('text')} AS v FROM q)", "SELECT list_id, qid, docid, round(list_inner_product(e.v, d.v), 6) AS score FROM e CROSS JOIN d"))
+def search_dense(spark, d):
+    """Turns to a run by vectors, with a stand-in for the encoder: three remainders of the text's length."""
+    config = experiments.replace(experiments.PRESETS["equal"], k=DEPTH, model="dense")
+    queries, texts = search.query_list(item_turns(spark, d), config)
+    n = F.length("text")
+    stored = read(spark, d, "documents").filter("text is not null").select(F.col("doc_id").alias("docid"), F.array(*((n % m).cast("double") for m in (7, 5, 3))).alias("embedding"))
+    docs = read(spark, d, "documents").select(F.col("doc_id").alias("docid"), F.col("text").alias("contents"))
+    model = search.Models(encode=vectors.PerWorker(lambda: lambda xs: [[float(len(x) % m) for m in (7, 5, 3)] for x in xs]))
+    return search.search(queries, texts, search.Collection(docs, vectors=stored), config, model).select("qid", "docid", "score", "rank")
+
+
+@query(three_texts_sql(f"{CORPUS}, e AS (SELECT list_id, qid, term, count(*)::DOUBLE AS w FROM (SELECT list_id, qid, unnest(string_split(trim(text), ' ')) AS term FROM q) GROUP BY ALL)", "SELECT list_id, qid, docid, round(sum(w * tf), 6) AS score FROM e JOIN post USING (term) GROUP BY ALL"))
+def search_sparse(spark, d):
+    """Turns to a run by term weights, with a stand-in for the model: how often a term occurs."""
+    config = experiments.replace(experiments.PRESETS["equal"], k=DEPTH, model="sparse")
+    queries, texts = search.query_list(item_turns(spark, d), config)
+    docs = read(spark, d, "documents").select(F.col("doc_id").alias("docid"), F.col("text").alias("contents"))
+    weights = index(spark, d).postings.select(F.col("term").alias("dim"), "docid", F.col("tf").cast("double").alias("value"))
+
+    def counts(xs):
+        return [{t: float(x.split().count(t)) for t in x.split()} for x in xs]
+
+    return search.search(queries, texts, search.Collection(docs, weights=weights), config, search.Models(encode_terms=counts)).select("qid", "docid", "score", "rank")
+
+
+@query(SQL["listwise_rerank"].replace("length(array_to_string(string_split(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' ')[1:300], ' ')) AS n", "length(coalesce(text, '')) AS n").replace("SELECT w.qid, w.docid, r.score, r.rank FROM", "SELECT w.qid::VARCHAR AS qid, w.docid, r.score, r.rank FROM"))
+def search_listwise(spark, d):
+    """One text a turn, BM25, listwise windows over the first 40."""
+    config = experiments.Config(retrieval_query="gpt-4o_judge_and_rewrite_rw", k=DEPTH, reranker="listwise", window=20, step=10, rerank_k=40)
+    queries, texts = search.query_list(item_turns(spark, d), config)
+    docs = read(spark, d, "documents").select(F.col("doc_id").alias("docid"), F.col("text").alias("contents"))
+    longest = lambda q, c: [i + 1 for i in sorted(range(len(c)), key=lambda i: (-len(c[i]), i))]
+    return search.search(queries, texts, search.Collection(docs, index(spark, d)), config, search.Models(permute=longest))
+
+
 @query(f"""WITH {BASE}, p AS (SELECT doc_id AS docid, CASE WHEN doc_id % 2 = 0 THEN 'Title: ' || coalesce(source, '') || ' Content: ' || coalesce(text, '') ELSE coalesce(text, '') END AS c FROM documents)
 SELECT qid, docid, rank, score, trim(regexp_replace(c, '\\s+', ' ', 'g')) AS content FROM runs JOIN p USING (docid) WHERE list_id = 0 AND rank <= 10""")
 def retrieved_passages(spark, d):

@@ -97,7 +97,7 @@ def retrieve(texts: DataFrame, collection: Collection, config: Config, models: M
         numbered = kept(texts.select(*keys, "text").withColumn("n", F.xxhash64(*keys)))
         q = vectors.encoded(numbered.select(F.col("n").alias("qid"), "text"), "text", models.encode).select("qid", "embedding")
         run = vectors.dense(q, collection.vectors, config.k).withColumnRenamed("qid", "n")
-        return run.join(F.broadcast(given.withColumn("n", F.xxhash64(*keys))), "n").select(*keys, "docid", "score", "rank")
+        return run.join(small(kept(given.withColumn("n", F.xxhash64(*keys)))), "n").select(*keys, "docid", "score", "rank")
     if config.model == "sparse":
         encode_terms = models.encode_terms
 

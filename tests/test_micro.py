@@ -235,7 +235,7 @@ def test_ragged_vectors(spark):
     q = v.filter("docid = 1").withColumnRenamed("docid", "qid")
     assert {(r["docid"], r["score"]) for r in vectors.dense(q, v).collect()} == {(1, 1.0), (6, 0.5)}
     three = v.filter("docid in (1, 6)").withColumnRenamed("docid", "qid")
-    assert vectors.dense(three, v, queries_at_once=1).count() == 4
+    assert vectors.dense(three, v, query_block=1).count() == 4
     with pytest.raises(ValueError):
         vectors.dense(v.filter("docid < 3").withColumnRenamed("docid", "qid"), v)
 

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from rankloom.operators import impacts, lexical, positions, rerank, tuning
+from rankloom.operators import impacts, lexical, positions, rerank, tuning, vectors
 from rankloom.sources import passages, trec, turns
 
 
@@ -182,3 +182,55 @@ def test_readers_and_lengths(spark, tmp_path):
     assert [x["metrics"]["map"] for x in row["results"]] == [0.2] and row["title"] is None
     places = spark.range(5).withColumnRenamed("id", "n")
     assert [[r["n"] for r in turns.sliced(places, "n", *x).collect()] for x in ((0, -1), (1, 3), (4, 9))] == [[0, 1, 2, 3, 4], [1, 2, 3], [4]]
+
+
+def test_dense_in_blocks(spark, monkeypatch):
+    """More queries than a pass broadcasts, odd sizes of blocks; no vector passes through the driver."""
+    rng = np.random.default_rng(8)
+    v, q = rng.normal(size=(50, 8)).round(1), rng.normal(size=(23, 8)).round(1)
+    v[7] = v[3]
+    frame = lambda x, key: spark.createDataFrame([(i, list(map(float, r))) for i, r in enumerate(x)], f"{key} long, embedding array<float>").repartition(3)
+    vectors_, queries = frame(v, "docid").unionByName(spark.createDataFrame([(900, None), (901, [1.0]), (902, [None] * 8)], "docid long, embedding array<float>")), frame(q, "qid")
+    scores = np.round(q.astype(np.float32).astype(float) @ v.astype(np.float32).astype(float).T, 6)
+    want = {(i, int(d), n + 1) for i in range(23) for n, d in enumerate(np.lexsort((np.arange(50), -scores[i]))[:5])}
+    collected = []
+    monkeypatch.setattr(type(queries), "collect", lambda self, f=type(queries).collect: collected.append(self.columns) or f(self))
+    for limit in (128 << 20, 400):
+        monkeypatch.setattr(vectors, "QUERY_BYTES", limit)
+        found = vectors.dense(queries, vectors_, 5, 7, 4)
+        assert not any("embedding" in c for c in collected)
+        assert {(r["qid"], r["docid"], r["rank"]) for r in found.collect()} == want
+    assert vectors.dense(queries.limit(0), vectors_, 5).count() == 0
+    with pytest.raises(ValueError):
+        vectors.dense(vectors_.withColumnRenamed("docid", "qid"), vectors_)
+
+
+def test_models_are_loaded_once_a_worker_and_texts_share_lengths(spark, tmp_path):
+    folder = str(tmp_path)
+
+    def load():
+        open(f"{folder}/load-{os.getpid()}-{random.getrandbits(60)}", "w").close()
+
+        def encode(texts):
+            n = [len(t.split()) for t in texts]
+            with open(f"{folder}/pad-{random.getrandbits(60)}", "w") as f:
+                f.write(str(len(n) * max(n) - sum(n)))
+            return np.array([[x, len(t)] for x, t in zip(n, texts)], np.float32)
+
+        return encode
+
+    r = random.Random(9)
+    texts = ["w " * r.choice([1, 2, 3, 60, 70]) for _ in range(400)] + [None]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").repartition(4)
+
+    def padding(budget):
+        for f in glob.glob(f"{folder}/*"):
+            os.remove(f)
+        got = vectors.encoded(rows, "t", vectors.PerWorker(load), 32, budget).collect()
+        assert all(x["embedding"] == [len((x["t"] or "").split()), len(x["t"] or "")] for x in got) and len(got) == 401
+        loads = [f.split("-")[-2] for f in glob.glob(f"{folder}/load-*")]
+        assert len(loads) == len(set(loads)) > 0
+        return sum(int(open(f).read()) for f in glob.glob(f"{folder}/pad-*"))
+
+    assert padding(1000) < 0.35 * padding(None)
+    assert [len(x) for x in vectors.by_length([5, 1, 9, 30, 2], 10, 3)] == [1, 1, 2, 1] and vectors.by_length([], 10, 3) == []
