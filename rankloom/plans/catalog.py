@@ -153,8 +153,8 @@ def index_write_read(spark, d):
 
 
 @query(f"WITH {BASE} SELECT qid, docid, score, rank FROM runs WHERE list_id = 0")
-def bm25_topk(spark, d):
-    return one_run(spark, d)
+def bm25_topk(spark, d, k=DEPTH):
+    return one_run(spark, d, k)
 
 
 @query(f"WITH {BASE} SELECT p.qid, p.docid, r.rank, term, tf, df, round(part, 6) AS part FROM parts p JOIN runs r USING (list_id, qid, docid) WHERE list_id = 0 AND r.rank <= 10")
@@ -171,9 +171,9 @@ rm AS (SELECT 0 AS list_id, qid, term, round(sum(v), 6) AS qtf FROM (
   UNION ALL SELECT qid, term, 0.5e0 * p / sum(p) OVER (PARTITION BY qid) FROM pick) GROUP BY ALL)"""
 
 
-def feedback(spark, d):
+def feedback(spark, d, k=DEPTH):
     q, found = lexical.query_terms(items(spark, d), ["qid"]), index(spark, d)
-    return lexical.feedback_terms(q, lexical.bm25(q, found, ["qid"], DEPTH), found, ["qid"])
+    return lexical.feedback_terms(q, lexical.bm25(q, found, ["qid"], k), found, ["qid"])
 
 
 @query(f"WITH {RM3} SELECT qid, term, qtf FROM rm")
@@ -182,8 +182,8 @@ def rm3_terms(spark, d):
 
 
 @query(f"WITH {RM3}, {bm25_sql('rm', 'rm_')} SELECT qid, docid, score, rank FROM rm_runs")
-def rm3_topk(spark, d):
-    return lexical.bm25(kept(feedback(spark, d)), index(spark, d), ["qid"], DEPTH)
+def rm3_topk(spark, d, k=DEPTH):
+    return lexical.bm25(kept(feedback(spark, d, k)), index(spark, d), ["qid"], k)
 
 
 DOT = "list_inner_product(q.embedding::DOUBLE[], v.embedding::DOUBLE[])"
@@ -230,8 +230,8 @@ def bow_query(spark, d):
 p AS (SELECT *, e / sum(e) OVER (PARTITION BY qid) AS prob FROM e),
 c AS (SELECT *, round(coalesce(sum(prob) OVER (PARTITION BY qid ORDER BY score DESC, docid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 6) AS before FROM p)
 SELECT qid, docid, score, rank, round(prob, 6) AS prob FROM c WHERE before <= 0.9e0""")
-def top_p(spark, d):
-    return vectors.nucleus(one_run(spark, d), ["qid"], 0.9)
+def top_p(spark, d, k=DEPTH):
+    return vectors.nucleus(one_run(spark, d, k), ["qid"], 0.9)
 
 
 def positional(spark, d):
@@ -842,8 +842,8 @@ def level_counts(spark, d):
 
 
 @query(f"WITH {BASE} SELECT DISTINCT qid FROM runs WHERE list_id = 0 AND qid NOT IN (SELECT qid FROM runs WHERE list_id = 1 AND qid % 3 <> 0)")
-def queries_lacking(spark, d):
-    return fusion.queries_lacking(runs(spark, d, 2).filter("list_id = 0 OR qid % 3 <> 0"))
+def queries_lacking(spark, d, k=DEPTH):
+    return fusion.queries_lacking(runs(spark, d, 2, k).filter("list_id = 0 OR qid % 3 <> 0"))
 
 
 def reformulated(spark, d):
@@ -894,10 +894,10 @@ def results_writeback(spark, d):
 
 
 @query(f"WITH {PER_QUERY}, x AS (SELECT {MEANS} FROM m), s AS (SELECT 'map' AS measure, map AS value FROM x UNION ALL SELECT 'ndcg', ndcg FROM x UNION ALL SELECT 'recall_10', recall_10 FROM x) SELECT measure, value, n_queries, lines FROM s CROSS JOIN (SELECT count(*) AS n_queries, 1::BIGINT AS lines FROM m)")
-def metrics_sink(spark, d):
+def metrics_sink(spark, d, k=DEPTH):
     """Measures written to their files, and read back from there."""
-    per, folder = kept(metrics.per_query(one_run(spark, d), qrels(spark, d))), scratch_path(spark)
-    sinks.save_measures(per, metrics.mean(per), folder, "demo", ["map", "ndcg", "recall_10"], {"k": DEPTH})
+    per, folder = kept(metrics.per_query(one_run(spark, d, k), qrels(spark, d))), scratch_path(spark)
+    sinks.save_measures(per, metrics.mean(per), folder, "demo", ["map", "ndcg", "recall_10"], {"k": k})
     rows = spark.read.text(f"{folder}/measures").select("measure", F.regexp_extract("value", r"^demo-\[(.*)\]$", 1).cast("double").alias("value"))
     queries = spark.read.json(f"{folder}/queries/demo").agg(F.count("*").alias("n_queries"))
     return rows.groupBy("measure", "value").agg(F.count("*").alias("lines")).crossJoin(F.broadcast(queries))
@@ -923,9 +923,9 @@ def query_list(spark, d):
 w AS (SELECT qid, l.list_id, 1.0::DOUBLE AS weight FROM items, (VALUES (0), (1), (2)) l(list_id)), f AS ({combination_sql('w', 'u')}),
 n AS (SELECT f.qid, f.docid, CASE WHEN rank <= 20 THEN row_number() OVER (PARTITION BY qid, rank <= 20 ORDER BY CASE WHEN rank <= 20 THEN length(coalesce(text, '')) END DESC, rank) ELSE rank END::INT AS rank FROM f JOIN documents ON doc_id = docid)
 SELECT qid::VARCHAR AS qid, docid, round(1.0e0 / rank, 6) AS score, rank FROM n""")
-def search_end_to_end(spark, d):
+def search_end_to_end(spark, d, k=DEPTH):
     """Turns to a run: three texts a turn, BM25, fusion with equal weights, and a stand-in for a reranker: longer passages first."""
-    config = experiments.replace(experiments.PRESETS["equal"], k=DEPTH, reranker="pointwise", rerank_k=20)
+    config = experiments.replace(experiments.PRESETS["equal"], k=k, reranker="pointwise", rerank_k=20)
     queries, texts = search.query_list(item_turns(spark, d), config)
     collection = search.Collection(read(spark, d, "documents").select(F.col("doc_id").alias("docid"), F.col("text").alias("contents")), index(spark, d))
     return search.search(queries, texts, collection, config, search.Models(score=lambda q, c: [len(x) for x in c]))
@@ -986,27 +986,27 @@ def retrieved_passages(spark, d):
 
 
 @query(f"""WITH {UNIT}, l AS (SELECT list_id, qid::VARCHAR AS qid, docid::VARCHAR AS docid, score FROM unit), a AS (SELECT * FROM l WHERE list_id = 0), b AS (SELECT * FROM l WHERE list_id = 1), f AS ({pair_sql('a', 'b', 0.1)}) SELECT qid, docid, score, rank FROM f""")
-def fuse_files(spark, d):
+def fuse_files(spark, d, k=DEPTH):
     """Two run files to a third."""
-    r, folder = kept(runs(spark, d, 2)), scratch_path(spark)
+    r, folder = kept(runs(spark, d, 2, k)), scratch_path(spark)
     for i in (0, 1):
         trec.write_run(r.filter(F.col("list_id") == i), f"{folder}/{i}", "t")
-    return search.fused_files(spark, f"{folder}/0", f"{folder}/1", f"{folder}/out", 0.1, DEPTH, "min-max").select("qid", "docid", "score", "rank")
+    return search.fused_files(spark, f"{folder}/0", f"{folder}/1", f"{folder}/out", 0.1, k, "min-max").select("qid", "docid", "score", "rank")
 
 
 @query((f"WITH {TUNE}, {objective_sql('cells', 'trials', 3, 'everyone')} SELECT grp, trial, w, objective FROM obj").replace("rr + coalesce(dcg / nullif(idcg_3, 0), 0) + coalesce(h10 / nullif(num_rel, 0), 0) + coalesce(h100 / nullif(num_rel, 0), 0)", "coalesce(dcg / nullif(idcg_3, 0), 0)"))
-def tune_one_measure(spark, d):
+def tune_one_measure(spark, d, k=DEPTH):
     everyone = items(spark, d).select("qid", F.lit("all").alias("grp"))
-    return tuning.supervised(unit_runs(spark, d), qrels(spark, d), everyone, 3, tuning.grid(3, STEPS), ("ndcg@3",))
+    return tuning.supervised(unit_runs(spark, d, k=k), qrels(spark, d), everyone, 3, tuning.grid(3, STEPS), ("ndcg@3",))
 
 
 @query(f"""WITH {TUNE}, {objective_sql('cells', 'trials', 3, 'groups')}, bw AS (SELECT qid, l.i - 1 AS list_id, w[l.i] AS weight FROM groups JOIN best USING (grp), range(1, 4) l(i)), f AS ({combination_sql('bw')}), {per_query_sql('f')}
 SELECT grp, any_value(trial) AS trial, count(*) AS n_queries, round(avg(map), 6) AS map, round(avg(ndcg_cut_3), 6) AS ndcg_cut_3, round(avg(recall_50), 6) AS recall_50 FROM m JOIN groups USING (qid) JOIN best USING (grp) GROUP BY grp""")
-def tuned_measures(spark, d):
+def tuned_measures(spark, d, k=DEPTH):
     """What each level's chosen weights reach."""
-    groups, r, judged = levels(spark, d).withColumnRenamed("level", "grp"), kept(unit_runs(spark, d)), qrels(spark, d)
+    groups, r, judged = levels(spark, d).withColumnRenamed("level", "grp"), kept(unit_runs(spark, d, k=k)), qrels(spark, d)
     chosen = tuning.best(tuning.supervised(r, judged, groups, 3, tuning.grid(3, STEPS)), ["grp"])
-    return tuning.measured(r, judged, chosen, groups, DEPTH).select("grp", "trial", "n_queries", "map", "ndcg_cut_3", "recall_50")
+    return tuning.measured(r, judged, chosen, groups, k).select("grp", "trial", "n_queries", "map", "ndcg_cut_3", "recall_50")
 
 
 PROMPT = """prompts AS (SELECT conv_id || '-' || turn AS turn_id, 'Rewrite the last turn.' || chr(10) || chr(10) || CASE WHEN len(c) > 0 THEN 'Conversation:' || chr(10) || array_to_string(c, chr(10)) || chr(10) || chr(10) ELSE '' END || 'Current turn: ' || text AS prompt
@@ -1119,6 +1119,6 @@ def whole(name: str) -> None:
 
 WHOLE = """norm_minmax norm_max fuse_linear_weighted fuse_linear_fold3 fuse_linear_comb fuse_per_level fuse_rrf fuse_concat fuse_round_robin_short
 tune_global tune_by_level tune_2plus1 tune_retrieval_score metrics_per_query metrics_mean metrics_by_level latex_row legacy_hit_rates
-rerank_rescore tune_by_level_fine metrics_trec_ties"""
+rerank_rescore tune_by_level_fine metrics_trec_ties bm25_topk rm3_topk top_p queries_lacking metrics_sink search_end_to_end fuse_files tune_one_measure tuned_measures"""
 for _name in WHOLE.split():
     whole(_name)
