@@ -206,7 +206,10 @@ def scan(docs: DataFrame, trees: tuple, threshold: float = 0.5, words: tuple[str
 
 
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For every document the number of candidates and of secrets, the highest score, and the SHA-256 of the redacted text."""
+    """For every document the number of candidates and of secrets, the highest score, and the SHA-256 of the redacted text.
+
+    A null text counts as empty and has no candidates; equal rows get equal results; whole texts are read, however long; other
+    columns are ignored; no rows give no rows."""
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     words = dictionary(docs)
     found = scan(docs, train(spark, words=words), words=words)
