@@ -475,19 +475,21 @@ def tune_retrieval_score_fine(spark, d, k=DEPTH):
 
 # ---- measures ----
 
-MEASURES = ["map", "ndcg", "recip_rank", *(f"ndcg_cut_{c}" for c in metrics.NDCG_CUTS), *(f"p_{c}" for c in metrics.P_CUTS), *(f"recall_{c}" for c in metrics.RECALL_CUTS)]
-HITS = sorted({*metrics.P_CUTS, *metrics.RECALL_CUTS})
+# the cuts as the SQL has them, whatever the operator's are
+AT_NDCG, AT_P, AT_RECALL = (1, 3, 5, 10), (1, 3, 5, 10, 20), (5, 10, 20, 50, 100, 1000)
+MEASURES = ["map", "ndcg", "recip_rank", *(f"ndcg_cut_{c}" for c in AT_NDCG), *(f"p_{c}" for c in AT_P), *(f"recall_{c}" for c in AT_RECALL)]
+HITS = (1, 3, 5, 10, 20, 50, 100, 1000)
 
 def per_query_sql(run: str) -> str:
     return f"""j AS (SELECT r.qid, r.docid, r.rank, coalesce(rel, 0) AS rel FROM {run} r LEFT JOIN qrels USING (qid, docid)),
 h AS (SELECT *, sum((rel > 0)::INT) OVER (PARTITION BY qid ORDER BY rank) AS hits FROM j),
 a AS (SELECT qid, sum(CASE WHEN rel > 0 THEN hits / rank::DOUBLE ELSE 0 END) AS ap, sum(rel / log2(rank + 1.0e0)) AS dcg, min(CASE WHEN rel > 0 THEN rank END) AS first,
-  {', '.join(f'coalesce(sum(rel / log2(rank + 1.0e0)) FILTER (rank <= {c}), 0) AS dcg_{c}' for c in metrics.NDCG_CUTS)},
+  {', '.join(f'coalesce(sum(rel / log2(rank + 1.0e0)) FILTER (rank <= {c}), 0) AS dcg_{c}' for c in AT_NDCG)},
   {', '.join(f'count(*) FILTER (rel > 0 AND rank <= {c}) AS hit_{c}' for c in HITS)} FROM h GROUP BY qid),
 m AS (SELECT qid, num_rel, round(coalesce(ap / nullif(num_rel, 0), 0), 6) AS map, round(coalesce(dcg / nullif(idcg, 0), 0), 6) AS ndcg, round(coalesce(1.0e0 / first, 0), 6) AS recip_rank,
-  {', '.join(f'round(coalesce(dcg_{c} / nullif(idcg_{c}, 0), 0), 6) AS ndcg_cut_{c}' for c in metrics.NDCG_CUTS)},
-  {', '.join(f'round(hit_{c} / {c}.0e0, 6) AS p_{c}' for c in metrics.P_CUTS)},
-  {', '.join(f'round(coalesce(hit_{c} / nullif(num_rel, 0)::DOUBLE, 0), 6) AS recall_{c}' for c in metrics.RECALL_CUTS)} FROM a JOIN ideal USING (qid))"""
+  {', '.join(f'round(coalesce(dcg_{c} / nullif(idcg_{c}, 0), 0), 6) AS ndcg_cut_{c}' for c in AT_NDCG)},
+  {', '.join(f'round(hit_{c} / {c}.0e0, 6) AS p_{c}' for c in AT_P)},
+  {', '.join(f'round(coalesce(hit_{c} / nullif(num_rel, 0)::DOUBLE, 0), 6) AS recall_{c}' for c in AT_RECALL)} FROM a JOIN ideal USING (qid))"""
 
 
 PER_QUERY = f"{BASE}, {QRELS}, {IDEAL}, {per_query_sql('(SELECT * FROM runs WHERE list_id = 0)')}"
