@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.storage import BROADCAST_ROWS, kept, names_in
-from ..sources.tables import MOST_BUCKETS, MOST_LITERALS, buckets_for, read_table, write_table
+from ..sources.tables import MOST_BUCKETS, MOST_LITERALS, buckets_for, drop_table, read_table, write_table
 from .index import folder_of
 from .ranking import ranked, settled
 
@@ -64,6 +64,7 @@ def merge(spark: SparkSession, path: str, buckets: int | None = None) -> None:
     _write(rows, f"{path}/segment-{first}-{last}", scales.pop()["scale"] if scales else 1, buckets)
     jvm = spark._jvm.org.apache.hadoop.fs
     for name in old:
+        drop_table(spark, f"{path}/{name}/postings")
         p = jvm.Path(f"{path}/{name}")
         p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
 

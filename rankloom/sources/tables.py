@@ -51,6 +51,11 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
     return spark.table(name)
 
 
+def drop_table(spark: SparkSession, path: str) -> None:
+    """Forget a table's name, which a metastore would keep beyond the application; its files stay."""
+    spark.sql(f"DROP TABLE IF EXISTS {name_of(path)}")
+
+
 def rows_of(table: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
     """The rows of a table whose key is among those of wanted (column key; a stored, cheap table). Up to MOST_LITERALS
     distinct keys are handed to the scan, which opens their buckets alone; more are left to the join that follows."""

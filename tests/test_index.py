@@ -80,7 +80,7 @@ def test_index_of_another_session(spark, docs, tmp_path):
     """What a table is dealt by is read from its specification."""
     path = str(tmp_path / "t")
     tables.write_table(docs, path, 4, "docid", ["docid"])
-    spark.sql(f"DROP TABLE {tables.name_of(path)}")
+    tables.drop_table(spark, path)
     again = tables.read_table(spark, path)
     assert again.count() == docs.count() and "hashpartitioning(docid" not in plan(again.groupBy("docid").count())
 
