@@ -1121,6 +1121,6 @@ def whole(name: str) -> None:
 
 WHOLE = """norm_minmax norm_max fuse_linear_weighted fuse_linear_fold3 fuse_linear_comb fuse_per_level fuse_rrf fuse_concat fuse_round_robin_short
 tune_global tune_by_level tune_2plus1 tune_retrieval_score metrics_per_query metrics_mean metrics_by_level latex_row legacy_hit_rates
-rerank_rescore tune_by_level_fine metrics_trec_ties bm25_topk rm3_topk top_p queries_lacking metrics_sink search_end_to_end fuse_files tune_one_measure tuned_measures"""
+rerank_rescore tune_by_level_fine metrics_trec_ties bm25_topk rm3_topk top_p queries_lacking metrics_sink search_end_to_end fuse_files tune_one_measure"""
 for _name in WHOLE.split():
     whole(_name)
