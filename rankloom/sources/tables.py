@@ -10,16 +10,25 @@ from pyspark.sql import functions as F
 
 #: Buckets of one table at most.
 MOST_BUCKETS = 4096
+#: Bytes of the files that one bucket is made of, so that what a task holds doesn't grow with the table.
+BUCKET_BYTES = 8 << 20
 #: Values that a lookup hands to the scan as literals.
 MOST_LITERALS = 1000
 
 
 def buckets_for(df: DataFrame) -> int:
-    """As many as df has partitions, but no fewer than there are cores."""
-    n = max(df._jdf.queryExecution().toRdd().getNumPartitions(), df.sparkSession.sparkContext.defaultParallelism)
+    """As many as df has partitions, but no fewer than there are cores, and one for every BUCKET_BYTES that it reads."""
+    n = max(df._jdf.queryExecution().toRdd().getNumPartitions(), df.sparkSession.sparkContext.defaultParallelism, bytes_read(df) // BUCKET_BYTES)
     return min(n, MOST_BUCKETS)
 
 
+def bytes_read(df: DataFrame) -> int:
+    """Bytes of the files and local rows that df is made of; 0 where Spark doesn't know them."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    n = sum(int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size()))
+    return n if n < 1 << 50 else 0  # what isn't known counts as the greatest number
+
+
 def write_table(df: DataFrame, path: str, buckets: int, by: str, sort: list[str], folder: str | None = None) -> DataFrame:
     """Write df dealt by a hash of `by` and, within a bucket, sorted; with `folder` (a column) in one folder for each of its
     values too. Read back as read_table does."""

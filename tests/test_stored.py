@@ -3,6 +3,7 @@
 import glob
 import os
 import random
+import re
 
 import numpy as np
 import pytest
@@ -234,3 +235,26 @@ def test_models_are_loaded_once_a_worker_and_texts_share_lengths(spark, tmp_path
 
     assert padding(1000) < 0.35 * padding(None)
     assert [len(x) for x in vectors.by_length([5, 1, 9, 30, 2], 10, 3)] == [1, 1, 2, 1] and vectors.by_length([], 10, 3) == []
+
+
+def test_segments_are_searched_in_blocks(spark, tmp_path, monkeypatch):
+    """No row for a query and passage is made; blocks and their cuts change nothing, with ties by docid over all blocks."""
+    r, path = random.Random(8), str(tmp_path / "impacts")
+    rows = [(f"d{dim}", docid, float(r.randrange(1, 4)), dim) for docid in range(400) for dim in range(200) if dim < 2 or r.random() < 0.05]
+    rows += [("d0", docid, 2.0, 0) for docid in range(1000, 1300)]  # copies
+    asked = [(q, f"d{dim}", float(r.randrange(1, 3)), dim) for q in range(30) for dim in (0, 1, *r.sample(range(2, 200), 5))] + [(99, "d0", 1.0, 0), (98, "d1", -1.0, 1)]
+    impacts.append(spark.createDataFrame(rows, "dim string, docid long, value double, n int"), path, buckets=2)
+    q = spark.createDataFrame(asked, "qid int, dim string, q double, n int")
+    want = set()
+    for qid in {x[0] for x in asked}:
+        found = scores([(d, i, v) for d, i, v, _ in rows], {d: v for i, d, v, _ in asked if i == qid})
+        want |= {(qid, docid, s) for docid, s in sorted(found.items(), key=lambda x: (-x[1], x[0]))[:7]}
+    for size in (2048, 5):
+        monkeypatch.setattr(impacts, "PASSAGES", size)
+        monkeypatch.setattr(impacts, "QUERIES", size)
+        run = impacts.search(q, path, 7)
+        assert {(x["qid"], x["docid"], x["score"]) for x in run.collect()} == want
+        assert not re.search(r"Aggregate\(keys=\[qid#\w+, docid", run._jdf.queryExecution().executedPlan().toString())
+    # queries in more passes than one
+    monkeypatch.setattr(impacts, "QUERY_BYTES", 1000)
+    assert {(x["qid"], x["docid"], x["score"]) for x in impacts.search(q, path, 7).collect()} == want
