@@ -11,15 +11,15 @@ from ..functions.text import terms
 from ..sources.storage import BROADCAST_ROWS, once, plan_of, scratch_path, small
 from ..sources.tables import MOST_BUCKETS, MOST_LITERALS, buckets_for, read_table, rows_of, write_table
 
-#: Postings of one folder of terms on average.
-PER_FOLDER = 1 << 20
+#: Postings of one folder of terms on average, and of one of its files at least.
+PER_FOLDER, PER_FILE = 1 << 20, 1 << 16
 
 
-def term_lists(passages: DataFrame, docid: str, text: str) -> DataFrame:
+def term_lists(passages: DataFrame, docid: str, text: str, buckets: int | None = None) -> DataFrame:
     """docid, words, dl of every passage, dealt by docid over all cores at least before texts are read."""
     rows = passages.select(F.col(docid).alias("docid"), F.col(text).alias("_text"))
     if not rows.isStreaming:
-        rows = rows.repartition(buckets_for(rows), "docid")
+        rows = rows.repartition(buckets or buckets_for(rows), "docid")
     return rows.select("docid", terms(F.col("_text")).alias("words")).withColumn("dl", F.size("words").cast("long"))
 
 
@@ -83,8 +83,9 @@ def term_stats(postings: DataFrame) -> DataFrame:
     return postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"), F.max("tf").alias("max_tf"))
 
 
-def write_index(lists: DataFrame, path: str, positions: bool = False, folders: int | None = None, buckets: int | None = None) -> Index:
-    """Write a collection's index and read it back.
+def write_index(lists: DataFrame, path: str, positions: bool = False, folders: int | None = None, buckets: int | None = None, dealt: bool = False) -> Index:
+    """Write a collection's index and read it back. dealt: lists come from term_lists with the same buckets, and stay where
+    they are.
 
     Texts are read once: passages are written first, dealt and sorted by docid, and all else comes from there. Postings lie
     in folders by a hash of their term, and in each folder in files by a hash of their docid, sorted by term: a search
@@ -101,23 +102,32 @@ def write_index(lists: DataFrame, path: str, positions: bool = False, folders: i
         before = F.concat(F.array(F.lit(0)), F.slice("gaps", 1, F.greatest(F.size("gaps") - 1, F.lit(0))))
         rows = rows.withColumn("gaps", F.zip_with("gaps", before, lambda x, y: x - y))
         rows = rows.withColumn("gaps", F.when(F.col("term").isNotNull(), F.col("gaps")).otherwise(F.array().cast("array<int>")))
-    passages = write_table(rows, f"{path}/passages", buckets, "docid", ["docid", "term"])
+    passages = write_table(rows, f"{path}/passages", buckets, "docid", ["docid", "term"], dealt=dealt)
     size = passages.agg(F.sum("starts").alias("n_docs"), F.coalesce(F.sum(F.col("starts") * F.col("dl")), F.lit(0)).alias("n_tokens"), F.count("term").alias("n_postings"))
-    folders = folders or max(1, min(MOST_BUCKETS, size.first()["n_postings"] // PER_FOLDER))
+    n = size.first()["n_postings"]
+    folders = folders or max(1, min(MOST_BUCKETS, n // PER_FOLDER, n // (buckets * PER_FILE)))
     size.select(F.coalesce("n_docs", F.lit(0)).alias("n_docs"), "n_tokens", (F.col("n_tokens") / F.nullif(F.col("n_docs"), F.lit(0))).alias("avgdl"), F.lit(folders).alias("folders")).write.parquet(f"{path}/stats")
-    by_term = passages.filter("term is not null").drop("starts").withColumn("folder", folder_of(F.col("term"), folders))
+    # read as plain files, so that Spark deals them anew: of a dealt table it drops the exchange, and large scan tasks sort it
+    plain = spark.read.schema(passages.schema).parquet(f"{path}/passages/data")
+    by_term = plain.filter("term is not null").drop("starts").withColumn("folder", folder_of(F.col("term"), folders))
     p = write_table(by_term, f"{path}/postings", buckets, "docid", ["term", "docid"], "folder")
     term_stats(p).sort("term").write.parquet(f"{path}/terms")
     return Index.read(spark, path)
 
 
+def index_texts(passages: DataFrame, docid: str, text: str, path: str, positions: bool = False) -> Index:
+    """write_index of passages. How many buckets is settled before anything is moved, so that texts move once."""
+    buckets = buckets_for(passages.select(docid, text))
+    return write_index(term_lists(passages, docid, text, buckets), path, positions, buckets=buckets, dealt=True)
+
+
 def index_once(passages: DataFrame, docid: str, text: str, positions: bool = False) -> Index:
     """The stored index of passages, written into the shared folder when it is first asked for, and again for another plan
     (another filter or another text of the same files is another collection) or if a file of theirs has changed since."""
     spark = passages.sparkSession
     key = (spark.sparkContext.applicationId, "index", docid, text, positions, plan_of(passages))
 
-    return once(key, lambda: write_index(term_lists(passages, docid, text), scratch_path(spark), positions))
+    return once(key, lambda: index_texts(passages, docid, text, scratch_path(spark), positions))
 
 
 def as_index(lists: DataFrame | Index) -> Index:

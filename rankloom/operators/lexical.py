@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..sources.storage import kept
-from .index import Index, as_index, index_once, joined, postings, term_lists, term_stats, write_index  # noqa: F401
+from .index import Index, as_index, index_once, index_texts, joined, postings, term_lists, term_stats, write_index  # noqa: F401
 from .ranking import ranked, settled
 
 

@@ -29,11 +29,12 @@ def bytes_read(df: DataFrame) -> int:
     return n if n < 1 << 50 else 0  # what isn't known counts as the greatest number
 
 
-def write_table(df: DataFrame, path: str, buckets: int, by: str, sort: list[str], folder: str | None = None) -> DataFrame:
+def write_table(df: DataFrame, path: str, buckets: int, by: str, sort: list[str], folder: str | None = None, dealt: bool = False) -> DataFrame:
     """Write df dealt by a hash of `by` and, within a bucket, sorted; with `folder` (a column) in one folder for each of its
-    values too. Read back as read_table does."""
+    values too. Read back as read_table does. dealt: df comes from repartition(buckets, by), and isn't moved again (if that
+    isn't so, a bucket has several files)."""
     spark = df.sparkSession
-    rows = df.repartition(buckets, by)
+    rows = df if dealt else df.repartition(buckets, by)
     out = rows.write.option("path", f"{path}/data").bucketBy(buckets, by).sortBy(*sort)
     name = name_of(path)
     (out.partitionBy(folder) if folder else out).saveAsTable(name)

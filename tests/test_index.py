@@ -174,3 +174,17 @@ def test_sinks_written_twice(spark, tmp_path):
     rows = spark.read.text(f"{folder}/measures").collect()
     assert {(r["measure"], r["run"], r["value"]) for r in rows} == {("map", "a", "a-[0.75]"), ("map", "b", "b-[0.5]")} and len(rows) == 2
     assert json.loads(spark.read.text(f"{folder}/means/a").first()[0])["map"] == 0.75
+
+
+def test_buckets_grow_with_the_texts(spark, docs, tmp_path, monkeypatch):
+    """What a task of the index holds doesn't grow with the collection; texts are moved once, and each bucket is a file."""
+    monkeypatch.setattr(tables, "BUCKET_BYTES", 4096)
+    n = tables.buckets_for(docs)
+    assert n >= 290_000 // 4096 > spark.sparkContext.defaultParallelism
+    moved = lexical.term_lists(docs, "docid", "contents", n)
+    found = lexical.index_texts(docs, "docid", "contents", str(tmp_path / "i"))
+    assert moved.rdd.getNumPartitions() == n
+    files = [f.rpartition("/")[2] for f in found.passages.inputFiles()]
+    assert len(files) == len({f.rpartition("_")[2] for f in files}) > spark.sparkContext.defaultParallelism
+    other = lexical.Index.of(moved)
+    assert sorted(map(tuple, found.terms.collect())) == sorted(map(tuple, other.terms.collect()))
