@@ -170,6 +170,7 @@ def search(queries: DataFrame, texts: DataFrame, collection: Collection, config:
         every = parts[0].select("list_id", "qid", "docid", "score", "rank")
         for x in parts[1:]:
             every = every.unionByName(x)
+        every = kept(every) if config.fusion != "none" else every  # fusion reads the lists several times
         run = fuse(every, replace(config, lists=list(range(len(lists)))), queries.select("qid", "level"), qrels)
     else:
         run = ranked(given.select("qid", "docid", "score"), ["qid"])
