@@ -49,17 +49,14 @@ def three_queries(spark, d):
     return items(spark, d).select("qid", F.explode(forms).alias("x")).select("x.list_id", "qid", "x.words")
 
 
-def corpus(spark, d):
-    return lexical.term_lists(read(spark, d, "documents"), "doc_id", "text")
-
-
 def index(spark, d):
     """The stored index of documents, written when the first query asks for it."""
     return lexical.index_once(read(spark, d, "documents"), "doc_id", "text")
 
 
 def runs(spark, d, n=3, k=DEPTH):
-    return experiments.retrieve(three_queries(spark, d), index(spark, d), experiments.Config(list(range(n)), k=k))
+    """Written, as what is made of runs reads them several times."""
+    return kept(experiments.retrieve(three_queries(spark, d), index(spark, d), experiments.Config(list(range(n)), k=k)))
 
 
 def unit_runs(spark, d, n=3, k=DEPTH):
@@ -148,7 +145,7 @@ def index_postings(spark, d):
 @query(f"WITH {CORPUS} SELECT term, count(*) AS df, sum(tf)::BIGINT AS cf, max(tf) AS max_tf, n::BIGINT AS n_docs, any_value((SELECT sum(dl) FROM lens))::BIGINT AS n_tokens FROM post CROSS JOIN stats GROUP BY term, n")
 def index_write_read(spark, d):
     """A new index each time: written, read back, its terms beside the collection's size."""
-    found = lexical.write_index(corpus(spark, d), scratch_path(spark))
+    found = lexical.index_texts(read(spark, d, "documents"), "doc_id", "text", scratch_path(spark))
     return found.terms.crossJoin(F.broadcast(found.stats.select("n_docs", "n_tokens")))
 
 

@@ -188,3 +188,11 @@ def test_buckets_grow_with_the_texts(spark, docs, tmp_path, monkeypatch):
     assert len(files) == len({f.rpartition("_")[2] for f in files}) > spark.sparkContext.defaultParallelism
     other = lexical.Index.of(moved)
     assert sorted(map(tuple, found.terms.collect())) == sorted(map(tuple, other.terms.collect()))
+
+
+def test_runs_are_retrieved_once(spark):
+    """What is made of runs reads them from where they were written, not from the postings again."""
+    for name in ("fuse_per_level", "fuse_concat", "fuse_round_robin", "norm_max", "fuse_linear_comb_1000"):
+        assert "rankloom_" not in plan(catalog.QUERIES[name](spark, DATA))
+    for name in ("search_end_to_end", "search_end_to_end_1000"):
+        assert plan(catalog.QUERIES[name](spark, DATA)).count("rankloom_") == 0
