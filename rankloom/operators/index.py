@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import terms
 from ..sources.storage import BROADCAST_ROWS, once, plan_of, scratch_path, small
-from ..sources.tables import MOST_BUCKETS, MOST_LITERALS, buckets_for, read_table, rows_of, write_table
+from ..sources.tables import MOST_BUCKETS, MOST_LITERALS, buckets_for, read_table, rows_of, whole_buckets, write_table
 
 #: Postings of one folder of terms on average, and of one of its files at least.
 PER_FOLDER, PER_FILE = 1 << 20, 1 << 16
@@ -107,10 +107,9 @@ def write_index(lists: DataFrame, path: str, positions: bool = False, folders: i
     n = size.first()["n_postings"]
     folders = folders or max(1, min(MOST_BUCKETS, n // PER_FOLDER, n // (buckets * PER_FILE)))
     size.select(F.coalesce("n_docs", F.lit(0)).alias("n_docs"), "n_tokens", (F.col("n_tokens") / F.nullif(F.col("n_docs"), F.lit(0))).alias("avgdl"), F.lit(folders).alias("folders")).write.parquet(f"{path}/stats")
-    # read as plain files, so that Spark deals them anew: of a dealt table it drops the exchange, and large scan tasks sort it
-    plain = spark.read.schema(passages.schema).parquet(f"{path}/passages/data")
-    by_term = plain.filter("term is not null").drop("starts").withColumn("folder", folder_of(F.col("term"), folders))
-    p = write_table(by_term, f"{path}/postings", buckets, "docid", ["term", "docid"], "folder")
+    by_term = passages.filter("term is not null").drop("starts").withColumn("folder", folder_of(F.col("term"), folders))
+    with whole_buckets(spark):
+        p = write_table(by_term, f"{path}/postings", buckets, "docid", ["term", "docid"], "folder")
     term_stats(p).sort("term").write.parquet(f"{path}/terms")
     return Index.read(spark, path)
 

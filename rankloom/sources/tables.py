@@ -4,6 +4,7 @@ side, and a lookup of few keys opens only their buckets."""
 from __future__ import annotations
 
 import hashlib
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -66,6 +67,19 @@ def drop_table(spark: SparkSession, path: str) -> None:
     spark.sql(f"DROP TABLE IF EXISTS {name_of(path)}")
 
 
+@contextmanager
+def whole_buckets(spark: SparkSession):
+    """What is planned within reads dealt tables a bucket a task. Else Spark cuts their files into splits where no join or sum
+    needs them dealt, and as it has left out the exchange to the same buckets by then, tasks over whole splits sort them."""
+    key = "spark.sql.sources.bucketing.autoBucketedScan.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def rows_of(table: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
     """The rows of a table whose key is among those of wanted (column key; a stored, cheap table). Up to MOST_LITERALS
     distinct keys are handed to the scan, which opens their buckets alone; more are left to the join that follows."""

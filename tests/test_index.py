@@ -1,11 +1,13 @@
 """The stored index, keyed passages, run catalogue and sinks: what is read, what is exchanged, and what a second write leaves."""
 
 import json
+import math
 
 import pytest
 from pyspark.sql import functions as F
 
-from rankloom.operators import conversation, lexical
+from rankloom.operators import conversation, lexical, metrics
+from rankloom.operators import index as index_module
 from rankloom.plans import catalog, experiments, runs, search
 from rankloom.sources import passages, sinks, tables
 from rankloom.sources.storage import kept
@@ -196,3 +198,24 @@ def test_runs_are_retrieved_once(spark):
         assert "rankloom_" not in plan(catalog.QUERIES[name](spark, DATA))
     for name in ("search_end_to_end", "search_end_to_end_1000"):
         assert plan(catalog.QUERIES[name](spark, DATA)).count("rankloom_") == 0
+
+
+def test_postings_come_from_whole_buckets(spark, docs, tmp_path, monkeypatch):
+    """Postings are written from the stored passages, a bucket a task, and nothing is exchanged for it."""
+    plans, tasks, write = [], [], index_module.write_table
+
+    def seen(df, path, buckets, by, *more, **named):
+        if path.endswith("/postings"):
+            dealt = df.repartition(buckets, by)
+            plans.append(plan(dealt))
+            tasks.append(dealt._jdf.queryExecution().toRdd().getNumPartitions())
+        return write(df, path, buckets, by, *more, **named)
+
+    monkeypatch.setattr(index_module, "write_table", seen)
+    key = "spark.sql.sources.bucketing.autoBucketedScan.enabled"
+    before = spark.conf.get(key)
+    found = lexical.write_index(lexical.term_lists(docs, "docid", "contents"), str(tmp_path / "i"), folders=2, buckets=8)
+    assert "Exchange" not in plans[0] and tasks == [8] and spark.conf.get(key) == before
+    assert len(found.postings.inputFiles()) == 16
+    other = lexical.Index.of(lexical.term_lists(docs, "docid", "contents"))
+    assert sorted(map(tuple, found.postings.select("term", "docid", "tf", "dl").collect())) == sorted(map(tuple, other.postings.select("term", "docid", "tf", "dl").collect()))
