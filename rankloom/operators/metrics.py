@@ -2,26 +2,47 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.storage import kept, small
 from .ranking import ranked, settled
 
 NDCG_CUTS, P_CUTS, RECALL_CUTS = (1, 3, 5, 10), (1, 3, 5, 10, 20), (5, 10, 20, 50, 100, 1000)
 
 
 def judged(run: DataFrame, qrels: DataFrame) -> DataFrame:
-    """run with rel, 0 where nobody judged."""
-    return run.join(qrels.select("qid", "docid", "rel"), ["qid", "docid"], "left").withColumn("rel", F.coalesce("rel", F.lit(0)))
+    """run with rel, 0 where nobody judged. The run is written, and broadcast to qrels while it is small: of these only the rows
+    of its passages are then exchanged."""
+    run = kept(run)
+    near = qrels.select("qid", "docid", "rel").join(small(run.select("qid", "docid")), ["qid", "docid"], "left_semi")
+    return run.join(near, ["qid", "docid"], "left").withColumn("rel", F.coalesce("rel", F.lit(0)))
+
+
+#: Places whose discounts are summed at once.
+PLACES_AT_ONCE = 4096
 
 
 def ideal(qrels: DataFrame, cuts: tuple[int, ...]) -> DataFrame:
-    """qid, num_rel and the best gain possible: idcg over all, idcg_<cut>."""
-    at = F.row_number().over(W.partitionBy("qid").orderBy(F.col("rel").desc(), "docid"))
-    gain = F.greatest(F.col("rel"), F.lit(0)) / F.log2(F.col("_at") + 1.0)
-    sums = [F.sum(F.when(F.col("_at") <= c, gain)).alias(f"idcg_{c}") for c in cuts]
-    return qrels.withColumn("_at", at).groupBy("qid").agg(F.sum((F.col("rel") > 0).cast("long")).alias("num_rel"), F.sum(gain).alias("idcg"), *sums)
+    """qid, num_rel and the best gain possible: idcg over all, idcg_<cut>. A query's passages are counted by rel, each of which
+    fills a run of places, so that no judgement is exchanged or sorted by itself."""
+    rel, n, end = F.col("rel"), F.col("_n"), F.col("_end")
+    each = qrels.groupBy("qid", "rel").agg(F.count("*").alias("_n"))
+    each = each.withColumn("_end", F.sum("_n").over(W.partitionBy("qid").orderBy(rel.desc()).rowsBetween(W.unboundedPreceding, 0)))
+    # places without gain need no steps
+    parts = F.when(rel > 0, F.sequence(end - n, end - 1, F.lit(PLACES_AT_ONCE))).otherwise(F.array(end - n))
+    each = each.select("*", F.posexplode(parts).alias("_part", "_from"))
+
+    def gain(last: Column) -> Column:
+        """Of the places after _from, down to last."""
+        places = F.sequence(F.col("_from") + 1, last)
+        return F.when((rel > 0) & (last > F.col("_from")), F.aggregate(places, F.lit(0.0), lambda x, at: x + rel / F.log2(at + 1.0))).otherwise(0.0)
+
+    last = F.least(end, F.col("_from") + PLACES_AT_ONCE)
+    sums = [F.sum(gain(F.least(last, F.lit(c)))).alias(f"idcg_{c}") for c in cuts]
+    relevant = (rel > 0).cast("long") * F.when(F.col("_part") == 0, n).otherwise(0)
+    return each.groupBy("qid").agg(F.sum(relevant).alias("num_rel"), F.sum(gain(last)).alias("idcg"), *sums)
 
 
 def per_query(run: DataFrame, qrels: DataFrame, keys: tuple[str, ...] = (), trec_ties: bool = False) -> DataFrame:

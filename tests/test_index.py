@@ -219,3 +219,21 @@ def test_postings_come_from_whole_buckets(spark, docs, tmp_path, monkeypatch):
     assert len(found.postings.inputFiles()) == 16
     other = lexical.Index.of(lexical.term_lists(docs, "docid", "contents"))
     assert sorted(map(tuple, found.postings.select("term", "docid", "tf", "dl").collect())) == sorted(map(tuple, other.postings.select("term", "docid", "tf", "dl").collect()))
+
+
+def test_judgements_stay_where_they_are(spark, no_broadcast, monkeypatch):
+    """Only judgements of a run's passages are exchanged; the best gain comes from counts, as from all rows in order."""
+    monkeypatch.setattr(metrics, "PLACES_AT_ONCE", 3)
+    rels = {1: [2, 0, 1, 1, 2, 1, 0, 1, 1, 1, None, -1], 2: [0, 0], 3: [1], 4: [None], 5: [-1, 3]}
+    rows = [(q, i, x) for q, xs in rels.items() for i, x in enumerate(xs)]
+    qrels = kept(spark.createDataFrame(rows, "qid int, docid int, rel int"))
+    best = metrics.ideal(qrels, (1, 5))
+    assert exchanged(best) and not any("docid" in x for x in exchanged(best))
+    got = {r["qid"]: r for r in best.collect()}
+    for q, xs in rels.items():
+        gains = [max(x or 0, 0) / math.log2(i + 2) for i, x in enumerate(sorted(xs, key=lambda x: -9 if x is None else x, reverse=True))]
+        assert (got[q]["num_rel"] or 0, *(got[q][c] for c in ("idcg", "idcg_1", "idcg_5"))) == pytest.approx((sum((x or 0) > 0 for x in xs), sum(gains), gains[0], sum(gains[:5])))
+    run = kept(spark.createDataFrame([(1, 0, 1), (1, 1, 2), (1, 10, 3), (1, 99, 4), (9, 0, 1)], "qid int, docid int, rank int"))
+    seen = metrics.judged(run, qrels)
+    assert "LeftSemi, BuildRight" in plan(seen)
+    assert {(r["qid"], r["docid"]): r["rel"] for r in seen.collect()} == {(1, 0): 2, (1, 1): 0, (1, 10): 0, (1, 99): 0, (9, 0): 0}
