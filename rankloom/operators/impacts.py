@@ -86,7 +86,8 @@ def merge(spark: SparkSession, path: str, buckets: int | None = None) -> None:
 def packed(rows: DataFrame, key: str, size: int) -> DataFrame:
     """Rows (key, x: array of dim and value) as blocks of at most `size` rows and some ENTRIES weights, each a row: a number,
     the keys, where each one's weights end, and all dimensions and values one after the other."""
-    kind = rows.schema[key].dataType.simpleString()
+    kinds = (rows.schema[key].dataType, T.LongType(), rows.schema["x"].dataType.elementType["dim"].dataType, T.DoubleType())
+    schema = T.StructType([T.StructField("id", T.StringType()), *(T.StructField(n, T.ArrayType(t)) for n, t in zip(PACKED, kinds))])
     whole = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
 
     def work(batches):
@@ -101,7 +102,7 @@ def packed(rows: DataFrame, key: str, size: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().hex]), whole(keys.slice(at, to - at)), whole(pa.array(ends[at:to] - before, pa.int64())), whole(flat.field(0)), whole(flat.field(1))], names=["id", *PACKED])
                 at = to
 
-    return rows.select(key, "x").mapInArrow(work, f"id string, keys array<{kind}>, ends array<bigint>, dims array<string>, flat array<double>")
+    return rows.select(key, "x").mapInArrow(work, schema)
 
 
 def products(asked: tuple, block: tuple) -> np.ndarray:
@@ -170,7 +171,7 @@ class Best:
     def cut(self) -> None:
         which, score, docid = np.concatenate([x[0] for x in self.found]), np.concatenate([x[1] for x in self.found]), pa.concat_arrays([x[2] for x in self.found])
         place = np.empty(len(which), np.int64)
-        place[pc.sort_indices(docid).to_numpy()] = np.arange(len(which))
+        place[pc.sort_indices(docid, null_placement="at_start").to_numpy()] = np.arange(len(which))
         whole = np.floor(score * 1e6 + 0.5)
         order = np.lexsort((place, -whole, which))
         n = np.bincount(which, minlength=len(self.qids))
@@ -194,7 +195,7 @@ def best_of_pairs(k: int):
         each = np.diff(ends.to_numpy(), prepend=0)
         place = np.arange(len(keys))
         if by_key:
-            order = pc.sort_indices(keys)
+            order = pc.sort_indices(keys, null_placement="at_start")
             place[order.to_numpy()] = np.arange(len(keys))
             keys = keys.take(order)
         return keys, (len(keys), np.repeat(place, each), dims, flat.to_numpy())
@@ -217,14 +218,31 @@ def best_of_pairs(k: int):
     return work
 
 
+def best_in_blocks(asked: DataFrame, rows: DataFrame, k: int, n: int) -> DataFrame:
+    """qid, docid, score: of each task the best passages for every query, some more than k, by inner products above 0 of asked
+    (qid, dim, q; n rows) and rows (docid, dim, value).
+
+    Rows are packed into blocks of passages, where they lie if they are dealt by docid; each block meets every block of
+    queries (these are broadcast, QUERY_BYTES of them at once, and more in further passes). A pair of blocks is one product
+    of matrices, no row for a query and passage is made, and a task hands on the best for each query alone.
+    """
+    passages = packed(rows.groupBy("docid").agg(F.collect_list(F.struct("dim", "value")).alias("x")), "docid", PASSAGES)
+    schema = T.StructType([asked.schema["qid"], rows.schema["docid"], T.StructField("score", T.DoubleType())])
+    passes, parts = max(1, -(-n * QUERY_ENTRY // QUERY_BYTES)), []
+    for i in range(passes):
+        some = asked.filter(F.pmod(F.xxhash64("qid"), F.lit(passes)) == i) if passes > 1 else asked
+        some = kept(packed(some.groupBy("qid").agg(F.collect_list(F.struct("dim", F.col("q").alias("value"))).alias("x")), "qid", QUERIES))
+        pairs = passages.crossJoin(F.broadcast(some.select(F.col("id").alias("asked_id"), *(F.col(c).alias(f"asked_{c}") for c in PACKED))))
+        parts.append(pairs.select(*PACKED, "asked_id", *(f"asked_{c}" for c in PACKED)).mapInArrow(best_of_pairs(k), schema))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def search(weights: DataFrame, path: str, k: int = 1000) -> DataFrame:
     """Inner products of queries (qid, dim, q) with the stored weights: qid, docid, score, rank; only scores above 0 count.
 
     In each segment a query's weights meet the dimensions that are there and then these dimensions' folders alone. A
-    passage's impacts lie in one task, which packs its passages into blocks; each meets every block of queries (these are
-    broadcast, QUERY_BYTES of them at once, and more in further passes). A pair of blocks is one product of matrices, no
-    row for a query and passage is made, and a task hands on the best for each query alone. Segments hold different
-    passages, so that the best of each are ranked together.
+    passage's impacts lie in one task, so that the best are found in blocks. Segments hold different passages, so that the
+    best of each are ranked together.
     """
     spark = weights.sparkSession
     w = kept(weights.filter("q <> 0").select("qid", F.col("dim").cast("string").alias("dim"), F.col("q").cast("double").alias("q")))
@@ -240,15 +258,8 @@ def search(weights: DataFrame, path: str, k: int = 1000) -> DataFrame:
             rows = rows.filter(F.col("folder").isin([r[0] for r in known.select(folder_of(F.col("dim"), facts["folders"])).distinct().collect()]))
         if facts["dims"] <= MOST_LITERALS:
             rows = rows.filter(F.col("dim").isin([r[0] for r in known.select("dim").distinct().collect()]))
-        passages = packed(rows.groupBy("docid").agg(F.collect_list(F.struct("dim", F.col("impact").cast("double").alias("value"))).alias("x")), "docid", PASSAGES)
-        passes = max(1, -(-facts["n"] * QUERY_ENTRY // QUERY_BYTES))
-        for i in range(passes):
-            some = known.filter(F.pmod(F.xxhash64("qid"), F.lit(passes)) == i) if passes > 1 else known
-            asked = packed(some.groupBy("qid").agg(F.collect_list(F.struct("dim", F.col("q").alias("value"))).alias("x")), "qid", QUERIES)
-            schema = T.StructType([known.schema["qid"], rows.schema["docid"], T.StructField("score", T.DoubleType())])
-            pairs = passages.crossJoin(F.broadcast(asked.select(F.col("id").alias("asked_id"), *(F.col(c).alias(f"asked_{c}") for c in PACKED))))
-            scored = pairs.select(*PACKED, "asked_id", *(f"asked_{c}" for c in PACKED)).mapInArrow(best_of_pairs(k), schema)
-            parts.append(ranked(scored.withColumn("score", settled(F.col("score"))).filter("score > 0"), ["qid"], k).drop("rank"))
+        scored = best_in_blocks(known, rows.select("docid", "dim", F.col("impact").cast("double").alias("value")), k, facts["n"])
+        parts.append(ranked(scored.withColumn("score", settled(F.col("score"))).filter("score > 0"), ["qid"], k).drop("rank"))
     if not parts:
         return ranked(weights.select("qid", F.lit(None).cast("string").alias("docid"), F.lit(0.0).alias("score")).limit(0), ["qid"], k)
     return ranked(reduce(DataFrame.unionByName, parts), ["qid"], k)

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..sources.storage import kept
+from ..sources.storage import kept, small
+from .impacts import best_in_blocks
 from .index import Index, as_index, index_once, index_texts, joined, postings, term_lists, term_stats, write_index  # noqa: F401
 from .ranking import ranked, settled
 
@@ -16,6 +17,20 @@ def query_terms(queries: DataFrame, keys: list[str]) -> DataFrame:
     return queries.select(*keys, F.explode("words").alias("term")).groupBy(*keys, "term").agg(F.count("*").cast("double").alias("qtf"))
 
 
+def known_terms(weights: DataFrame, index: Index) -> DataFrame:
+    """weights (keys, term, qtf) of terms that the index has, with df, avgdl and weight (qtf * idf); written."""
+    n = F.col("n_docs")
+    known = weights.join(index.terms.select("term", "df"), "term").crossJoin(F.broadcast(index.stats.select("n_docs", "avgdl")))
+    idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    return kept(known.withColumn("weight", F.col("qtf") * idf).drop("n_docs"))
+
+
+def saturation(k1: float, b: float) -> Column:
+    """The share of its weight that a term adds to a passage, by tf, dl and avgdl."""
+    tf = F.col("tf")
+    return tf / (tf + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
+
+
 def contributions(weights: DataFrame, lists: DataFrame | Index, k1: float = 0.9, b: float = 0.4) -> DataFrame:
     """What each query term adds to each passage: keys, docid, term, tf, df, part. weights: keys, term, qtf; lists: a stored
     index, or term lists.
@@ -25,19 +40,30 @@ def contributions(weights: DataFrame, lists: DataFrame | Index, k1: float = 0.9,
     sums them up without an exchange.
     """
     index = as_index(lists)
-    n, tf, dl = F.col("n_docs"), F.col("tf"), F.col("dl")
-    known = weights.join(index.terms.select("term", "df"), "term").crossJoin(F.broadcast(index.stats.select("n_docs", "avgdl")))
-    idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    known = kept(known.withColumn("weight", F.col("qtf") * idf).drop("n_docs"))
-    part = F.col("weight") * tf / (tf + k1 * (1 - b + b * dl / F.col("avgdl")))
-    known, rows = index.met_by(known)
-    return known.join(rows, "term").withColumn("part", part)
+    known, rows = index.met_by(known_terms(weights, index))
+    return known.join(rows, "term").withColumn("part", F.col("weight") * saturation(k1, b))
 
 
 def bm25(weights: DataFrame, lists: DataFrame | Index, keys: list[str], k: int = 1000, k1: float = 0.9, b: float = 0.4) -> DataFrame:
-    """The k best passages for each query."""
-    parts = contributions(weights, lists, k1, b)
-    return ranked(parts.groupBy(*keys, "docid").agg(settled(F.sum("part")).alias("score")), keys, k)
+    """The k best passages for each query.
+
+    Each posting of the queries' terms is read once, however many queries have the term, and passages meet queries in
+    blocks, as in impacts.search. There a sum of 0 means that no term is shared; where a weight isn't above 0, as that of
+    a term that feedback has rounded away, what each term adds is summed row by row.
+    """
+    index = as_index(lists)
+    known = known_terms(weights, index)
+    n, odd = known.agg(F.count("*"), F.count_if(~F.coalesce(F.col("weight") > 0, F.lit(False)))).first()
+    if odd or not (k1 >= 0 and 0 <= b <= 1):
+        few, rows = index.met_by(known)
+        scored = few.join(rows, "term").groupBy(*keys, "docid").agg(F.sum(F.col("weight") * saturation(k1, b)).alias("score"))
+    else:
+        words = kept(known.select("term", "avgdl").distinct().withColumn("dim", F.monotonically_increasing_id()))
+        asked = small(words.select("term", "dim")).join(known, "term").select(F.struct(*keys).alias("qid"), "dim", F.col("weight").alias("q"))
+        few, rows = index.met_by(words)
+        best = best_in_blocks(asked, few.join(rows, "term").select("docid", "dim", saturation(k1, b).alias("value")), k, n)
+        scored = best.select(*(F.col("qid")[c].alias(c) for c in keys), "docid", "score")
+    return ranked(scored.withColumn("score", settled(F.col("score"))), keys, k)
 
 
 def bm25_explain(weights: DataFrame, lists: DataFrame | Index, keys: list[str], k: int = 10, k1: float = 0.9, b: float = 0.4) -> DataFrame:

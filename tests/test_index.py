@@ -6,7 +6,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from rankloom.operators import conversation, lexical, metrics
+from rankloom.operators import conversation, impacts, lexical, metrics, ranking
 from rankloom.operators import index as index_module
 from rankloom.plans import catalog, experiments, runs, search
 from rankloom.sources import passages, sinks, tables
@@ -237,3 +237,26 @@ def test_judgements_stay_where_they_are(spark, no_broadcast, monkeypatch):
     seen = metrics.judged(run, qrels)
     assert "LeftSemi, BuildRight" in plan(seen)
     assert {(r["qid"], r["docid"]): r["rel"] for r in seen.collect()} == {(1, 0): 2, (1, 1): 0, (1, 10): 0, (1, 99): 0, (9, 0): 0}
+
+
+def test_no_row_for_a_query_and_passage(spark, index):
+    """Passages meet queries in blocks, and what comes out is what sums of all parts give, ties and cuts included."""
+    items = catalog.three_queries(spark, DATA)
+    q = lexical.query_terms(items, ["list_id", "qid"])
+    found = lexical.bm25(q, index, ["list_id", "qid"], 20)
+    assert "MapInArrow" in plan(found) and "keys=[list_id" not in plan(found)
+    sums = lambda w: ranking.ranked(lexical.contributions(w, index).groupBy("list_id", "qid", "docid").agg(ranking.settled(F.sum("part")).alias("score")), ["list_id", "qid"], 20)
+    rows = lambda df: sorted(map(tuple, df.select("list_id", "qid", "docid", "score", "rank").collect()))
+    assert rows(found) == rows(sums(q)) != []
+    # a term without weight still makes a passage a candidate, so these are summed row by row
+    none = q.withColumn("qtf", F.lit(0.0))
+    assert rows(lexical.bm25(none, index, ["list_id", "qid"], 20)) == rows(sums(none)) != []
+
+
+def test_many_queries_in_passes_and_blocks(spark, index, monkeypatch):
+    q = lexical.query_terms(catalog.items(spark, DATA), ["qid"])
+    rows = lambda: sorted(map(tuple, lexical.bm25(q, index, ["qid"], 7).select("qid", "docid", "score", "rank").collect()))
+    whole = rows()
+    for name, value in (("QUERY_BYTES", 4096), ("PASSAGES", 16), ("QUERIES", 3)):
+        monkeypatch.setattr(impacts, name, value)
+    assert rows() == whole and len(whole) == 7 * catalog.items(spark, DATA).count()
