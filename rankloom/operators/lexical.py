@@ -67,10 +67,13 @@ def bm25(weights: DataFrame, lists: DataFrame | Index, keys: list[str], k: int =
 
 
 def bm25_explain(weights: DataFrame, lists: DataFrame | Index, keys: list[str], k: int = 10, k1: float = 0.9, b: float = 0.4) -> DataFrame:
-    """The terms behind the k best passages: keys, docid, rank, term, tf, df, part."""
-    parts = contributions(weights, lists, k1, b)
-    best = ranked(parts.groupBy(*keys, "docid").agg(settled(F.sum("part")).alias("score")), keys, k)
-    return parts.join(best, [*keys, "docid"]).select(*keys, "docid", "rank", "term", "tf", "df", settled(F.col("part")).alias("part"))
+    """The terms behind the k best passages: keys, docid, rank, term, tf, df, part. The best are written, and a stored index
+    gives the terms of these passages alone, so that no other part is made or moved."""
+    index = as_index(lists)
+    best = kept(bm25(weights, index, keys, k, k1, b).drop("score"))
+    rows = joined(best, index.of_passages(best).select("docid", "term", "tf", "dl"), "docid")
+    parts = rows.join(small(known_terms(weights, index)), [*keys, "term"])
+    return parts.select(*keys, "docid", "rank", "term", "tf", "df", settled(F.col("weight") * saturation(k1, b)).alias("part"))
 
 
 def feedback_terms(weights: DataFrame, run: DataFrame, lists: DataFrame | Index, keys: list[str], fb_docs: int = 10, fb_terms: int = 10, original: float = 0.5) -> DataFrame:

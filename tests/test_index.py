@@ -260,3 +260,15 @@ def test_many_queries_in_passes_and_blocks(spark, index, monkeypatch):
     for name, value in (("QUERY_BYTES", 4096), ("PASSAGES", 16), ("QUERIES", 3)):
         monkeypatch.setattr(impacts, name, value)
     assert rows() == whole and len(whole) == 7 * catalog.items(spark, DATA).count()
+
+
+def test_explanation_moves_its_passages_parts_alone(spark, index, no_broadcast):
+    """The best are found first; no part of another passage is exchanged."""
+    items = catalog.items(spark, DATA)
+    q = lexical.query_terms(items, ["qid"])
+    found = lexical.bm25_explain(q, index, ["qid"], 3)
+    assert not exchanged(found)
+    parts = lexical.contributions(q, index)
+    best = lexical.bm25(q, index, ["qid"], 3)
+    other = parts.join(best, ["qid", "docid"]).select("qid", "docid", "rank", "term", "tf", "df", ranking.settled(F.col("part")).alias("part"))
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, other.collect())) != []
